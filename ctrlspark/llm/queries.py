@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import decontaminate, licenses, packing, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,13 +15,28 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op6_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
+    "op3_secret_scan": op3_secret_scan,
+    "op6_wu_manber_decontamination": op6_wu_manber_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 CHUNK = 2 << 20
 
@@ -33,6 +34,11 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+def fold(buf: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _FOLD[buf]
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """Powers of the hash base up to exponent ``n``, grown on demand."""
     key = "inv" if inverse else "pow"
@@ -69,7 +75,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> It
         i = j
 
 
-def per_chunk(df: DataFrame, fn: Callable, schema: str, columns: tuple[str, ...] = ("doc_id", "text"), text: str = "text", size: int = CHUNK) -> DataFrame:
+def per_chunk(df: DataFrame, fn: Callable, schema: str | StructType, columns: tuple[str, ...] = ("doc_id", "text"), text: str = "text", size: int = CHUNK) -> DataFrame:
     """Map ``fn(rows, buf, offs)`` over chunks; ``rows`` is the matching slice of the batch.
 
     ``fn`` yields Arrow record batches of ``schema``.
@@ -80,7 +86,7 @@ def per_chunk(df: DataFrame, fn: Callable, schema: str, columns: tuple[str, ...]
             for i, j, buf, offs in chunks(batch, text, size):
                 yield from fn(batch.slice(i, j - i), buf, offs)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*(f"`{c}`" for c in columns)).mapInArrow(run, schema)
 
 
 def prefix_hash(buf: np.ndarray, keys: np.ndarray = _BYTE_KEYS) -> np.ndarray:
