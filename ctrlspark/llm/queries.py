@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, packing, secret_scan, token_counts
+from . import decontaminate, licenses, ngram_join, packing, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), n=3, threshold="0.9")
+
+
 def op6_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -34,6 +38,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_wu_manber_decontamination": op6_wu_manber_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
