@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, ngram_join, packing, secret_scan, token_counts
+from . import ann, decontaminate, licenses, ngram_join, packing, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), n=3, threshold="0.9")
 
 
+def op5_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_hash_prefix_forest": op5_hash_prefix_forest,
     "op6_wu_manber_decontamination": op6_wu_manber_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
