@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, licenses, ngram_join, packing, quality, secret_scan, token_counts
+from . import ann, decontaminate, licenses, line_dedup, ngram_join, packing, quality, secret_scan, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_kneser_ney_quality": op2_kneser_ney_quality,
@@ -52,6 +56,7 @@ QUERIES = {
     "op6_wu_manber_decontamination": op6_wu_manber_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
