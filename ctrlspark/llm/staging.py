@@ -45,9 +45,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def drop_staged(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table made by ``staged`` that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/ctrlspark-" in path:
-            _delete(spark, path)
