@@ -30,7 +30,7 @@ from .staging import staged
 GRAM = 32
 PLACE = np.uint64(2**28 - 1)
 #: repeated anchors, copied texts and documents with removed bytes that are broadcast; beyond that they are joined by shuffle
-BROADCAST_ANCHORS, BROADCAST_TEXTS, BROADCAST_BYTES = 6_000_000, 1_000_000, 96_000_000
+BROADCAST_ANCHORS, BROADCAST_TEXTS, BROADCAST_BYTES = 6_000_000, 200_000, 16_000_000
 LAST = 2**63 - 1
 
 
@@ -200,7 +200,7 @@ def repeated_stretches(docs: DataFrame, width: int = 100, batches: int = 2) -> t
     anchors = staged(repeated_anchors(own, width), "anchors")
     picked = None
     if anchors.count() <= BROADCAST_ANCHORS:
-        picked = spark.sparkContext.broadcast(np.sort(anchors.toPandas()["anchor"].to_numpy(np.int64)))
+        picked = spark.sparkContext.broadcast(np.sort(anchors.toArrow()["anchor"].to_numpy()))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
     cuts = docs.select(F.col("doc_id").cast("long").alias("doc")).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
     edges = [None, *sorted({int(c) for c in cuts}), None]
