@@ -69,8 +69,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def frequent_words(docs: DataFrame, size: int = RANKED_WORDS) -> Broadcast:
     """Hashes of the most frequent words, sorted, with their ranks (1 for the rarest of them)."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).toPandas()
-    word = top["word"].to_numpy(np.int64)
+    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).toArrow()
+    word = top["word"].to_numpy()
     rank = np.arange(len(word), 0, -1)
     order = np.argsort(word)
     return docs.sparkSession.sparkContext.broadcast((word[order], rank[order]))
@@ -146,7 +146,8 @@ def _candidates(part: dict[str, np.ndarray], share: Fraction) -> tuple[np.ndarra
 
 def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame | None = None) -> DataFrame:
     """set, and its candidates (earlier sets): the ``most`` earliest of each key, and how many there are."""
-    if only is not None:
+    some = only is not None
+    if some:
         posts = posts.join(only.select(F.col("set").alias("wanted")), F.col("set") == F.col("wanted"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame |
         part = {c: v[new] for c, v in part.items()}
         part |= {c: part[c].view(np.uint64) for c in ("bits0", "bits1")}
         late, early = _candidates(part, share)
-        if only is not None:
+        if some:
             on = ~np.isnan(part["wanted"].astype(np.float64))[late]
             late, early = late[on], early[on]
         by = np.lexsort((part["number"][early], part["doc"][early], late))
@@ -182,7 +183,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, ranked: Broadcast, share: Fract
     spark = docs.sparkSession
     wanted = staged(pairs.select("set").union(pairs.select(F.col("other").alias("set"))).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_SETS
-    picked = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["set"].to_numpy(np.int64))) if few else None
+    picked = spark.sparkContext.broadcast(np.sort(wanted.toArrow()["set"].to_numpy())) if few else None
 
     def tokens(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
         sets = LineSets(buf, offs, ranked.value)
