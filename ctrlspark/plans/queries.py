@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract
+from ..functions import rules
+from ..functions.dialect import DUCK, SPARK
+from ..operators import coverage, crosswalk, extract, lineage
+from ..sources.catalogs import catalog, catalog_sql
 from ..sources.corpus import policies
+from ..sources.tables import built
 from .oracle import with_steps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +27,7 @@ def register(name: str, query: Query, sql: str | None = None, more: dict[str, st
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_statements(policies(spark, sf_dir))
+    return built(spark, sf_dir, "statements", lambda: extract.extract_statements(policies(spark, sf_dir)))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,3 +47,91 @@ register("sentence_split", lambda s, d: extract.sentence_split(extract.block_ass
 register("clause_split", lambda s, d: extract.clause_split(extract.sentence_split(extract.block_assembly(policies(s, d)))).select("doc_id", "version_ord", "clause"), "select doc_id, version_ord, clause from clauses")
 _FLAT = ("doc_id", "version_ord", "stmt_ord", "statement_id", "text", "page", "statement_kind", "strength", "action_polarity", "confidence", "status", "content_hash", "span_start", "span_end")
 register("extract_statements", lambda s, d: statements(s, d).select(*_FLAT, F.array_join("keywords", ",").alias("domains"), F.array_join("framework_ids", ",").alias("ids"), path("heading_path").alias("heading")), f"select {', '.join(_FLAT)}, array_to_string(keywords, ',') as domains, array_to_string(framework_ids, ',') as ids, array_to_string(heading_path, ' > ') as heading from statements")
+
+
+# --- crosswalk -------------------------------------------------------------
+_K = "doc_id, version_ord, statement_id, stmt_ord"
+_H = f"{_K}, source, cast(hit_ord as bigint) as hit_ord, framework, control_id, title, relationship, round(confidence, 4) as confidence"
+_COL = ("doc_id", "version_ord", "statement_id", "stmt_ord", "source", "hit_ord", "framework", "control_id", "title", "relationship")
+_NIST = "case when regexp_matches({c}, '(?i)^([A-Z]{{2}})-0*(\\d+)(.*)$') then upper(regexp_extract({c}, '(?i)^([A-Z]{{2}})', 1) || '-' || lpad(regexp_extract({c}, '(?i)^[A-Z]{{2}}-0*(\\d+)', 1), cast(greatest(2, length(regexp_extract({c}, '(?i)^[A-Z]{{2}}-0*(\\d+)', 1))) as integer), '0') || regexp_extract({c}, '(?i)^[A-Z]{{2}}-0*\\d+(.*)$', 1)) else upper({c}) end"
+_TARGET = "case framework " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(crosswalk.TARGETS)) + " end"
+HITS = {f"c_{n}": catalog_sql(n) for n in ("seed", "scf", "scf_crosswalk", "ksi", "ksi_words")} | {
+    "topics": f"select {_K}, unnest(keywords) as domain, generate_subscripts(keywords, 1) - 1 as k from statements",
+    "h_seed": f"select {_K}, 'seed' as source, k * 1000 + ord as hit_ord, framework, control_id, title, 'topic' as relationship, 0.55::double as confidence from topics join c_seed using (domain)",
+    "cited": f"select *, {rules.framework(DUCK, 'control_id')} as framework from (select {_K}, unnest(framework_ids) as control_id, generate_subscripts(framework_ids, 1) - 1 as k from statements)",
+    "h_cited": f"select {_K}, 'explicit-citation' as source, k as hit_ord, framework, control_id, '' as title, 'cited' as relationship, 0.95::double as confidence from cited",
+    "variants0": f"""select control_id, framework, [control_id, upper(control_id), lower(control_id), {_NIST.format(c='control_id')}] || case when framework = 'CIS Controls' then [trim(regexp_replace(control_id, '(?i)^CIS\\s*', '')), 'CIS ' || trim(regexp_replace(control_id, '(?i)^CIS\\s*', ''))]
+        when framework = 'PCI DSS' then [trim(regexp_replace(control_id, '(?i)^Req\\.?\\s*', '')), 'Req.' || trim(regexp_replace(control_id, '(?i)^Req\\.?\\s*', ''))] else cast([] as varchar[]) end as v from (select distinct control_id, framework from cited)""",
+    "variants1": "select control_id, framework, unnest(v) as variant, generate_subscripts(v, 1) as i from variants0",
+    "variants": "select control_id, framework, variant, cast(row_number() over (partition by control_id, framework order by min(i)) - 1 as integer) as variant_ord from variants1 where variant <> '' group by control_id, framework, variant",
+    "reverse": "select v.control_id, v.framework, x.scf_id, x.ord, variant_ord, min(variant_ord) over (partition by v.control_id, v.framework) as best from variants v join c_scf_crosswalk x on x.framework = v.framework and x.control_id = v.variant",
+    "to_scf": "select control_id, framework, scf_id, ord from reverse where variant_ord = best",
+    "few": "select domain, control_id as scf_id, row_number() over (partition by domain order by ord) as nth from c_scf",
+    "found_scf": f"""select {_K}, scf_id, min(place) as place from (select {_K}, c.control_id as scf_id, k * 1000 as place from cited c where c.control_id in (select control_id from c_scf)
+        union all select {_K}, scf_id, k * 1000 + ord from cited join to_scf using (control_id, framework) union all select t.doc_id, t.version_ord, t.statement_id, t.stmt_ord, scf_id, k * 1000 + nth from topics t join few using (domain) join statements s using ({_K}) where nth <= 6 and len(s.framework_ids) = 0) group by all""",
+    "chosen": f"select * from (select {_K}, scf_id, confidence as own, len(framework_ids) > 0 as is_cited, row_number() over (partition by {_K} order by place, scf_id) as nth from found_scf join statements using ({_K})) where nth <= 12",
+    "cross0": f"select *, {_TARGET} as target, row_number() over (partition by scf_id, framework order by ord) as in_fw from c_scf_crosswalk",
+    "cross1": "select *, row_number() over (partition by scf_id order by target, in_fw) as turn from cross0 where in_fw <= 4 and target is not null",
+    "h_scf": f"""select {_K}, 'scf' as source, nth as hit_ord, 'SCF' as framework, scf_id as control_id, coalesce(title, '') as title, 'backbone' as relationship, least(case when is_cited then 0.9 else 0.72 end::double, case when own > 0 then own else 1 end) as confidence from chosen left join (select control_id as scf_id, title from c_scf) using (scf_id)
+        union all select {_K}, 'scf', n_out + 100, framework, control_id, '', 'scf-crosswalk', least(0.88::double, case when own > 0 then own else 1 end) from (select *, row_number() over (partition by {_K} order by turn, nth) as n_out from chosen join cross1 using (scf_id)) where n_out <= 24""",
+    "ksi_control": f"select distinct {_K}, ksi_id, ord from (select {_K}, upper(regexp_replace(control_id, '[.(]\\d+\\)?$', '')) as base from cited where regexp_matches(control_id, '^[A-Z]{{2}}-\\d+')) join (select *, upper(regexp_replace(control, '[.(]\\d+\\)?$', '')) as base from c_ksi) using (base)",
+    "ksi_topic": f"select distinct {_K}, ksi_id, k.ord from statements s join c_ksi_words w on contains(lower(s.text), w.word) join c_ksi k on string_split(k.ksi_id, '-')[2] = w.grp",
+    "h_ksi": f"select {_K}, 'ksi' as source, case when c > 0.6 then ord else ord + 1000 end as hit_ord, 'FedRAMP KSI' as framework, ksi_id as control_id, '' as title, 'map' as relationship, c as confidence from (select {_K}, ksi_id, ord, max(c) as c from (select *, 0.9::double as c from ksi_control union all select *, 0.55::double from ksi_topic) group by all)",
+    "hits": f"select {', '.join(_COL)}, confidence from (select *, row_number() over (partition by {_K}, source, framework, control_id order by hit_ord) as nth from (select * from h_scf union all select * from h_seed union all select * from h_cited union all select * from h_ksi) where control_id <> '') where nth = 1",
+}
+
+
+def _hit_rows(h: DataFrame) -> DataFrame:
+    return h.select(*_COL, F.round("confidence", 4).alias("confidence"))
+
+
+def hits(s: SparkSession, d: str) -> DataFrame:
+    return built(s, d, "hits", lambda: crosswalk.map_statements(statements(s, d), *(catalog(s, n) for n in ("scf", "scf_crosswalk", "seed", "ksi", "ksi_words"))))
+
+
+def _cited(s: SparkSession, d: str) -> DataFrame:
+    return statements(s, d).select(F.explode("framework_ids").alias("control_id")).distinct().withColumn("framework", F.expr(rules.framework(SPARK, "control_id")))
+
+
+register("seed_hits", lambda s, d: _hit_rows(crosswalk.seed_hits(statements(s, d), catalog(s, "seed"))), f"select {_H} from h_seed", HITS)
+register("explicit_hits", lambda s, d: _hit_rows(crosswalk.explicit_hits(statements(s, d))), f"select {_H} from h_cited", HITS)
+register("guess_framework", lambda s, d: _cited(s, d), "select distinct control_id, framework from cited", HITS)
+register("normalize_nist_id", lambda s, d: _cited(s, d).select("control_id", F.expr(crosswalk.normalize_nist_id("control_id")).alias("padded")), f"select distinct control_id, {_NIST.format(c='control_id')} as padded from cited", HITS)
+register("lookup_key_variants", lambda s, d: crosswalk.lookup_key_variants(_cited(s, d)), "select control_id, framework, variant_ord, variant from variants", HITS)
+register("framework_to_scf", lambda s, d: crosswalk.framework_to_scf(_cited(s, d), catalog(s, "scf_crosswalk")), "select control_id, framework, scf_id, ord from to_scf", HITS)
+register("domain_fallback", lambda s, d: crosswalk.scf_ids(statements(s, d), catalog(s, "scf"), catalog(s, "scf_crosswalk")), "select doc_id, version_ord, statement_id, stmt_ord, scf_id, cast(place as bigint) as place from found_scf", HITS)
+register("scf_expand", lambda s, d: _hit_rows(crosswalk.scf_hits(statements(s, d), catalog(s, "scf"), catalog(s, "scf_crosswalk"))), f"select {_H} from h_scf", HITS)
+register("ksi_by_control", lambda s, d: crosswalk.ksi_by_control(statements(s, d), catalog(s, "ksi")), f"select {_K}, ksi_id, ord from ksi_control", HITS)
+register("ksi_by_topic", lambda s, d: crosswalk.ksi_by_topic(statements(s, d), catalog(s, "ksi"), catalog(s, "ksi_words")), f"select {_K}, ksi_id, ord from ksi_topic", HITS)
+register("ksi_map_statement", lambda s, d: _hit_rows(crosswalk.ksi_hits(statements(s, d), catalog(s, "ksi"), catalog(s, "ksi_words"))), f"select {_H} from h_ksi", HITS)
+register("map_statements", lambda s, d: _hit_rows(hits(s, d)), f"select {_H} from hits", HITS)
+
+# --- coverage --------------------------------------------------------------
+register("coverage_matrix", lambda s, d: coverage.coverage_matrix(hits(s, d)).select("doc_id", "version_ord", "framework", F.array_join("controls", ",").alias("controls")), "select doc_id, version_ord, framework, array_to_string(list_sort(list_distinct(list(control_id))), ',') as controls from hits group by all", HITS)
+register("coverage_gaps", lambda s, d: coverage.coverage_gaps(policies(s, d), hits(s, d).filter("source = 'explicit-citation'")), f"select p.doc_id, p.version_ord, framework from pol p cross join (select unnest([{', '.join(repr(f) for f in coverage.EXPECTED)}]) as framework) f where not exists (select 1 from hits h where h.doc_id = p.doc_id and h.version_ord = p.version_ord and h.framework = f.framework and h.source = 'explicit-citation')", HITS)
+register("blast_radius", lambda s, d: coverage.blast_radius(hits(s, d)), "select doc_id, version_ord, framework, control_id, title, statement_id, source from hits", HITS)
+register("framework_rollup", lambda s, d: coverage.framework_rollup(hits(s, d)), "select framework, count(distinct control_id) as control_count, count(distinct statement_id) as statement_count, array_to_string(list_sort(list_distinct(list(control_id))), ';') as control_ids from hits group by all", HITS)
+register("control_rollup", lambda s, d: coverage.control_rollup(hits(s, d)), "select framework, control_id, coalesce(min(case when title <> '' then title end), '') as title, array_to_string(list_sort(list_distinct(list(source))), ';') as sources, printf('%.3f', max(confidence)) as max_confidence, count(distinct statement_id) as statement_count from hits group by all", HITS)
+_STALE = " union all ".join(f"select doc_id, version_ord, statement_id, '{i}' as issue, '{a}' as recommendation from statements where " + " or ".join(f"contains(lower(text), '{w}')" for w in ws) for ws, i, a in coverage.STALE)
+register("stale_refs", lambda s, d: coverage.stale_refs(statements(s, d)), _STALE)
+register("evidence_packet", lambda s, d: coverage.evidence_packet(statements(s, d), hits(s, d), "AC-2"), "select s.doc_id, s.version_ord, s.statement_id, s.text, s.strength, coalesce(n, 0) as related from statements s left join (select doc_id, version_ord, statement_id, count(*) as n from hits where contains(upper(replace(control_id, ' ', '')), 'AC-2') group by all) r using (doc_id, version_ord, statement_id) where n is not null or contains(array_to_string(framework_ids, ' '), 'AC-2')", HITS)
+register("control_graph_nodes", lambda s, d: coverage.control_graph(statements(s, d), hits(s, d))[0], "select distinct id, kind, label from (select 'doc:' || doc_id as id, 'document' as kind, cast(doc_id as varchar) as label from statements union all select statement_id, 'statement', strength from statements union all select 'control:' || framework || ':' || control_id, 'control', control_id from hits)", HITS)
+register("control_graph_edges", lambda s, d: coverage.control_graph(statements(s, d), hits(s, d))[1], "select distinct src, dst, kind from (select 'doc:' || doc_id as src, statement_id as dst, 'contains' as kind from statements union all select statement_id, 'control:' || framework || ':' || control_id, relationship from hits)", HITS)
+
+
+def _questions(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/events.parquet").filter("event_id % 97 = 0").select(F.col("event_id").alias("question_id"), F.concat_ws(" ", F.lit("How do you review"), F.expr("element_at(array('privileged access', 'vendor contracts', 'backup media', 'incident logs', 'network boundary'), cast(event_id % 5 as int) + 1)"), "event_type").alias("text"))
+
+
+# --- lineage ---------------------------------------------------------------
+_SNAP = {
+    "snap0": "select doc_id, version_ord, 'v' || version_ord as version_label, sha256(markdown) as markdown_hash from pol",
+    "snaps": "select *, lag(snapshot_id) over (partition by doc_id order by version_ord) as parent_snapshot_id from (select *, substr(sha256('pol-' || doc_id || ':' || markdown_hash || ':' || version_label), 1, 20) as snapshot_id from snap0)",
+    "diff": "select a.doc_id, 1 as older, 2 as newer, a.* exclude (doc_id), 'removed' as change from statements a where version_ord = 1 and not exists (select 1 from statements b where b.doc_id = a.doc_id and b.version_ord = 2 and b.content_hash = a.content_hash) union all select a.doc_id, 1, 2, a.* exclude (doc_id), 'added' from statements a where version_ord = 2 and not exists (select 1 from statements b where b.doc_id = a.doc_id and b.version_ord = 1 and b.content_hash = a.content_hash)",
+    "cites": "select distinct doc_id, version_ord, unnest(framework_ids) as subject from statements",
+}
+register("commit_snapshots", lambda s, d: lineage.commit_snapshots(policies(s, d)).fillna({"parent_snapshot_id": ""}), "select doc_id, version_ord, version_label, markdown_hash, snapshot_id, coalesce(parent_snapshot_id, '') as parent_snapshot_id from snaps", _SNAP)
+register("head", lambda s, d: lineage.head(lineage.commit_snapshots(policies(s, d))), "select doc_id, arg_max(snapshot_id, version_ord) as snapshot_id from snaps group by doc_id", _SNAP)
+register("history", lambda s, d: lineage.history(lineage.commit_snapshots(policies(s, d))), "select doc_id, snapshot_id, row_number() over (partition by doc_id order by version_ord desc) - 1 as depth from snaps", _SNAP)
+register("statement_diff", lambda s, d: lineage.statement_diff(statements(s, d), policies(s, d)).select("doc_id", "older", "newer", "content_hash", "statement_id", "text", "strength", "change"), "select doc_id, older, newer, content_hash, statement_id, text, strength, change from diff", _SNAP)
+register("drift", lambda s, d: lineage.drift(statements(s, d), policies(s, d)), "select doc_id, older, newer, case when change = 'removed' then 'obligation_removed' else 'obligation_added' end as kind, statement_id as subject, case when change = 'added' then 'info' when strength in ('must', 'shall', 'prohibited') then 'high' else 'medium' end as severity from diff union all select doc_id, 1, 2, 'framework_citation_lost', subject, 'high' from cites a where version_ord = 1 and not exists (select 1 from cites b where b.doc_id = a.doc_id and b.version_ord = 2 and b.subject = a.subject)", _SNAP)
