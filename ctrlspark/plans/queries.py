@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import change_rules, rules
 from ..functions.dialect import DUCK, SPARK
-from ..operators import coverage, crosswalk, extract, lineage
+from ..operators import coverage, crosswalk, extract, impact, lineage
 from ..sources.catalogs import catalog, catalog_sql
-from ..sources.corpus import policies
+from ..sources.corpus import policies, rewordings, rewordings_sql
 from ..sources.tables import built
 from .oracle import with_steps
 
@@ -135,3 +135,34 @@ register("head", lambda s, d: lineage.head(lineage.commit_snapshots(policies(s,
 register("history", lambda s, d: lineage.history(lineage.commit_snapshots(policies(s, d))), "select doc_id, snapshot_id, row_number() over (partition by doc_id order by version_ord desc) - 1 as depth from snaps", _SNAP)
 register("statement_diff", lambda s, d: lineage.statement_diff(statements(s, d), policies(s, d)).select("doc_id", "older", "newer", "content_hash", "statement_id", "text", "strength", "change"), "select doc_id, older, newer, content_hash, statement_id, text, strength, change from diff", _SNAP)
 register("drift", lambda s, d: lineage.drift(statements(s, d), policies(s, d)), "select doc_id, older, newer, case when change = 'removed' then 'obligation_removed' else 'obligation_added' end as kind, statement_id as subject, case when change = 'added' then 'info' when strength in ('must', 'shall', 'prohibited') then 'high' else 'medium' end as severity from diff union all select doc_id, 1, 2, 'framework_citation_lost', subject, 'high' from cites a where version_ord = 1 and not exists (select 1 from cites b where b.doc_id = a.doc_id and b.version_ord = 2 and b.subject = a.subject)", _SNAP)
+
+
+# --- impact ----------------------------------------------------------------
+_V = lambda c: f"{rules.verbs(DUCK, c)}"
+_CHANGE = _SNAP | {
+    "reworded": rewordings_sql(),
+    "reworded1": f"select *, {rules.verbs(DUCK, 'before')} as va, {rules.verbs(DUCK, 'after')} as vb, {rules.control_ids(DUCK, 'before')} as ia, {rules.control_ids(DUCK, 'after')} as ib from reworded",
+    "reworded2": f"select *, {rules.classify(DUCK, 'before', 'va', 'ia')['strength']} as before_strength, {rules.classify(DUCK, 'after', 'vb', 'ib')['strength']} as after_strength, {rules.polarity(DUCK, 'before', 'va')} as before_polarity, {rules.polarity(DUCK, 'after', 'vb')} as after_polarity from reworded1",
+    "reworded3": f"select *, {', '.join(f'{v} as {k}' for k, v in change_rules.change_features(DUCK, 'before', 'after').items())} from reworded2",
+    "changed": f"select *, {change_rules.change_risk('change_kind', 'before_strength', 'sla')} as risk from (select *, {change_rules.change_kind(DUCK, 'before', 'after')} as change_kind from reworded3)",
+}
+
+
+def _changes(s: SparkSession, d: str) -> DataFrame:
+    def make() -> DataFrame:
+        full = lineage.statement_diff(statements(s, d), policies(s, d))
+        extra = statements(s, d).select("doc_id", "statement_id", "keywords", "heading_path").dropDuplicates(["doc_id", "statement_id"])
+        return impact.verbiage_changes(full.join(extra, ["doc_id", "statement_id"]))
+
+    return built(s, d, "changes", make)
+
+
+register("change_kind", lambda s, d: impact.change_kinds(rewordings(s, d)).select("doc_id", "before", "after", "before_strength", "after_strength", "before_polarity", "after_polarity", "change_kind"), "select doc_id, before, after, before_strength, after_strength, before_polarity, after_polarity, change_kind from changed", _CHANGE)
+register("sla_delta", lambda s, d: impact.change_kinds(rewordings(s, d)).select("doc_id", "sla"), "select doc_id, sla from changed", _CHANGE)
+register("quantitative_delta", lambda s, d: rewordings(s, d).select("doc_id", F.expr(change_rules.quantitative_delta(SPARK, "before", "after")).alias("delta")), f"select doc_id, {change_rules.quantitative_delta(DUCK, 'before', 'after')} as delta from reworded", _CHANGE)
+register("exception_markers", lambda s, d: rewordings(s, d).select("doc_id", F.expr(f"array_join({change_rules.phrases(SPARK, 'after', change_rules.EXCEPTIONS)}, ',')").alias("markers")), f"select doc_id, array_to_string({change_rules.phrases(DUCK, 'after', change_rules.EXCEPTIONS)}, ',') as markers from reworded", _CHANGE)
+register("change_risk", lambda s, d: impact.change_kinds(rewordings(s, d)).select("doc_id", "risk"), "select doc_id, risk from changed", _CHANGE)
+register("severity_rollup", lambda s, d: impact.change_kinds(rewordings(s, d)).groupBy("change_kind").agg(F.max(F.expr(change_rules.severity_rank("risk"))).alias("rank"), F.count("*").alias("n")), f"select change_kind, max({change_rules.severity_rank('risk')}) as rank, count(*) as n from changed group by all", _CHANGE)
+register("verbiage_changes", lambda s, d: _changes(s, d))
+register("impact_alert", lambda s, d: impact.impact_alerts(_changes(s, d)))
+register("framework_impacts", lambda s, d: impact.framework_impacts(_changes(s, d), hits(s, d)))

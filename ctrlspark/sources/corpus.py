@@ -83,3 +83,35 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of a policy for each row of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang")
     return spark.sql(policy_sql("{docs}", "lateral explode(array(1, 2)) as v(version_ord)"), docs=docs)
+
+#: (before, after) wordings; {n} stands for a number taken from the row
+REWORDINGS = (
+    ("Teams must review access within {n} hours.", "Teams must review access within 8 hours."),
+    ("Teams must review access within 8 hours.", "Teams must review access within {n} hours."),
+    ("All teams must encrypt backups.", "Selected teams must encrypt backups."),
+    ("Owners must encrypt backups.", "Owners should encrypt backups."),
+    ("Owners may share reports.", "Owners must share reports."),
+    ("Owners must share reports.", "Owners must not share reports."),
+    ("Operators must enable logging.", "Operators must disable logging."),
+    ("Vendors must sign contracts.", "Vendors must sign contracts where feasible."),
+    ("Vendors must sign contracts unless exempt.", "Vendors must sign contracts."),
+    ("Logs must be retained for {n} months.", "Logs must be retained for 3 months."),
+    ("Passwords must have at least {n} characters.", "Passwords must have at least 14 characters."),
+    ("Owners must test recovery.", "Owners shall test recovery."),
+    ("Owners must test recovery weekly.", "Owners must test recovery daily."),
+    ("Owners must not export data.", "Owners may export data."),
+    ("Owners must not export data.", "Owners should not export data."),
+    ("Staff must report incidents immediately.", "Staff must report incidents."),
+    ("Reviewers must check the register.", "Reviewers must inspect the whole register."),
+    ("Staff must wear badges.", "All staff must wear badges."),
+)
+
+
+def rewordings_sql(documents: str = "documents") -> str:
+    """SQL of wording changes, one for each row of ``documents``: doc_id, before, after."""
+    say = lambda k: _pick(tuple(r[k].replace("{n}", "' || n || '") for r in REWORDINGS), "doc_id")
+    return f"select doc_id, {say(0)} as before, {say(1)} as after from (select cast(doc_id as bigint) as doc_id, cast((doc_id % 5) * 4 + 6 as varchar(9)) as n from {documents}) p"
+
+
+def rewordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(rewordings_sql("{docs}"), docs=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"))
