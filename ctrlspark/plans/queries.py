@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import change_rules, rules
 from ..functions.dialect import DUCK, SPARK
-from ..operators import coverage, crosswalk, extract, impact, lineage
+from ..operators import coverage, crosswalk, evaluate, extract, iac, impact, lineage, monitor, reconcile
+from ..sources import infra
 from ..sources.catalogs import catalog, catalog_sql
 from ..sources.corpus import policies, rewordings, rewordings_sql
 from ..sources.tables import built
@@ -166,3 +167,64 @@ register("severity_rollup", lambda s, d: impact.change_kinds(rewordings(s, d)).g
 register("verbiage_changes", lambda s, d: _changes(s, d))
 register("impact_alert", lambda s, d: impact.impact_alerts(_changes(s, d)))
 register("framework_impacts", lambda s, d: impact.framework_impacts(_changes(s, d), hits(s, d)))
+
+
+# --- infrastructure, reconciliation ----------------------------------------
+def _resources(s: SparkSession, d: str) -> DataFrame:
+    return infra.resources(s, d).withColumn("content_hash", F.sha2("body", 256))
+
+
+_INFRA = _SNAP | {
+    "res": f"select *, sha256(body) as content_hash from ({infra.resources_sql()}) r",
+    "files_": infra.files_sql("select * from res").replace("{agg}", "string_agg(block, chr(10) order by name)").replace("{in}", "[in]"),
+    "lnk": infra.links_sql(),
+    "delta": "select repository, module_path, address, case when a.content_hash is null then 'added' when b.content_hash is null then 'removed' else 'changed' end as change, coalesce(b.link_id, a.link_id) as link_id from (select * from res where revision = 1) a full outer join (select * from res where revision = 2) b using (repository, module_path, address) where a.content_hash is null or b.content_hash is null or a.content_hash <> b.content_hash or a.link_id <> b.link_id",
+    "matched": "select link_id, doc_id, version_ord, statement_id from (select l.*, version_ord, statement_id, row_number() over (partition by link_id, version_ord order by stmt_ord) as nth from lnk l join statements using (doc_id) where contains(lower(text), lower(anchor))) where nth = 1",
+    "gaps_": "select link_id, kind, '' as iac_ref, case kind when 'covered' then 'info' else 'high' end as severity from (select link_id, case when link_id not in (select link_id from matched) then 'missing_statement' when link_id not in (select link_id from res) then 'missing_iac' else 'covered' end as kind from lnk) union all select link_id, 'orphan_annotation', repository || ':' || address, 'medium' from res where link_id <> '' and link_id not in (select link_id from lnk)",
+    "code_gaps": "select link_id, doc_id, repository, address, change, case when change = 'removed' then 'critical' else 'high' end as severity from delta join lnk using (link_id)",
+    "runs_": infra.runs_sql(),
+    "trans": "select *, case when status = 'aligned' and was in ('misaligned', 'review_required') then 'recovered' when status <> 'aligned' and (coalesce(before, '') = '' or coalesce(was, '') in ('', 'aligned')) then 'opened' when status <> 'aligned' and before <> finding then 'changed' when status <> 'aligned' then 'repeated' else 'unchanged' end as transition, status <> 'aligned' and coalesce(before = finding, false) as same from (select *, lag(status) over w as was, lag(finding) over w as before from runs_ window w as (partition by monitor_id order by run_ts, run_id))",
+    "stretches": "select *, sum(case when same then 0 else 1 end) over (partition by monitor_id order by run_ts, run_id rows between unbounded preceding and current row) as stretch from trans",
+}
+
+
+def _gaps(s: SparkSession, d: str) -> DataFrame:
+    links, res = infra.links(s, d), _resources(s, d)
+    return reconcile.completeness_gaps(links, reconcile.link_statement(links, statements(s, d)), reconcile.link_resources(links, res), res)
+
+
+register("iac_extract", lambda s, d: iac.iac_extract(infra.files(s, d)).select("repository", "revision", "module_path", "address", "resource_type", "link_id"), "select repository, revision, module_path, address, resource_type, link_id from res", _INFRA)
+register("iac_diff", lambda s, d: iac.iac_diff(_resources(s, d), 1, 2), "select repository, module_path, address, change, link_id from delta", _INFRA)
+register("identity_duplicates", lambda s, d: iac.identity_duplicates(_resources(s, d).union(_resources(s, d).filter("name like '%7'"))), "select repository, module_path, address, revision, 2::bigint as n from res where name like '%7'", _INFRA)
+register("file_evidence", lambda s, d: iac.file_evidence(infra.files(s, d), iac.iac_extract(infra.files(s, d))), "select repository, revision, relative_path, sha256(content) as sha256, (select count(*) from res r where r.repository = f.repository and r.revision = f.revision and r.relative_path = f.relative_path) as n from files_ f", _INFRA)
+register("link_statement", lambda s, d: reconcile.link_statement(infra.links(s, d), statements(s, d)), "select link_id, doc_id, version_ord, statement_id from matched", _INFRA)
+register("link_resources", lambda s, d: reconcile.link_resources(infra.links(s, d), _resources(s, d)), "select link_id, repository, revision, module_path, address from lnk join res using (link_id)", _INFRA)
+register("completeness_gaps", _gaps, "select link_id, kind, iac_ref, severity from gaps_", _INFRA)
+register("unlinked_sensitive", lambda s, d: reconcile.unlinked_sensitive(_resources(s, d), infra.links(s, d)), "select repository, address from res where security_sensitive and link_id not in (select link_id from lnk)", _INFRA)
+register("iac_change_gaps", lambda s, d: reconcile.iac_change_gaps(iac.iac_diff(_resources(s, d), 1, 2), infra.links(s, d)), "select * from code_gaps", _INFRA)
+register("change_set_coordinated", lambda s, d: reconcile.coordinated(lineage.statement_diff(statements(s, d), policies(s, d)), reconcile.iac_change_gaps(iac.iac_diff(_resources(s, d), 1, 2), infra.links(s, d)), infra.links(s, d)), "select distinct link_id, doc_id from lnk where doc_id in (select doc_id from diff) and link_id in (select link_id from code_gaps)", _INFRA)
+register("merge_target", lambda s, d: reconcile.merge_target(_gaps(s, d), "link_id"), f"select link_id, n, {change_rules.severity_name('r')} as severity, case when r >= 3 then 'misaligned' when r >= 1 then 'review_required' else 'aligned' end as status from (select link_id, count(*) as n, max({change_rules.severity_rank('severity')}) as r from gaps_ group by link_id)", _INFRA)
+
+# --- monitoring, evaluation ------------------------------------------------
+register("monitor_status", lambda s, d: monitor.monitor_status(infra.runs(s, d)), "select monitor_id, count(*) as n, count(*) filter (where status <> 'aligned') as bad, last(status order by run_ts, run_id) as latest from runs_ group by monitor_id", _INFRA)
+register("state_transition", lambda s, d: monitor.state_transition(infra.runs(s, d)).select("monitor_id", "run_id", "transition"), "select monitor_id, run_id, transition from trans", _INFRA)
+register("occurrence_tracking", lambda s, d: monitor.occurrence_tracking(infra.runs(s, d)).select("monitor_id", "run_id", "occurrence_count"), "select monitor_id, run_id, case when status <> 'aligned' then row_number() over (partition by monitor_id, stretch order by run_ts, run_id) else 0 end as occurrence_count from stretches", _INFRA)
+register("notify_decision", lambda s, d: monitor.notify_decision(infra.runs(s, d)), "select monitor_id, run_id, transition, case when transition = 'recovered' then 'recovery' else 'finding' end as notice from trans where transition in ('opened', 'changed', 'recovered')", _INFRA)
+
+
+def _cases(s: SparkSession, d: str) -> DataFrame:
+    pairs = impact.change_kinds(rewordings(s, d))
+    return pairs.select(F.col("before_strength").alias("suite"), F.col("before_strength").alias("expected"), F.col("after_strength").alias("actual"))
+
+
+register("exact_metric", lambda s, d: evaluate.exact_metric(_cases(s, d)), "select before_strength as suite, count(*) as cases, round(avg(case when before_strength = after_strength then 1.0 else 0.0 end::double), 6) as accuracy from reworded2 group by 1", _CHANGE)
+register("quality_gate", lambda s, d: evaluate.quality_gate(evaluate.exact_metric(_cases(s, d)), 0.5), "select suite, accuracy, accuracy >= 0.5 as passed from (select before_strength as suite, round(avg(case when before_strength = after_strength then 1.0 else 0.0 end::double), 6) as accuracy from reworded2 group by 1)", _CHANGE)
+_BOTH = {"sides": "select doc_id, max(keywords) filter (where version_ord = 1) as e, max(keywords) filter (where version_ord = 2) as a from (select doc_id, version_ord, list_distinct(flatten(list(keywords))) as keywords from statements group by all) group by doc_id", "counted": "select doc_id % 3 as suite, sum(len(list_intersect(e, a))) as tp, sum(len(a) - len(list_intersect(e, a))) as fp, sum(len(e) - len(list_intersect(e, a))) as fn from sides group by 1"}
+
+
+def _label_cases(s: SparkSession, d: str) -> DataFrame:
+    tags = statements(s, d).select("doc_id", "version_ord", F.explode("keywords").alias("k")).groupBy("doc_id").pivot("version_ord", [1, 2]).agg(F.collect_set("k"))
+    return tags.select((F.col("doc_id") % 3).alias("suite"), F.col("1").alias("expected"), F.col("2").alias("actual"))
+
+
+register("label_metric", lambda s, d: evaluate.label_metric(_label_cases(s, d)), "select suite, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / (p + r), 6) as f1 from (select *, tp::double / (tp + fp) as p, tp::double / (tp + fn) as r from counted)", _BOTH)
