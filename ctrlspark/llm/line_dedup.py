@@ -151,9 +151,10 @@ def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame |
         posts = posts.join(only.select(F.col("set").alias("wanted")), F.col("set") == F.col("wanted"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
+        table = pa.Table.from_batches(held)
         part = {c: table[c].to_numpy() for c in table.column_names}
         by = np.lexsort((part["number"], part["doc"], part["set"], part["key"]))
         part = {c: v[by] for c, v in part.items()}

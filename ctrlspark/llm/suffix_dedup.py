@@ -147,9 +147,10 @@ def _merge_scan(batch: DataFrame, levels: list[DataFrame]) -> DataFrame:
         both = both.unionByName(level.selectExpr("bucket", "-1L as doc", "0L as text_key", "0 as first", "hashes", "true as old"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
+        table = pa.Table.from_batches(held)
         old = table["old"].to_numpy()
         before, _ = _hashes(table.filter(pa.array(old))["hashes"])
         before = np.unique(before)
