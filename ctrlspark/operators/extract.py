@@ -13,22 +13,28 @@ from ..functions import rules
 from ..functions.dialect import SPARK
 
 DOC = ["doc_id", "version_ord"]
-_all = Window.partitionBy(*DOC).orderBy("line_ord")
-_so_far = _all.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _all():
+    return Window.partitionBy(*DOC).orderBy("line_ord")
+
+
+def _so_far():
+    return _all().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def lines_explode(docs: DataFrame) -> DataFrame:
     """One row per line: line_ord (from 0), line, offset (characters before it)."""
     parts = F.split("markdown", r"\r\n|[\n\r\x0b\x0c\x85  ]")
     rows = docs.select(*DOC, F.posexplode(parts).alias("line_ord", "line"))
-    before = F.sum(F.length("line") + 1).over(_so_far) - F.length("line") - 1
+    before = F.sum(F.length("line") + 1).over(_so_far()) - F.length("line") - 1
     return rows.withColumn("offset", before.cast("long"))
 
 
 def fence_filter(lines: DataFrame) -> DataFrame:
     """Adds kind: fence, fenced, page, heading, blank, table, bullet or prose."""
     fence = F.trim("line").startswith("```")
-    inside = F.sum(fence.cast("int")).over(_so_far) % 2 == 1
+    inside = F.sum(fence.cast("int")).over(_so_far()) % 2 == 1
     t = F.trim("line")
     kind = (
         F.when(fence, "fence")
@@ -46,14 +52,14 @@ def fence_filter(lines: DataFrame) -> DataFrame:
 def page_fill(lines: DataFrame) -> DataFrame:
     """Adds page: the number of the last page marker before the line."""
     number = F.when(F.col("kind") == "page", F.regexp_extract("line", r"(?i)<!--\s*Page\s+(\d+)\s*-->", 1).cast("int"))
-    return lines.withColumn("page", F.last(number, ignorenulls=True).over(_so_far))
+    return lines.withColumn("page", F.last(number, ignorenulls=True).over(_so_far()))
 
 
 def heading_path(lines: DataFrame) -> DataFrame:
     """Adds heading_path, folded over the headings so far: a heading replaces all from its level on."""
     level = F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))
     title = F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1))
-    heads = F.collect_list(F.when(F.col("kind") == "heading", F.struct(level.alias("level"), title.alias("title")))).over(_so_far)
+    heads = F.collect_list(F.when(F.col("kind") == "heading", F.struct(level.alias("level"), title.alias("title")))).over(_so_far())
     path = F.aggregate(heads, F.array().cast("array<string>"), lambda p, h: F.concat(F.slice(p, 1, h["level"] - 1), F.array(h["title"])))
     return lines.withColumn("heading_path", path)
 
@@ -64,8 +70,8 @@ def structured_lines(docs: DataFrame) -> DataFrame:
 
 def table_rows(lines: DataFrame) -> DataFrame:
     """Body rows of tables: cells that aren't empty, joined with ' | '; rows before the separator are headers."""
-    previous = F.lag("kind").over(_all)
-    run = F.sum((~previous.eqNullSafe(F.col("kind"))).cast("int")).over(_so_far)
+    previous = F.lag("kind").over(_all())
+    run = F.sum((~previous.eqNullSafe(F.col("kind"))).cast("int")).over(_so_far())
     cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\|+|\|+$", ""), r"\|"), lambda c: F.regexp_replace(F.trim(c), r"(?i)<br\s*/?>", "; "))
     rows = lines.withColumn("run", run).filter("kind = 'table'").withColumn("cells", cells)
     rule = F.forall("cells", lambda c: c.rlike(r"^:?-{3,}:?$"))
@@ -80,10 +86,10 @@ def table_rows(lines: DataFrame) -> DataFrame:
 def prose_blocks(lines: DataFrame) -> DataFrame:
     """Wrapped prose and bullets as blocks, with what follows and precedes them: bullet, text, after, hard."""
     text_line = F.col("kind").isin("prose", "bullet")
-    begins = (F.col("kind") == "bullet") | ((F.col("kind") == "prose") & ~F.coalesce(F.lag("kind").over(_all), F.lit("")).isin("prose", "bullet"))
-    marked = lines.withColumn("after", F.lead("kind").over(_all)).withColumn("block", F.sum(begins.cast("int")).over(_so_far))
+    begins = (F.col("kind") == "bullet") | ((F.col("kind") == "prose") & ~F.coalesce(F.lag("kind").over(_all()), F.lit("")).isin("prose", "bullet"))
+    marked = lines.withColumn("after", F.lead("kind").over(_all())).withColumn("block", F.sum(begins.cast("int")).over(_so_far()))
     stop = F.col("kind").isin("fence", "page", "heading", "table")
-    marked = marked.withColumn("stops", F.sum(stop.cast("int")).over(_so_far))
+    marked = marked.withColumn("stops", F.sum(stop.cast("int")).over(_so_far()))
     body = F.when(F.col("kind") == "bullet", F.trim(F.regexp_extract("line", r"^\s*(?:[-*+] |\d+[.)]\s+)(.+)$", 1))).otherwise(F.trim("line"))
     place = F.col("offset") + F.greatest(F.expr("locate(body, line)") - 1, F.lit(0))
     rows = marked.filter(text_line).withColumn("body", body).withColumn("place", place)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..functions import change_rules as c
 from ..functions import rules
@@ -35,7 +36,7 @@ def change_kinds(pairs: DataFrame) -> DataFrame:
     return p.withColumn("risk", F.expr(c.change_risk("change_kind", "before_strength", "sla")))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_chain = Window.partitionBy("doc_id").orderBy("version_ord")
+
+def _chain():
+    return Window.partitionBy("doc_id").orderBy("version_ord")
 
 
 def commit_snapshots(docs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -16,7 +18,7 @@ def commit_snapshots(docs: DataFrame, existing: DataFrame | None = None) -> Data
     """
     s = docs.select("doc_id", "version_ord", F.concat(F.lit("v"), "version_ord").alias("version_label"), F.sha2("markdown", 256).alias("markdown_hash"))
     s = s.withColumn("snapshot_id", F.substring(F.sha2(F.concat_ws(":", F.concat(F.lit("pol-"), "doc_id"), "markdown_hash", "version_label"), 256), 1, 20))
-    s = s.withColumn("parent_snapshot_id", F.lag("snapshot_id").over(_chain))
+    s = s.withColumn("parent_snapshot_id", F.lag("snapshot_id").over(_chain()))
     return s if existing is None else s.join(existing.select("snapshot_id"), "snapshot_id", "left_anti")
 
 
@@ -33,7 +35,7 @@ def history(snapshots: DataFrame) -> DataFrame:
 
 def version_pairs(docs: DataFrame) -> DataFrame:
     """Consecutive versions of each document: older, newer."""
-    return docs.select("doc_id", F.lag("version_ord").over(_chain).alias("older"), F.col("version_ord").alias("newer")).filter("older is not null")
+    return docs.select("doc_id", F.lag("version_ord").over(_chain()).alias("older"), F.col("version_ord").alias("newer")).filter("older is not null")
 
 
 def statement_diff(statements: DataFrame, docs: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_order = Window.partitionBy("monitor_id").orderBy("run_ts", "run_id")
+
+def _order():
+    return Window.partitionBy("monitor_id").orderBy("run_ts", "run_id")
 
 
 def transition(prior_status, prior_finding, status, finding):
@@ -22,14 +24,14 @@ def transition(prior_status, prior_finding, status, finding):
 
 def state_transition(runs: DataFrame) -> DataFrame:
     """Adds transition: recovered, opened, changed, repeated or unchanged."""
-    return runs.withColumn("transition", transition(F.lag("status").over(_order), F.lag("finding").over(_order), F.col("status"), F.col("finding")))
+    return runs.withColumn("transition", transition(F.lag("status").over(_order()), F.lag("finding").over(_order()), F.col("status"), F.col("finding")))
 
 
 def occurrence_tracking(runs: DataFrame) -> DataFrame:
     """Adds occurrence_count, first_seen and last_seen of the finding that a run continues; none for aligned runs."""
-    prior = F.lag("finding").over(_order)
+    prior = F.lag("finding").over(_order())
     same = (F.col("status") != "aligned") & F.coalesce(prior == F.col("finding"), F.lit(False))
-    r = runs.withColumn("stretch", F.sum((~same).cast("int")).over(_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    r = runs.withColumn("stretch", F.sum((~same).cast("int")).over(_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     w = Window.partitionBy("monitor_id", "stretch").orderBy("run_ts", "run_id")
     bad = F.col("status") != "aligned"
     return r.withColumn("occurrence_count", F.when(bad, F.row_number().over(w)).otherwise(0).cast("long")).withColumn("first_seen", F.when(bad, F.min("run_ts").over(w))).drop("stretch")
