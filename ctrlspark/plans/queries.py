@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import change_rules, rules
 from ..functions.dialect import DUCK, SPARK
-from ..operators import coverage, crosswalk, evaluate, extract, iac, impact, lineage, monitor, reconcile
+from ..operators import coverage, crosswalk, evaluate, export, extract, iac, impact, lineage, monitor, reconcile
 from ..sources import infra
 from ..sources.catalogs import catalog, catalog_sql
 from ..sources.corpus import policies, rewordings, rewordings_sql
@@ -228,3 +228,18 @@ def _label_cases(s: SparkSession, d: str) -> DataFrame:
 
 
 register("label_metric", lambda s, d: evaluate.label_metric(_label_cases(s, d)), "select suite, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, round(p, 6) as precision, round(r, 6) as recall, round(2 * p * r / (p + r), 6) as f1 from (select *, tp::double / (tp + fp) as p, tp::double / (tp + fn) as r from counted)", _BOTH)
+
+
+# --- export, questionnaires ------------------------------------------------
+register("document_title", lambda s, d: export.document_title(policies(s, d)), "select doc_id, version_ord, regexp_extract(markdown, '(?m)^\\s*#+\\s*(.*?)\\s*$', 1) as title from pol")
+register("oscal_component", lambda s, d: export.component_rows(hits(s, d)), "select doc_id, version_ord, control, statement_id, source from (select *, upper(control_id) as control, row_number() over (partition by doc_id, version_ord, upper(control_id) order by stmt_ord, source) as nth from hits where framework = 'NIST 800-53') where nth = 1", HITS)
+register("oscal_assessment", lambda s, d: export.assessment_rows(statements(s, d), hits(s, d)), "select doc_id, version_ord, statement_id, coalesce(list_extract(heading_path, -1), 'Obligation') as title, coalesce(array_to_string(controls, ';'), '') as controls from statements left join (select doc_id, version_ord, statement_id, list_sort(list_distinct(list(control_id)))[1:8] as controls from hits group by all) using (doc_id, version_ord, statement_id) where strength in ('must', 'shall', 'prohibited')", HITS)
+register("ksi_coverage", lambda s, d: export.indicator_coverage(hits(s, d), catalog(s, "ksi"), "a"), "select doc_id, version_ord, count(*) filter (where a <> 'optional') as demanded, count(*) filter (where a = 'optional') as optional from (select distinct doc_id, version_ord, control_id from hits where source = 'ksi') h join c_ksi k on k.ksi_id = h.control_id where a <> 'not_applicable' group by all", HITS)
+_ASK = {
+    "asked": "select event_id as question_id, concat_ws(' ', 'How do you review', ['privileged access', 'vendor contracts', 'backup media', 'incident logs', 'network boundary'][cast(event_id % 5 as int) + 1], event_type) as text from events where event_id % 97 = 0",
+    "words_": "select distinct question_id, word from (select question_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as word from asked) where length(word) > 2",
+    "names_": "select doc_id, version_ord, statement_id, count(*) as n, array_to_string(list_sort(list_distinct(list(lower(control_id || ' ' || title)))), ' ') as names from hits group by all",
+    "hays": "select s.*, lower(concat_ws(' ', text, array_to_string(keywords, ' '), array_to_string(heading_path, ' '), names)) as hay, case strength when 'must' then 0.4 when 'shall' then 0.4 when 'prohibited' then 0.35 when 'should' then 0.2 when 'may' then 0.05 else 0 end::double + least(0.5::double, 0.05::double * coalesce(n, 0)) as extra from statements s left join names_ using (doc_id, version_ord, statement_id)",
+    "scored_": "select question_id, doc_id, version_ord, stmt_ord, statement_id, count(*) + max(extra) as score from words_ join hays on contains(hay, word) group by all",
+}
+register("questionnaire_topk", lambda s, d: coverage.questionnaire_topk(_questions(s, d), statements(s, d), hits(s, d)), "select question_id, rank, statement_id, round(score, 2) as score from (select *, row_number() over (partition by question_id order by round(score, 9) desc, doc_id, version_ord, stmt_ord) as rank from scored_) where rank <= 5", HITS | _ASK)
