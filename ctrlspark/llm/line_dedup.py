@@ -88,7 +88,7 @@ class LineSets:
         if len(names):
             at = np.minimum(np.searchsorted(names, token), len(names) - 1)
             order = np.where(names[at] == token, ranks[at], 0)
-        by = np.lexsort((token, order, line))
+        by = np.lexsort((token, line * (1 << 20) + order))
         token, line = token[by], line[by]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
@@ -148,7 +148,8 @@ def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame |
     """set, and its candidates (earlier sets): the ``most`` earliest of each key, and how many there are."""
     some = only is not None
     if some:
-        posts = posts.join(only.select(F.col("set").alias("wanted")), F.col("set") == F.col("wanted"), "left")
+        wanted = only.select(F.col("set").alias("wanted"))
+        posts = posts.join(F.broadcast(wanted) if only.count() <= BROADCAST_SETS else wanted, F.col("set") == F.col("wanted"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -217,37 +218,37 @@ def repeated_lines(docs: DataFrame, threshold: Fraction | str = "0.8") -> DataFr
     ranked = frequent_words(docs)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text")
 
-    def sets_of(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def build(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
         sets = LineSets(buf, offs, ranked.value)
         keep = np.flatnonzero(sets.size)
         ids = rows.column(0).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids[sets.doc[keep]]), pa.array(sets.number[keep]), pa.array(sets.set[keep]), pa.array(sets.size[keep])], ["doc_id", "line", "set", "n_tokens"])
-
-    lines = staged(textvec.per_chunk(docs, sets_of, "doc_id long, line long, set long, n_tokens long"), "lines")
-    firsts = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-
-    def prefixes(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sets = LineSets(buf, offs, ranked.value)
-        keep = np.flatnonzero(sets.size)
-        ids = rows.column(0).to_numpy()
-        # of equal lines in a chunk the first one stands for all
+        # of equal lines in a chunk the first one stands for all: only it has a prefix
         by = keep[np.lexsort((sets.number[keep], ids[sets.doc[keep]], sets.set[keep]))]
-        by = by[np.concatenate(([True], sets.set[by][1:] != sets.set[by][:-1]))] if len(by) else by
-        size = sets.size[by]
-        count = size - (-(-size * share.numerator // share.denominator)) + 1
-        key = sets.token[textvec.ragged(sets.first[by], count)]
-        of = np.repeat(by, count)
-        place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, sets.set[of], ids[sets.doc[of]], sets.number[of], sets.size[of].astype(np.int32), place.astype(np.int32), sets.bits[0][of].view(np.int64), sets.bits[1][of].view(np.int64))], ["key", "set", "doc", "number", "size", "place", "bits0", "bits1"])
-
-    posts = textvec.per_chunk(docs, prefixes, "key long, set long, doc long, number long, size int, place int, bits0 long, bits1 long")
+        lead = np.zeros(len(sets.size), bool)
+        if len(by):
+            lead[by[np.concatenate(([True], sets.set[by][1:] != sets.set[by][:-1]))]] = True
+        size = sets.size[keep]
+        count = np.where(lead[keep], size - (-(-size * share.numerator // share.denominator)) + 1, 0)
+        flat = sets.token[textvec.ragged(sets.first[keep], count)]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(flat))
+        columns = (ids[sets.doc[keep]], sets.number[keep], sets.set[keep], size, sets.bits[0][keep].view(np.int64), sets.bits[1][keep].view(np.int64))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["doc_id", "line", "set", "n_tokens", "bits0", "bits1", "prefix"])
+
+    table = staged(textvec.per_chunk(docs, build, "doc_id long, line long, set long, n_tokens long, bits0 long, bits1 long, prefix array<long>"), "lines")
+    lines = table.select("doc_id", "line", "set", "n_tokens")
+    firsts = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    posts = table.select("set", F.col("doc_id").alias("doc"), F.col("line").alias("number"), F.col("n_tokens").cast("int").alias("size"), "bits0", "bits1", F.posexplode("prefix").alias("place", "key"))
     pairs = staged(_meet(posts, share, FIRST_LOOK), "pairs")
     close = _compared(docs, pairs, ranked, share).select("set").distinct()
     similar = staged(close, "similar")
     left = pairs.filter(F.col("count") >= FIRST_LOOK).select("set").distinct().join(similar, "set", "left_anti")
     left = staged(left, "left")
-    if left.head(1):  # none of the earliest matched; compare with all
-        rest = staged(_meet(posts, share, None, left).select("set", "other"), "pairs")
+    if left.head(1):  # none of the earliest matched; compare with all that share a prefix word
+        few = F.broadcast(left) if left.count() <= BROADCAST_SETS else left
+        keys = posts.select("set", "key").join(few, "set", "left_semi").select("key").distinct()
+        keys = staged(keys, "keys")
+        near = posts.join(F.broadcast(keys) if keys.count() <= BROADCAST_SETS else keys, "key", "left_semi")
+        rest = staged(_meet(near, share, None, left).select("set", "other"), "pairs")
         similar = similar.union(_compared(docs, rest, ranked, share).select("set")).distinct()
     known = firsts.join(similar.withColumn("similar", F.lit(True)), "set", "left")
     here = F.struct(F.col("doc_id"), F.col("line"))
