@@ -5,7 +5,7 @@ of Jaccard t or more share a token among their first words in that order: of the
 longer one the first n - ceil(t n) + 1, of the shorter one the first
 n - ceil(2 t n / (1 + t)) + 1.  Lines meet on these prefix tokens; pairs pass a
 length filter, a positional filter (what can still follow the token) and a bitmap
-of all tokens before their whole sets are compared.  A line goes if an equal or a
+of the prefixes before their whole sets are compared.  A line goes if an equal or a
 similar line comes earlier.
 
 Rarity: exact counts are taken over all lines; the most frequent words are
@@ -77,7 +77,7 @@ def frequent_words(docs: DataFrame, size: int = RANKED_WORDS) -> Broadcast:
 
 
 class LineSets:
-    """Distinct words of a chunk's lines, from rare to frequent, and each set's hash, size and bitmap."""
+    """Distinct words of a chunk's lines, from rare to frequent, and each set's hash and size."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, ranked: tuple[np.ndarray, np.ndarray]):
         self.starts, self.doc, self.number = _lines(buf, offs)
@@ -100,13 +100,26 @@ class LineSets:
         total = np.zeros(len(spread) + 1, np.uint64)
         np.cumsum(spread, out=total[1:])
         self.set = textvec.mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64)).view(np.int64)
-        self.bits = np.zeros((2, lines), np.uint64)
-        bit = np.uint64(1) << (spread & np.uint64(63))
-        half = (spread >> np.uint64(6)) & np.uint64(1)
-        some = np.flatnonzero(self.size)
+        self.spread = spread
+
+    def prefix_bits(self, count: np.ndarray) -> np.ndarray:
+        """128-bit maps of the first ``count`` words of each line, as two rows."""
+        at = textvec.ragged(self.first[:-1], count)
+        mark = self.spread[at]
+        bit = np.uint64(1) << (mark & np.uint64(63))
+        half = (mark >> np.uint64(6)) & np.uint64(1)
+        out = np.zeros((2, len(count)), np.uint64)
+        some = np.flatnonzero(count)
+        starts = (np.cumsum(count) - count)[some]
         for k in (0, 1):
             if len(some):
-                self.bits[k, some] = np.bitwise_or.reduceat(np.where(half == k, bit, np.uint64(0)), self.first[some])
+                out[k, some] = np.bitwise_or.reduceat(np.where(half == k, bit, np.uint64(0)), starts)
+        return out
+
+
+def _prefix(share: Fraction, size: np.ndarray) -> np.ndarray:
+    """Words of a line's prefix: n - ceil(t n) + 1."""
+    return size - (-(-size * share.numerator // share.denominator)) + 1
 
 
 def _least_overlap(share: Fraction, total: np.ndarray) -> np.ndarray:
@@ -133,8 +146,12 @@ def _candidates(part: dict[str, np.ndarray], share: Fraction) -> tuple[np.ndarra
         short = np.where(size[i] <= size[j], i, j)
         fine = (a * share.denominator >= b * share.numerator) & (place[short] < a - _least_overlap(share, 2 * a) + 1)
         fine &= 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 >= least
-        apart = np.bitwise_count(part["bits0"][i] ^ part["bits0"][j]) + np.bitwise_count(part["bits1"][i] ^ part["bits1"][j])
-        fine &= (apart <= a + b - 2 * least) & (part["set"][i] != part["set"][j])
+        # words that both prefixes may share: each bit of one map that the other lacks is a word less
+        only = lambda x, y: np.bitwise_count(part["bits0"][x] & ~part["bits0"][y]).astype(np.int64) + np.bitwise_count(part["bits1"][x] & ~part["bits1"][y])  # noqa: B023,E731
+        own, other = _prefix(share, size[i].astype(np.int64)), _prefix(share, size[j].astype(np.int64))
+        both = np.minimum(own - only(i, j), other - only(j, i))
+        # beyond the prefix that ends first in the order, no more than that line's other words can follow
+        fine &= (both + np.maximum(size[i] - own, size[j] - other) >= least) & (part["set"][i] != part["set"][j])
         x, y = i[fine], j[fine]
         swap = (doc[x] < doc[y]) | ((doc[x] == doc[y]) & (number[x] < number[y]))
         late.append(np.where(swap, y, x))
@@ -228,10 +245,13 @@ def repeated_lines(docs: DataFrame, threshold: Fraction | str = "0.8") -> DataFr
         if len(by):
             lead[by[np.concatenate(([True], sets.set[by][1:] != sets.set[by][:-1]))]] = True
         size = sets.size[keep]
-        count = np.where(lead[keep], size - (-(-size * share.numerator // share.denominator)) + 1, 0)
+        count = np.where(lead[keep], _prefix(share, size), 0)
+        every = np.zeros(len(sets.size), np.int64)
+        every[keep] = count
+        bits = sets.prefix_bits(every)
         flat = sets.token[textvec.ragged(sets.first[keep], count)]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(flat))
-        columns = (ids[sets.doc[keep]], sets.number[keep], sets.set[keep], size, sets.bits[0][keep].view(np.int64), sets.bits[1][keep].view(np.int64))
+        columns = (ids[sets.doc[keep]], sets.number[keep], sets.set[keep], size, bits[0][keep].view(np.int64), bits[1][keep].view(np.int64))
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["doc_id", "line", "set", "n_tokens", "bits0", "bits1", "prefix"])
 
     table = staged(textvec.per_chunk(docs, build, "doc_id long, line long, set long, n_tokens long, bits0 long, bits1 long, prefix array<long>"), "lines")
