@@ -29,8 +29,8 @@ from .staging import staged
 
 GRAM = 32
 PLACE = np.uint64(2**28 - 1)
-#: repeated anchors, copied texts and documents with removed bytes that are broadcast; beyond that they are joined by shuffle
-BROADCAST_ANCHORS, BROADCAST_TEXTS, BROADCAST_BYTES = 6_000_000, 200_000, 16_000_000
+#: repeated anchors and copied texts that are broadcast; beyond that they are joined by shuffle
+BROADCAST_ANCHORS, BROADCAST_TEXTS = 6_000_000, 200_000
 LAST = 2**63 - 1
 
 
@@ -249,13 +249,11 @@ def removed_spans(docs: DataFrame, width: int = 100, batches: int = 2) -> DataFr
     than each other.  An empty table gives none; other columns are ignored.
     """
     packed, copies, few = repeated_stretches(docs, width, batches)
-    packed = staged(packed, "stretches")
-    size = packed.agg(F.coalesce(F.sum(F.size("stretches") * 8 + 24), F.lit(0)).alias("b")).first()["b"]
     packed = packed.toDF("__doc", "__key", "stretches")
     known = copies.toDF("__copy", "first")
     keyed = _keyed(docs).withColumn("doc_id", F.when(F.col("doc") < LAST, F.col("doc")))
     out = keyed.join(F.broadcast(known) if few else known, F.col("copy_key") == F.col("__copy"), "left")
-    out = out.join(F.broadcast(packed) if size <= BROADCAST_BYTES else packed, (F.col("doc") == F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
+    out = out.join(packed, (F.col("doc") == F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
     whole = F.col("doc") > F.col("first")
     return out.select("doc_id", "text", F.coalesce(whole, F.lit(False)).alias("whole"), "stretches")
 
