@@ -28,6 +28,8 @@ from . import textvec
 from .staging import staged
 
 GRAM = 32
+#: bytes of text worked on at a time; half of what other operators take, as more arrays are held
+CHUNK = 1 << 20
 PLACE = np.uint64(2**28 - 1)
 #: repeated anchors and copied texts that are broadcast; beyond that they are joined by shuffle
 BROADCAST_ANCHORS, BROADCAST_TEXTS = 6_000_000, 200_000
@@ -106,7 +108,7 @@ def repeated_anchors(docs: DataFrame, width: int) -> DataFrame:
         anchor, n = np.unique(runs.anchor, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
-    return textvec.per_chunk(docs, count, "anchor long, n long", ("text",)).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    return textvec.per_chunk(docs, count, "anchor long, n long", ("text",), size=CHUNK).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
 def _suffixes(docs: DataFrame, width: int, picked: Broadcast | None, buckets: int) -> DataFrame:
@@ -127,7 +129,7 @@ def _suffixes(docs: DataFrame, width: int, picked: Broadcast | None, buckets: in
         of = pa.array(runs.doc[which])
         yield pa.RecordBatch.from_arrays([pa.array((anchor[which] % buckets).astype(np.int32)), pa.array(anchor[which]), rows.column(0).take(of), rows.column(1).take(of), pa.array((runs.first - offs[runs.doc])[which].astype(np.int32)), raw], ["bucket", "anchor", "doc", "text_key", "first", "hashes"])
 
-    return textvec.per_chunk(docs, build, "bucket int, anchor long, doc long, text_key long, first int, hashes binary", ("doc", "text_key", "text"))
+    return textvec.per_chunk(docs, build, "bucket int, anchor long, doc long, text_key long, first int, hashes binary", ("doc", "text_key", "text"), size=CHUNK)
 
 
 def _hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
