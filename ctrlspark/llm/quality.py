@@ -4,7 +4,12 @@ The model of a language is trained on its trusted documents.  Trigram counts are
 summed in shards by trigram; continuation counts, context totals and discounts
 come from them by group-bys, and the interpolated probabilities by joins of the
 count tables on context and suffix.  Documents are scored by perplexity per
-character; one over its language's quantile of trusted documents is rejected.
+character; one over its language's threshold is rejected.
+
+The threshold is chosen from labelled documents that the scoring model has not
+seen: trusted texts are dealt into folds by hash, the counts of all other folds
+make a fold's model, and of all perplexities that one is taken which parts
+trusted documents best from those labelled low in quality or toxic.
 
 Characters of a trigram are packed into one long, 21 bits each, so that context
 and suffix are shifts and masks.
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -26,8 +31,11 @@ from .staging import staged
 
 BEGIN = 2  # stands for the characters before a text
 LOW42, LOW21 = (1 << 42) - 1, (1 << 21) - 1
-#: the quantile of trusted documents' perplexity beyond which a document is rejected
+#: the quantile of held-out trusted documents' perplexity beyond which a document is rejected in any case
 QUANTILE = 0.995
+#: folds of trusted texts, and steps of a perplexity's natural logarithm among which the threshold is chosen
+FOLDS, STEPS = 5, 2000
+KINDS = ("trusted", "low", "toxic")
 #: rows of the probability tables that are broadcast; a larger model is joined by shuffle
 BROADCAST_ROWS = 3_000_000
 #: trusted ids that are broadcast; more are joined by shuffle
@@ -63,8 +71,18 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    ids = staged(trusted_ids(labels), "trusted")
-    return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return _of_ids(docs, staged(trusted_ids(labels), "trusted"))
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    return named.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi" if ids.columns == ["doc_id"] else "inner")
+
+
+def label_kinds(labels: DataFrame) -> DataFrame:
+    """doc_id, kind of labelled documents: 'trusted'; 'low' (a label row says quality 0), 'toxic' (toxic 1) or both as two rows."""
+    bad = labels.filter("doc_id is not null").select("doc_id", F.explode(F.expr("filter(array(if(quality = 0, 'low', null), if(toxic = 1, 'toxic', null)), x -> x is not null)")).alias("kind")).distinct()
+    return trusted_ids(labels).withColumn("kind", F.lit("trusted")).unionByName(bad)
 
 
 def _runs(names: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
@@ -106,7 +124,11 @@ def _with_discounts(counts: DataFrame, context: str) -> tuple[DataFrame, DataFra
 def train(trusted: DataFrame) -> dict[str, DataFrame]:
     """Probability tables: tri(lang, gram, p), bi(lang, gram, p), uni(lang, gram, p), and the
     back-off weights of two-character (tri_back) and one-character contexts (bi_back)."""
-    c3 = staged(trigram_counts(trusted), "c3")
+    return tables(staged(trigram_counts(trusted), "c3"))
+
+
+def tables(c3: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``train`` from trigram counts (lang, gram, n)."""
     c2 = staged(c3.groupBy("lang", F.expr(f"gram & {LOW42}L").alias("gram")).agg(F.count("*").alias("n")), "c2")
     c1 = staged(c2.groupBy("lang", F.expr(f"gram & {LOW21}L").alias("gram")).agg(F.count("*").alias("n")), "c1")
     # order 1 falls back to one share for each known character and one for all others
@@ -223,29 +245,76 @@ def thresholds(scored_trusted: DataFrame, quantile: float = QUANTILE) -> DataFra
     return scored_trusted.filter("perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def best_cuts(scored: DataFrame) -> DataFrame:
+    """lang, threshold, and the shares of its ``kind`` rows beyond it, from ``scored(lang, kind, perplexity)``.
+
+    The threshold has the largest excess of rejected bad documents (mean of the
+    shares of the kinds 'low' and 'toxic' that there are) over rejected trusted
+    ones, and is no higher than the trusted ones' ``QUANTILE``.  Perplexities are
+    counted in steps of 1 / ``STEPS`` of their logarithm, so that windows run over
+    those, and not over documents.
+    """
+    scored = scored.filter("perplexity is not null")
+    counts = scored.groupBy("lang", F.floor(F.log("perplexity") * STEPS).alias("step")).agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS))
+    whole = Window.partitionBy("lang")
+    over = whole.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    shares = counts.select("lang", "step", *((F.coalesce(F.sum(k).over(over), F.lit(0)) / F.nullif(F.sum(k).over(whole), F.lit(0))).alias(k) for k in KINDS))
+    # nothing above the lowest step that keeps the quantile; of equal gains, or where nothing bad is labelled, the highest
+    known = shares.filter("trusted is not null").withColumn("most", F.min(F.when(F.col("trusted") <= 1 - QUANTILE, F.col("step"))).over(whole))
+    order = F.struct(F.coalesce(F.expr("coalesce((low + toxic) / 2, low, toxic) - trusted"), F.lit(0.0)).alias("gain"), "step", *KINDS)
+    best = known.filter("step <= most").groupBy("lang").agg(F.max(order).alias("best"))
+    return best.select("lang", F.exp((F.col("best.step") + 1) / F.lit(float(STEPS))).alias("threshold"), *(f"best.{k}" for k in KINDS))
+
+
+def held_out(docs: DataFrame, labels: DataFrame, per_fold: DataFrame) -> DataFrame:
+    """lang, kind, perplexity of labelled documents by the model without their fold (``per_fold``: lang, fold, gram, n)."""
+    others = per_fold.withColumn("out", F.explode(F.expr(f"filter(sequence(0, {FOLDS - 1}), x -> x <> fold)")))
+    c3 = others.groupBy(F.expr("concat(out, ' ', lang)").alias("lang"), "gram").agg(F.sum("n").alias("n"))
+    kinds = staged(label_kinds(labels).groupBy("doc_id").agg(F.collect_list("kind").alias("kinds")), "kinds")
+    rows = _of_ids(docs, kinds).select(F.col("kinds").alias("doc_id"), F.concat(_fold(), F.lit(" "), "lang").alias("lang"), "text")
+    scored = Scorer(tables(staged(c3, "c3"))).score(rows)
+    return scored.select(F.expr("substring(lang, instr(lang, ' ') + 1)").alias("lang"), F.explode("doc_id").alias("kind"), "perplexity")
+
+
+def _fold() -> Column:
+    """Equal texts have equal folds."""
+    return F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+
+
+def _fit(docs: DataFrame, labels: DataFrame, quantile: float | None) -> tuple[Scorer, DataFrame]:
+    """The model of all trusted documents, and each language's threshold (lang, threshold)."""
+    trusted = _trusted(docs, labels)
+    if quantile is not None:
+        scorer = Scorer(train(trusted))
+        return scorer, staged(thresholds(scorer.score(trusted), quantile), "limits")
+    dealt = trusted.select(F.concat(_fold(), F.lit(" "), "lang").alias("lang"), "text")
+    per_fold = staged(trigram_counts(dealt).selectExpr("substring(lang, instr(lang, ' ') + 1) as lang", "cast(substring_index(lang, ' ', 1) as int) as fold", "gram", "n"), "folds")
+    limits = staged(best_cuts(held_out(docs, labels, per_fold)).select("lang", "threshold"), "limits")
+    return Scorer(tables(staged(per_fold.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "c3"))), limits
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float | None = None) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, keep for every row of ``docs(doc_id, text, lang)``.
 
-    ``labels(doc_id, quality, toxic)`` names the trusted documents.  A null language
-    is one of its own, ''.  A row is kept unless its perplexity is over its
+    ``labels(doc_id, quality, toxic)`` names the trusted documents, and those low in
+    quality or toxic.  The threshold is the ``best_cuts`` of held-out ones, or a
+    ``quantile`` of the trusted ones, as the model that has seen them scores them.
+    A null language is one of its own, ''.  A row is kept unless its perplexity is over its
     language's threshold: null, empty and blank texts have none and are kept, as are
-    all rows of a language without trusted documents.  Null doc_ids are scored,
+    all rows of a language without trusted documents in two folds (or any, with a ``quantile``).  Null doc_ids are scored,
     but never trusted; repeated rows are scored each; an empty table gives none;
     other columns are ignored.
     """
-    trusted = _trusted(docs, labels)
-    scorer = Scorer(train(trusted))
-    limits = staged(thresholds(scorer.score(trusted), quantile), "limits")
+    scorer, limits = _fit(docs, labels, quantile)
     return scorer.score(docs).join(F.broadcast(limits), "lang", "left").select("doc_id", "lang", "n_bytes", "perplexity", "threshold", (~F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False))).alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float | None = None) -> DataFrame:
     """``docs`` without the rows that ``classify`` rejects; all columns stay as they are."""
-    trusted = _trusted(docs, labels)
-    scorer = Scorer(train(trusted))
-    limits = {r["lang"]: r["threshold"] for r in thresholds(scorer.score(trusted), quantile).collect()}  # a row for each language
+    scorer, table = _fit(docs, labels, quantile)
+    limits = {r["lang"]: r["threshold"] for r in table.collect()}  # a row for each language
     if scorer.arrays is None:
-        bad = scorer.score(docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "lang", "text")).join(thresholds(scorer.score(trusted), quantile), "lang").filter("perplexity > threshold").select("doc_id.*").distinct().toDF("__id", "__key")
+        bad = scorer.score(docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "lang", "text")).join(F.broadcast(table), "lang").filter("perplexity > threshold").select("doc_id.*").distinct().toDF("__id", "__key")
         return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__key"]), "left_anti")
 
     arrays = scorer.arrays

@@ -318,3 +318,22 @@ def test_quality(spark):
     p = np.exp(quality._log_p(arrays, np.array([context << 21 | ch for ch in chars])))
     assert 0.9 < p.sum() <= 1.0 + 1e-9
     assert all(r.keep for r in quality.classify(docs, labels.limit(0)).collect()) and quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_quality_threshold_from_labels(spark):
+    """Labelled bad documents just beyond most trusted ones are rejected; without bad labels the quantile holds."""
+    good = sentences(21, 200)
+    low, toxic = ([" ".join(w if i % 3 else "".join(random.Random(f"{w}{seed}").choices("stuvwxyz", k=4)) for i, w in enumerate(t.split())) for t in sentences(21, 240)[200:]] for seed in (1, 2))
+    # odd trusted documents fill the upper twentieth, beyond which a quantile of 0.995 alone would look
+    odd = [" ".join(random.Random(i).choices(["qqzzkk", "jjwwvv", "mmnnpp", "rrttyy"], k=30)).upper() + str(i) * 9 for i in range(10)]
+    texts = good + odd + low + toxic
+    rows = [(i, 1, 0) for i in range(1, 211)] + [(i, 0, 0) for i in range(211, 251)] + [(i, 1, 1) for i in range(251, 291)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    docs = table(spark, texts)
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert sum(not got[i].keep for i in range(211, 291)) >= 72 and sum(got[i].keep for i in range(1, 201)) >= 190
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {i for i, r in got.items() if r.keep}
+    scored = spark.createDataFrame([("a", "trusted", float(i)) for i in range(1, 101)] + [("a", "toxic", 95.5)] * 3 + [("b", "trusted", float(i)) for i in range(1, 1001)] + [("c", "low", 1.0)], "lang string, kind string, perplexity double")
+    cuts = {r.lang: r for r in quality.best_cuts(scored).collect()}
+    assert set(cuts) == {"a", "b"} and 95 <= cuts["a"].threshold < 95.5 and cuts["a"].toxic == 1.0 and cuts["a"].low is None
+    assert 995 <= cuts["b"].threshold < 996 and cuts["b"].trusted == 0.005
