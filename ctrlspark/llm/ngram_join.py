@@ -4,11 +4,13 @@ Rows of the matrix are distinct n-gram sets (copies share a row), columns are
 n-grams.  The product of the matrix with its transpose holds the overlap counts;
 only those that can reach the threshold are accumulated:
 
-1. Row filter.  If two sets of sizes a and b have Jaccard t, each shares at least
-   t times its own size.  Among the k columns of a row that come first in a
-   random order, that leaves k - p + 1 shared ones, where p = a - ceil(t a) + 1
-   and k = 2 p - 1.  Rows with fewer columns in common with any other row's are
-   alone.
+1. Row filter.  If two sets of sizes a and b have Jaccard t, each lacks at most
+   p - 1 of its own columns in the other, where p = a - ceil(t a) + 1.  A row's head
+   is the k = min(a, 2 p - 1) columns that come first in a random order.  The m-th
+   shared column stands at place m + p - 1 of either row at the latest, so both heads
+   hold the first k - p + 1 shared ones, by the p and k of the smaller row, whose
+   size is ceil(t a) at least.  Rows with fewer columns in common with all other
+   rows' heads are alone.
 2. Rarity prefix.  Of the rows left, columns are counted and ordered by rarity.
    Columns of one row only come first and cost nothing; a linked pair shares one
    of its first p columns.  Rows that meet in such a column go to one cluster.
@@ -46,6 +48,16 @@ def _ceil_share(share: Fraction, n: np.ndarray) -> np.ndarray:
     return -(-n * share.numerator // share.denominator)
 
 
+def _head(share: Fraction, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(columns of a row's head, how many of them the head of a linked row holds at least).
+
+    The second grows with the size, so that the smallest partner's bounds that of all.
+    """
+    least = _ceil_share(share, size)
+    k = lambda n: np.where(n > 0, np.minimum(n, 2 * (n - _ceil_share(share, n)) + 1), 0)
+    return k(size), k(least) - (least - _ceil_share(share, least))
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
@@ -63,7 +75,7 @@ def set_marks(grams: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 def shingle_sets(docs: DataFrame, n: int, share: Fraction) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, set_a, set_b (128 bits of the set), need, head.
 
-    ``head``: the set's first columns in hash order; ``need``: how many of them a partner shares.
+    ``head``: the set's first columns in hash order; ``need``: how many of them a partner's head shares.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -72,11 +84,10 @@ def shingle_sets(docs: DataFrame, n: int, share: Fraction) -> DataFrame:
         grams, at = textvec.shingle_hashes(h, first, n)
         size = np.diff(at)
         a, b = set_marks(grams, at)
-        p = size - _ceil_share(share, size) + 1
-        k = np.where(size > 0, np.minimum(size, 2 * p - 1), 0)
+        k, need = _head(share, size)
         head = grams[textvec.ragged(at[:-1], k)]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))), pa.int32()), pa.array(_signed(head)))
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(size, pa.int64()), pa.array(_signed(a)), pa.array(_signed(b)), pa.array(k - p + 1, pa.int64()), lists], ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "need", "head"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(size, pa.int64()), pa.array(_signed(a)), pa.array(_signed(b)), pa.array(need, pa.int64()), lists], ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "need", "head"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     return textvec.per_chunk(keyed, build, f"doc_id {kind}, text_key long, n_shingles long, set_a long, set_b long, need long, head array<long>", ("doc_id", "text_key", "text"))

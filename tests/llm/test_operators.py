@@ -337,3 +337,25 @@ def test_quality_threshold_from_labels(spark):
     cuts = {r.lang: r for r in quality.best_cuts(scored).collect()}
     assert set(cuts) == {"a", "b"} and 95 <= cuts["a"].threshold < 95.5 and cuts["a"].toxic == 1.0 and cuts["a"].low is None
     assert 995 <= cuts["b"].threshold < 996 and cuts["b"].trusted == 0.005
+
+
+@pytest.mark.parametrize(("n", "num", "den", "sizes"), [(3, 9, 10, range(9, 46)), (5, 8, 10, range(4, 46))])
+def test_jaccard_links_at_the_threshold(spark, n, num, den, sizes):
+    """Every size with words appended, or one inserted, down to exactly the threshold; each pair has words of its own."""
+    texts = []
+    for copy in range(3):
+        for size in sizes:
+            words = [f"w{copy}x{size}x{i}" for i in range(size + n - 1)]
+            for more in range(1, size * den // num - size + 1):
+                own = [f"{w}x{more}" for w in words]
+                texts += [" ".join(own), " ".join(own + [f"y{copy}x{size}x{more}x{i}" for i in range(more)])]
+            at = [f"{w}xi" for w in words]
+            texts += [" ".join(at), " ".join(at[: size // 2 + n // 2] + [f"z{copy}x{size}"] + at[size // 2 + n // 2 :])]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(table(spark, texts), n, f"{num / den}").collect()}
+    exact = 0
+    for i in range(1, len(texts), 2):
+        a, b = shingles(texts[i - 1], n), shingles(texts[i], n)
+        linked = den * len(a & b) >= num * len(a | b)
+        exact += den * len(a & b) == num * len(a | b)
+        assert (got[i], got[i + 1]) == (i, i if linked else i + 1), (len(a), len(b))
+    assert exact >= 12
