@@ -74,7 +74,7 @@ class Patterns:
 
 def combine(h: np.ndarray) -> np.ndarray:
     """One hash for each row of word hashes."""
-    return textvec.mix((h * textvec.powers(h.shape[1] + 1)[1 : h.shape[1] + 1]).sum(axis=1, dtype=np.uint64))
+    return textvec.mix((h * textvec.steps(h.shape[1])[1:]).sum(axis=1, dtype=np.uint64))
 
 
 def split_words(text: str | None) -> list[bytes]:

@@ -3,10 +3,17 @@
 A line's tokens are its distinct words, ordered from rare to frequent.  Two lines
 of Jaccard t or more share a token among their first words in that order: of the
 longer one the first n - ceil(t n) + 1, of the shorter one the first
-n - ceil(2 t n / (1 + t)) + 1.  Lines meet on these prefix tokens; pairs pass a
-length filter, a positional filter (what can still follow the token) and a bitmap
-of the prefixes before their whole sets are compared.  A line goes if an equal or a
-similar line comes earlier.
+n - ceil(2 t n / (1 + t)) + 1.  Lines meet on these prefix tokens, sorted by size
+there, so that each looks only at lines up to its size / t (length filter).  Pairs
+pass a positional filter (what can still follow the token) and a bitmap filter (each
+differing bit of two lines' word bitmaps is a word that one of them lacks) before
+their whole sets are compared.  A line goes if an equal or a similar line comes
+earlier.
+
+Hot words: two similar lines that share one word of four or more share two.  Where
+the first shared word is very frequent, so is the second, and lines meet on the
+*pair* of words instead, among one more word of the prefix.  So no task gets all
+lines that a frequent word has.
 
 Rarity: exact counts are taken over all lines; the most frequent words are
 ranked by them, and the others, rarer than every one of those, come first, by
@@ -21,19 +28,25 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
 from .staging import staged
 
-#: frequent words that are ranked by count; the list is broadcast (16 bytes a word)
+#: frequent words that are ranked by count; the list is broadcast (24 bytes a word)
 RANKED_WORDS = 65_536
+#: occurrences from which a ranked word is no key alone, but in pairs
+HOT_WORD = 100_000
 #: set numbers that are broadcast to pick lines for the comparison; more are joined by shuffle
 BROADCAST_SETS = 2_000_000
 #: earliest candidates of a line that are compared first; lines of more that match none of them get all compared
 FIRST_LOOK = 4
+#: rows of a task, and pairs of them, worked on at a time
+BLOCK_ROWS, BLOCK_PAIRS = 100_000, 1_000_000
 NEWLINE = ord("\n")
+LAST = 2**63 - 1
+SLOT_BITS = 20
 
 
 def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,12 +63,6 @@ def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.append(start, len(buf)), doc, number
 
 
-def _line_words(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, line of each) of a chunk."""
-    h, at, _, _ = textvec.words(buf, offs, textvec.NON_BLANK)
-    return h, np.searchsorted(starts[:-1], at, "right") - 1
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (hash), n: occurrences over all lines."""
 
@@ -68,58 +75,89 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, size: int = RANKED_WORDS) -> Broadcast:
-    """Hashes of the most frequent words, sorted, with their ranks (1 for the rarest of them)."""
+    """(hashes, ranks, counts) of the most frequent words; rank 1 for the rarest of them."""
     top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).toArrow()
-    word = top["word"].to_numpy()
-    rank = np.arange(len(word), 0, -1)
-    order = np.argsort(word)
-    return docs.sparkSession.sparkContext.broadcast((word[order], rank[order]))
+    n = top.num_rows
+    return docs.sparkSession.sparkContext.broadcast((top["word"].to_numpy().view(np.uint64), np.arange(n, 0, -1), top["n"].to_numpy()))
+
+
+class Ranks:
+    """Ranks of words by the upper bits of their hash; of words in one slot the most frequent has a rank."""
+
+    def __init__(self, words: np.ndarray, ranks: np.ndarray, counts: np.ndarray):
+        self.word = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.rank = np.zeros(1 << SLOT_BITS, np.int64)
+        slot = (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.word[slot[::-1]], self.rank[slot[::-1]] = words[::-1], ranks[::-1]
+        # of the ranked words those from here on are hot
+        self.hot = int(ranks[counts >= HOT_WORD].min()) if (counts >= HOT_WORD).any() else 1 << 40
+
+    def of(self, token: np.ndarray) -> np.ndarray:
+        slot = (token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        return np.where(self.word[slot] == token, self.rank[slot], 0)
 
 
 class LineSets:
-    """Distinct words of a chunk's lines, from rare to frequent, and each set's hash and size."""
+    """Distinct words of a chunk's lines, from rare to frequent, and each set's hash, bitmap and size."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, ranked: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, ranks: Ranks):
         self.starts, self.doc, self.number = _lines(buf, offs)
-        h, line = _line_words(buf, offs, self.starts)
-        token = h.view(np.int64)
-        names, ranks = ranked
-        order = np.zeros(len(token), np.int64)
-        if len(names):
-            at = np.minimum(np.searchsorted(names, token), len(names) - 1)
-            order = np.where(names[at] == token, ranks[at], 0)
-        by = np.lexsort((token, line * (1 << 20) + order))
-        token, line = token[by], line[by]
+        token, at, _, _ = textvec.words(buf, offs, textvec.NON_BLANK)
+        line = np.searchsorted(self.starts[:-1], at, "right") - 1
+        order = ranks.of(token)
+        by = None
+        if len(self.doc) < 1 << 18:
+            brief = line.astype(np.uint64) << np.uint64(46) | order.astype(np.uint64) << np.uint64(29) | token >> np.uint64(35)
+            by = np.argsort(brief)
+            near = brief[by]
+            if ((near[1:] == near[:-1]) & (token[by][1:] != token[by][:-1])).any():
+                by = None  # two words that the shortened hash takes for one
+        if by is None:
+            by = np.lexsort((token, order, line))
+        token, line, order = token[by], line[by], order[by]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-        self.token, line = token[new], line[new]
-        lines = len(self.doc)
-        self.size = np.bincount(line, minlength=lines)
+        self.token, self.order, line = token[new], order[new], line[new]
+        self.size = np.bincount(line, minlength=len(self.doc))
         self.first = np.concatenate(([0], np.cumsum(self.size)))
-        spread = textvec.mix(self.token.view(np.uint64))
-        total = np.zeros(len(spread) + 1, np.uint64)
-        np.cumsum(spread, out=total[1:])
+        spread = textvec.mix(self.token)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread)))
         self.set = textvec.mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64)).view(np.int64)
-        self.spread = spread
-
-    def prefix_bits(self, count: np.ndarray) -> np.ndarray:
-        """128-bit maps of the first ``count`` words of each line, as two rows."""
+        self.bits = np.zeros(len(self.size), np.uint64)
+        some = np.flatnonzero(self.size)
+        if len(some):
+            self.bits[some] = np.bitwise_or.reduceat(np.uint64(1) << (spread & np.uint64(63)), self.first[some])
+
+    def keys(self, lead: np.ndarray, share: Fraction, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, places, line of each, in order of lines) of the lines' prefixes."""
+        count = np.where(lead, _prefix(share, self.size), 0)
         at = textvec.ragged(self.first[:-1], count)
-        mark = self.spread[at]
-        bit = np.uint64(1) << (mark & np.uint64(63))
-        half = (mark >> np.uint64(6)) & np.uint64(1)
-        out = np.zeros((2, len(count)), np.uint64)
-        some = np.flatnonzero(count)
-        starts = (np.cumsum(count) - count)[some]
-        for k in (0, 1):
-            if len(some):
-                out[k, some] = np.bitwise_or.reduceat(np.where(half == k, bit, np.uint64(0)), starts)
-        return out
+        line = np.repeat(np.arange(len(count)), count)
+        single = self.order[at] < hot
+        found = [(self.token[at[single]], (at - self.first[line])[single], line[single])]
+        if not single.all():
+            # a prefix is in order: its hot words stand at its end, and one word more is looked at
+            many = np.bincount(line[~single], minlength=len(count))
+            some = np.flatnonzero(many)
+            begin, reach = self.first[some] + count[some] - many[some], np.minimum(self.first[some] + count[some], self.first[some + 1] - 1)
+            gap = 1
+            while len(some):
+                n = np.minimum(many[some], np.maximum(reach - begin - gap + 1, 0))
+                on = n > 0
+                some, begin, reach, n = some[on], begin[on], reach[on], n[on]
+                i, own = textvec.ragged(begin, n), np.repeat(some, n)
+                found.append((textvec.mix(self.token[i] * np.uint64(3) ^ textvec.mix(self.token[i + gap])), i - self.first[own], own))
+                gap += 1
+        key, place, line = (np.concatenate(x) for x in zip(*found))
+        by = np.argsort(line, kind="stable")
+        return key[by].view(np.int64), place[by], line[by]
 
 
 def _prefix(share: Fraction, size: np.ndarray) -> np.ndarray:
-    """Words of a line's prefix: n - ceil(t n) + 1."""
-    return size - (-(-size * share.numerator // share.denominator)) + 1
+    """Words of a line's prefix: n - ceil(t n) + 1; none for lines that only an equal one can match."""
+    most = size * share.denominator // share.numerator
+    alone = (most == size) & (-(-size * share.numerator // share.denominator) == size)
+    return np.where(alone, 0, size - (-(-size * share.numerator // share.denominator)) + 1)
 
 
 def _least_overlap(share: Fraction, total: np.ndarray) -> np.ndarray:
@@ -128,62 +166,59 @@ def _least_overlap(share: Fraction, total: np.ndarray) -> np.ndarray:
     return -(-total * ratio.numerator // ratio.denominator)
 
 
+POST = ("key", "set", "bits", "doc", "number", "size", "place")
+
+
 def _candidates(part: dict[str, np.ndarray], share: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (later, earlier) of one partition, sorted by key, that pass all filters."""
-    key, size, place = part["key"], part["size"], part["place"]
-    doc, number = part["doc"], part["number"]
+    """Row pairs (later, earlier) of whole keys, sorted by key and size, that pass all filters; ties both ways."""
+    key, size, place, bits = part["key"], part["size"].astype(np.int64), part["place"].astype(np.int64), part["bits"]
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    group = np.searchsorted(edge, np.arange(len(key)), "right")
+    # places are in order of (key, size): a row's partners end where the size grows over size / t
+    width = int(size.max()) + 2
+    rank = group * width + size
+    end = np.searchsorted(rank, group * width + np.minimum(size * share.denominator // share.numerator, width - 1), "right")
+    may = np.flatnonzero((place < size - _least_overlap(share, 2 * size) + 1) & (end > np.arange(len(key)) + 1))
+    n = end[may] - may - 1
     late, early = [], []
-    i = np.arange(len(key) - 1)
-    gap = 1
-    while len(i):
-        i = i[i + gap < len(key)]
-        i = i[key[i] == key[i + gap]]
-        if not len(i):
-            break
-        j = i + gap
-        a, b = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        least = _least_overlap(share, a + b)
-        short = np.where(size[i] <= size[j], i, j)
-        fine = (a * share.denominator >= b * share.numerator) & (place[short] < a - _least_overlap(share, 2 * a) + 1)
-        fine &= 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 >= least
-        # words that both prefixes may share: each bit of one map that the other lacks is a word less
-        only = lambda x, y: np.bitwise_count(part["bits0"][x] & ~part["bits0"][y]).astype(np.int64) + np.bitwise_count(part["bits1"][x] & ~part["bits1"][y])  # noqa: B023,E731
-        own, other = _prefix(share, size[i].astype(np.int64)), _prefix(share, size[j].astype(np.int64))
-        both = np.minimum(own - only(i, j), other - only(j, i))
-        # beyond the prefix that ends first in the order, no more than that line's other words can follow
-        fine &= (both + np.maximum(size[i] - own, size[j] - other) >= least) & (part["set"][i] != part["set"][j])
-        x, y = i[fine], j[fine]
-        swap = (doc[x] < doc[y]) | ((doc[x] == doc[y]) & (number[x] < number[y]))
-        late.append(np.where(swap, y, x))
-        early.append(np.where(swap, x, y))
-        gap += 1
+    total = np.cumsum(n)
+    a = 0
+    while a < len(may):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BLOCK_PAIRS, "right")))
+        i, j = np.repeat(may[a:b], n[a:b]), textvec.ragged(may[a:b] + 1, n[a:b])
+        a = b
+        least = _least_overlap(share, size[i] + size[j])
+        fine = np.minimum(size[i] - place[i], size[j] - place[j]) >= least
+        i, j, least = i[fine], j[fine], least[fine]
+        fine = np.bitwise_count(bits[i] ^ bits[j]) <= size[i] + size[j] - 2 * least
+        i, j = i[fine], j[fine]
+        before = np.sign((part["doc"][i] > part["doc"][j]).astype(np.int8) * 2 - (part["doc"][i] < part["doc"][j]) * 2 + (part["number"][i] > part["number"][j]) - (part["number"][i] < part["number"][j]))
+        late += [i[before >= 0], j[before <= 0]]
+        early += [j[before >= 0], i[before <= 0]]
     none = np.zeros(0, np.int64)
     return (np.concatenate(late), np.concatenate(early)) if late else (none, none)
 
 
 def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame | None = None) -> DataFrame:
-    """set, and its candidates (earlier sets): the ``most`` earliest of each key, and how many there are."""
+    """set, other (an earlier set), their documents, tie: the ``most`` earliest of each key, and count, how many there are."""
     some = only is not None
     if some:
         wanted = only.select(F.col("set").alias("wanted"))
         posts = posts.join(F.broadcast(wanted) if only.count() <= BROADCAST_SETS else wanted, F.col("set") == F.col("wanted"), "left")
+        posts = posts.select(*POST, F.col("wanted").isNotNull().alias("on"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held)
+    def look(table: pa.Table) -> pa.RecordBatch:
         part = {c: table[c].to_numpy() for c in table.column_names}
-        by = np.lexsort((part["number"], part["doc"], part["set"], part["key"]))
+        by = np.lexsort((part["number"], part["doc"], part["set"], part["size"], part["key"]))
         part = {c: v[by] for c, v in part.items()}
         # a set's first occurrence stands for it; all occurrences have the same keys, so all are here
         new = np.ones(len(by), bool)
         new[1:] = (part["key"][1:] != part["key"][:-1]) | (part["set"][1:] != part["set"][:-1])
         part = {c: v[new] for c, v in part.items()}
-        part |= {c: part[c].view(np.uint64) for c in ("bits0", "bits1")}
+        part["bits"] = part["bits"].view(np.uint64)
         late, early = _candidates(part, share)
         if some:
-            on = ~np.isnan(part["wanted"].astype(np.float64))[late]
+            on = part["on"][late]
             late, early = late[on], early[on]
         by = np.lexsort((part["number"][early], part["doc"][early], late))
         late, early = late[by], early[by]
@@ -191,108 +226,161 @@ def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame |
         count = np.bincount(late, minlength=len(part["key"]))[late]
         on = turn < (most or len(late) + 1)
         late, early, count = late[on], early[on], count[on]
-        yield pa.RecordBatch.from_arrays([pa.array(part["set"][late]), pa.array(part["set"][early]), pa.array(part["doc"][early]), pa.array(part["number"][early]), pa.array(count.astype(np.int64))], ["set", "other", "doc", "number", "count"])
+        tie = (part["doc"][late] == part["doc"][early]) & (part["number"][late] == part["number"][early])
+        columns = (part["set"][late], part["set"][early], part["doc"][late], part["doc"][early], tie, count.astype(np.int64))
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["set", "other", "doc", "other_doc", "tie", "count"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textvec.keep_freed_memory()
+        for table in textvec.whole_keys(batches, BLOCK_ROWS):
+            yield look(table)
+        textvec.release()
 
-    found = posts.repartition("key").mapInArrow(run, "set long, other long, doc long, number long, count long")
-    return found.groupBy("set", "other").agg(F.max("count").alias("count"))
+    found = posts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "set long, other long, doc long, other_doc long, tie boolean, count long")
+    return found.groupBy("set", "other").agg(F.min("doc").alias("doc"), F.min("other_doc").alias("other_doc"), F.max("tie").alias("tie"), F.max("count").alias("count"))
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, ranked: Broadcast, share: Fraction) -> DataFrame:
-    """The pairs (set, other) whose whole token sets reach the threshold."""
+    """The pairs (set, other, tie) whose whole token sets reach the threshold; ``docs`` has doc and text."""
     spark = docs.sparkSession
-    wanted = staged(pairs.select("set").union(pairs.select(F.col("other").alias("set"))).distinct(), "wanted")
+    both = pairs.select("set", "doc").union(pairs.select("other", "other_doc"))
+    wanted = staged(both.groupBy("set").agg(F.min("doc").alias("doc")), "wanted")
     few = wanted.count() <= BROADCAST_SETS
-    picked = spark.sparkContext.broadcast(np.sort(wanted.toArrow()["set"].to_numpy())) if few else None
+    picked = None
+    if few:  # the documents that hold a wanted set's first line, and the sets
+        got = wanted.toArrow()
+        picked = spark.sparkContext.broadcast(tuple(np.unique(got[c].to_numpy()) for c in ("doc", "set")))
+
+    def among(names: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return names[np.minimum(np.searchsorted(names, values), len(names) - 1)] == values if len(names) else np.zeros(len(values), bool)
 
     def tokens(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sets = LineSets(buf, offs, ranked.value)
-        keep = np.flatnonzero(np.isin(sets.set, picked.value) if picked is not None else sets.size > 0)
+        if picked is not None:
+            on = np.flatnonzero(among(picked.value[0], rows.column(0).to_numpy()))
+            sizes = np.diff(offs)[on]
+            buf, offs = buf[textvec.ragged(offs[on], sizes)], np.concatenate(([0], np.cumsum(sizes)))
+        sets = LineSets(buf, offs, ranks_of(ranked))
+        keep = np.flatnonzero(among(picked.value[1], sets.set) if picked is not None else sets.size > 0)
         keep = keep[np.unique(sets.set[keep], return_index=True)[1]]
-        flat = sets.token[textvec.ragged(sets.first[keep], sets.size[keep])]
+        flat = sets.token[textvec.ragged(sets.first[keep], sets.size[keep])].view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sets.size[keep]))), pa.int32()), pa.array(flat))
         yield pa.RecordBatch.from_arrays([pa.array(sets.set[keep]), lists], ["set", "tokens"])
 
-    whole = textvec.per_chunk(docs, tokens, "set long, tokens array<long>", ("text",)).groupBy("set").agg(F.first("tokens").alias("tokens"))
+    whole = textvec.per_chunk(docs, tokens, "set long, tokens array<long>", ("doc", "text")).groupBy("set").agg(F.first("tokens").alias("tokens"))
     if not few:
         whole = whole.join(wanted, "set", "left_semi")
     whole = staged(whole, "tokens")
     other = whole.select(F.col("set").alias("other"), F.col("tokens").alias("others"))
-    both = pairs.join(whole, "set").join(other, "other").withColumn("same", F.size(F.array_intersect("tokens", "others")))
-    return both.filter(F.col("same") * (share.denominator + share.numerator) >= F.lit(share.numerator) * (F.size("tokens") + F.size("others"))).select("set", "other")
+    both = pairs.select("set", "other", "tie").join(whole, "set").join(other, "other").withColumn("same", F.size(F.array_intersect("tokens", "others")))
+    return both.filter(F.col("same") * (share.denominator + share.numerator) >= F.lit(share.numerator) * (F.size("tokens") + F.size("others"))).select("set", "other", "tie")
+
+
+_ranks: dict[int, Ranks] = {}
+
+
+def ranks_of(ranked: Broadcast) -> Ranks:
+    """The table of a broadcast list, made once a worker and list."""
+    key = id(ranked.value)
+    if key not in _ranks:
+        _ranks.clear()
+        _ranks[key] = Ranks(*ranked.value)
+    return _ranks[key]
+
+
+def text_key(text: Column | str = "text") -> Column:
+    """What tells rows of one doc_id apart; equal rows have equal keys."""
+    return F.xxhash64(text)
 
 
 def repeated_lines(docs: DataFrame, threshold: Fraction | str = "0.8") -> DataFrame:
-    """doc_id, line, first of every line of ``docs(doc_id, text)``: ``gone`` if an equal or similar line comes earlier.
-
-    Returns one row per non-blank line: doc_id, line (from 0), n_tokens, gone.
-    Lines are split at line feeds; words are runs of non-blank characters, A-Z in
-    lower case.  Earlier means a smaller doc_id, or the same and a smaller line
-    number; equal ones (repeated rows) don't remove each other.  doc_id is an
-    integer; rows with a null one come after all others.  Null and empty texts
-    and blank lines give no rows; other columns are ignored.
+    """doc_id, text_key, line, n_tokens and ``gone`` of every non-blank line of ``docs(doc_id, text)``.
+
+    ``gone``: an equal line (as a set of words) or a similar one comes earlier.  Lines
+    are split at line feeds and numbered from 0; words are runs of non-blank
+    characters, A-Z in lower case.  Earlier means a smaller doc_id, then a smaller
+    ``text_key`` (a hash of the text), then a smaller line number; so rows that share
+    a doc_id, or have none, are documents of their own, and wholly equal rows don't
+    remove each other's lines.  doc_id is an integer; null ones come after all others.
+    Null and empty texts and blank lines give no rows; an empty table gives none;
+    other columns are ignored.
     """
     share = Fraction(threshold)
     ranked = frequent_words(docs)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text_key().alias("text_key"), "text")
 
     def build(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sets = LineSets(buf, offs, ranked.value)
+        ranks = ranks_of(ranked)
+        sets = LineSets(buf, offs, ranks)
         keep = np.flatnonzero(sets.size)
-        ids = rows.column(0).to_numpy()
+        ids, texts = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         # of equal lines in a chunk the first one stands for all: only it has a prefix
         by = keep[np.lexsort((sets.number[keep], ids[sets.doc[keep]], sets.set[keep]))]
         lead = np.zeros(len(sets.size), bool)
         if len(by):
             lead[by[np.concatenate(([True], sets.set[by][1:] != sets.set[by][:-1]))]] = True
-        size = sets.size[keep]
-        count = np.where(lead[keep], _prefix(share, size), 0)
-        every = np.zeros(len(sets.size), np.int64)
-        every[keep] = count
-        bits = sets.prefix_bits(every)
-        flat = sets.token[textvec.ragged(sets.first[keep], count)]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(flat))
-        columns = (ids[sets.doc[keep]], sets.number[keep], sets.set[keep], size, bits[0][keep].view(np.int64), bits[1][keep].view(np.int64))
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["doc_id", "line", "set", "n_tokens", "bits0", "bits1", "prefix"])
-
-    table = staged(textvec.per_chunk(docs, build, "doc_id long, line long, set long, n_tokens long, bits0 long, bits1 long, prefix array<long>"), "lines")
-    lines = table.select("doc_id", "line", "set", "n_tokens")
-    firsts = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    posts = table.select("set", F.col("doc_id").alias("doc"), F.col("line").alias("number"), F.col("n_tokens").cast("int").alias("size"), "bits0", "bits1", F.posexplode("prefix").alias("place", "key"))
+        key, place, line = sets.keys(lead, share, ranks.hot)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(sets.size))[keep])))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(key), pa.array(place, pa.int32()))]
+        columns = (ids[sets.doc[keep]], texts[sets.doc[keep]], sets.number[keep].astype(np.int32), sets.set[keep], sets.bits[keep].view(np.int64), sets.size[keep].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], ["doc", "text_key", "line", "set", "bits", "n_tokens", "keys", "places"])
+
+    table = staged(textvec.per_chunk(docs, build, "doc long, text_key long, line int, set long, bits long, n_tokens int, keys array<long>, places array<int>", ("doc", "text_key", "text")), "lines")
+    lines = table.select("doc", "text_key", "line", "set", "bits", "n_tokens")
+    # the bitmap and the size stand beside the hash, so that it does not decide alone
+    same = ["set", "bits", "n_tokens"]
+    here = F.struct("doc", "text_key", "line")
+    firsts = lines.groupBy(*same).agg(F.min(here).alias("first"))
+    posts = table.filter("size(keys) > 0").select("set", "bits", "doc", F.col("line").alias("number"), F.col("n_tokens").alias("size"), F.explode(F.arrays_zip("keys", "places")).alias("p")).select(F.col("p.keys").alias("key"), "set", "bits", "doc", "number", "size", F.col("p.places").alias("place"))
     pairs = staged(_meet(posts, share, FIRST_LOOK), "pairs")
-    close = _compared(docs, pairs, ranked, share).select("set").distinct()
-    similar = staged(close, "similar")
-    left = pairs.filter(F.col("count") >= FIRST_LOOK).select("set").distinct().join(similar, "set", "left_anti")
+    close = staged(_compared(docs, pairs, ranked, share), "close")
+    found = _in_order(close, firsts)
+    left = pairs.filter(F.col("count") >= FIRST_LOOK).select("set").distinct().join(found, "set", "left_anti")
     left = staged(left, "left")
-    if left.head(1):  # none of the earliest matched; compare with all that share a prefix word
+    if left.head(1):  # none of the earliest matched; compare with all that share a key
         few = F.broadcast(left) if left.count() <= BROADCAST_SETS else left
-        keys = posts.select("set", "key").join(few, "set", "left_semi").select("key").distinct()
-        keys = staged(keys, "keys")
+        keys = staged(posts.select("set", "key").join(few, "set", "left_semi").select("key").distinct(), "keys")
         near = posts.join(F.broadcast(keys) if keys.count() <= BROADCAST_SETS else keys, "key", "left_semi")
-        rest = staged(_meet(near, share, None, left).select("set", "other"), "pairs")
-        similar = similar.union(_compared(docs, rest, ranked, share).select("set")).distinct()
-    known = firsts.join(similar.withColumn("similar", F.lit(True)), "set", "left")
-    here = F.struct(F.col("doc_id"), F.col("line"))
-    out = lines.join(known, "set").select(F.when(F.col("doc_id") < 2**63 - 1, F.col("doc_id")).alias("doc_id"), "line", "n_tokens", (F.coalesce("similar", F.lit(False)) | (here > F.col("first"))).alias("gone"))
-    return out
+        rest = staged(_meet(near, share, None, left), "pairs")
+        found = found.union(_in_order(staged(_compared(docs, rest, ranked, share), "close"), firsts)).distinct()
+    known = firsts.join(found.withColumn("similar", F.lit(True)), "set", "left")
+    out = lines.join(known, same)
+    gone = F.coalesce("similar", F.lit(False)) | (here > F.col("first"))
+    return out.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "text_key", F.col("line").cast("long").alias("line"), F.col("n_tokens").cast("long").alias("n_tokens"), gone.alias("gone"))
+
+
+def _in_order(close: DataFrame, firsts: DataFrame) -> DataFrame:
+    """set of each pair whose ``other`` is the earlier one, also where document and line number are the same."""
+    clear = close.filter(~F.col("tie")).select("set")
+    if close.filter("tie").head(1):  # rows that share a doc_id
+        first = firsts.groupBy("set").agg(F.min("first").alias("first"))
+        tied = close.filter("tie").join(first, "set").join(first.toDF("other", "other_first"), "other").filter("other_first < first")
+        clear = clear.union(tied.select("set"))
+    return clear.distinct()
 
 
 def digest(docs: DataFrame, threshold: Fraction | str = "0.8") -> DataFrame:
-    """One row per doc_id with lines: n_lines, n_gone, gone_sha256 (the gone lines' numbers, comma-joined)."""
+    """doc_id, n_lines, n_gone, gone_sha256 (the gone lines' numbers, comma-joined) of every row of ``docs``.
+
+    Null, empty and blank texts have no lines; rows without lines are there, too.
+    """
     found = repeated_lines(docs, threshold)
     gone = F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line"))))
-    per = found.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(F.col("gone"), 1)).alias("n_gone"), gone.alias("gone"))
-    return per.select("doc_id", "n_lines", "n_gone", F.sha2(F.array_join(F.col("gone").cast("array<string>"), ","), 256).alias("gone_sha256"))
+    per = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.countDistinct("line").alias("n"), gone.alias("gone"))
+    rows = docs.select("doc_id", text_key().alias("text_key"))
+    joined = rows.join(per, rows["doc_id"].cast("long").eqNullSafe(per["__id"]) & (rows["text_key"] == per["__key"]), "left")
+    gone = F.coalesce("gone", F.array().cast("array<long>"))
+    return joined.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_gone"), F.sha2(F.array_join(gone.cast("array<string>"), ","), 256).alias("gone_sha256"))
 
 
 def drop_repeated_lines(docs: DataFrame, threshold: Fraction | str = "0.8") -> DataFrame:
     """``docs`` with repeated lines cut out of ``text``; a row all of whose non-blank lines go is dropped.
 
     All columns stay; rows without a repeated line, blank and null texts are as they were.
-    Rows of one doc_id lose the same line numbers.
+    Each row loses its own lines: rows of one doc_id, or without one, are told apart by their text.
     """
-    found = repeated_lines(docs, threshold).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.when(F.col("gone"), F.col("line").cast("int"))).alias("__gone"), F.count(F.when(~F.col("gone"), 1)).alias("__left"))
+    found = repeated_lines(docs, threshold).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set(F.when(F.col("gone"), F.col("line").cast("int"))).alias("__gone"), F.count(F.when(~F.col("gone"), 1)).alias("__left"))
     found = found.filter(F.size("__gone") > 0)
-    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__id"]), "left")
+    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__id"]) & (text_key(docs["text"]) == found["__key"]), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)

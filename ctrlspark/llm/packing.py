@@ -30,12 +30,18 @@ from .token_counts import library, rows_with
 
 #: pieces in a shard, about: the bins that stay open at its end are few against those it fills
 SHARD_PIECES = 40_000
-#: pre-tokens remembered by a worker; beyond that it starts afresh
-MEMO = 1_000_000
+#: pre-tokens remembered by a worker, about 100 bytes each; beyond that it starts afresh
+MEMO = 700_000
+#: masks of the first n of eight bytes
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Encoder:
-    """Token ids of chunks: each distinct pre-token goes to the tokenizer once."""
+    """Token ids of chunks: each distinct pre-token goes to the tokenizer once.
+
+    One of up to sixteen bytes is remembered by its length and its first and last
+    eight bytes, which are compared on each look-up; longer ones are not remembered.
+    """
 
     def __init__(self, path: str):
         self.library = library(path)
@@ -43,10 +49,9 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
-        self.first = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bytes = np.zeros((0, 3), np.uint64)  # head, tail, size of each slot
+        self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
     def ids(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,34 +60,66 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         start = np.flatnonzero(pretokens.starts(buf, offs))
         end = np.append(start[1:], len(buf))
-        hashes = textvec.span_hash(textvec.prefix_hash(buf), start, end)
-        distinct, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > MEMO:
+        example, group, key, known = distinct_spans(buf, start, end)
+        if len(self.length) > MEMO:
             self.reset()
-        at = np.searchsorted(self.keys, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != distinct[inside]
-        if new.any():
-            raw = buf.tobytes()
-            texts = [raw[start[i] : end[i]].decode("utf-8") for i in example[new]]
-            got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-            slots = np.arange(len(self.length), len(self.length) + len(got))
-            lengths = np.array([len(g) for g in got], np.int64)
-            self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(lengths) - lengths))
-            self.length = np.concatenate((self.length, lengths))
-            self.flat = np.concatenate((self.flat, *got))
-            where = at[new]
-            self.keys = np.insert(self.keys, where, distinct[new])
-            self.slot = np.insert(self.slot, where, slots)
-            at = np.searchsorted(self.keys, distinct)
-        slot = self.slot[at][inverse]
-        length = self.length[slot]
-        ids = self.flat[textvec.ragged(self.first[slot], length)]
+        slot = np.full(len(example), -1, np.int64)
+        at = np.searchsorted(self.keys, key)
+        if len(self.keys):
+            near = np.minimum(at, len(self.keys) - 1)
+            there = self.keys[near] == key
+            found = self.slot[near]
+            fine = there & (self.bytes[found] == known).all(axis=1)
+            slot[: len(key)][fine] = found[fine]
+        else:
+            there = np.zeros(len(key), bool)
+        missing = np.flatnonzero(slot < 0)
+        fresh = self._encoded(buf.tobytes(), start[example[missing]], end[example[missing]])
+        slot[missing] = len(self.length) + np.arange(len(missing))
+        length, flat = np.concatenate((self.length, fresh[0])), np.concatenate((self.flat, fresh[1]))
+        first = np.concatenate((self.first, len(self.flat) + np.cumsum(fresh[0]) - fresh[0]))
+        own = slot[group]
+        ids = flat[textvec.ragged(first[own], length[own])]
         total = np.zeros(len(start) + 1, np.int64)
-        np.cumsum(length, out=total[1:])
+        np.cumsum(length[own], out=total[1:])
+        # the short ones stay, which come first
+        short = missing[missing < len(key)]
+        keep = np.flatnonzero(~there[short])
+        self.length, self.first = length[: len(self.length) + len(short)], first[: len(self.first) + len(short)]
+        self.flat = flat[: len(self.flat) + int(fresh[0][: len(short)].sum())]
+        self.bytes = np.concatenate((self.bytes, known[short]))
+        new = short[keep]
+        self.keys, self.slot = np.insert(self.keys, at[new], key[new]), np.insert(self.slot, at[new], slot[new])
         return ids, total[np.searchsorted(start, offs)]
 
+    def _encoded(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each span has, all ids)."""
+        got = [e.ids for e in self.library.encode_batch([raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())], add_special_tokens=False)]
+        return np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], np.uint32)
+
+
+def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(an example of each group, group of each span, key and known bytes of the first groups); spans of a group are equal.
+
+    Up to sixteen bytes, the length and the first and last eight bytes are the span;
+    groups of such come first, in order of their keys.  Longer ones are groups of their own.
+    """
+    n = end - start
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # eight bytes from each place
+    head = eight[start] & _FIRST[np.minimum(n, 8)]
+    tail = np.where(n > 8, eight[np.maximum(end - 8, 0)], np.uint64(0))
+    key = textvec.mix(head ^ textvec.mix(tail + n.astype(np.uint64)))
+    short = np.flatnonzero(n <= 16)
+    names, example, inverse = np.unique(key[short], return_index=True, return_inverse=True)
+    example = short[example]
+    group = np.zeros(len(n), np.int64)
+    group[short] = inverse
+    same = example[inverse]
+    alone = np.concatenate((np.flatnonzero(n > 16), short[(head[same] != head[short]) | (tail[same] != tail[short]) | (n[same] != n[short])]))
+    group[alone] = len(example) + np.arange(len(alone))
+    return np.concatenate((example, alone)), group, names, np.stack((head[example], tail[example], n[example].astype(np.uint64)), axis=1)
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:

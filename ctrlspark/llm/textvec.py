@@ -7,24 +7,33 @@ are documents).  A chunk holds about ``CHUNK`` bytes, or one longer document.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
-_rng = np.random.default_rng(20240229)
-_BYTE_KEYS = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: what a byte counts as in a hash: never 0, so that longer runs of one byte differ
+_BYTE_KEYS = np.arange(1, 257, dtype=np.uint64)
 #: A-Z hash like a-z
 FOLDED_KEYS = _BYTE_KEYS[_FOLD]
-_M = np.uint64(0x9E3779B97F4A7C1B)  # odd, 3 modulo 8
-_M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
-_pow: dict[str, np.ndarray] = {}
+#: hashes are polynomials over the integers modulo this prime, at a base drawn at random: two given
+#: strings of n bytes have the same one with a chance of n / PRIME, whatever they are
+PRIME = (1 << 61) - 1
+_BASE = int(np.random.default_rng(20240229).integers(1 << 40, PRIME))
+_U = np.uint64
+#: odd multipliers for short sequences of finished hashes
+_STEP = _U(0x9E3779B97F4A7C1B)
+#: longer spans are summed in pieces, as their sums would not fit into 64 bits
+LONGEST_PIECE = 1 << 23
 
 #: word bytes: all but blanks (x20, x09-x0D)
 NON_BLANK = np.ones(256, bool)
@@ -39,15 +48,63 @@ def fold(buf: np.ndarray) -> np.ndarray:
     return _FOLD[buf]
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers of the hash base up to exponent ``n``, grown on demand."""
-    key = "inv" if inverse else "pow"
-    have = _pow.get(key)
-    if have is None or len(have) <= n:
-        have = np.full(max(n + 1, CHUNK + 4096), _M_INV if inverse else _M, np.uint64)
-        have[0] = 1
-        _pow[key] = have = np.multiply.accumulate(have)
-    return have[: n + 1]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME for numbers below it."""
+    low31, low30 = _U((1 << 31) - 1), _U((1 << 30) - 1)
+    ah, al, bh, bl = a >> _U(31), a & low31, b >> _U(31), b & low31
+    mid = ah * bl + al * bh
+    return _reduced(_U(2) * ah * bh + (mid >> _U(30)) + ((mid & low30) << _U(31)) + al * bl)
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n - 1) modulo PRIME."""
+    out = np.ones(n, np.uint64)
+    size = 1
+    while size < n:
+        more = min(size, n - size)
+        out[size : size + more] = _times(out[:more], np.full(more, pow(base, size, PRIME), np.uint64))
+        size += more
+    return out
+
+
+@lru_cache(1)
+def _usual_tables() -> tuple[np.ndarray, ...]:
+    return _tables(CHUNK + 1)
+
+
+def _tables(n: int) -> tuple[np.ndarray, ...]:
+    """Powers of the base (lower 32 bits, upper bits) and of its inverse."""
+    power = _power_table(_BASE, n)
+    return power & _U(0xFFFFFFFF), power >> _U(32), _power_table(pow(_BASE, -1, PRIME), n)
+
+
+@lru_cache(1)
+def keep_freed_memory() -> None:
+    """Let the allocator of a worker reuse freed arrays, instead of mapping each anew (several times slower)."""
+    with contextlib.suppress(OSError, AttributeError):  # only there with glibc
+        libc = ctypes.CDLL(None)
+        for option, value in ((-3, 1 << 28), (-1, 1 << 27)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            libc.mallopt(option, value)
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def steps(n: int) -> np.ndarray:
+    """n + 1 multipliers for the places of a short sequence."""
+    out = np.full(n + 1, _STEP, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,23 +139,45 @@ def per_chunk(df: DataFrame, fn: Callable, schema: str | StructType, columns: tu
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         for batch in batches:
             for i, j, buf, offs in chunks(batch, text, size):
                 yield from fn(batch.slice(i, j - i), buf, offs)
+        release()
 
     return df.select(*(f"`{c}`" for c in columns)).mapInArrow(run, schema)
 
 
-def prefix_hash(buf: np.ndarray, keys: np.ndarray = _BYTE_KEYS) -> np.ndarray:
-    """S with S[e] - S[s] = sum of keys[buf[i]] * base**i over s <= i < e."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(keys[buf] * powers(len(buf))[: len(buf)], out=out[1:])
-    return out
+class Prefix:
+    """Sums from which the hash of any span of a chunk follows."""
 
+    def __init__(self, buf: np.ndarray, keys: np.ndarray = _BYTE_KEYS):
+        n = len(buf)
+        low, high, self.inverse = _usual_tables() if n <= CHUNK else _tables(n + 1)
+        value = keys[buf]
+        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        for power, out in ((low, self.low), (high, self.high)):  # signed sums are faster and the same bits
+            np.cumsum((value * power[:n]).view(np.int64), out=out.view(np.int64)[1:])
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Place-independent 64-bit hashes of the spans."""
-    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix) - 1, inverse=True)[starts])
+    def _sum(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        high = _reduced(self.high[ends] - self.high[starts])
+        high = (high & _U((1 << 29) - 1)) << _U(32) | high >> _U(29)
+        return _reduced(high + _reduced(self.low[ends] - self.low[starts]))
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Place-independent 64-bit hashes of the spans."""
+        total = self._sum(starts, np.minimum(ends, starts + LONGEST_PIECE))
+        more = np.flatnonzero(ends - starts > LONGEST_PIECE)
+        while len(more):
+            at = starts[more] + LONGEST_PIECE
+            starts = np.copy(starts)
+            starts[more] = at
+            total[more] = _reduced(total[more] + self._sum(at, np.minimum(ends[more], at + LONGEST_PIECE)))
+            more = more[ends[more] - at > LONGEST_PIECE]
+        return total
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix(_times(self.spans(starts, ends), self.inverse[starts]))
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +201,7 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[
 def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes with A-Z folded, starts, ends, first word of each document and the end)."""
     starts, ends = word_spans(buf, offs, is_word)
-    hashes = span_hash(prefix_hash(buf, FOLDED_KEYS), starts, ends)
+    hashes = Prefix(buf, FOLDED_KEYS).hashes(starts, ends)
     return hashes, starts, ends, np.searchsorted(starts, offs)
 
 
@@ -138,7 +217,7 @@ def shingle_hashes(word_hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[
 
     A document of fewer words, but not none, has its whole word sequence as one shingle.
     """
-    mult = powers(k + 1)
+    mult = steps(k)
     out, sizes = [], np.zeros(len(first), np.int64)
     n = len(word_hashes)
     if n >= k:
@@ -158,3 +237,21 @@ def shingle_hashes(word_hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[
         out.append(got)
         sizes[d + 1] = len(got)
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.cumsum(sizes)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that cut no key, of batches sorted by key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            key = table["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)

@@ -229,10 +229,20 @@ def test_decontamination(spark, block):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() and (i in clean) != bad
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_suffix_dedup(spark, batches):
+@pytest.mark.parametrize(("batches", "hot", "piece"), [(1, 4096, 1 << 20), (4, 4096, 1 << 20), (8, 0, 1 << 20), (3, 0, 150)])
+def test_suffix_dedup(spark, monkeypatch, batches, hot, piece):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 0)
+    if piece < 1000:  # tasks see the module's own value, so pieces are tested here
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        buf = np.frombuffer(" ".join(sentences(9, 40)).encode(), np.uint8)
+        offs = np.array([0, len(buf)])
+        windows = lambda base, r: {(int(r.at[i]) + base, int(f) + base) for i in range(len(r.at)) for f in range(r.first[i], r.first[i] + r.count[i])}
+        whole = windows(0, suffix_dedup.Runs(buf, offs, 100))
+        parts = [windows(base, suffix_dedup.Runs(p, o, 100)) for base, p, o in suffix_dedup._pieces(buf, offs, 100)]
+        assert len(parts) > 3 and set().union(*parts) == whole and sum(map(len, parts)) == len(whole) == len(buf) - 99
     s = sentences(9, 12)
-    texts = [None, "", "short", s[0] + s[1] + s[2], s[3] + s[1] + s[2] + s[4], "ab" * 200, s[0] + s[1] + s[2], s[5] + "é" * 80 + s[6], s[7] + "é" * 80 + s[6], s[6] + s[6], "NULL ID", s[1] + s[2]]
+    texts = [None, "", "short", s[0] + s[1] + s[2], s[3] + s[1] + s[2] + s[4], "ab" * 200, s[0] + s[1] + s[2], s[5] + "é" * 80 + s[6], s[7] + "é" * 80 + s[6], s[6] + s[6], "NULL ID", s[1] + s[2], *(f"{i} {s[8]} {s[9]} {s[10]} {i * 7}" for i in range(30)), "ab\0" * 90, "ab\0" * 60 + "ab"]
     got = {r.doc_id: r for r in suffix_dedup.digest(table(spark, texts), batches=batches).collect()}
     seen = set()
     for i, t in enumerate(texts, 1):
