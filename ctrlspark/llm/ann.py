@@ -29,13 +29,19 @@ def hash_strings(unit: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.n
     return (signs.astype(np.int64) << np.arange(bits - 1, -1, -1)).sum(axis=2)
 
 
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the vectors times powers of two that bring their largest component near 1, their norms): exact, and no square overflows."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    small = np.ldexp(vectors, -exponent[:, None])
+    return small, np.sqrt((small * small).sum(axis=1))
+
+
 class Forest:
     """Sorted hash strings of a block's distinct vectors."""
 
     def __init__(self, vectors: np.ndarray, share: float, least: int):
-        norm = np.sqrt((vectors * vectors).sum(axis=1))
-        codes = hash_strings(vectors / norm[:, None])
-        self.vectors, self.norm = vectors, norm
+        self.vectors, self.norm = scaled(vectors)
+        codes = hash_strings(self.vectors / self.norm[:, None])
         self.order = np.argsort(codes, axis=0, kind="stable").T
         self.sorted = np.take_along_axis(codes, self.order.T, axis=0).T
         self.target = min(len(vectors), max(least, int(np.ceil(share * len(vectors)))))
@@ -43,8 +49,14 @@ class Forest:
     def candidates(self, codes: np.ndarray) -> list[np.ndarray]:
         """Row numbers that each query (its codes by tree) looks at."""
         found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(codes)
-        active = np.arange(len(codes))
+        depth = np.max([self.descend(t, codes[:, t]) for t in range(TREES)], axis=0)
+        waiting = np.arange(len(codes))
+        active = np.zeros(0, np.int64)
         for shift in range(BITS + 1):  # ascend: prefixes lose a bit in all trees
+            reached = depth[waiting] >= BITS - shift
+            active, waiting = np.concatenate((active, waiting[reached])), waiting[~reached]
+            if not len(active):
+                continue
             low = (codes[active] >> shift) << shift
             lo = np.stack([np.searchsorted(self.sorted[t], low[:, t]) for t in range(TREES)], axis=1)
             hi = np.stack([np.searchsorted(self.sorted[t], low[:, t] + (1 << shift)) for t in range(TREES)], axis=1)
@@ -58,10 +70,17 @@ class Forest:
                 if len(rows) >= self.target:
                     found[active[i]], done[i] = rows, True
             active = active[~done]
-            if not len(active):
+            if not len(active) and not len(waiting):
                 break
         return found
 
+    def descend(self, tree: int, codes: np.ndarray) -> np.ndarray:
+        """Length of the longest prefix of each code that the tree holds: one of its neighbours in order has it."""
+        names = self.sorted[tree]
+        at = np.searchsorted(names, codes)
+        apart = np.minimum(codes ^ names[np.minimum(at, len(names) - 1)], codes ^ names[np.maximum(at - 1, 0)])
+        return BITS - np.frexp(apart.astype(np.float64))[1]
+
 
 def _search(index: pd.DataFrame, queries: pd.DataFrame, k: int, share: float, least: int) -> pd.DataFrame:
     if not len(index) or not len(queries):
@@ -74,11 +93,10 @@ def _search(index: pd.DataFrame, queries: pd.DataFrame, k: int, share: float, le
     start = np.searchsorted(own["group"].to_numpy(), np.arange(len(distinct) + 1))
     ids = own["vec_id"].to_numpy()
     forest = Forest(distinct, share, least)
-    wanted = np.stack(queries["vector"].to_list()).astype(np.float64)
-    norm = np.sqrt((wanted * wanted).sum(axis=1))
+    wanted, norm = scaled(np.stack(queries["vector"].to_list()).astype(np.float64))
     out = []
     for q, rows in enumerate(forest.candidates(hash_strings(wanted / norm[:, None]))):
-        score = (distinct[rows] * wanted[q]).sum(axis=1) / (forest.norm[rows] * norm[q])
+        score = (forest.vectors[rows] * wanted[q]).sum(axis=1) / (forest.norm[rows] * norm[q])
         best = rows[np.argsort(-score, kind="stable")]
         score = np.sort(score)[::-1]
         take = score >= score[min(k, len(score) - 1)]  # ties with the last one come along

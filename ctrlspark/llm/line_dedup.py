@@ -5,9 +5,9 @@ of Jaccard t or more share a token among their first words in that order: of the
 longer one the first n - ceil(t n) + 1, of the shorter one the first
 n - ceil(2 t n / (1 + t)) + 1.  Lines meet on these prefix tokens, sorted by size
 there, so that each looks only at lines up to its size / t (length filter).  Pairs
-pass a positional filter (what can still follow the token) and a bitmap filter (each
-differing bit of two lines' word bitmaps is a word that one of them lacks) before
-their whole sets are compared.  A line goes if an equal or a similar line comes
+pass a positional filter (what can still follow the token) and a parity filter (a bit
+of a line's map tells whether an odd number of its words fall on it, so each bit that
+differs is a word that one of two lines lacks) before their whole sets are compared.  A line goes if an equal or a similar line comes
 earlier.
 
 Hot words: two similar lines that share one word of four or more share two.  Where
@@ -28,25 +28,34 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
 from .staging import staged
 
-#: frequent words that are ranked by count; the list is broadcast (24 bytes a word)
+#: frequent words that are ranked by count; the list is broadcast (16 bytes a word)
 RANKED_WORDS = 65_536
 #: occurrences from which a ranked word is no key alone, but in pairs
 HOT_WORD = 100_000
 #: set numbers that are broadcast to pick lines for the comparison; more are joined by shuffle
 BROADCAST_SETS = 2_000_000
-#: earliest candidates of a line that are compared first; lines of more that match none of them get all compared
-FIRST_LOOK = 4
+#: candidates of a line and key, those that seem nearest, of which the nearest is compared first; lines that it
+#: doesn't match get all compared
+FIRST_LOOK = 1
+#: words up to which a line's parity map has 64 and 128 bits; others have 256
+MAP_WORDS = (90, 200)
 #: rows of a task, and pairs of them, worked on at a time
 BLOCK_ROWS, BLOCK_PAIRS = 100_000, 1_000_000
 NEWLINE = ord("\n")
 LAST = 2**63 - 1
 SLOT_BITS = 20
+#: a posting is one number: 32 bits of the key, the line's size, and the place of the key's word (255 or more are one)
+SIZE_BITS, PLACE_BITS = 24, 8
+MOST_WORDS, MOST_PLACE = (1 << SIZE_BITS) - 1, (1 << PLACE_BITS) - 1
+LOW32 = np.uint64(0xFFFFFFFF)
+#: distinct words that a task holds before it reduces its counts
+HELD_WORDS = 2_000_000
 
 
 def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,33 +73,60 @@ def _lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash), n: occurrences over all lines."""
+    """word (hash), n: occurrences over all lines, but for words that a task meets once only.
 
-    def count(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        h = textvec.words(buf, offs, textvec.NON_BLANK)[0]
-        word, n = np.unique(h, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+    These are rare, and rarer than any that the ranking is about; counts are short by
+    one for each such task at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textvec.keep_freed_memory()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def reduced() -> tuple[np.ndarray, np.ndarray]:
+            if not held:
+                return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            word, n = (np.concatenate(x) for x in zip(*held))
+            word, group = np.unique(word, return_inverse=True)
+            return word, np.bincount(group, n, len(word)).astype(np.int64)
+
+        for batch in batches:
+            for _, _, buf, offs in textvec.chunks(batch):
+                held.append(np.unique(textvec.words(buf, offs, textvec.NON_BLANK)[0], return_counts=True))
+                if len(held) > 1 and sum(len(w) for w, _ in held) > HELD_WORDS:
+                    word, n = reduced()
+                    if len(word) > HELD_WORDS // 2:  # even so many: those met once go
+                        yield _counted(word, n)
+                        word, n = word[:0], n[:0]
+                    held = [(word, n)]
+        yield _counted(*reduced())
+        textvec.release()
+
+    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    return textvec.per_chunk(docs, count, "word long, n long", ("text",)).groupBy("word").agg(F.sum("n").alias("n"))
+
+def _counted(word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    on = n > 1
+    return pa.RecordBatch.from_arrays([pa.array(word[on].view(np.int64)), pa.array(n[on].astype(np.int64))], ["word", "n"])
 
 
 def frequent_words(docs: DataFrame, size: int = RANKED_WORDS) -> Broadcast:
-    """(hashes, ranks, counts) of the most frequent words; rank 1 for the rarest of them."""
+    """(hashes, ranks, rank from which words are hot) of the most frequent words; rank 1 for the rarest of them."""
     top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).toArrow()
-    n = top.num_rows
-    return docs.sparkSession.sparkContext.broadcast((top["word"].to_numpy().view(np.uint64), np.arange(n, 0, -1), top["n"].to_numpy()))
+    ranks = np.arange(top.num_rows, 0, -1)
+    hot = ranks[top["n"].to_numpy() >= HOT_WORD]
+    return docs.sparkSession.sparkContext.broadcast((top["word"].to_numpy().view(np.uint64), ranks, int(hot.min()) if len(hot) else 1 << 40))
 
 
 class Ranks:
     """Ranks of words by the upper bits of their hash; of words in one slot the most frequent has a rank."""
 
-    def __init__(self, words: np.ndarray, ranks: np.ndarray, counts: np.ndarray):
+    def __init__(self, words: np.ndarray, ranks: np.ndarray, hot: int):
+        self.hot = hot
         self.word = np.zeros(1 << SLOT_BITS, np.uint64)
         self.rank = np.zeros(1 << SLOT_BITS, np.int64)
         slot = (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         self.word[slot[::-1]], self.rank[slot[::-1]] = words[::-1], ranks[::-1]
-        # of the ranked words those from here on are hot
-        self.hot = int(ranks[counts >= HOT_WORD].min()) if (counts >= HOT_WORD).any() else 1 << 40
 
     def of(self, token: np.ndarray) -> np.ndarray:
         slot = (token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -98,7 +134,10 @@ class Ranks:
 
 
 class LineSets:
-    """Distinct words of a chunk's lines, from rare to frequent, and each set's hash, bitmap and size."""
+    """Distinct words of a chunk's lines, from rare to frequent, and each set's name, parity map and size.
+
+    A name is the size and 32 bits of a hash; with the 64 bits of ``maps[0]`` it tells sets apart.
+    """
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, ranks: Ranks):
         self.starts, self.doc, self.number = _lines(buf, offs)
@@ -122,14 +161,25 @@ class LineSets:
         self.first = np.concatenate(([0], np.cumsum(self.size)))
         spread = textvec.mix(self.token)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread)))
-        self.set = textvec.mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64)).view(np.int64)
-        self.bits = np.zeros(len(self.size), np.uint64)
+        hashes = textvec.mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64))
+        self.name = (np.minimum(self.size, MOST_WORDS).astype(np.uint64) << np.uint64(32) | hashes & LOW32).view(np.int64)
+        self.maps = np.zeros((4, len(self.size)), np.uint64)
         some = np.flatnonzero(self.size)
         if len(some):
-            self.bits[some] = np.bitwise_or.reduceat(np.uint64(1) << (spread & np.uint64(63)), self.first[some])
-
-    def keys(self, lead: np.ndarray, share: Fraction, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, places, line of each, in order of lines) of the lines' prefixes."""
+            bit, word = np.uint64(1) << (spread & np.uint64(63)), spread >> np.uint64(6) & np.uint64(3)
+            for k in range(4):
+                self.maps[k, some] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), self.first[some])
+            small, middle = self.size <= MAP_WORDS[0], self.size <= MAP_WORDS[1]
+            for k, into, on in ((2, 0, middle), (3, 1, middle), (1, 0, small)):  # narrower maps are wide ones folded
+                self.maps[into] ^= np.where(on, self.maps[k], np.uint64(0))
+                self.maps[k][on] = 0
+
+    def compact(self) -> np.ndarray:
+        """Tokens for comparisons: the rank of a ranked word stands for its hash, as it is shorter."""
+        return np.where(self.order > 0, self.order, self.token.view(np.int64))
+
+    def keys(self, lead: np.ndarray, share: Fraction, hot: int) -> tuple[np.ndarray, np.ndarray]:
+        """(postings, line of each, in order of lines) of the lines' prefixes."""
         count = np.where(lead, _prefix(share, self.size), 0)
         at = textvec.ragged(self.first[:-1], count)
         line = np.repeat(np.arange(len(count)), count)
@@ -150,14 +200,17 @@ class LineSets:
                 gap += 1
         key, place, line = (np.concatenate(x) for x in zip(*found))
         by = np.argsort(line, kind="stable")
-        return key[by].view(np.int64), place[by], line[by]
+        key, place, line = key[by], place[by], line[by]
+        post = key & ~LOW32 | np.minimum(self.size[line], MOST_WORDS).astype(np.uint64) << np.uint64(PLACE_BITS) | np.minimum(place, MOST_PLACE).astype(np.uint64)
+        return post.view(np.int64), line
 
 
 def _prefix(share: Fraction, size: np.ndarray) -> np.ndarray:
     """Words of a line's prefix: n - ceil(t n) + 1; none for lines that only an equal one can match."""
     most = size * share.denominator // share.numerator
     alone = (most == size) & (-(-size * share.numerator // share.denominator) == size)
-    return np.where(alone, 0, size - (-(-size * share.numerator // share.denominator)) + 1)
+    # sizes that a posting has no room for: such lines go by equality alone
+    return np.where(alone | (size >= MOST_WORDS * share.numerator // share.denominator), 0, size - (-(-size * share.numerator // share.denominator)) + 1)
 
 
 def _least_overlap(share: Fraction, total: np.ndarray) -> np.ndarray:
@@ -166,12 +219,26 @@ def _least_overlap(share: Fraction, total: np.ndarray) -> np.ndarray:
     return -(-total * ratio.numerator // ratio.denominator)
 
 
-POST = ("key", "set", "bits", "doc", "number", "size", "place")
+MAPS = ["map0", "map1", "map2", "map3"]
+POST = ["post", "who", "doc", *MAPS]
+NAME = ["name", "map0"]
+
 
+def map_distance(maps: list[np.ndarray], size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits that differ between two lines' parity maps, at the width of the narrower one."""
+    a, b = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    apart = [m[i] ^ m[j] for m in maps]
+    wide, half = a > MAP_WORDS[1], a > MAP_WORDS[0]
+    count = lambda *x: sum(np.bitwise_count(v).astype(np.int64) for v in x)
+    if not (half | (b > MAP_WORDS[0])).any():
+        return count(apart[0])
+    folded = apart[0] ^ apart[2], apart[1] ^ apart[3]
+    return np.where(wide, count(*apart), np.where(half, count(*folded), count(folded[0] ^ folded[1])))
 
-def _candidates(part: dict[str, np.ndarray], share: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (later, earlier) of whole keys, sorted by key and size, that pass all filters; ties both ways."""
-    key, size, place, bits = part["key"], part["size"].astype(np.int64), part["place"].astype(np.int64), part["bits"]
+
+def _candidates(part: dict[str, np.ndarray], share: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs (later, earlier; differing bits) of whole keys, sorted by key and size, that pass all filters; ties both ways."""
+    key, size, place, maps = part["key"], part["size"], part["place"], [part[c] for c in MAPS]
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     group = np.searchsorted(edge, np.arange(len(key)), "right")
     # places are in order of (key, size): a row's partners end where the size grows over size / t
@@ -180,7 +247,7 @@ def _candidates(part: dict[str, np.ndarray], share: Fraction) -> tuple[np.ndarra
     end = np.searchsorted(rank, group * width + np.minimum(size * share.denominator // share.numerator, width - 1), "right")
     may = np.flatnonzero((place < size - _least_overlap(share, 2 * size) + 1) & (end > np.arange(len(key)) + 1))
     n = end[may] - may - 1
-    late, early = [], []
+    out = []
     total = np.cumsum(n)
     a = 0
     while a < len(may):
@@ -190,66 +257,79 @@ def _candidates(part: dict[str, np.ndarray], share: Fraction) -> tuple[np.ndarra
         least = _least_overlap(share, size[i] + size[j])
         fine = np.minimum(size[i] - place[i], size[j] - place[j]) >= least
         i, j, least = i[fine], j[fine], least[fine]
-        fine = np.bitwise_count(bits[i] ^ bits[j]) <= size[i] + size[j] - 2 * least
-        i, j = i[fine], j[fine]
-        before = np.sign((part["doc"][i] > part["doc"][j]).astype(np.int8) * 2 - (part["doc"][i] < part["doc"][j]) * 2 + (part["number"][i] > part["number"][j]) - (part["number"][i] < part["number"][j]))
-        late += [i[before >= 0], j[before <= 0]]
-        early += [j[before >= 0], i[before <= 0]]
+        apart = map_distance(maps, size, i, j)
+        fine = apart <= size[i] + size[j] - 2 * least
+        i, j, apart = i[fine], j[fine], apart[fine]
+        after = lambda x, y: (part["doc"][x] > part["doc"][y]) | (part["doc"][x] == part["doc"][y]) & (part["number"][x] >= part["number"][y])
+        for x, y in ((i, j), (j, i)):
+            on = after(x, y)
+            out.append((x[on], y[on], apart[on]))
     none = np.zeros(0, np.int64)
-    return (np.concatenate(late), np.concatenate(early)) if late else (none, none)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
+
+
+PAIR = "name long, map0 long, other long, other_map long, doc long, other_doc long, apart int, tie boolean, several boolean"
 
 
 def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame | None = None) -> DataFrame:
-    """set, other (an earlier set), their documents, tie: the ``most`` earliest of each key, and count, how many there are."""
+    """Pairs of a line set (name, map0, doc) and an earlier one (other ...): of each key the ``most`` nearest; several: there are more."""
     some = only is not None
-    if some:
-        wanted = only.select(F.col("set").alias("wanted"))
-        posts = posts.join(F.broadcast(wanted) if only.count() <= BROADCAST_SETS else wanted, F.col("set") == F.col("wanted"), "left")
-        posts = posts.select(*POST, F.col("wanted").isNotNull().alias("on"))
 
     def look(table: pa.Table) -> pa.RecordBatch:
         part = {c: table[c].to_numpy() for c in table.column_names}
-        by = np.lexsort((part["number"], part["doc"], part["set"], part["size"], part["key"]))
+        post, who = part["post"], part["who"]
+        part |= {c: part[c].view(np.uint64) for c in MAPS}
+        part |= {"key": post >> 32, "size": post >> PLACE_BITS & MOST_WORDS, "place": post & MOST_PLACE, "number": who >> 32}
+        part["name"] = part["size"] << 32 | who & 0xFFFFFFFF
+        by = np.lexsort((part["number"], part["doc"], part["map0"], part["name"], part["key"]))
         part = {c: v[by] for c, v in part.items()}
         # a set's first occurrence stands for it; all occurrences have the same keys, so all are here
         new = np.ones(len(by), bool)
-        new[1:] = (part["key"][1:] != part["key"][:-1]) | (part["set"][1:] != part["set"][:-1])
+        new[1:] = np.any([part[c][1:] != part[c][:-1] for c in ("key", "name", "map0")], axis=0)
         part = {c: v[new] for c, v in part.items()}
-        part["bits"] = part["bits"].view(np.uint64)
-        late, early = _candidates(part, share)
+        late, early, apart = _candidates(part, share)
         if some:
             on = part["on"][late]
-            late, early = late[on], early[on]
-        by = np.lexsort((part["number"][early], part["doc"][early], late))
-        late, early = late[by], early[by]
+            late, early, apart = late[on], early[on], apart[on]
+        by = np.lexsort((part["number"][early], part["doc"][early], apart, late))
+        late, early, apart = late[by], early[by], apart[by]
         turn = np.arange(len(late)) - np.searchsorted(late, late)
-        count = np.bincount(late, minlength=len(part["key"]))[late]
+        several = np.bincount(late, minlength=len(part["key"]))[late] > 1
         on = turn < (most or len(late) + 1)
-        late, early, count = late[on], early[on], count[on]
+        late, early, apart, several = late[on], early[on], apart[on], several[on]
         tie = (part["doc"][late] == part["doc"][early]) & (part["number"][late] == part["number"][early])
-        columns = (part["set"][late], part["set"][early], part["doc"][late], part["doc"][early], tie, count.astype(np.int64))
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["set", "other", "doc", "other_doc", "tie", "count"])
+        maps = part["map0"].view(np.int64)
+        columns = (part["name"][late], maps[late], part["name"][early], maps[early], part["doc"][late], part["doc"][early], apart.astype(np.int32), tie, several)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], [x.split()[0] for x in PAIR.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         textvec.keep_freed_memory()
-        for table in textvec.whole_keys(batches, BLOCK_ROWS):
+        for table in textvec.whole_keys(batches, BLOCK_ROWS, lambda t: t["post"].to_numpy() >> 32):
             yield look(table)
         textvec.release()
 
-    found = posts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "set long, other long, doc long, other_doc long, tie boolean, count long")
-    return found.groupBy("set", "other").agg(F.min("doc").alias("doc"), F.min("other_doc").alias("other_doc"), F.max("tie").alias("tie"), F.max("count").alias("count"))
+    if some:
+        wanted = only.select(F.col("name").alias("__name"), F.col("map0").alias("__map"))
+        name = F.expr(f"shiftleft(shiftright(post, {PLACE_BITS}) & {MOST_WORDS}L, 32) | (who & 4294967295L)")
+        posts = posts.join(_small(wanted), (name == F.col("__name")) & (F.col("map0") == F.col("__map")), "left").select(*POST, F.col("__name").isNotNull().alias("on"))
+    return posts.repartition(F.shiftright("post", 32)).sortWithinPartitions("post").mapInArrow(run, PAIR)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_SETS else table
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, ranked: Broadcast, share: Fraction) -> DataFrame:
-    """The pairs (set, other, tie) whose whole token sets reach the threshold; ``docs`` has doc and text."""
+    """The pairs whose whole token sets reach the threshold; ``docs`` has doc and text."""
     spark = docs.sparkSession
-    both = pairs.select("set", "doc").union(pairs.select("other", "other_doc"))
-    wanted = staged(both.groupBy("set").agg(F.min("doc").alias("doc")), "wanted")
+    both = pairs.select("name", "map0", "doc").union(pairs.select("other", "other_map", "other_doc"))
+    wanted = staged(both.groupBy("name", "map0").agg(F.min("doc").alias("doc")), "wanted")
     few = wanted.count() <= BROADCAST_SETS
     picked = None
     if few:  # the documents that hold a wanted set's first line, and the sets
         got = wanted.toArrow()
-        picked = spark.sparkContext.broadcast(tuple(np.unique(got[c].to_numpy()) for c in ("doc", "set")))
+        picked = spark.sparkContext.broadcast(tuple(np.unique(got[c].to_numpy()) for c in ("doc", "name")))
 
     def among(names: np.ndarray, values: np.ndarray) -> np.ndarray:
         return names[np.minimum(np.searchsorted(names, values), len(names) - 1)] == values if len(names) else np.zeros(len(values), bool)
@@ -260,19 +340,20 @@ def _compared(docs: DataFrame, pairs: DataFrame, ranked: Broadcast, share: Fract
             sizes = np.diff(offs)[on]
             buf, offs = buf[textvec.ragged(offs[on], sizes)], np.concatenate(([0], np.cumsum(sizes)))
         sets = LineSets(buf, offs, ranks_of(ranked))
-        keep = np.flatnonzero(among(picked.value[1], sets.set) if picked is not None else sets.size > 0)
-        keep = keep[np.unique(sets.set[keep], return_index=True)[1]]
-        flat = sets.token[textvec.ragged(sets.first[keep], sets.size[keep])].view(np.int64)
+        keep = np.flatnonzero(among(picked.value[1], sets.name) if picked is not None else sets.size > 0)
+        keep = keep[np.unique(np.stack((sets.name[keep], sets.maps[0][keep].view(np.int64))), axis=1, return_index=True)[1]]
+        flat = sets.compact()[textvec.ragged(sets.first[keep], sets.size[keep])]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sets.size[keep]))), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([pa.array(sets.set[keep]), lists], ["set", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(sets.name[keep]), pa.array(sets.maps[0][keep].view(np.int64)), lists], ["name", "map0", "tokens"])
 
-    whole = textvec.per_chunk(docs, tokens, "set long, tokens array<long>", ("doc", "text")).groupBy("set").agg(F.first("tokens").alias("tokens"))
+    whole = textvec.per_chunk(docs, tokens, "name long, map0 long, tokens array<long>", ("doc", "text")).groupBy(*NAME).agg(F.first("tokens").alias("tokens"))
     if not few:
-        whole = whole.join(wanted, "set", "left_semi")
+        whole = whole.join(wanted, NAME, "left_semi")
     whole = staged(whole, "tokens")
-    other = whole.select(F.col("set").alias("other"), F.col("tokens").alias("others"))
-    both = pairs.select("set", "other", "tie").join(whole, "set").join(other, "other").withColumn("same", F.size(F.array_intersect("tokens", "others")))
-    return both.filter(F.col("same") * (share.denominator + share.numerator) >= F.lit(share.numerator) * (F.size("tokens") + F.size("others"))).select("set", "other", "tie")
+    other = whole.select(F.col("name").alias("other"), F.col("map0").alias("other_map"), F.col("tokens").alias("others"))
+    both = pairs.select("name", "map0", "other", "other_map", "tie").join(whole, NAME).join(other, ["other", "other_map"]).withColumn("same", F.size(F.array_intersect("tokens", "others")))
+    close = both.filter(F.col("same") * (share.denominator + share.numerator) >= F.lit(share.numerator) * (F.size("tokens") + F.size("others")))
+    return close.select("name", "map0", "other", "other_map", "tie")
 
 
 _ranks: dict[int, Ranks] = {}
@@ -312,49 +393,52 @@ def repeated_lines(docs: DataFrame, threshold: Fraction | str = "0.8") -> DataFr
         ranks = ranks_of(ranked)
         sets = LineSets(buf, offs, ranks)
         keep = np.flatnonzero(sets.size)
-        ids, texts = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        # of equal lines in a chunk the first one stands for all: only it has a prefix
-        by = keep[np.lexsort((sets.number[keep], ids[sets.doc[keep]], sets.set[keep]))]
-        lead = np.zeros(len(sets.size), bool)
-        if len(by):
-            lead[by[np.concatenate(([True], sets.set[by][1:] != sets.set[by][:-1]))]] = True
-        key, place, line = sets.keys(lead, share, ranks.hot)
+        ids, texts = rows.column(0).to_numpy()[sets.doc], rows.column(1).to_numpy()[sets.doc]
+        # of equal lines in a chunk the first one stands for all: the others are gone, unless they have its very place (repeated rows)
+        by = keep[np.lexsort((sets.number[keep], texts[keep], ids[keep], sets.maps[0][keep], sets.name[keep]))]
+        new = np.ones(len(by), bool)
+        new[1:] = (sets.name[by][1:] != sets.name[by][:-1]) | (sets.maps[0][by][1:] != sets.maps[0][by][:-1])
+        first = by[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(by) else by
+        lead, posting = np.zeros(len(sets.size), bool), np.zeros(len(sets.size), bool)
+        lead[by] = (ids[by] == ids[first]) & (texts[by] == texts[first]) & (sets.number[by] == sets.number[first])
+        posting[by[new]] = True
+        post, line = sets.keys(posting, share, ranks.hot)
         ends = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(sets.size))[keep])))
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(key), pa.array(place, pa.int32()))]
-        columns = (ids[sets.doc[keep]], texts[sets.doc[keep]], sets.number[keep].astype(np.int32), sets.set[keep], sets.bits[keep].view(np.int64), sets.size[keep].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], ["doc", "text_key", "line", "set", "bits", "n_tokens", "keys", "places"])
-
-    table = staged(textvec.per_chunk(docs, build, "doc long, text_key long, line int, set long, bits long, n_tokens int, keys array<long>, places array<int>", ("doc", "text_key", "text")), "lines")
-    lines = table.select("doc", "text_key", "line", "set", "bits", "n_tokens")
-    # the bitmap and the size stand beside the hash, so that it does not decide alone
-    same = ["set", "bits", "n_tokens"]
+        columns = (ids[keep], texts[keep], sets.number[keep].astype(np.int32), sets.name[keep], *np.where(lead, sets.maps, 0)[:, keep].view(np.int64), sets.size[keep].astype(np.int32), lead[keep])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(post))], ["doc", "text_key", "line", "name", *MAPS, "n_tokens", "lead", "posts"])
+
+    table = staged(textvec.per_chunk(docs, build, "doc long, text_key long, line int, name long, map0 long, map1 long, map2 long, map3 long, n_tokens int, lead boolean, posts array<long>", ("doc", "text_key", "text")), "lines")
+    leads = table.filter("lead").select("doc", "text_key", "line", "name", "map0", "n_tokens")
+    posts = table.filter("size(posts) > 0").select(F.explode("posts").alias("post"), F.expr("shiftleft(cast(line as long), 32) | (name & 4294967295L)").alias("who"), "doc", *MAPS)
+    pair = F.struct("apart", "other_doc", "other", "other_map", "tie", "doc")
+    other = F.struct("other", "other_map")
+    nearest = _meet(posts, share, FIRST_LOOK).groupBy(*NAME).agg(F.min(pair).alias("best"), (F.max("several") | (F.min(other) != F.max(other))).alias("several"))
+    pairs = staged(nearest.select(*NAME, "best.*", "several"), "pairs")
+    found = staged(_in_order(staged(_compared(docs, pairs, ranked, share), "close"), leads), "similar")
+    left = staged(pairs.filter("several").select(*NAME).join(found, NAME, "left_anti"), "left")
+    if left.head(1):  # the nearest did not match; compare with all that share a key
+        on = _small(left.select(F.col("name").alias("__name"), F.col("map0").alias("__map")))
+        keys = table.filter("size(posts) > 0").select("name", "map0", "posts").join(on, (F.col("name") == F.col("__name")) & (F.col("map0") == F.col("__map")), "left_semi")
+        keys = staged(keys.select(F.explode(F.expr("transform(posts, x -> shiftright(x, 32))")).alias("__key")).distinct(), "keys")
+        near = posts.join(_small(keys), F.shiftright("post", 32) == F.col("__key"), "left_semi")
+        rest = staged(_meet(near, share, None, left).dropDuplicates([*NAME, "other", "other_map"]), "pairs")
+        found = staged(found.union(_in_order(staged(_compared(docs, rest, ranked, share), "close"), leads)).distinct(), "similar")
     here = F.struct("doc", "text_key", "line")
-    firsts = lines.groupBy(*same).agg(F.min(here).alias("first"))
-    posts = table.filter("size(keys) > 0").select("set", "bits", "doc", F.col("line").alias("number"), F.col("n_tokens").alias("size"), F.explode(F.arrays_zip("keys", "places")).alias("p")).select(F.col("p.keys").alias("key"), "set", "bits", "doc", "number", "size", F.col("p.places").alias("place"))
-    pairs = staged(_meet(posts, share, FIRST_LOOK), "pairs")
-    close = staged(_compared(docs, pairs, ranked, share), "close")
-    found = _in_order(close, firsts)
-    left = pairs.filter(F.col("count") >= FIRST_LOOK).select("set").distinct().join(found, "set", "left_anti")
-    left = staged(left, "left")
-    if left.head(1):  # none of the earliest matched; compare with all that share a key
-        few = F.broadcast(left) if left.count() <= BROADCAST_SETS else left
-        keys = staged(posts.select("set", "key").join(few, "set", "left_semi").select("key").distinct(), "keys")
-        near = posts.join(F.broadcast(keys) if keys.count() <= BROADCAST_SETS else keys, "key", "left_semi")
-        rest = staged(_meet(near, share, None, left), "pairs")
-        found = found.union(_in_order(staged(_compared(docs, rest, ranked, share), "close"), firsts)).distinct()
-    known = firsts.join(found.withColumn("similar", F.lit(True)), "set", "left")
-    out = lines.join(known, same)
-    gone = F.coalesce("similar", F.lit(False)) | (here > F.col("first"))
-    return out.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "text_key", F.col("line").cast("long").alias("line"), F.col("n_tokens").cast("long").alias("n_tokens"), gone.alias("gone"))
-
-
-def _in_order(close: DataFrame, firsts: DataFrame) -> DataFrame:
-    """set of each pair whose ``other`` is the earlier one, also where document and line number are the same."""
-    clear = close.filter(~F.col("tie")).select("set")
+    # of a set's first lines in the chunks, all but the very first are gone, and that one if a similar line comes before
+    first = F.min(here).over(Window.partitionBy(*NAME, "n_tokens"))
+    known = _small(found.select(*NAME, F.lit(True).alias("similar")))
+    lines = leads.withColumn("first", first).join(known, NAME, "left").select("doc", "text_key", "line", "n_tokens", (F.coalesce("similar", F.lit(False)) | (here > F.col("first"))).alias("gone"))
+    lines = lines.unionByName(table.filter("not lead").select("doc", "text_key", "line", "n_tokens", F.lit(True).alias("gone")))
+    return lines.select(F.when(F.col("doc") < LAST, F.col("doc")).alias("doc_id"), "text_key", F.col("line").cast("long").alias("line"), F.col("n_tokens").cast("long").alias("n_tokens"), "gone")
+
+
+def _in_order(close: DataFrame, leads: DataFrame) -> DataFrame:
+    """Names of the sets of pairs whose ``other`` is the earlier one, also where document and line number are the same."""
+    clear = close.filter(~F.col("tie")).select(*NAME)
     if close.filter("tie").head(1):  # rows that share a doc_id
-        first = firsts.groupBy("set").agg(F.min("first").alias("first"))
-        tied = close.filter("tie").join(first, "set").join(first.toDF("other", "other_first"), "other").filter("other_first < first")
-        clear = clear.union(tied.select("set"))
+        first = leads.groupBy(*NAME).agg(F.min(F.struct("doc", "text_key", "line")).alias("first"))
+        tied = close.filter("tie").join(first, NAME).join(first.toDF("other", "other_map", "other_first"), ["other", "other_map"]).filter("other_first < first")
+        clear = clear.union(tied.select(*NAME))
     return clear.distinct()
 
 

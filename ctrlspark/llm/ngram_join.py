@@ -150,13 +150,13 @@ def _links(pdf: pd.DataFrame, share: Fraction) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
 
 
-def links(docs: DataFrame, sets: DataFrame, n: int, share: Fraction) -> DataFrame:
-    """Links between rows (by set_a of each) whose closure is that of all links: src, dst."""
+def links(docs: DataFrame, sets: DataFrame, n: int, share: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Links between rows of the matrix whose closure is that of all links (src, dst), and the rows (node, set_a, set_b)."""
     spark = docs.sparkSession
     keys = staged(_candidates(sets), "keys")
     few = keys.count() <= BROADCAST_KEYS
     texts = docs.select("text").join(F.broadcast(keys) if few else keys, F.xxhash64("text") == F.col("text_key"), "left_semi")
-    whole = staged(whole_sets(texts, n).dropDuplicates(["set_a", "set_b"]).select(F.col("set_a").alias("node"), "size", "columns"), "rows")
+    whole = staged(whole_sets(texts, n).dropDuplicates(["set_a", "set_b"]).withColumn("node", F.monotonically_increasing_id()), "rows")
     cells = whole.select("node", F.explode("columns").alias("column"))
     known = cells.groupBy("column").agg(F.count("*").alias("df")).filter("df > 1")
     numer, denom = share.numerator, share.denominator
@@ -180,17 +180,20 @@ def links(docs: DataFrame, sets: DataFrame, n: int, share: Fraction) -> DataFram
     below = "case when below > 0 then transform(sequence(0, below - 1), j -> named_struct('g', grade - 1, 'h', grade, 'i', j, 'j', block, 'side', 2)) else array() end"
     dealt = placed.select("component", "node", "size", "columns", F.explode(F.expr(f"concat({own}, {above}, {below})")).alias("to")).select("component", "to.*", "node", "size", "columns")
     found = dealt.groupBy("component", "g", "h", "i", "j").applyInPandas(lambda pdf: _links(pdf, share), "src long, dst long")
-    return staged(found, "links")
+    return staged(found, "links"), whole.select("node", "set_a", "set_b")
 
 
 def labelled(docs: DataFrame, n: int, share: Fraction) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, label (null without shingles), low (the label's smallest doc_id)."""
     sets = staged(shingle_sets(docs, n, share).withColumn("row", F.monotonically_increasing_id()), "sets")
     group = sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
-    component = connected_components(links(docs, sets, n, share)).select(F.col("node").alias("set_a"), "component")
-    lows = group.join(component, "set_a").groupBy("component").agg(F.min("first").alias("low"))
+    found, rows = links(docs, sets, n, share)
+    component = rows.join(connected_components(found), "node").select("set_a", "set_b", "component")
+    lows = group.join(component, ["set_a", "set_b"]).groupBy("component").agg(F.min("first").alias("low"))
     known = component.join(lows, "component")
-    group = group.join(known, "set_a", "left").select("set_a", "set_b", F.coalesce("component", "set_a").alias("label"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("low")).alias("low"))
+    # a label is a component's node, or the set itself, which no node number equals as a text
+    alone = F.concat_ws(":", "set_a", "set_b")
+    group = group.join(known, ["set_a", "set_b"], "left").select("set_a", "set_b", F.coalesce(F.col("component").cast("string"), alone).alias("label"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("low")).alias("low"))
     return sets.select("doc_id", "text_key", "n_shingles", "set_a", "set_b").join(group, ["set_a", "set_b"], "left").drop("set_a", "set_b")
 
 

@@ -281,16 +281,16 @@ def _fold() -> Column:
     return F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
 
 
-def _fit(docs: DataFrame, labels: DataFrame, quantile: float | None) -> tuple[Scorer, DataFrame]:
+def _fit(docs: DataFrame, labels: DataFrame, quantile: float | None, broadcast_rows: int = BROADCAST_ROWS) -> tuple[Scorer, DataFrame]:
     """The model of all trusted documents, and each language's threshold (lang, threshold)."""
     trusted = _trusted(docs, labels)
     if quantile is not None:
-        scorer = Scorer(train(trusted))
+        scorer = Scorer(train(trusted), broadcast_rows)
         return scorer, staged(thresholds(scorer.score(trusted), quantile), "limits")
     dealt = trusted.select(F.concat(_fold(), F.lit(" "), "lang").alias("lang"), "text")
     per_fold = staged(trigram_counts(dealt).selectExpr("substring(lang, instr(lang, ' ') + 1) as lang", "cast(substring_index(lang, ' ', 1) as int) as fold", "gram", "n"), "folds")
     limits = staged(best_cuts(held_out(docs, labels, per_fold)).select("lang", "threshold"), "limits")
-    return Scorer(tables(staged(per_fold.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "c3"))), limits
+    return Scorer(tables(staged(per_fold.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "c3")), broadcast_rows), limits
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float | None = None) -> DataFrame:
@@ -309,13 +309,19 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float | None = None)
     return scorer.score(docs).join(F.broadcast(limits), "lang", "left").select("doc_id", "lang", "n_bytes", "perplexity", "threshold", (~F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False))).alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, quantile: float | None = None) -> DataFrame:
-    """``docs`` without the rows that ``classify`` rejects; all columns stay as they are."""
-    scorer, table = _fit(docs, labels, quantile)
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows that ``classify`` rejects; all columns stay as they are.
+
+    Null, empty and blank texts stay, as do null doc_ids unless their text is rejected;
+    repeated rows stay or go together, but rows of one doc_id and text in different
+    languages are judged each by its own; an empty table gives none.
+    """
+    scorer, table = _fit(docs, labels, quantile, broadcast_rows)
     limits = {r["lang"]: r["threshold"] for r in table.collect()}  # a row for each language
     if scorer.arrays is None:
-        bad = scorer.score(docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "lang", "text")).join(F.broadcast(table), "lang").filter("perplexity > threshold").select("doc_id.*").distinct().toDF("__id", "__key")
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__key"]), "left_anti")
+        key = F.struct("doc_id", F.xxhash64("text").alias("key"), F.coalesce("lang", F.lit("")).alias("tongue"))
+        bad = scorer.score(docs.select(key.alias("doc_id"), "lang", "text")).join(F.broadcast(table), "lang").filter("perplexity > threshold").select("doc_id.*").distinct().toDF("__id", "__key", "__lang")
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__key"]) & (F.coalesce(docs["lang"], F.lit("")) == bad["__lang"]), "left_anti")
 
     arrays = scorer.arrays
 

@@ -239,7 +239,7 @@ def shingle_hashes(word_hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.cumsum(sizes)
 
 
-def whole_keys(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+def whole_keys(batches: Iterator[pa.RecordBatch], rows: int, key: Callable[[pa.Table], np.ndarray] = lambda t: t["key"].to_numpy()) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows that cut no key, of batches sorted by key."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -248,8 +248,8 @@ def whole_keys(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Tabl
         held.append(batch)
         if sum(b.num_rows for b in held) >= rows:
             table = pa.Table.from_batches(held)
-            key = table["key"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
+            keys = key(table)
+            cut = int(np.searchsorted(keys, keys[-1]))
             if cut:
                 yield table.slice(0, cut)
             held = table.slice(cut).combine_chunks().to_batches()

@@ -10,9 +10,12 @@ has one valid last token (a token is valid after another if the two encode to
 themselves).  States are made when first reached and kept in one table.
 
 Texts are cut into equal chunks that advance side by side.  A chunk's state map
-is its count, its exit state and the head of bytes that lie before its first
-pre-token boundary, where every entry state leads to the same one.  Maps
-compose from left to right by a scan that hands exit states to heads.
+leads from an entry state to a count and an exit state.  A chunk with a pre-token
+boundary has one exit state; only the head of bytes before its first boundary
+depends on the entry.  A chunk inside one pre-token is first mapped from a guessed
+entry state.  Maps are then composed by a scan: all chunks whose predecessor's exit
+is another one than they were mapped from are mapped again at once, until none is
+left.  As exits seldom depend on what came a thousand bytes before, a few rounds do.
 """
 
 from __future__ import annotations
@@ -164,19 +167,19 @@ class Transducer:
         head = np.where(go.any(axis=0), go.argmax(axis=0), LANE)
         todo = np.flatnonzero(head > 0)
         todo = todo[todo > 0]
-        while len(todo):  # scan: a head runs once its predecessor's exit state is known
-            ready = todo[state[todo - 1] != DEAD]
-            if not len(ready):
-                break
-            entry, length = state[ready - 1], head[ready]
+        through = head == LANE
+        state[through] = START  # a guess, until the map of the lane before is known
+        entry = np.full(len(todo), -1, np.int64)
+        while len(again := np.flatnonzero(entry != state[todo - 1])):  # scan: all maps that got another entry state, side by side
+            entry[again] = state[todo[again] - 1]
+            lanes_now, length, now = todo[again], head[todo[again]], entry[again].copy()
             for i in range(int(length.max())):
                 on = np.flatnonzero(length > i)
-                got = self.step(entry[on], grid[i, ready[on]])
-                entry[on] = got >> 8
-                out[i, ready[on]] = (got & 255) - BIAS
-            through = length == LANE
-            state[ready[through]] = entry[through]
-            todo = np.setdiff1d(todo, ready)
+                got = self.step(now[on], grid[i, lanes_now[on]])
+                now[on] = got >> 8
+                out[i, lanes_now[on]] = (got & 255) - BIAS
+            whole = through[lanes_now]
+            state[lanes_now[whole]] = now[whole]
         return out.T.reshape(-1)[:n]
 
 

@@ -133,7 +133,7 @@ def test_licenses(spark):
     texts = [None, "", "NULL ID", "The MIT License, again: mit  LICENSE.", "Licensed under the Apache License, Version 2.0.", "license apache version", "Licensed under CC BY-NC 4.0.", "x " * 3000 + "GNU General Public License"]
     rows = {r.doc_id: r for r in licenses.digest(licenses.scan_licenses(table(spark, texts))).collect()}
     assert (rows[4].n_base, rows[4].first_word, rows[4].last_word, rows[4].base_labels) == (2, 1, 4, "mit")
-    assert rows[5].labels == "apache,apache-2.0" and rows[5].score == 1.0
+    assert rows[5].labels == "apache,apache-2.0" and rows[5].score == 1.0, rows[5]
     assert rows[6].labels == "" and rows[6].score == 0 and rows[6].n_words == 3
     assert rows[7].labels == "cc-by-nc-4.0" and rows[7].base_labels == ""
     assert rows[8].first_word == 3001 and rows[1].n_words == 0 and rows[1].first_word is None
@@ -201,19 +201,20 @@ def test_nearest(spark):
     assert not {2000, 2050, 2100, 2150, 2200} & set(got) and ann.nearest(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [10**6, 40])
+@pytest.mark.parametrize("block", [10**6, 300])
 def test_decontamination(spark, block):
-    items = [*sentences(6, 12), "only three words", "", None, "one"]
-    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
-    texts = EDGE + sentences(7, 10) + [f"{a} {b.upper()}!" for a, b in zip(sentences(8, 8), items)] + ["Only, THREE; words", "one"]
+    items = [*sentences(6, 12), "only three words", "", None, "one", sentences(6, 1)[0], "nobody owns this"]
+    bench = spark.createDataFrame([(None if t == "nobody owns this" else i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
+    texts = EDGE + sentences(7, 10) + [f"{a} {b.upper()}!" for a, b in zip(sentences(8, 8), items)] + ["Only, THREE; words", "one", "nobody owns this"]
     windows = defaultdict(set)
     for i, t in enumerate(items):
         w = WORD.findall((t or "").translate(LOW))
         n = min(13, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            windows[tuple(w[k : k + n])].add(str(i))
-    got = {r.doc_id: r for r in decontaminate.digest(decontaminate.hits(table(spark, texts), bench, block_words=block)).collect()}
-    clean = {r.doc_id for r in decontaminate.decontaminate(table(spark, texts), bench).collect()}
+            windows[tuple(w[k : k + n])] |= {str(i)} - {str(len(items) - 1)}
+    got = {r.doc_id: r for r in decontaminate.digest(decontaminate.hits(table(spark, texts), bench, part_chars=block)).collect()}
+    clean = {r.doc_id for r in decontaminate.decontaminate(table(spark, texts), bench, part_chars=block).collect()}
+    assert block > 1000 or len(decontaminate.pattern_parts(bench, 13, block)) > 1
     for i, t in enumerate(texts, 1):
         if t == "NULL ID":
             continue
@@ -265,11 +266,11 @@ def test_suffix_dedup(spark, monkeypatch, batches, hot, piece):
     assert suffix_dedup.digest(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("look", [4, 1])
-def test_line_dedup(spark, monkeypatch, look):
-    monkeypatch.setattr(line_dedup, "FIRST_LOOK", look)
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_line_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_WORD", hot)
     r = random.Random(1)
-    pool = sentences(10, 25, 200)
+    pool = sentences(10, 25, 200) + [" ".join(x) for x in zip(*[iter(sentences(13, 40, 900))] * 8)]
     texts = [None, "", " \n ", "NULL ID"]
     for _ in range(25):
         lines = []
