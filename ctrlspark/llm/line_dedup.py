@@ -22,6 +22,7 @@ hash.  Any order that is the same for all lines gives the same result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -111,11 +112,11 @@ def _counted(word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def frequent_words(docs: DataFrame, size: int = RANKED_WORDS) -> Broadcast:
-    """(hashes, ranks, rank from which words are hot) of the most frequent words; rank 1 for the rarest of them."""
+    """(hashes, ranks, rank from which words are hot, a name of the list) of the most frequent words; rank 1 for the rarest of them."""
     top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).toArrow()
     ranks = np.arange(top.num_rows, 0, -1)
     hot = ranks[top["n"].to_numpy() >= HOT_WORD]
-    return docs.sparkSession.sparkContext.broadcast((top["word"].to_numpy().view(np.uint64), ranks, int(hot.min()) if len(hot) else 1 << 40))
+    return docs.sparkSession.sparkContext.broadcast((top["word"].to_numpy().view(np.uint64), ranks, int(hot.min()) if len(hot) else 1 << 40, uuid.uuid4().hex))
 
 
 class Ranks:
@@ -356,16 +357,16 @@ def _compared(docs: DataFrame, pairs: DataFrame, ranked: Broadcast, share: Fract
     return close.select("name", "map0", "other", "other_map", "tie")
 
 
-_ranks: dict[int, Ranks] = {}
+_ranks: dict[str, Ranks] = {}
 
 
 def ranks_of(ranked: Broadcast) -> Ranks:
     """The table of a broadcast list, made once a worker and list."""
-    key = id(ranked.value)
-    if key not in _ranks:
+    *table, name = ranked.value
+    if name not in _ranks:
         _ranks.clear()
-        _ranks[key] = Ranks(*ranked.value)
-    return _ranks[key]
+        _ranks[name] = Ranks(*table)
+    return _ranks[name]
 
 
 def text_key(text: Column | str = "text") -> Column:
