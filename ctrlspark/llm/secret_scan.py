@@ -1,11 +1,13 @@
 """Secret scan: patterns find candidates, their decoded structure confirms them.
 
 Plain kinds (password-like assignments, access key ids, long hex) are matches of
-fixed patterns.  The structural kinds report a base64 or hex run only if its
-bytes parse: DER whose nested lengths fit to the last byte and whose content is
-laid out as a private key, OpenSSH key containers and wire-format keys whose
-length fields add up, and three-part tokens whose first part decodes to a JSON
-header that names an algorithm.
+fixed patterns.  For the structural kinds, candidates are runs of base64 or hex
+digits, also wrapped over lines or with escaped line ends, found by alphabet alone;
+a key may begin anywhere in a run.  It is reported only if its bytes parse: DER whose
+nested lengths fit and whose content is laid out as a private key (RSA, DSA, EC, the
+wrapped general form and its encrypted one), OpenSSH key containers and wire-format
+keys whose length fields add up, and dotted tokens whose first part decodes to a
+JSON header that names an algorithm.  A span ends where the declared length ends.
 """
 
 from __future__ import annotations
@@ -20,18 +22,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec
+
 #: ASCII: no letter outside A-Z counts as another case of one inside
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}")
-HEX_ANY = re.compile(r"(?:30|6[Ff]70656[Ee])[0-9A-Fa-f]{62,}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[A-Za-z0-9_-]{7,}={0,2}\.[A-Za-z0-9_-]*={0,2}\.[A-Za-z0-9_-]*")
+#: what may stand between the lines of a wrapped key: line ends, also as the two characters of an escape
+_BREAK = r"(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*)"
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\r|\\n|[A-Za-z-]+: [^\r\n\\]*(?:\r?\n|\\r\\n|\\n))+)-----END \1-----")
+PEM_HEADER = re.compile(r"[A-Za-z-]+: [^\r\n\\]*(?:\r?\n|\\r\\n|\\n)")
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]{{4,}})*={{0,2}}")
+#: where a key may begin: 0x30 with a length, or the magic word of OpenSSH
+BASE64_KEY = re.compile(r"M[A-P][A-Za-z0-9+/_-]{2}|b3BlbnNzaC1rZXkt")
+HEX_RUN = re.compile(rf"[0-9A-Fa-f]{{16,}}(?:{_BREAK}[0-9A-Fa-f]{{4,}})*")
+HEX_KEY = re.compile(r"30(?:8[1-3]|[2-7][0-9A-Fa-f])|6[Ff]70656[Ee]7373682[Dd]")
+#: bytes of a key at least and at most (an RSA key of 16384 bits has 9.3 kB)
+KEY_BYTES = (32, 1 << 16)
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem_key", "der_key", "ssh_key", "signed_token")
 
 
+#: object identifiers of password-based encryption begin so (fixed values)
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
 def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, content start, content end) of the DER element at ``at``, if its length fits below ``end``."""
     if at + 2 > end:
@@ -60,17 +76,24 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def is_der_key(data: bytes) -> bool:
-    """A DER private key: RSA (nine integers), EC (version 1 and an octet string) or the wrapped general form."""
+    """A DER private key: RSA (nine integers), DSA (six), EC (version 1 and an octet string), the wrapped general form or its encrypted one."""
     top = _element(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
     parts = _children(data, top[1], top[2])
-    if not parts or parts[0][0] != 0x02 or len(parts) < 3:
+    if not parts:
         return False
     tags = [p[0] for p in parts]
+    if tags == [0x30, 0x04]:  # the algorithm is one of password-based encryption
+        algorithm = _children(data, parts[0][1], parts[0][2])
+        return bool(algorithm) and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(PASSWORD_BASED)
+    if parts[0][0] != 0x02 or len(parts) < 3:
+        return False
     version = int.from_bytes(data[parts[0][1] : parts[0][2]])
     if tags[:9] == [0x02] * 9 and version in (0, 1):
         return True
+    if tags == [0x02] * 6 and version == 0:
+        return True
     if tags[1] == 0x04 and version == 1 and all(t in (0xA0, 0xA1) for t in tags[2:]):
         return all(_children(data, p[1], p[2]) is not None for p in parts[2:])
     if tags[1] == 0x30 and tags[2] == 0x04 and version in (0, 1):
@@ -93,22 +116,50 @@ def _fields(data: bytes) -> list[bytes] | None:
     return out
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private-key container whose nested lengths add up."""
-    magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
-        return False
-    at, rest = len(magic), []
-    for _ in range(3):  # cipher, key derivation, its options
-        if at + 4 > len(data):
-            return False
+MAGIC = b"openssh-key-v1\x00"
+
+
+def ssh_key_length(data: bytes) -> int:
+    """Bytes of the OpenSSH private-key container that ``data`` begins with; 0 if its nested lengths don't fit."""
+    if not data.startswith(MAGIC):
+        return 0
+    at = len(MAGIC)
+
+    def field() -> bytes | None:
+        nonlocal at
         n = int.from_bytes(data[at : at + 4])
-        rest.append(data[at + 4 : at + 4 + n])
+        if at + 4 + n > len(data):
+            return None
         at += 4 + n
-    if at + 4 > len(data) or not 1 <= (keys := int.from_bytes(data[at : at + 4])) <= 64:
-        return False
-    fields = _fields(data[at + 4 :])
-    return fields is not None and len(fields) == keys + 1 and all((inner := _fields(f)) and inner[0][:4] in (b"ssh-", b"ecds", b"sk-s", b"sk-e") for f in fields[:keys])
+        return data[at - n : at]
+
+    if any(field() is None for _ in range(3)):  # cipher, key derivation, its options
+        return 0
+    keys = int.from_bytes(data[at : at + 4])
+    at += 4
+    if not 1 <= keys <= 64:
+        return 0
+    for _ in range(keys):
+        inner = _fields(field() or b"")
+        if not inner or inner[0][:4] not in (b"ssh-", b"ecds", b"sk-s", b"sk-e"):
+            return 0
+    return at if field() else 0
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """An OpenSSH private-key container whose nested lengths add up."""
+    return bool(data) and ssh_key_length(data) == len(data)
+
+
+def der_length(data: bytes) -> int:
+    """Bytes that the DER element at the start of ``data`` declares, its header included; 0 if there is none."""
+    if len(data) < 2 or data[0] != 0x30:
+        return 0
+    n = data[1]
+    if n < 0x80:
+        return 2 + n
+    width = n & 0x7F
+    return 2 + width + int.from_bytes(data[2 : 2 + width]) if 1 <= width <= 3 and len(data) >= 2 + width else 0
 
 
 def _decoded(text: str) -> bytes | None:
@@ -120,15 +171,60 @@ def _decoded(text: str) -> bytes | None:
 
 
 def is_signed_token(text: str) -> bool:
-    head, body, _ = text.split(".")
-    raw, claims = _decoded(head), _decoded(body)
-    if raw is None or claims is None:
+    """The first of the dotted parts is a JSON header that names an algorithm."""
+    raw = _decoded(text.split(".")[0])
+    if raw is None:
         return False
     try:
         header = json.loads(raw)
-        return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(json.loads(claims), dict)
     except (ValueError, RecursionError):
         return False
+    return isinstance(header, dict) and isinstance(header.get("alg"), str)
+
+
+def _keys_in(run: str, starts: re.Pattern, digits: str, per: tuple[int, int], decode) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the keys in a run; ``per``: so many digits make so many bytes."""
+    places = [i for i, c in enumerate(run) if c in digits]
+    plain = "".join(run[i] for i in places)
+    many, few = per
+    at = 0
+    while m := starts.search(plain, at):
+        at = m.start() + 1
+        head = decode(plain[m.start() : m.start() + 16])
+        if head is None or len(head) < 6:
+            continue
+        kind, n = ("der_key", der_length(head)) if head[:1] == b"0" else ("ssh_key", 0)
+        if kind == "der_key" and (not KEY_BYTES[0] <= n <= KEY_BYTES[1] or head[2 + (head[1] & 0x7F) * (head[1] >= 0x80)] not in (0x02, 0x30)):
+            continue
+        if kind == "ssh_key":
+            data = decode(plain[m.start() : m.start() + KEY_BYTES[1] * many // few])
+            n = ssh_key_length(data) if data else 0
+        size = -(-n * many // few)
+        data = decode(plain[m.start() : m.start() + size]) if n and m.start() + size <= len(plain) else None
+        if data is not None and (kind == "ssh_key" or is_der_key(data[:n])):
+            end = m.start() + size
+            last = places[end - 1] + 1
+            while last < len(run) and run[last] == "=":
+                last += 1
+            yield kind, places[m.start()], last
+            at = end
+
+
+_B64 = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+_HEX = frozenset("0123456789abcdefABCDEF")
+
+
+def _from_base64(text: str) -> bytes | None:
+    return _decoded(text[: len(text) - (len(text) % 4 == 1)])
+
+
+def _from_hex(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) & ~1])
+
+
+def _unescaped(run: str) -> str:
+    """Escaped line ends as blanks, so that their letters are no digits; places stay."""
+    return run.replace("\\r", "  ").replace("\\n", "  ") if "\\" in run else run
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -137,32 +233,26 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    if "eyJ" in text:
-        found += [("signed_token", m.start(), m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    found += [("signed_token", m.start(), m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     taken = []
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            data = _decoded("".join(m[2].split()))
-            if data is not None and (is_der_key(data) or is_ssh_key(data) or m[1].startswith("ENCRYPTED ") and (top := _element(data, 0, len(data))) is not None and top[2] == len(data)):
+            body = PEM_HEADER.sub("", m[2])
+            data = _decoded("".join(_unescaped(body).split()))
+            if data is None:
+                continue
+            whole = (top := _element(data, 0, len(data))) is not None and top[2] == len(data)
+            locked = "DEK-Info:" in m[2] and "ENCRYPTED" in m[2] and len(data) >= 16 and len(data) % 8 == 0
+            if is_der_key(data) or is_ssh_key(data) or locked or m[1].startswith("ENCRYPTED ") and whole:
                 found.append(("pem_key", m.start(), m.end()))
                 taken.append(m.span())
-    for m in BASE64.finditer(text):
-        run = m[0]
-        # sequences start with 0x30, SSH containers with "openssh"
-        if run[0] == "M" and (data := _decoded(run)) is not None and is_der_key(data):
-            kind = "der_key"
-        elif run.startswith("b3BlbnNzaC1rZXkt") and (data := _decoded(run)) is not None and is_ssh_key(data):
-            kind = "ssh_key"
-        else:
-            continue
-        if not any(a <= m.start() < b for a, b in taken):
-            found.append((kind, m.start(), m.end()))
-    for m in HEX_ANY.finditer(text):
-        if len(m[0]) % 2 == 0:
-            data = bytes.fromhex(m[0])
-            if kind := "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None:
-                found.append((kind, m.start(), m.end()))
-    return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    for pattern, starts, digits, per, decode in ((BASE64, BASE64_KEY, _B64, (4, 3), _from_base64), (HEX_RUN, HEX_KEY, _HEX, (2, 1), _from_hex)):
+        for m in pattern.finditer(text) if starts.search(text) else ():
+            if len(m[0]) >= 40 and starts.search(m[0]) or "\n" in m[0] or "\\" in m[0]:
+                for kind, a, b in _keys_in(_unescaped(m[0]), starts, digits, per, decode):
+                    if not any(x <= m.start() + a < y for x, y in taken):
+                        found.append((kind, m.start() + a, m.start() + b))
+    return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -175,6 +265,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textvec.keep_freed_memory()
         for batch in batches:
             spans = [[dict(zip(("kind", "start", "end"), s)) for s in scan(t)] if t else [] for t in map(lambda x: x.as_py(), batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span)], ["doc_id", "spans"])
