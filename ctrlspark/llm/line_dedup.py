@@ -41,11 +41,11 @@ RANKED_WORDS = 65_536
 HOT_WORD = 100_000
 #: set numbers that are broadcast to pick lines for the comparison; more are joined by shuffle
 BROADCAST_SETS = 2_000_000
-#: candidates of a line and key, those that seem nearest, of which the nearest is compared first; lines that it
-#: doesn't match get all compared
-FIRST_LOOK = 1
-#: words up to which a line's parity map has 64 and 128 bits; others have 256
-MAP_WORDS = (90, 200)
+#: candidates of a line and key that are compared in each look, those that seem nearest first; only lines that have
+#: matched none and have more go on to the next look, and the last one takes all
+LOOKS = (1, 16, 256, None)
+#: words up to which a line has two parity maps of 64 bits, and one of 128; others have one of 256
+MAP_WORDS = (60, 130)
 #: rows of a task, and pairs of them, worked on at a time
 BLOCK_ROWS, BLOCK_PAIRS = 100_000, 1_000_000
 NEWLINE = ord("\n")
@@ -174,6 +174,8 @@ class LineSets:
             for k, into, on in ((2, 0, middle), (3, 1, middle), (1, 0, small)):  # narrower maps are wide ones folded
                 self.maps[into] ^= np.where(on, self.maps[k], np.uint64(0))
                 self.maps[k][on] = 0
+            second = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(8) & np.uint64(63)), self.first[some])
+            self.maps[1, some] = np.where(small[some], second, self.maps[1, some])
 
     def compact(self) -> np.ndarray:
         """Tokens for comparisons: the rank of a ranked word stands for its hash, as it is shorter."""
@@ -226,15 +228,21 @@ NAME = ["name", "map0"]
 
 
 def map_distance(maps: list[np.ndarray], size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Bits that differ between two lines' parity maps, at the width of the narrower one."""
+    """Bits that differ between two lines' parity maps, at the width of the narrower one; of two maps the larger number."""
     a, b = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
     apart = [m[i] ^ m[j] for m in maps]
-    wide, half = a > MAP_WORDS[1], a > MAP_WORDS[0]
+    wide, half, small = a > MAP_WORDS[1], a > MAP_WORDS[0], b <= MAP_WORDS[0]
     count = lambda *x: sum(np.bitwise_count(v).astype(np.int64) for v in x)
-    if not (half | (b > MAP_WORDS[0])).any():
-        return count(apart[0])
+    two = np.maximum(count(apart[0]), count(apart[1]))
+    if small.all():
+        return two
     folded = apart[0] ^ apart[2], apart[1] ^ apart[3]
-    return np.where(wide, count(*apart), np.where(half, count(*folded), count(folded[0] ^ folded[1])))
+    # between a small line and a larger one: the small one's first map is the other's, folded
+    large = np.where(size[i] > MAP_WORDS[0], i, j)
+    mixed = maps[0][np.where(size[i] > MAP_WORDS[0], j, i)]
+    for m in maps:
+        mixed = mixed ^ m[large]
+    return np.where(small, two, np.where(wide, count(*apart), np.where(half, count(*folded), count(mixed))))
 
 
 def _candidates(part: dict[str, np.ndarray], share: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,7 +303,7 @@ def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame |
         by = np.lexsort((part["number"][early], part["doc"][early], apart, late))
         late, early, apart = late[by], early[by], apart[by]
         turn = np.arange(len(late)) - np.searchsorted(late, late)
-        several = np.bincount(late, minlength=len(part["key"]))[late] > 1
+        several = np.bincount(late, minlength=len(part["key"]))[late] > (most or len(late))
         on = turn < (most or len(late) + 1)
         late, early, apart, several = late[on], early[on], apart[on], several[on]
         tie = (part["doc"][late] == part["doc"][early]) & (part["number"][late] == part["number"][early])
@@ -411,19 +419,24 @@ def repeated_lines(docs: DataFrame, threshold: Fraction | str = "0.8") -> DataFr
     table = staged(textvec.per_chunk(docs, build, "doc long, text_key long, line int, name long, map0 long, map1 long, map2 long, map3 long, n_tokens int, lead boolean, posts array<long>", ("doc", "text_key", "text")), "lines")
     leads = table.filter("lead").select("doc", "text_key", "line", "name", "map0", "n_tokens")
     posts = table.filter("size(posts) > 0").select(F.explode("posts").alias("post"), F.expr("shiftleft(cast(line as long), 32) | (name & 4294967295L)").alias("who"), "doc", *MAPS)
-    pair = F.struct("apart", "other_doc", "other", "other_map", "tie", "doc")
-    other = F.struct("other", "other_map")
-    nearest = _meet(posts, share, FIRST_LOOK).groupBy(*NAME).agg(F.min(pair).alias("best"), (F.max("several") | (F.min(other) != F.max(other))).alias("several"))
-    pairs = staged(nearest.select(*NAME, "best.*", "several"), "pairs")
-    found = staged(_in_order(staged(_compared(docs, pairs, ranked, share), "close"), leads), "similar")
-    left = staged(pairs.filter("several").select(*NAME).join(found, NAME, "left_anti"), "left")
-    if left.head(1):  # the nearest did not match; compare with all that share a key
-        on = _small(left.select(F.col("name").alias("__name"), F.col("map0").alias("__map")))
-        keys = table.filter("size(posts) > 0").select("name", "map0", "posts").join(on, (F.col("name") == F.col("__name")) & (F.col("map0") == F.col("__map")), "left_semi")
-        keys = staged(keys.select(F.explode(F.expr("transform(posts, x -> shiftright(x, 32))")).alias("__key")).distinct(), "keys")
-        near = posts.join(_small(keys), F.shiftright("post", 32) == F.col("__key"), "left_semi")
-        rest = staged(_meet(near, share, None, left).dropDuplicates([*NAME, "other", "other_map"]), "pairs")
-        found = staged(found.union(_in_order(staged(_compared(docs, rest, ranked, share), "close"), leads)).distinct(), "similar")
+    found = left = None
+    for most in LOOKS:
+        if left is None:
+            pair, other = F.struct("apart", "other_doc", "other", "other_map", "tie", "doc"), F.struct("other", "other_map")
+            met = _meet(posts, share, most).groupBy(*NAME).agg(F.min(pair).alias("best"), (F.max("several") | (F.min(other) != F.max(other))).alias("several"))
+            met = met.select(*NAME, "best.*", "several")
+        else:
+            on = _small(left.select(F.col("name").alias("__name"), F.col("map0").alias("__map")))
+            keys = table.filter("size(posts) > 0").join(on, (F.col("name") == F.col("__name")) & (F.col("map0") == F.col("__map")), "left_semi")
+            keys = staged(keys.select(F.explode(F.expr("transform(posts, x -> shiftright(x, 32))")).alias("__key")).distinct(), "keys")
+            near = posts.join(_small(keys), F.shiftright("post", 32) == F.col("__key"), "left_semi")
+            met = _meet(near, share, most, left).groupBy(*NAME, "other", "other_map").agg(F.min("doc").alias("doc"), F.min("other_doc").alias("other_doc"), F.max("tie").alias("tie"), F.max("several").alias("several"))
+        pairs = staged(met, "pairs")
+        close = _in_order(staged(_compared(docs, pairs, ranked, share), "close"), leads)
+        found = staged(close if found is None else found.union(close).distinct(), "similar")
+        left = staged(pairs.filter("several").select(*NAME).distinct().join(found, NAME, "left_anti"), "left")
+        if not left.head(1):
+            break
     here = F.struct("doc", "text_key", "line")
     # of a set's first lines in the chunks, all but the very first are gone, and that one if a similar line comes before
     first = F.min(here).over(Window.partitionBy(*NAME, "n_tokens"))
