@@ -198,9 +198,14 @@ class Scorer:
         if sum(t.count() for t in tables.values()) <= broadcast_rows:
             model: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
             for name, table in tables.items():
-                got = table.orderBy("lang", "gram").toPandas()
-                for lang, part in got.groupby("lang"):
-                    model.setdefault(lang, {})[name] = (part["gram"].to_numpy(np.int64), part["p"].to_numpy(np.float64))
+                got = table.select("lang", "gram", "p").toArrow()  # columns, not a Python object for each row
+                names = got["lang"].combine_chunks().dictionary_encode()
+                code, gram, p = names.indices.to_numpy(), got["gram"].to_numpy(), got["p"].to_numpy()
+                for k, lang in enumerate(names.dictionary.to_pylist()):
+                    on = np.flatnonzero(code == k)
+                    on = on[np.argsort(gram[on])]
+                    model.setdefault(lang, {})[name] = (gram[on], p[on])
+                del got, names, code, gram, p
             self.arrays = tables["tri"].sparkSession.sparkContext.broadcast(model)
 
     def score(self, docs: DataFrame) -> DataFrame:
