@@ -7,9 +7,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import iac_rules as rules
+from ..functions.dialect import SPARK
+from ..functions.rules import DOMAIN_WORDS, normal_domain
+
+#: labels that a declared domain may have after normalisation
+DOMAINS = tuple(DOMAIN_WORDS)
+
 EXCLUDED = r"(^|/)(\.git|\.terraform|\.terragrunt-cache|\.venv|node_modules)(/|$)"
 IDENTITY = ["repository", "module_path", "address"]
 _RESOURCE = re.compile(r'^[ \t]*resource[ \t]+"([^"]+)"[ \t]+"([^"]+)"[ \t]*\{', re.M)
@@ -33,16 +40,45 @@ def blocks_of(text: str) -> list[dict]:
             if depth == 0:
                 end = k + 1
                 break
-        above = []
+        above: list[str] = []
         for line in reversed(text[: m.start()].splitlines()):
-            if not line.strip().startswith("#"):
+            if not line.strip().startswith(("#", "//")):
                 break
-            above.append(line)
-        notes = dict(p.split("=", 1) for line in above if "grc:" in line for p in re.split(r"\s*;\s*", line.split("grc:", 1)[1].strip()) if "=" in p)
-        out.append({"resource_type": m[1], "name": m[2], "start_line": text.count("\n", 0, m.start()) + 1, "block": text[m.start() : end].strip(), "link_id": notes.get("link_id", "")})
+            above.insert(0, line)
+        block = text[m.start() : end].strip()
+        out.append({"resource_type": m[1], "name": m[2], "start_line": text.count("\n", 0, m.start()) + 1, "block": block, "annotations": annotations_of("\n".join(above)), "tags": tags_of(block)})
+    return out
+
+
+_NOTE = re.compile(r"(?:#|//)\s*grc:\s*(.+)$", re.I | re.M)
+_NOTE_PAIR = re.compile(r"(?:^|[;,])\s*([A-Za-z0-9_.-]+)\s*=")
+_TAG_PAIR = re.compile(r'"?([A-Za-z0-9_.-]+)"?\s*=\s*"([^"]*)"')
+
+
+def annotations_of(text: str) -> dict[str, str]:
+    """Pairs of comment lines like ``# grc: key=value; key=value``; keys in lower case, the last of equal ones stays."""
+    out = {}
+    for note in _NOTE.finditer(text):
+        body = note[1].strip()
+        pairs = list(_NOTE_PAIR.finditer(body))
+        for pair, after in zip(pairs, [p.start() for p in pairs[1:]] + [len(body)]):
+            value = body[pair.end() : after].strip().strip(";,").strip().strip('"')
+            if value:
+                out[pair[1].strip().lower()] = value
     return out
 
 
+def tags_of(block: str) -> dict[str, str]:
+    """Tags that the rules know, from the tags block if there is one, else from the whole block."""
+    inner = re.search(r"tags\s*=\s*\{([^{}]*)\}", block, re.S)
+    found = {}
+    for key, value in _TAG_PAIR.findall(inner[1] if inner else block):
+        low = key.lower()
+        if low in rules.TAGS or low.startswith("grc_"):
+            found["Name" if key == "Name" else low] = value
+    return found
+
+
 def iac_extract(files: DataFrame) -> DataFrame:
     """One row per resource block of ``files(repository, revision, relative_path, content)``; cache folders are left out."""
 
@@ -51,20 +87,83 @@ def iac_extract(files: DataFrame) -> DataFrame:
             rows = []
             for repository, revision, path, content in pdf.itertuples(index=False):
                 for b in blocks_of(content or ""):
-                    rows.append((repository, revision, path, path.rpartition("/")[0], f"{b['resource_type']}.{b['name']}", b["resource_type"], b["name"], b["start_line"], b["link_id"], hashlib.sha256(b["block"].encode()).hexdigest(), b["block"][:500]))
-            yield pd.DataFrame(rows, columns=["repository", "revision", "relative_path", "module_path", "address", "resource_type", "name", "start_line", "link_id", "content_hash", "snippet"])
+                    link = b["annotations"].get("link_id") or b["tags"].get("link_id") or ""
+                    rows.append((repository, revision, path, path.rpartition("/")[0], f"{b['resource_type']}.{b['name']}", b["resource_type"], b["name"], b["start_line"], link, b["annotations"], b["tags"], hashlib.sha256(b["block"].encode()).hexdigest(), b["block"][:500], b["block"]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    schema = "repository string, revision int, relative_path string, module_path string, address string, resource_type string, name string, start_line int, link_id string, content_hash string, snippet string"
+    schema = "repository string, revision int, relative_path string, module_path string, address string, resource_type string, name string, start_line int, link_id string, annotations map<string,string>, tags map<string,string>, content_hash string, snippet string, block string"
     wanted = files.filter(F.col("relative_path").endswith(".tf") & ~F.col("relative_path").rlike(EXCLUDED))
     return wanted.select("repository", F.col("revision").cast("int"), "relative_path", "content").mapInPandas(parse, schema)
 
 
+def _canonical(column: str) -> Column:
+    """A map as text, entries in order, so that maps can be compared."""
+    return F.to_json(F.array_sort(F.map_entries(column)))
+
+
 def iac_diff(resources: DataFrame, older: int, newer: int) -> DataFrame:
-    """Resources added, removed or changed (content or link) between two revisions, by identity."""
-    side = lambda r, n: resources.filter(F.col("revision") == r).select(*IDENTITY, F.struct("content_hash", "link_id").alias(n))
+    """Resources added, removed or changed (content, annotations or tags) between two revisions, by identity."""
+    side = lambda r, n: resources.filter(F.col("revision") == r).select(*IDENTITY, F.struct("content_hash", "link_id", _canonical("annotations").alias("notes"), _canonical("tags").alias("tags"), "resource_type").alias(n))
     both = side(older, "a").join(side(newer, "b"), IDENTITY, "full_outer")
     kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
-    return both.select(*IDENTITY, kind.alias("change"), F.coalesce("b.link_id", "a.link_id").alias("link_id")).filter("change is not null")
+    return both.select(*IDENTITY, kind.alias("change"), F.coalesce("b.link_id", "a.link_id").alias("link_id"), F.coalesce("b.resource_type", "a.resource_type").alias("resource_type")).filter("change is not null")
+
+
+def control_id_valid(control_id: Column) -> Column:
+    """Whether the text has one of the shapes of a control id."""
+    return F.trim(control_id).rlike(rules.CONTROL_ID)
+
+
+def _first(*values: Column) -> Column:
+    """The first that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
+
+
+def _listed(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "[,|]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def iac_classify(resources: DataFrame) -> DataFrame:
+    """Domains, controls, roles, confidence, posture and status of resources by type, text, annotations and tags.
+
+    Reads resource_type, block, annotations and tags; null ones are empty.  Adds
+    domains, control_ids and roles (sorted), unknown_domains (declared ones that no
+    rule knows, as a row can't be refused), security_sensitive, confidence, posture
+    and status.
+    """
+    note = lambda key: F.try_element_at("annotations", F.lit(key))
+    tag = lambda key: F.try_element_at("tags", F.lit(key))
+    # comments go, strings stay
+    code = F.regexp_replace(F.coalesce("block", F.lit("")), r'("(?:\\.|[^"\\\n])*")|#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/', "$1")
+    r = resources.withColumns({"__code": code, "__type": F.lower(F.coalesce("resource_type", F.lit(""))), "__controls": _listed(_first(note("control_ids"), note("control_id"), tag("control_ids"), tag("control_id"))), "__domains": _listed(_first(note("domains"), note("domain"), tag("grc_domains"), tag("grc_domain"))), "__roles": _listed(_first(note("roles"), note("role"), tag("grc_roles"), tag("grc_role")))})
+    r = r.withColumn("__text", F.replace(F.lower("__code"), F.lit(" "), F.lit("")))
+    has = lambda column, terms: F.expr(" or ".join(f"contains({column}, '{t.replace(' ', '')}')" for t in terms) or "false")
+    r = r.withColumns({"__by_type": F.array(*(has("__type", x[1]) for x in rules.RULES)), "__by_text": F.array(*(has("__text", x[2]) for x in rules.RULES))})
+    hit = lambda k: F.col("__by_type")[k] | F.col("__by_text")[k]
+    of = lambda which: F.flatten(F.array(*(F.when(hit(k), F.array(*map(F.lit, (x[which],) if isinstance(x[which], str) else x[which]))).otherwise(F.array().cast("array<string>")) for k, x in enumerate(rules.RULES))))
+    valid = F.filter("__controls", control_id_valid)
+    r = r.withColumns({"__valid": F.transform(valid, F.upper), "__invalid": F.filter("__controls", lambda x: ~control_id_valid(x)), "__open": has("__code", rules.OPEN_NETWORKS), "__off": F.col("__code").rlike(rules.DISABLED)})
+    normal = F.expr(f"transform(__domains, d -> {normal_domain(SPARK, 'd')})")
+    r = r.withColumn("__normal", normal)
+    lit = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    domains = F.array_sort(F.array_distinct(F.concat(of(0), F.array_intersect("__normal", lit(*DOMAINS)), F.when(F.col("__open"), lit("network_security")).otherwise(lit()))))
+    controls = F.array_sort(F.array_distinct(F.concat(of(3), F.col("__valid"), F.when(F.col("__open"), lit("SC-7", "AC-4")).otherwise(lit()))))
+    roles = F.concat(of(4), F.transform("__roles", F.lower), F.when(F.col("__open"), lit("preventive", "exposure")).otherwise(lit()))
+    linked = _first(note("link_id"), tag("link_id")) != ""
+    both = F.exists(F.arrays_zip("__by_type", "__by_text"), lambda x: x["__by_type"] & x["__by_text"])
+    any_ = lambda c: F.exists(c, lambda x: x)
+    least = lambda when, value: F.when(when, F.lit(value)).otherwise(F.lit(0.0))
+    some = lambda c: F.size(c) > 0
+    confidence = F.least(F.lit(0.99), F.greatest(
+        least(any_("__by_type"), 0.82), least(any_("__by_text"), 0.74), least(both, 0.9), least(some("__valid"), 0.99), least(some("__invalid"), 0.5),
+        least(some("__domains"), 0.98), least(some("__roles"), 0.98), least(linked, 0.97), least(F.col("__open") | F.col("__off"), 0.92)))
+    r = r.withColumns({"domains": domains, "control_ids": controls, "roles": F.when(F.col("__off"), lit("configuration_risk")).otherwise(F.array_sort(F.array_distinct(roles))), "unknown_domains": F.array_except("__normal", lit(*DOMAINS)), "confidence": F.round(confidence, 2)})
+    r = r.withColumns({"security_sensitive": some("domains") | some("__controls") | linked, "__reviewed": some("__valid") | some("__domains") | some("__roles")})
+    approved = F.lower(F.coalesce(note("posture"), F.lit(""))).isin(*rules.APPROVED) | F.lower(F.coalesce(tag("grc_posture"), F.lit(""))).isin(*rules.APPROVED) | (_first(note("exception_id"), tag("grc_exception_id")) != "")
+    posture = F.when(F.col("__off"), "violated").when(some("__invalid") | (F.col("__open") & ~approved), "review_required").when(F.col("security_sensitive") & (F.col("__reviewed") | (F.col("confidence") >= 0.85)), "implemented").otherwise("unknown")
+    r = r.withColumn("posture", posture)
+    status = F.when(F.col("posture") == "violated", "misconfigured").when(F.col("posture") == "review_required", "review_required").when(F.col("__reviewed"), "reviewed_annotation").when(F.col("security_sensitive") & (F.col("confidence") >= 0.85), "classified").when(F.col("security_sensitive"), "review_required").otherwise("not_security_relevant")
+    return r.withColumn("status", status).drop(*(c for c in r.columns if c.startswith("__")))
 
 
 def identity_duplicates(resources: DataFrame) -> DataFrame:
@@ -77,3 +176,35 @@ def file_evidence(files: DataFrame, resources: DataFrame) -> DataFrame:
     key = ["repository", "revision", "relative_path"]
     counted = resources.groupBy(*key).agg(F.count("*").alias("n"))
     return files.select(*key, F.sha2("content", 256).alias("sha256")).join(counted, key, "left").fillna(0, ["n"])
+
+
+def unclassified_file_change(files: DataFrame, resources: DataFrame, older: int, newer: int) -> DataFrame:
+    """Files whose content differs between two revisions, or that came or went, while no resource in them did.
+
+    Null contents count as empty; a file of one revision only is added or removed.
+    """
+    key = ["repository", "relative_path"]
+    side = lambda r, n: files.filter(F.col("revision") == r).select(*key, F.sha2(F.coalesce("content", F.lit("")), 256).alias(n))
+    both = side(older, "a").join(side(newer, "b"), key, "full_outer")
+    changed = both.select(*key, F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").alias("change")).filter("change is not null")
+    of = lambda r: resources.filter(F.col("revision") == r).select(*key, *IDENTITY[1:], "content_hash")
+    moved = of(older).exceptAll(of(newer)).unionByName(of(newer).exceptAll(of(older))).select(*key).distinct()
+    return changed.join(moved, key, "left_anti")
+
+
+def history_gaps(needed: DataFrame, available: DataFrame) -> DataFrame:
+    """Revisions of ``needed(target, repository, revision)`` that are not available: a high gap each, never a partial comparison."""
+    gone = needed.join(available.select("repository", "revision").distinct(), ["repository", "revision"], "left_anti")
+    return gone.select("target", "repository", "revision", F.lit("history_unavailable").alias("kind"), F.lit("high").alias("severity"))
+
+
+def unpinned_inputs(observed: DataFrame, committed: DataFrame) -> DataFrame:
+    """Inputs whose observed digest is not the committed one, by (repository, revision, path): missing, untracked, different or symlink.
+
+    ``observed`` and ``committed`` have digest and is_link; a link is reported as such first.
+    """
+    key = ["repository", "revision", "path"]
+    o, c = (t.select(*key, F.col("digest").alias(f"{n}_digest"), F.col("is_link").alias(f"{n}_link"), F.lit(True).alias(n)) for t, n in ((observed, "o"), (committed, "c")))
+    both = o.join(c, key, "full_outer")
+    state = F.when(F.coalesce("o_link", F.lit(False)) | F.coalesce("c_link", F.lit(False)), "symlink").when(F.col("o").isNull(), "missing").when(F.col("c").isNull(), "untracked").when(~F.col("o_digest").eqNullSafe(F.col("c_digest")), "different")
+    return both.select(*key, state.alias("state")).filter("state is not null")

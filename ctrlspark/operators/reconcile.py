@@ -2,50 +2,187 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import iac_rules
 from ..functions.change_rules import severity_name, severity_rank
+from ..functions.dialect import SPARK
+from ..functions.rules import normal_domain
+
+IDENTITY = ["repository", "module_path", "address"]
+GAP = ["link_id", "doc_id", "kind", "severity", "iac_ref"]
+
+
+def qualified(r: str = "") -> Column:
+    """Address with its module, unless that is the root."""
+    return F.when(F.col(f"{r}module_path").isin("", "."), F.col(f"{r}address")).otherwise(F.concat_ws("::", f"{r}module_path", f"{r}address"))
+
+
+def full_reference(r: str = "") -> Column:
+    """Address with module and repository."""
+    return F.when(F.coalesce(F.col(f"{r}repository"), F.lit("")) == "", F.col(f"{r}address")).otherwise(F.concat_ws("::", f"{r}repository", qualified(r)))
 
 
 def link_statement(links: DataFrame, statements: DataFrame) -> DataFrame:
-    """The first statement of each link's policy and version whose text holds the anchor."""
-    met = links.join(statements, "doc_id").filter(F.contains(F.lower("text"), F.lower("anchor")))
+    """The first statement of each link's policy and version whose text holds the anchor, or all keywords if there are any."""
+    text = F.lower("text")
+    met = F.contains(text, F.lower("anchor")) | ((F.size("keywords_") > 0) & F.forall("keywords_", lambda k: F.contains(text, F.lower(k))))
+    both = links.withColumnRenamed("keywords", "keywords_").join(statements, "doc_id").filter(met)
     first = F.row_number().over(Window.partitionBy("link_id", "version_ord").orderBy("stmt_ord"))
-    return met.withColumn("first", first).filter("first = 1").select("link_id", "doc_id", "version_ord", "statement_id")
+    return both.withColumn("first", first).filter("first = 1").select("link_id", "doc_id", "version_ord", "statement_id", "content_hash")
 
 
 def link_resources(links: DataFrame, resources: DataFrame) -> DataFrame:
-    """Resources that name a link."""
-    return links.select("link_id").join(resources.filter("link_id <> ''"), "link_id").select("link_id", "repository", "revision", "module_path", "address")
+    """Resources of each link: those that declare it, those it names by (module-qualified) address, and, of a link
+    without addresses, those of its types below its paths; only in its repositories, if it names any."""
+    columns = ["link_id", "repository", "revision", "module_path", "address"]
+    own = links.select("link_id", "repositories", "addresses", "types", "paths")
+    r = resources.select(F.col("link_id").alias("declared"), "repository", "revision", "module_path", "address", "resource_type", "relative_path", qualified().alias("qualified"))
+    declared = own.join(r.filter("declared <> ''"), F.col("link_id") == F.col("declared"))
+    named = own.withColumn("wanted", F.explode("addresses"))
+    by_address = [named.join(r, F.col("wanted") == F.col(c)).drop("wanted") for c in ("address", "qualified")]
+    path = F.replace("relative_path", F.lit("\\"), F.lit("/"))
+    below = F.exists("paths", lambda p: F.contains(path, p) | F.endswith(p, path))
+    by_type = own.filter(F.size("addresses") == 0).withColumn("wanted", F.explode("types")).join(r, F.col("wanted") == F.col("resource_type")).drop("wanted").filter(below)
+    every = reduce(DataFrame.unionByName, [declared, *by_address, by_type])
+    return every.filter((F.size("repositories") == 0) | F.array_contains("repositories", F.col("repository"))).select(*columns).distinct()
+
+
+def ambiguous_selector(links: DataFrame, wired: DataFrame) -> DataFrame:
+    """Addresses without a module that a link names and that match several of its resources: link_id, revision, address, iac_ref."""
+    named = links.select("link_id", F.explode("addresses").alias("address")).filter(~F.contains("address", F.lit("::")))
+    met = wired.join(named.distinct(), ["link_id", "address"])
+    out = met.groupBy("link_id", "revision", "address").agg(F.count_distinct("repository", "module_path").alias("n"), F.array_join(F.sort_array(F.collect_set(full_reference())), ", ").alias("iac_ref"))
+    return out.filter("n > 1").drop("n")
 
 
 def completeness_gaps(links: DataFrame, matched: DataFrame, wired: DataFrame, resources: DataFrame) -> DataFrame:
-    """Per link the first that applies: no statement, no code, covered; and resources that name an unknown link."""
+    """Per link the first that applies: ambiguous address, no statement, no code, covered; and resources that declare an unknown link.
+
+    ``matched``, ``wired`` and ``resources`` are of one version and one revision.
+    """
+    u = ambiguous_selector(links, wired).groupBy("link_id").agg(F.min(F.struct("address", "iac_ref")).alias("u"))
     s = matched.select("link_id").distinct().withColumn("has_statement", F.lit(True))
     r = wired.select("link_id").distinct().withColumn("has_code", F.lit(True))
-    state = links.join(s, "link_id", "left").join(r, "link_id", "left")
-    kind = F.when(F.col("has_statement").isNull(), "missing_statement").when(F.col("has_code").isNull(), "missing_iac").otherwise("covered")
-    own = state.select("link_id", kind.alias("kind"), F.lit("").alias("iac_ref"))
-    orphans = resources.filter("link_id <> ''").join(links.select("link_id"), "link_id", "left_anti").select("link_id", F.lit("orphan_annotation").alias("kind"), F.concat_ws(":", "repository", "address").alias("iac_ref"))
-    severity = F.when(F.col("kind") == "covered", "info").when(F.col("kind") == "orphan_annotation", "medium").otherwise("high")
-    return own.unionByName(orphans).withColumn("severity", severity)
-
-
-def unlinked_sensitive(resources: DataFrame, links: DataFrame) -> DataFrame:
+    state = links.join(u, "link_id", "left").join(s, "link_id", "left").join(r, "link_id", "left")
+    kind = F.when(F.col("u").isNotNull(), "ambiguous_iac_selector").when(F.col("has_statement").isNull(), "missing_policy_statement").when(F.col("has_code").isNull(), "missing_iac_implementation").otherwise("covered")
+    own = state.select("link_id", "doc_id", kind.alias("kind"), F.coalesce("u.iac_ref", F.lit("")).alias("iac_ref"))
+    known = links.select("link_id")
+    orphans = resources.filter("link_id <> ''").join(known, "link_id", "left_anti").select(F.lit("").alias("link_id"), F.lit(None).cast("long").alias("doc_id"), F.lit("orphan_iac_annotation").alias("kind"), full_reference().alias("iac_ref"))
+    severity = F.when(F.col("kind") == "covered", "info").when(F.col("kind") == "orphan_iac_annotation", "medium").when(F.col("kind") == "missing_policy_statement", "high").otherwise("critical")
+    return own.unionByName(orphans).withColumn("severity", severity).select(*GAP)
+
+
+def alignment_gaps(links: DataFrame, matched: DataFrame, statements: DataFrame, wired: DataFrame, resources: DataFrame, review_below: float = 0.85, exact: bool = False) -> DataFrame:
+    """Links whose reviewed expectations the statement and the code do not meet, a row for each rule that fails.
+
+    ``matched`` names a link's statement, ``wired`` its resources; ``resources`` are
+    classified.  A link without expected domains only says so.  ``exact``: other
+    domains than the expected ones are gaps, too.
+    """
+    normal = F.expr(f"transform(expected_domains, d -> {normal_domain(SPARK, 'd')})")
+    want = links.withColumn("expected", F.array_distinct(normal))
+    blind = want.filter(F.size("expected") == 0).select("link_id", "doc_id", F.lit("classifier_ground_truth_missing").alias("kind"), F.lit("medium").alias("severity"), F.lit("").alias("iac_ref"))
+    want = want.filter(F.size("expected") > 0)
+    said = want.join(matched.select("link_id", "doc_id", "version_ord", "statement_id"), ["link_id", "doc_id"]).join(statements.select("doc_id", "version_ord", "statement_id", F.col("keywords").alias("policy_domains"), "statement_kind", "strength", "action_polarity", F.col("confidence").alias("sure")), ["doc_id", "version_ord", "statement_id"])
+    differs = reduce(Column.__or__, (F.col(e).isNotNull() & (F.col(e) != F.col(a)) for e, a in (("expected_kind", "statement_kind"), ("expected_strength", "strength"), ("expected_polarity", "action_polarity"))))
+    row = lambda t, kind, severity, ref: t.select("link_id", "doc_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), ref.alias("iac_ref"))
+    none = F.lit("")
+    rows = [
+        blind,
+        row(said.filter(F.col("sure") < review_below), "policy_classifier_review_required", "medium", none),
+        row(said.filter(differs), "policy_statement_semantic_mismatch", "critical", none),
+        row(said.filter(F.size(F.array_except("expected", "policy_domains")) > 0), "policy_classifier_domain_mismatch", "high", none),
+    ]
+    code = want.join(wired, "link_id").join(resources.select(*IDENTITY, "revision", F.col("domains").alias("code_domains"), "posture", F.col("confidence").alias("sure")), [*IDENTITY, "revision"])
+    per = code.groupBy("link_id", "doc_id", "expected").agg(F.array_distinct(F.flatten(F.collect_list("code_domains"))).alias("code_domains"), F.array_join(F.sort_array(F.collect_set(full_reference())), ", ").alias("refs"))
+    rows.append(row(per.filter(F.size(F.array_except("expected", "code_domains")) > 0), "terraform_classifier_domain_mismatch", "high", F.col("refs")))
+    if exact:
+        rows.append(row(said.filter(F.size(F.array_except("policy_domains", "expected")) > 0), "policy_classifier_unexpected_domain", "high", none))
+        rows.append(row(per.filter(F.size(F.array_except("code_domains", "expected")) > 0), "terraform_classifier_unexpected_domain", "high", F.col("refs")))
+    rows.append(row(code.filter("posture = 'violated'"), "terraform_control_violation", "critical", full_reference()))
+    rows.append(row(code.filter("posture in ('unknown', 'review_required')"), "terraform_posture_review_required", "medium", full_reference()))
+    rows.append(row(code.filter(F.col("sure") < review_below), "terraform_classifier_review_required", "medium", full_reference()))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def unlinked_sensitive(resources: DataFrame, wired: DataFrame) -> DataFrame:
     """Security-sensitive resources that no link reaches."""
-    return resources.filter("security_sensitive").join(links.select("link_id"), "link_id", "left_anti").select("repository", "address")
-
-
-def iac_change_gaps(delta: DataFrame, links: DataFrame) -> DataFrame:
-    """Changed resources of links, by severity: removed critical, added or changed high."""
-    return delta.join(links.select("link_id", "doc_id"), "link_id").select("link_id", "doc_id", "repository", "address", "change", F.when(F.col("change") == "removed", "critical").otherwise("high").alias("severity"))
-
-
-def coordinated(doc_changes: DataFrame, code_gaps: DataFrame, links: DataFrame) -> DataFrame:
-    """Links whose policy and code both changed."""
-    docs = doc_changes.select("doc_id").distinct()
-    return links.join(docs, "doc_id", "left_semi").join(code_gaps.select("link_id").distinct(), "link_id", "left_semi").select("link_id", "doc_id")
+    return resources.filter("security_sensitive").join(wired.select(*IDENTITY, "revision").distinct(), [*IDENTITY, "revision"], "left_anti").select("repository", "revision", "module_path", "address")
+
+
+def iac_change_gaps(delta: DataFrame, links: DataFrame, wired: DataFrame, sensitive: DataFrame, matched: DataFrame) -> DataFrame:
+    """Gaps of changed resources: review of the policy (removed critical, else high), sensitive ones without a link, and anchors that are gone.
+
+    ``wired`` holds the links of both revisions' resources; ``sensitive`` the identities
+    that the classifier calls so; ``matched`` the statements of the newer version.
+    """
+    reached = wired.select("link_id", *IDENTITY).distinct()
+    met = delta.drop("link_id").join(reached, IDENTITY).join(links.select("link_id", "doc_id"), "link_id")
+    review = met.select("link_id", "doc_id", F.concat(F.lit("iac_"), "change", F.lit("_requires_doc_review")).alias("kind"), F.when(F.col("change") == "removed", "critical").otherwise("high").alias("severity"), F.col("address").alias("iac_ref"))
+    by_type = reduce(Column.__or__, (F.contains(F.lower("resource_type"), F.lit(t)) for t in iac_rules.SENSITIVE_TYPES))
+    known = sensitive.select(*IDENTITY).distinct().withColumn("is_sensitive", F.lit(True))
+    alone = delta.join(reached.select(*IDENTITY).distinct(), IDENTITY, "left_anti").join(known, IDENTITY, "left").filter(by_type | F.coalesce("is_sensitive", F.lit(False)))
+    alone = alone.select(F.lit("").alias("link_id"), F.lit(None).cast("long").alias("doc_id"), F.lit("unlinked_sensitive_iac_change").alias("kind"), F.lit("high").alias("severity"), full_reference().alias("iac_ref"))
+    gone = review.select("link_id", "doc_id").distinct().join(matched.select("link_id").distinct(), "link_id", "left_anti")
+    gone = gone.select("link_id", "doc_id", F.lit("doc_anchor_missing_after_iac_change").alias("kind"), F.lit("critical").alias("severity"), F.lit("").alias("iac_ref"))
+    return review.unionByName(alone).unionByName(gone)
+
+
+def doc_change_gaps(links: DataFrame, older: DataFrame, newer: DataFrame, wired: DataFrame) -> DataFrame:
+    """Gaps of links whose policy changed: statement gone (critical), reworded (high), or there without code (high).
+
+    ``older`` and ``newer`` are the links' statements in two versions, ``wired`` their resources now.
+    """
+    o, n = (t.select("link_id", F.col("content_hash").alias(name)) for t, name in ((older, "old"), (newer, "new")))
+    refs = wired.groupBy("link_id").agg(F.array_join(F.sort_array(F.collect_set(full_reference())), ", ").alias("refs"))
+    state = links.select("link_id", "doc_id").join(o, "link_id", "left").join(n, "link_id", "left").join(refs, "link_id", "left")
+    has_old, has_new = F.col("old").isNotNull(), F.col("new").isNotNull()
+    kind = F.when(has_old & ~has_new, "policy_obligation_removed_iac_still_present").when(has_old & has_new & (F.col("old") != F.col("new")), "policy_obligation_changed_verify_iac").when(has_new & F.col("refs").isNull(), "policy_without_iac")
+    found = state.withColumn("kind", kind).filter("kind is not null")
+    return found.select("link_id", "doc_id", "kind", F.when(F.contains("kind", F.lit("removed")), "critical").otherwise("high").alias("severity"), F.coalesce("refs", F.lit("")).alias("iac_ref"))
+
+
+def change_set(code: DataFrame, docs: DataFrame, complete: DataFrame) -> DataFrame:
+    """All gaps of a change: of code, of policies, of links in both (coordinated), and completeness gaps that are not there yet."""
+    named = lambda t: t.filter("link_id <> ''").withColumn("gone", F.contains("kind", F.lit("removed")))
+    of = lambda t: named(t).groupBy("link_id").agg(F.max("doc_id").alias("doc_id"), F.max(F.expr(severity_rank("severity"))).alias("rank"), F.max("gone").alias("gone"), F.collect_set(F.nullif("iac_ref", F.lit(""))).alias("refs"))
+    both = of(code).alias("c").join(of(docs).alias("d"), "link_id")
+    kind = F.when(F.col("c.gone") | F.col("d.gone"), "coordinated_control_retirement_review").otherwise("coordinated_policy_iac_change")
+    refs = F.array_join(F.array_sort(F.array_union("c.refs", "d.refs")), ", ")
+    coordinated = both.select("link_id", F.col("d.doc_id").alias("doc_id"), kind.alias("kind"), F.greatest("c.rank", "d.rank").alias("rank"), refs.alias("iac_ref")).withColumn("severity", F.expr(severity_name("rank"))).select(*GAP)
+    gaps = code.select(*GAP).unionByName(docs.select(*GAP)).unionByName(coordinated)
+    new = complete.filter("kind <> 'covered'").join(gaps.select("kind", "link_id", "iac_ref").distinct(), ["kind", "link_id", "iac_ref"], "left_anti")
+    return gaps.unionByName(new.select(*GAP))
+
+
+def gap_dedupe(gaps: DataFrame) -> DataFrame:
+    """One gap of each kind, link and reference: the one of the highest severity."""
+    return gaps.withColumn("rank", F.expr(severity_rank("severity"))).groupBy("kind", "link_id", "iac_ref").agg(F.max("doc_id").alias("doc_id"), F.max("rank").alias("rank")).withColumn("severity", F.expr(severity_name("rank"))).select(*GAP)
+
+
+def scf_map(hits: DataFrame, key: str) -> DataFrame:
+    """Control ids by framework of what ``key`` names: a row each of the key's hits (key, framework, controls)."""
+    return hits.groupBy(key, "framework").agg(F.sort_array(F.collect_set("control_id")).alias("controls"))
+
+
+def framework_labels(mapped: DataFrame, key: str) -> DataFrame:
+    """Distinct ``framework:control`` labels of a mapping."""
+    return mapped.select(key, F.explode("controls").alias("control_id"), "framework").select(key, F.concat_ws(":", "framework", "control_id").alias("label")).distinct()
+
+
+def mapping_assessments(mapped: DataFrame, assessments: DataFrame) -> DataFrame:
+    """Active assessments of a policy (or of all) that use a framework of its mapping, the control backbone aside.
+
+    ``mapped``: doc_id, framework.  Returns doc_id, assessment_id, frameworks.
+    """
+    active = assessments.filter("status = 'active'").select("assessment_id", "doc_ids", F.explode("frameworks").alias("framework"))
+    met = mapped.filter("framework <> 'SCF'").select("doc_id", "framework").distinct().join(active, "framework")
+    met = met.filter((F.size("doc_ids") == 0) | F.array_contains("doc_ids", F.col("doc_id")))
+    return met.groupBy("doc_id", "assessment_id").agg(F.array_join(F.sort_array(F.collect_set("framework")), ",").alias("frameworks"))
 
 
 def merge_target(gaps: DataFrame, target: str) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import change_rules, rules
+from ..functions import change_rules, iac_rules, rules
 from ..functions.dialect import DUCK, SPARK
-from ..operators import coverage, crosswalk, evaluate, export, extract, iac, impact, lineage, monitor, reconcile
+from ..operators import coverage, crosswalk, evaluate, export, extract, iac, impact, lineage, monitor, reconcile, registry
 from ..sources import infra
 from ..sources.catalogs import catalog, catalog_sql
 from ..sources.corpus import policies, rewordings, rewordings_sql
@@ -171,39 +171,156 @@ register("framework_impacts", lambda s, d: impact.framework_impacts(_changes(s,
 
 # --- infrastructure, reconciliation ----------------------------------------
 def _resources(s: SparkSession, d: str) -> DataFrame:
-    return infra.resources(s, d).withColumn("content_hash", F.sha2("body", 256))
-
-
+    """Resources of both revisions, parsed from files and classified."""
+    return built(s, d, "resources", lambda: iac.iac_classify(iac.iac_extract(infra.files(s, d))))
+
+
+_LISTED = "list_filter(list_transform(string_split_regex({}, '[,|]'), lambda x: trim(x)), lambda x: x <> '')"
+_VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+_TERMS = [(k, r[0], side, t.replace(" ", "")) for k, r in enumerate(iac_rules.RULES) for side, terms in (("type", r[1]), ("text", r[2])) for t in terms]
+_SETS = [(k, what, v) for k, r in enumerate(iac_rules.RULES) for what, values in (("control", r[3]), ("role", r[4])) for v in values]
+_KNOWN = "[" + ", ".join(f"'{x}'" for x in rules.DOMAIN_WORDS) + "]"
+_BELOW = "len(list_filter(paths, lambda p: contains(relative_path, p) or ends_with(p, relative_path))) > 0"
+_REF = "repository || '::' || module_path || '::' || address"
+_G = "link_id, doc_id, kind, severity, iac_ref"
+_GAPS = "link_id, coalesce(doc_id, -1) as doc_id, kind, severity, iac_ref"
+_shown = lambda q: lambda s, d: q(s, d).fillna({"doc_id": -1})
 _INFRA = _SNAP | {
-    "res": f"select *, sha256(body) as content_hash from ({infra.resources_sql()}) r",
-    "files_": infra.files_sql("select * from res").replace("{agg}", "string_agg(block, chr(10) order by name)").replace("{in}", "[in]"),
+    "res": f"select *, sha256(block) as content_hash from (select *, {infra.BLOCK} as block from ({infra.resources_sql()}) q) r",
+    "files_": infra.files_sql("select * exclude (block) from res").replace("{agg}", "string_agg(block, chr(10) order by p_partkey)"),
     "lnk": infra.links_sql(),
-    "delta": "select repository, module_path, address, case when a.content_hash is null then 'added' when b.content_hash is null then 'removed' else 'changed' end as change, coalesce(b.link_id, a.link_id) as link_id from (select * from res where revision = 1) a full outer join (select * from res where revision = 2) b using (repository, module_path, address) where a.content_hash is null or b.content_hash is null or a.content_hash <> b.content_hash or a.link_id <> b.link_id",
-    "matched": "select link_id, doc_id, version_ord, statement_id from (select l.*, version_ord, statement_id, row_number() over (partition by link_id, version_ord order by stmt_ord) as nth from lnk l join statements using (doc_id) where contains(lower(text), lower(anchor))) where nth = 1",
-    "gaps_": "select link_id, kind, '' as iac_ref, case kind when 'covered' then 'info' else 'high' end as severity from (select link_id, case when link_id not in (select link_id from matched) then 'missing_statement' when link_id not in (select link_id from res) then 'missing_iac' else 'covered' end as kind from lnk) union all select link_id, 'orphan_annotation', repository || ':' || address, 'medium' from res where link_id <> '' and link_id not in (select link_id from lnk)",
-    "code_gaps": "select link_id, doc_id, repository, address, change, case when change = 'removed' then 'critical' else 'high' end as severity from delta join lnk using (link_id)",
+    "asm": infra.assessments_sql(),
+    "terms": f"select * from (values {_VALUES(_TERMS)}) t(rule, domain, side, term)",
+    "sets": f"select * from (values {_VALUES(_SETS)}) t(rule, what, value)",
+    "term_hits": "select p_partkey, revision, rule, domain, bool_or(side = 'type') as by_type, bool_or(side = 'text') as by_text from res join terms on (side = 'type' and contains(lower(resource_type), term)) or (side = 'text' and contains(replace(lower(block), ' ', ''), term)) group by all",
+    "by_rule": "select p_partkey, revision, list(domain) as rd, bool_or(by_type) as t, bool_or(by_text) as x, bool_or(by_type and by_text) as tx from term_hits group by all",
+    "by_value": "select p_partkey, revision, coalesce(list(value) filter (where what = 'control'), []) as rc, coalesce(list(value) filter (where what = 'role'), []) as rr from term_hits join sets using (rule) group by all",
+    "judged": f"""select r.*, coalesce(rd, []) as rd, coalesce(rc, []) as rc, coalesce(rr, []) as rr, coalesce(t, false) as t, coalesce(x, false) as x, coalesce(tx, false) as tx, {_LISTED.format('r.control_ids')} as dc, list_transform({_LISTED.format('r.domains')}, lambda d: {rules.normal_domain(DUCK, 'd')}) as dd,
+        list_transform({_LISTED.format('r.roles')}, lambda q: lower(q)) as dr, contains(block, '0.0.0.0/0') as open_, regexp_matches(block, '{iac_rules.DISABLED}') as off_ from res r left join by_rule using (p_partkey, revision) left join by_value using (p_partkey, revision)""",
+    "judged1": f"""select *, list_filter(dc, lambda c: regexp_matches(c, '{iac_rules.CONTROL_ID}')) as good, list_filter(dc, lambda c: not regexp_matches(c, '{iac_rules.CONTROL_ID}')) as bad from judged""",
+    "judged2": f"""select *, list_sort(list_distinct(list_concat(list_concat(rd, list_filter(dd, lambda d: list_contains({_KNOWN}, d))), case when open_ then ['network_security'] else [] end))) as all_domains, list_filter(dd, lambda d: not list_contains({_KNOWN}, d)) as unknown_domains,
+        round(least(0.99, greatest(case when t then 0.82 else 0 end, case when x then 0.74 else 0 end, case when tx then 0.9 else 0 end, case when len(good) > 0 then 0.99 else 0 end, case when len(bad) > 0 then 0.5 else 0 end, case when len(dd) > 0 then 0.98 else 0 end, case when len(dr) > 0 then 0.98 else 0 end, case when link_id <> '' then 0.97 else 0 end, case when open_ or off_ then 0.92 else 0 end)), 2)::double as sure from judged1""",
+    "judged3": "select *, len(all_domains) > 0 or len(dc) > 0 or link_id <> '' as sensitive, len(good) > 0 or len(dd) > 0 or len(dr) > 0 as reviewed from judged2",
+    "judged4": "select *, case when off_ then 'violated' when len(bad) > 0 or (open_ and not (lower(posture) in ('approved', 'implemented') or exception_id <> '')) then 'review_required' when sensitive and (reviewed or sure >= 0.85) then 'implemented' else 'unknown' end as state from judged3",
+    "classified": """select p_partkey, repository, revision, module_path, address, resource_type, relative_path, link_id, content_hash, all_domains, array_to_string(all_domains, ',') as domains, array_to_string(list_sort(list_distinct(list_concat(list_concat(rc, list_transform(good, lambda c: upper(c))), case when open_ then ['SC-7', 'AC-4'] else [] end))), ',') as control_ids,
+        case when off_ then 'configuration_risk' else array_to_string(list_sort(list_distinct(list_concat(list_concat(rr, dr), case when open_ then ['preventive', 'exposure'] else [] end))), ',') end as roles, array_to_string(unknown_domains, ',') as unknown_domains, sensitive as security_sensitive, sure as confidence, state as posture,
+        case when state = 'violated' then 'misconfigured' when state = 'review_required' then 'review_required' when reviewed then 'reviewed_annotation' when sensitive and sure >= 0.85 then 'classified' when sensitive then 'review_required' else 'not_security_relevant' end as status from judged4""",
+    "delta": "select repository, module_path, address, case when a.content_hash is null then 'added' when b.content_hash is null then 'removed' else 'changed' end as change, coalesce(b.link_id, a.link_id) as link_id, coalesce(b.resource_type, a.resource_type) as resource_type from (select * from res where revision = 1) a full outer join (select * from res where revision = 2) b using (repository, module_path, address) where a.content_hash is null or b.content_hash is null or a.content_hash <> b.content_hash",
+    "matched": "select link_id, doc_id, version_ord, statement_id, content_hash from (select l.link_id, l.doc_id, version_ord, statement_id, content_hash, row_number() over (partition by l.link_id, version_ord order by stmt_ord) as nth from lnk l join statements s using (doc_id) where contains(lower(s.text), lower(anchor)) or (len(l.keywords) > 0 and len(list_filter(l.keywords, lambda k: not contains(lower(s.text), k))) = 0)) where nth = 1",
+    "wired": f"""select distinct link_id, repository, revision, module_path, address from (select l.link_id, l.repositories, r.* exclude (link_id) from lnk l join res r using (link_id)
+        union all select n.link_id, n.repositories, r.* exclude (link_id) from (select *, unnest(addresses) as wanted from lnk) n join res r on r.address = wanted or r.module_path || '::' || r.address = wanted
+        union all select n.link_id, n.repositories, r.* exclude (link_id) from (select *, unnest(types) as wanted from lnk where len(addresses) = 0) n join res r on r.resource_type = wanted where {_BELOW}) where len(repositories) = 0 or list_contains(repositories, repository)""",
+    "doubtful": f"select link_id, revision, address, string_agg(distinct {_REF}, ', ' order by {_REF}) as iac_ref from wired join (select link_id, unnest(addresses) as address from lnk) using (link_id, address) group by all having count(*) > 1",
+    "gaps_": f"""select link_id, doc_id, kind, case kind when 'covered' then 'info' when 'missing_policy_statement' then 'high' else 'critical' end as severity, case when kind = 'ambiguous_iac_selector' then coalesce(u, '') else '' end as iac_ref from (select l.link_id, l.doc_id, u, case when u is not null then 'ambiguous_iac_selector' when l.link_id not in (select link_id from matched where version_ord = 2) then 'missing_policy_statement'
+        when l.link_id not in (select link_id from wired where revision = 2) then 'missing_iac_implementation' else 'covered' end as kind from lnk l left join (select link_id, min(iac_ref) as u from doubtful where revision = 2 group by all) using (link_id))
+        union all select '', null, 'orphan_iac_annotation', 'medium', {_REF} from res where revision = 2 and link_id <> '' and link_id not in (select link_id from lnk)""",
+    "reached": "select distinct link_id, repository, module_path, address from wired",
+    "code_gaps": f"""select link_id, doc_id, 'iac_' || change || '_requires_doc_review' as kind, case when change = 'removed' then 'critical' else 'high' end as severity, address as iac_ref from (select * exclude (link_id) from delta) join reached using (repository, module_path, address) join lnk using (link_id)
+        union all select '', null, 'unlinked_sensitive_iac_change', 'high', {_REF} from delta d where not exists (select 1 from reached r where r.repository = d.repository and r.module_path = d.module_path and r.address = d.address)
+        and (regexp_matches(lower(resource_type), '{'|'.join(iac_rules.SENSITIVE_TYPES)}') or exists (select 1 from classified c where c.security_sensitive and c.repository = d.repository and c.module_path = d.module_path and c.address = d.address))
+        union all select distinct link_id, doc_id, 'doc_anchor_missing_after_iac_change', 'critical', '' from (select * exclude (link_id) from delta) join reached using (repository, module_path, address) join lnk using (link_id) where link_id not in (select link_id from matched where version_ord = 2)""",
+    "refs": f"select link_id, string_agg({_REF}, ', ' order by {_REF}) as refs from wired where revision = 2 group by link_id",
+    "doc_gaps": """select link_id, doc_id, kind, case when contains(kind, 'removed') then 'critical' else 'high' end as severity, coalesce(refs, '') as iac_ref from (select l.link_id, l.doc_id, refs, case when o.content_hash is not null and n.content_hash is null then 'policy_obligation_removed_iac_still_present'
+        when o.content_hash <> n.content_hash then 'policy_obligation_changed_verify_iac' when n.content_hash is not null and refs is null then 'policy_without_iac' end as kind
+        from lnk l left join (select * from matched where version_ord = 1) o using (link_id) left join (select * from matched where version_ord = 2) n using (link_id) left join refs using (link_id)) where kind is not null""",
+    "both_": f"""select link_id, max(doc_id) as doc_id, case when bool_or(contains(kind, 'removed')) then 'coordinated_control_retirement_review' else 'coordinated_policy_iac_change' end as kind, {change_rules.severity_name(f"max({change_rules.severity_rank('severity')})")} as severity, coalesce(string_agg(distinct iac_ref, ', ' order by iac_ref) filter (where iac_ref <> ''), '') as iac_ref
+        from (select * from code_gaps union all select * from doc_gaps) where link_id <> '' and link_id in (select link_id from code_gaps) and link_id in (select link_id from doc_gaps) group by link_id""",
+    "change_set_": f"select {_G} from code_gaps union all select {_G} from doc_gaps union all select {_G} from both_ union all select {_G} from gaps_ g where kind <> 'covered' and not exists (select 1 from (select * from code_gaps union all select * from doc_gaps union all select * from both_) h where h.kind = g.kind and h.link_id = g.link_id and h.iac_ref = g.iac_ref)",
+    "want": f"select *, list_distinct(list_transform(expected_domains, lambda d: {rules.normal_domain(DUCK, 'd')})) as expected from lnk",
+    "said": "select w.link_id, w.doc_id, w.expected, w.expected_kind, w.expected_strength, w.expected_polarity, s.keywords as policy_domains, statement_kind, strength, action_polarity, confidence from want w join matched m using (link_id, doc_id) join statements s using (doc_id, version_ord, statement_id) where len(expected) > 0 and version_ord = 2",
+    "coded": f"select w.link_id, w.doc_id, expected, all_domains, posture, confidence, {_REF} as ref from want w join wired x using (link_id) join classified c using (repository, revision, module_path, address) where len(expected) > 0 and revision = 2",
+    "per_link": "select link_id, doc_id, expected, list_distinct(flatten(list(all_domains))) as code_domains, string_agg(distinct ref, ', ' order by ref) as refs from coded group by all",
+    "alignment": f"""select link_id, doc_id, 'classifier_ground_truth_missing' as kind, 'medium' as severity, '' as iac_ref from want where len(expected) = 0
+        union all select link_id, doc_id, 'policy_classifier_review_required', 'medium', '' from said where confidence < 0.85
+        union all select link_id, doc_id, 'policy_statement_semantic_mismatch', 'critical', '' from said where coalesce(expected_kind <> statement_kind, false) or coalesce(expected_strength <> strength, false) or coalesce(expected_polarity <> action_polarity, false)
+        union all select link_id, doc_id, 'policy_classifier_domain_mismatch', 'high', '' from said where not list_has_all(policy_domains, expected)
+        union all select link_id, doc_id, 'policy_classifier_unexpected_domain', 'high', '' from said where not list_has_all(expected, policy_domains)
+        union all select link_id, doc_id, 'terraform_classifier_domain_mismatch', 'high', refs from per_link where not list_has_all(code_domains, expected)
+        union all select link_id, doc_id, 'terraform_classifier_unexpected_domain', 'high', refs from per_link where not list_has_all(expected, code_domains)
+        union all select link_id, doc_id, 'terraform_control_violation', 'critical', ref from coded where posture = 'violated'
+        union all select link_id, doc_id, 'terraform_posture_review_required', 'medium', ref from coded where posture in ('unknown', 'review_required')
+        union all select link_id, doc_id, 'terraform_classifier_review_required', 'medium', ref from coded where confidence < 0.85""",
     "runs_": infra.runs_sql(),
     "trans": "select *, case when status = 'aligned' and was in ('misaligned', 'review_required') then 'recovered' when status <> 'aligned' and (coalesce(before, '') = '' or coalesce(was, '') in ('', 'aligned')) then 'opened' when status <> 'aligned' and before <> finding then 'changed' when status <> 'aligned' then 'repeated' else 'unchanged' end as transition, status <> 'aligned' and coalesce(before = finding, false) as same from (select *, lag(status) over w as was, lag(finding) over w as before from runs_ window w as (partition by monitor_id order by run_ts, run_id))",
     "stretches": "select *, sum(case when same then 0 else 1 end) over (partition by monitor_id order by run_ts, run_id rows between unbounded preceding and current row) as stretch from trans",
 }
 
 
+def _wired(s: SparkSession, d: str) -> DataFrame:
+    return built(s, d, "wired", lambda: reconcile.link_resources(infra.links(s, d), _resources(s, d)))
+
+
+def _matched(s: SparkSession, d: str) -> DataFrame:
+    return built(s, d, "matched", lambda: reconcile.link_statement(infra.links(s, d), statements(s, d)))
+
+
+def _now(t: DataFrame) -> DataFrame:
+    return t.filter("revision = 2" if "revision" in t.columns else "version_ord = 2")
+
+
 def _gaps(s: SparkSession, d: str) -> DataFrame:
-    links, res = infra.links(s, d), _resources(s, d)
-    return reconcile.completeness_gaps(links, reconcile.link_statement(links, statements(s, d)), reconcile.link_resources(links, res), res)
-
-
-register("iac_extract", lambda s, d: iac.iac_extract(infra.files(s, d)).select("repository", "revision", "module_path", "address", "resource_type", "link_id"), "select repository, revision, module_path, address, resource_type, link_id from res", _INFRA)
-register("iac_diff", lambda s, d: iac.iac_diff(_resources(s, d), 1, 2), "select repository, module_path, address, change, link_id from delta", _INFRA)
-register("identity_duplicates", lambda s, d: iac.identity_duplicates(_resources(s, d).union(_resources(s, d).filter("name like '%7'"))), "select repository, module_path, address, revision, 2::bigint as n from res where name like '%7'", _INFRA)
-register("file_evidence", lambda s, d: iac.file_evidence(infra.files(s, d), iac.iac_extract(infra.files(s, d))), "select repository, revision, relative_path, sha256(content) as sha256, (select count(*) from res r where r.repository = f.repository and r.revision = f.revision and r.relative_path = f.relative_path) as n from files_ f", _INFRA)
-register("link_statement", lambda s, d: reconcile.link_statement(infra.links(s, d), statements(s, d)), "select link_id, doc_id, version_ord, statement_id from matched", _INFRA)
-register("link_resources", lambda s, d: reconcile.link_resources(infra.links(s, d), _resources(s, d)), "select link_id, repository, revision, module_path, address from lnk join res using (link_id)", _INFRA)
-register("completeness_gaps", _gaps, "select link_id, kind, iac_ref, severity from gaps_", _INFRA)
-register("unlinked_sensitive", lambda s, d: reconcile.unlinked_sensitive(_resources(s, d), infra.links(s, d)), "select repository, address from res where security_sensitive and link_id not in (select link_id from lnk)", _INFRA)
-register("iac_change_gaps", lambda s, d: reconcile.iac_change_gaps(iac.iac_diff(_resources(s, d), 1, 2), infra.links(s, d)), "select * from code_gaps", _INFRA)
-register("change_set_coordinated", lambda s, d: reconcile.coordinated(lineage.statement_diff(statements(s, d), policies(s, d)), reconcile.iac_change_gaps(iac.iac_diff(_resources(s, d), 1, 2), infra.links(s, d)), infra.links(s, d)), "select distinct link_id, doc_id from lnk where doc_id in (select doc_id from diff) and link_id in (select link_id from code_gaps)", _INFRA)
-register("merge_target", lambda s, d: reconcile.merge_target(_gaps(s, d), "link_id"), f"select link_id, n, {change_rules.severity_name('r')} as severity, case when r >= 3 then 'misaligned' when r >= 1 then 'review_required' else 'aligned' end as status from (select link_id, count(*) as n, max({change_rules.severity_rank('severity')}) as r from gaps_ group by link_id)", _INFRA)
+    return reconcile.completeness_gaps(infra.links(s, d), _now(_matched(s, d)), _now(_wired(s, d)), _now(_resources(s, d)))
+
+
+def _code_gaps(s: SparkSession, d: str) -> DataFrame:
+    return reconcile.iac_change_gaps(iac.iac_diff(_resources(s, d), 1, 2), infra.links(s, d), _wired(s, d), _resources(s, d).filter("security_sensitive"), _now(_matched(s, d)))
+
+
+def _doc_gaps(s: SparkSession, d: str) -> DataFrame:
+    return reconcile.doc_change_gaps(infra.links(s, d), _matched(s, d).filter("version_ord = 1"), _now(_matched(s, d)), _now(_wired(s, d)))
+
+
+def _alignment(s: SparkSession, d: str) -> DataFrame:
+    return reconcile.alignment_gaps(infra.links(s, d), _now(_matched(s, d)), statements(s, d), _now(_wired(s, d)), _resources(s, d), exact=True)
+
+
+def _change_set(s: SparkSession, d: str) -> DataFrame:
+    return reconcile.change_set(_code_gaps(s, d), _doc_gaps(s, d), _gaps(s, d))
+
+
+_joined = lambda t, *cs: t.withColumns({c: F.array_join(c, ",") for c in cs})
+_RC = ("repository", "revision", "module_path", "address")
+_CL = (*_RC, "domains", "control_ids", "roles", "unknown_domains", "security_sensitive", "confidence", "posture", "status")
+register("iac_extract", lambda s, d: _resources(s, d).select(*_RC, "resource_type", "link_id", "content_hash"), f"select {', '.join(_RC)}, resource_type, link_id, content_hash from res", _INFRA)
+register("iac_annotations", lambda s, d: _resources(s, d).select(*_RC, F.explode("annotations").alias("key", "value")), "select repository, revision, module_path, address, key, value from (unpivot (select repository, revision, module_path, address, control_ids, domains, exception_id, link_id, posture, roles from res) on control_ids, domains, exception_id, link_id, posture, roles into name key value value) where value <> ''", _INFRA)
+register("iac_tags", lambda s, d: _resources(s, d).select(*_RC, F.explode("tags").alias("key", "value")), "select repository, revision, module_path, address, 'grc_owner' as key, 'v' as value from res", _INFRA)
+register("iac_classify", lambda s, d: _joined(_resources(s, d), "domains", "control_ids", "roles", "unknown_domains").select(*_CL), f"select {', '.join(_CL)} from classified", _INFRA)
+register("control_id_valid", lambda s, d: _resources(s, d).select(F.explode(F.split(F.try_element_at("annotations", F.lit("control_ids")), "[,|]")).alias("control_id")).groupBy(F.trim("control_id").alias("control_id")).agg(F.count("*").alias("n")).select("control_id", "n", iac.control_id_valid(F.col("control_id")).alias("valid")), "select control_id, count(*) as n, control_id <> 'XX-9' as valid from (select unnest(dc) as control_id from judged) group by control_id", _INFRA)
+register("iac_diff", lambda s, d: iac.iac_diff(_resources(s, d), 1, 2), "select repository, module_path, address, change, link_id, resource_type from delta", _INFRA)
+register("identity_duplicates", lambda s, d: iac.identity_duplicates(_resources(s, d).union(_resources(s, d).filter("module_path like '%1'"))), "select repository, module_path, address, revision, 2::bigint as n from res where module_path like '%1'", _INFRA)
+register("file_evidence", lambda s, d: iac.file_evidence(infra.files(s, d), _resources(s, d)), "select repository, revision, relative_path, sha256(content) as sha256, (select count(*) from res r where r.repository = f.repository and r.revision = f.revision and r.relative_path = f.relative_path) as n from files_ f", _INFRA)
+register("unclassified_file_change", lambda s, d: iac.unclassified_file_change(infra.files(s, d).withColumn("content", F.concat("content", F.when(F.col("revision") == 2, "# reviewed").otherwise(""))), _resources(s, d).filter("resource_type <> 'aws_s3_bucket'"), 1, 2),
+    "select repository, relative_path, case when a.content is null then 'added' when b.content is null then 'removed' else 'changed' end as change from (select * from files_ where revision = 1) a full outer join (select * from files_ where revision = 2) b using (repository, relative_path) where not exists (select 1 from (select *, count(*) over (partition by repository, module_path, address, content_hash) as n from res where resource_type <> 'aws_s3_bucket') r where n = 1 and r.repository = coalesce(a.repository, b.repository) and r.relative_path = coalesce(a.relative_path, b.relative_path))", _INFRA)
+register("history_gaps", lambda s, d: iac.history_gaps(infra.links(s, d).select(F.col("link_id").alias("target"), F.concat(F.lit("infra-"), F.col("doc_id") % 5).alias("repository"), (F.col("doc_id") % 3 + 1).cast("int").alias("revision")), _resources(s, d)), "select link_id as target, 'infra-' || (doc_id % 5) as repository, cast(doc_id % 3 + 1 as integer) as revision, 'history_unavailable' as kind, 'high' as severity from lnk where doc_id % 5 > 2 or doc_id % 3 = 2", _INFRA)
+_SEEN = lambda s, d, r, n: infra.files(s, d).filter(f"revision = {r}").select("repository", F.lit(0).alias("revision"), F.col("relative_path").alias("path"), F.sha2("content", 256).alias("digest"), F.endswith("relative_path", F.lit(n)).alias("is_link"))
+register("unpinned_inputs", lambda s, d: iac.unpinned_inputs(_SEEN(s, d, 2, "11/main.tf"), _SEEN(s, d, 1, "nowhere")), "select repository, 0 as revision, relative_path as path, case when b.content is not null and ends_with(relative_path, '11/main.tf') then 'symlink' when b.content is null then 'missing' when a.content is null then 'untracked' else 'different' end as state from (select * from files_ where revision = 1) a full outer join (select * from files_ where revision = 2) b using (repository, relative_path) where a.content is distinct from b.content or ends_with(relative_path, '11/main.tf')", _INFRA)
+register("link_statement", _matched, "select link_id, doc_id, version_ord, statement_id, content_hash from matched", _INFRA)
+register("link_resources", _wired, "select * from wired", _INFRA)
+register("ambiguous_selector", lambda s, d: reconcile.ambiguous_selector(infra.links(s, d), _wired(s, d)), "select * from doubtful", _INFRA)
+register("link_violations", lambda s, d: registry.link_violations(infra.links(s, d).union(infra.links(s, d).filter("doc_id % 10 = 0"))), "select distinct link_id, unnest(list_filter([case when doc_id % 10 = 0 then 'link_id not unique' end, case when expected_kind is null then 'expected_kind missing' end, case when expected_strength is null then 'expected_strength missing' end, case when expected_polarity is null then 'expected_polarity missing' end], lambda x: x is not null)) as problem from lnk", _INFRA)
+register("completeness_gaps", _shown(_gaps), f"select {_GAPS} from gaps_", _INFRA)
+register("alignment_gaps", _shown(_alignment), f"select {_GAPS} from alignment", _INFRA)
+register("unlinked_sensitive", lambda s, d: reconcile.unlinked_sensitive(_resources(s, d), _wired(s, d)), "select repository, revision, module_path, address from classified c where security_sensitive and not exists (select 1 from wired w where w.repository = c.repository and w.revision = c.revision and w.module_path = c.module_path and w.address = c.address)", _INFRA)
+register("iac_change_gaps", _shown(_code_gaps), f"select {_GAPS} from code_gaps", _INFRA)
+register("doc_change_gaps", _shown(_doc_gaps), f"select {_GAPS} from doc_gaps", _INFRA)
+register("change_set", _shown(_change_set), f"select {_GAPS} from change_set_", _INFRA)
+register("gap_dedupe", _shown(lambda s, d: reconcile.gap_dedupe(_change_set(s, d).unionByName(_gaps(s, d)))), f"select link_id, coalesce(max(doc_id), -1) as doc_id, kind, {change_rules.severity_name(f'max({change_rules.severity_rank("severity")})')} as severity, iac_ref from (select * from change_set_ union all select {_G} from gaps_) group by link_id, kind, iac_ref", _INFRA)
+register("merge_target", lambda s, d: reconcile.merge_target(_change_set(s, d).filter("link_id <> ''"), "link_id"), f"select link_id, n, {change_rules.severity_name('r')} as severity, case when r >= 3 then 'misaligned' when r >= 1 then 'review_required' else 'aligned' end as status from (select link_id, count(*) as n, max({change_rules.severity_rank('severity')}) as r from change_set_ where link_id <> '' group by link_id)", _INFRA)
+_MAPS = HITS | _INFRA
+register("link_scf_map", lambda s, d: reconcile.scf_map(_now(_matched(s, d)).join(hits(s, d), ["doc_id", "version_ord", "statement_id"]), "link_id").withColumn("controls", F.array_join("controls", ",")), "select link_id, framework, string_agg(distinct control_id, ',' order by control_id) as controls from matched join hits using (doc_id, version_ord, statement_id) where version_ord = 2 group by all", _MAPS)
+register("framework_labels", lambda s, d: reconcile.framework_labels(reconcile.scf_map(_now(_matched(s, d)).join(hits(s, d), ["doc_id", "version_ord", "statement_id"]), "link_id"), "link_id"), "select distinct link_id, framework || ':' || control_id as label from matched join hits using (doc_id, version_ord, statement_id) where version_ord = 2", _MAPS)
+register("mapping_assessments", lambda s, d: reconcile.mapping_assessments(_now(_matched(s, d)).join(hits(s, d), ["doc_id", "version_ord", "statement_id"]), infra.assessments(s, d)), "select doc_id, assessment_id, string_agg(distinct framework, ',' order by framework) as frameworks from matched join hits using (doc_id, version_ord, statement_id) join (select *, unnest(frameworks) as framework from (select assessment_id, doc_ids, frameworks from asm where status = 'active')) using (framework) where version_ord = 2 and (len(doc_ids) = 0 or list_contains(doc_ids, doc_id)) group by doc_id, assessment_id".replace("select *, unnest(frameworks) as framework from", "select assessment_id, doc_ids, unnest(frameworks) as framework from"), _MAPS)
+_SCF_OF = "select distinct repository, revision, module_path, address, control_id, 'NIST 800-53' as framework from (select *, unnest(string_split(control_ids, ',')) as control_id from classified where security_sensitive) where regexp_matches(control_id, '^(AC|AU|CA|CM|CP|IA|IR|MP|RA|SC|SI)-')"
+register("resource_scf_map", lambda s, d: _resource_map(s, d), "select repository, revision, module_path, address, string_agg(distinct scf_id, ',' order by scf_id) as controls from declared_controls d join to_scf_all t using (control_id) group by all", _MAPS | {"declared_controls": _SCF_OF, "to_scf_all": f"select distinct control_id, scf_id from (select distinct control_id, {_NIST.format(c='control_id')} as padded from declared_controls) d join c_scf_crosswalk x on x.framework = 'NIST 800-53' and x.control_id in (d.control_id, d.padded)".replace("select distinct control_id, scf_id", "select distinct d.control_id, scf_id")})
+
+
+def _resource_map(s: SparkSession, d: str) -> DataFrame:
+    """Backbone controls of sensitive resources, by the 800-53 controls that they declare or that rules give them."""
+    own = _resources(s, d).filter("security_sensitive").select(*_RC, F.explode("control_ids").alias("control_id")).filter("control_id rlike '^(AC|AU|CA|CM|CP|IA|IR|MP|RA|SC|SI)-'").withColumn("framework", F.lit("NIST 800-53"))
+    scf = crosswalk.framework_to_scf(own.select("control_id", "framework").distinct(), catalog(s, "scf_crosswalk"))
+    met = own.join(scf.select("control_id", "framework", "scf_id"), ["control_id", "framework"])
+    return met.groupBy(*_RC).agg(F.array_join(F.sort_array(F.collect_set("scf_id")), ",").alias("controls"))
+
 
 # --- monitoring, evaluation ------------------------------------------------
 register("monitor_status", lambda s, d: monitor.monitor_status(infra.runs(s, d)), "select monitor_id, count(*) as n, count(*) filter (where status <> 'aligned') as bad, last(status order by run_ts, run_id) as latest from runs_ group by monitor_id", _INFRA)
