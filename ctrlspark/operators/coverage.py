@@ -82,15 +82,21 @@ def control_graph(statements: DataFrame, hits: DataFrame) -> tuple[DataFrame, Da
     return nodes[0].union(nodes[1]).union(nodes[2]).distinct(), edges[0].union(edges[1]).distinct()
 
 
+#: words of all questions that are looked for one by one
+VOCABULARY = 2000
+
+
 def questionnaire_topk(questions: DataFrame, statements: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best statements for each question(question_id, text): question_id, rank, statement_id, score.
 
     A question's words of more than two letters count if they stand anywhere in a
     statement's text, domains, headings, controls or titles; strength and the
-    number of hits add to the score.  Each statement is cut into its words once,
-    and questions meet them by the parts of words they may be (equal words first,
-    then longer ones by a join on shared three-letter starts).
+    number of hits add to the score.  Questions of equal text are answered once.  A
+    vocabulary of up to ``VOCABULARY`` words is looked for in each statement; a
+    larger one meets statements by a join on shared three-letter parts.
     """
+    asked = questions
+    questions = questions.select("text").distinct().withColumn("question_id", F.col("text"))
     key = ["doc_id", "version_ord", "statement_id"]
     names = hits.groupBy(*key).agg(F.concat_ws(" ", F.sort_array(F.collect_set(F.lower(F.concat_ws(" ", "control_id", "title"))))).alias("names"), F.count("*").alias("n"))
     bonus = F.coalesce(F.create_map(*[F.lit(x) for kv in STRENGTH_BONUS.items() for x in kv])[F.col("strength")], F.lit(0.0))
@@ -98,9 +104,15 @@ def questionnaire_topk(questions: DataFrame, statements: DataFrame, hits: DataFr
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda w: F.length(w) > 2))
     q = questions.select("question_id", F.explode(words).alias("word"))
     vocabulary = q.select("word").distinct().withColumn("gram", F.substring("word", 1, 3))
+    few = vocabulary.select("word").limit(VOCABULARY + 1).collect()
     grams = s.select(*key, "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - 2, F.lit(1))), lambda i: F.substring(F.col("hay"), i, F.lit(3))))).alias("gram"))
-    met = grams.join(vocabulary, "gram").filter(F.contains("hay", F.col("word"))).select(*key, "word")
+    if len(few) <= VOCABULARY:
+        words = F.array(*(F.lit(r["word"]) for r in few)).cast("array<string>")
+        met = s.select(*key, F.explode(F.filter(words, lambda w: F.contains("hay", w))).alias("word"))
+    else:
+        met = grams.join(vocabulary, "gram").filter(F.contains("hay", F.col("word"))).select(*key, "word")
     overlap = q.join(met, "word").groupBy("question_id", *key).agg(F.count("*").alias("overlap"))
     scored = overlap.join(s.select(*key, "stmt_ord", "extra"), key).withColumn("score", F.col("overlap") + F.col("extra"))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.round("score", 9).desc(), "doc_id", "version_ord", "stmt_ord"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("question_id", F.col("rank").cast("long").alias("rank"), "statement_id", F.round("score", 2).alias("score"))
+    best = scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("question_id").alias("text"), F.col("rank").cast("long").alias("rank"), "statement_id", F.round("score", 2).alias("score"))
+    return asked.select("question_id", "text").join(best, "text").drop("text")

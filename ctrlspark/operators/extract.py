@@ -25,17 +25,20 @@ def _so_far():
 
 def lines_explode(docs: DataFrame) -> DataFrame:
     """One row per line: line_ord (from 0), line, offset (characters before it)."""
-    parts = F.split("markdown", r"\r\n|[\n\r\x0b\x0c\x85  ]")
-    rows = docs.select(*DOC, F.posexplode(parts).alias("line_ord", "line"))
-    before = F.sum(F.length("line") + 1).over(_so_far()) - F.length("line") - 1
-    return rows.withColumn("offset", before.cast("long"))
+    cut = r"\r\n|[\n\r\x0b\x0c\x85  ]"
+    ends = F.regexp_extract_all("markdown", F.lit(f"({cut})"), 1)
+    # a line's length in the text counts its line end, which may have two characters
+    parts = F.transform(F.split("markdown", cut), lambda x, i: F.struct(x.alias("line"), (F.length(x) + F.coalesce(F.length(F.get(ends, i)), F.lit(0))).alias("size")))
+    rows = docs.select(*DOC, F.posexplode(parts).alias("line_ord", "p")).select(*DOC, "line_ord", "p.line", "p.size")
+    before = F.sum("size").over(_so_far()) - F.col("size")
+    return rows.withColumn("offset", before.cast("long")).drop("size")
 
 
 def fence_filter(lines: DataFrame) -> DataFrame:
     """Adds kind: fence, fenced, page, heading, blank, table, bullet or prose."""
-    fence = F.trim("line").startswith("```")
+    t = F.trim("line", F.lit(" \t\x0b\x0c"))
+    fence = t.startswith("```")
     inside = F.sum(fence.cast("int")).over(_so_far()) % 2 == 1
-    t = F.trim("line")
     kind = (
         F.when(fence, "fence")
         .when(inside, "fenced")

@@ -17,7 +17,6 @@ from ..functions.dialect import SPARK
 PAIR = ["doc_id", "older", "newer"]
 #: a pair of statements below this score is no rewording
 THRESHOLD = 0.5
-STOP_WORDS = ("a", "an", "and", "are", "be", "for", "in", "is", "of", "on", "or", "the", "to")
 
 
 def describe(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -45,7 +44,7 @@ def match_score(diff: DataFrame) -> DataFrame:
     """Scores of removed against added statements of a version pair: text, words, domains, citations, heading, action."""
     side = lambda kind, mark: diff.filter(F.col("change") == kind).select(*PAIR, *(F.col(x).alias(f"{mark}_{x}") for x in ("statement_id", "stmt_ord", "text", "strength", "keywords", "framework_ids", "heading_path")))
     p = side("removed", "a").join(side("added", "b"), PAIR)
-    words = lambda x: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"([a-z0-9]+)"), 1), lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 1)))
+    words = lambda x: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"([a-z0-9]+)"), 1), lambda w: ~w.isin(*c.STOP_WORDS) & (F.length(w) > 1)))
     p = p.withColumns({"wa": words("a_text"), "wb": words("b_text"), "act_a": F.expr(c.main_action(SPARK, "a_text")), "act_b": F.expr(c.main_action(SPARK, "b_text"))})
     union = F.size(F.array_union("wa", "wb"))
     jaccard = F.when(union > 0, F.size(F.array_intersect("wa", "wb")) / union).otherwise(0.0)

@@ -121,7 +121,7 @@ register("control_graph_edges", lambda s, d: coverage.control_graph(statements(s
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/events.parquet").filter("event_id % 97 = 0").select(F.col("event_id").alias("question_id"), F.concat_ws(" ", F.lit("How do you review"), F.expr("element_at(array('privileged access', 'vendor contracts', 'backup media', 'incident logs', 'network boundary'), cast(event_id % 5 as int) + 1)"), "event_type").alias("text"))
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("question_id"), F.concat_ws(" ", F.lit("How do you review"), F.expr("element_at(array('privileged access', 'vendor contracts', 'backup media', 'incident logs', 'network boundary'), cast(event_id % 5 as int) + 1)"), "event_type").alias("text"))
 
 
 # --- lineage ---------------------------------------------------------------
@@ -161,7 +161,7 @@ def _changes(s: SparkSession, d: str) -> DataFrame:
 register("change_kind", lambda s, d: impact.change_kinds(rewordings(s, d)).select("doc_id", "before", "after", "before_strength", "after_strength", "before_polarity", "after_polarity", "change_kind"), "select doc_id, before, after, before_strength, after_strength, before_polarity, after_polarity, change_kind from changed", _CHANGE)
 register("sla_delta", lambda s, d: impact.change_kinds(rewordings(s, d)).select("doc_id", "sla"), "select doc_id, sla from changed", _CHANGE)
 register("quantitative_delta", lambda s, d: rewordings(s, d).select("doc_id", F.expr(change_rules.quantitative_delta(SPARK, "before", "after")).alias("delta")), f"select doc_id, {change_rules.quantitative_delta(DUCK, 'before', 'after')} as delta from reworded", _CHANGE)
-register("exception_markers", lambda s, d: rewordings(s, d).select("doc_id", F.expr(f"array_join({change_rules.phrases(SPARK, 'after', change_rules.EXCEPTIONS)}, ',')").alias("markers")), f"select doc_id, array_to_string({change_rules.phrases(DUCK, 'after', change_rules.EXCEPTIONS)}, ',') as markers from reworded", _CHANGE)
+register("exception_markers", lambda s, d: rewordings(s, d).select("doc_id", F.expr(f"array_join({change_rules.exceptions(SPARK, 'after')}, ',')").alias("markers")), f"select doc_id, array_to_string({change_rules.exceptions(DUCK, 'after')}, ',') as markers from reworded", _CHANGE)
 register("change_risk", lambda s, d: impact.change_kinds(rewordings(s, d)).select("doc_id", "risk"), "select doc_id, risk from changed", _CHANGE)
 register("severity_rollup", lambda s, d: impact.change_kinds(rewordings(s, d)).groupBy("change_kind").agg(F.max(F.expr(change_rules.severity_rank("risk"))).alias("rank"), F.count("*").alias("n")), f"select change_kind, max({change_rules.severity_rank('risk')}) as rank, count(*) as n from changed group by all", _CHANGE)
 register("verbiage_changes", lambda s, d: _changes(s, d))
@@ -353,10 +353,10 @@ register("oscal_component", lambda s, d: export.component_rows(hits(s, d)), "sel
 register("oscal_assessment", lambda s, d: export.assessment_rows(statements(s, d), hits(s, d)), "select doc_id, version_ord, statement_id, coalesce(list_extract(heading_path, -1), 'Obligation') as title, coalesce(array_to_string(controls, ';'), '') as controls from statements left join (select doc_id, version_ord, statement_id, list_sort(list_distinct(list(control_id)))[1:8] as controls from hits group by all) using (doc_id, version_ord, statement_id) where strength in ('must', 'shall', 'prohibited')", HITS)
 register("ksi_coverage", lambda s, d: export.indicator_coverage(hits(s, d), catalog(s, "ksi"), "a"), "select doc_id, version_ord, count(*) filter (where a <> 'optional') as demanded, count(*) filter (where a = 'optional') as optional from (select distinct doc_id, version_ord, control_id from hits where source = 'ksi') h join c_ksi k on k.ksi_id = h.control_id where a <> 'not_applicable' group by all", HITS)
 _ASK = {
-    "asked": "select event_id as question_id, concat_ws(' ', 'How do you review', ['privileged access', 'vendor contracts', 'backup media', 'incident logs', 'network boundary'][cast(event_id % 5 as int) + 1], event_type) as text from events where event_id % 97 = 0",
-    "words_": "select distinct question_id, word from (select question_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as word from asked) where length(word) > 2",
+    "asked": "select event_id as question_id, concat_ws(' ', 'How do you review', ['privileged access', 'vendor contracts', 'backup media', 'incident logs', 'network boundary'][cast(event_id % 5 as int) + 1], event_type) as text from events",
+    "words_": "select distinct text, word from (select text, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as word from (select distinct text from asked)) where length(word) > 2",
     "names_": "select doc_id, version_ord, statement_id, count(*) as n, array_to_string(list_sort(list_distinct(list(lower(control_id || ' ' || title)))), ' ') as names from hits group by all",
     "hays": "select s.*, lower(concat_ws(' ', text, array_to_string(keywords, ' '), array_to_string(heading_path, ' '), names)) as hay, case strength when 'must' then 0.4 when 'shall' then 0.4 when 'prohibited' then 0.35 when 'should' then 0.2 when 'may' then 0.05 else 0 end::double + least(0.5::double, 0.05::double * coalesce(n, 0)) as extra from statements s left join names_ using (doc_id, version_ord, statement_id)",
-    "scored_": "select question_id, doc_id, version_ord, stmt_ord, statement_id, count(*) + max(extra) as score from words_ join hays on contains(hay, word) group by all",
+    "scored_": "select words_.text, doc_id, version_ord, stmt_ord, statement_id, count(*) + max(extra) as score from words_ join hays on contains(hay, word) group by all",
 }
-register("questionnaire_topk", lambda s, d: coverage.questionnaire_topk(_questions(s, d), statements(s, d), hits(s, d)), "select question_id, rank, statement_id, round(score, 2) as score from (select *, row_number() over (partition by question_id order by round(score, 9) desc, doc_id, version_ord, stmt_ord) as rank from scored_) where rank <= 5", HITS | _ASK)
+register("questionnaire_topk", lambda s, d: coverage.questionnaire_topk(_questions(s, d), statements(s, d), hits(s, d)), "select question_id, rank, statement_id, round(score, 2) as score from asked join (select *, row_number() over (partition by text order by round(score, 9) desc, doc_id, version_ord, stmt_ord) as rank from scored_) using (text) where rank <= 5", HITS | _ASK)
