@@ -130,3 +130,36 @@ def map_statements(statements: DataFrame, scf: DataFrame, crosswalk: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return hit_dedupe(out)
+
+
+def scf_reverse(controls: DataFrame, crosswalk: DataFrame, reverse: DataFrame, most: int = 8) -> DataFrame:
+    """Framework ids of backbone controls that have no crosswalk of their own, from a table read the other way round: control_id, framework, other, nth.
+
+    ``controls``: control_id; ``crosswalk``: scf_id; ``reverse``: framework, control_id, scf_ids in order of ``ord``.
+    """
+    bare = controls.select("control_id").distinct().join(crosswalk.select(F.col("scf_id").alias("control_id")).distinct(), "control_id", "left_anti")
+    met = reverse.select("framework", F.col("control_id").alias("other"), "ord", F.explode("scf_ids").alias("control_id")).join(bare, "control_id")
+    nth = F.row_number().over(Window.partitionBy("control_id").orderBy("ord", "framework", "other"))
+    return met.withColumn("nth", nth).filter(F.col("nth") <= most).select("control_id", "framework", "other", "nth")
+
+
+def snapshot_hits(statements: DataFrame, snapshot: DataFrame, most: int = 10) -> DataFrame:
+    """Hits of cited control families in a snapshot (prefix, target, control_id, title, ord), at 0.85: AC and IA ids go to one target, CC ids to another."""
+    cited = statements.select(*KEY, F.posexplode("framework_ids").alias("k", "cited")).withColumn("prefix", F.upper(F.regexp_extract("cited", r"^([A-Za-z]{2})", 1)))
+    met = cited.join(snapshot, "prefix").withColumn("hit_ord", F.row_number().over(Window.partitionBy(*KEY).orderBy("k", "ord")))
+    return met.filter(F.col("hit_ord") <= most).select(*KEY, F.col("target").alias("framework"), "control_id", "title", "hit_ord", F.lit(0.85).alias("confidence"))
+
+
+def section_hits(statements: DataFrame, sections: DataFrame, most: int = 8) -> DataFrame:
+    """Sections of a snapshot(section_id, name, ord) whose id or name holds one of a statement's terms, at 0.7.
+
+    Terms are the first two cited ids, else the first domain with blanks for
+    underscores.  Distinct terms meet the sections once, then statements meet terms.
+    """
+    terms = F.when(F.size("framework_ids") > 0, F.slice("framework_ids", 1, 2)).otherwise(F.transform(F.slice("keywords", 1, 1), lambda k: F.replace(k, F.lit("_"), F.lit(" "))))
+    asked = statements.select(*KEY, F.posexplode(terms).alias("k", "term")).withColumn("term", F.lower("term"))
+    hay = F.lower(F.concat_ws(" ", "section_id", "name"))
+    met = asked.select("term").distinct().join(F.broadcast(sections.withColumn("hay", hay)), F.contains("hay", F.col("term"))).select("term", "section_id", "name", "ord")
+    found = asked.join(met, "term").groupBy(*KEY, "section_id", "name").agg(F.min(F.struct("k", "ord")).alias("place"))
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("place", "section_id"))
+    return found.withColumn("hit_ord", nth).filter(F.col("hit_ord") <= most).select(*KEY, "section_id", "name", "hit_ord", F.lit(0.7).alias("confidence"))

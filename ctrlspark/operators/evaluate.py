@@ -23,3 +23,15 @@ def label_metric(cases: DataFrame) -> DataFrame:
 def quality_gate(metrics: DataFrame, least: float = 0.95) -> DataFrame:
     """Whether each suite's accuracy reaches the minimum."""
     return metrics.select("suite", "accuracy", (F.col("accuracy") >= least).alias("passed"))
+
+
+def eval_cases(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Cases of labelled suites against what the rules say: suite, case_id, failed (keys whose stated value differs), passed.
+
+    ``expected``: suite, case_id, values (a map of the stated keys); ``actual``:
+    case_id, values.  Keys that a case does not state are not compared; a case
+    without an actual row fails on all its keys.
+    """
+    both = expected.select("suite", "case_id", F.col("values").alias("want")).join(actual.select("case_id", F.col("values").alias("got")), "case_id", "left")
+    failed = F.array_sort(F.filter(F.map_keys("want"), lambda k: ~F.try_element_at("want", k).eqNullSafe(F.try_element_at("got", k))))
+    return both.withColumn("failed", failed).select("suite", "case_id", F.array_join("failed", ",").alias("failed"), (F.size("failed") == 0).alias("passed"))

@@ -58,3 +58,20 @@ def drift(statements: DataFrame, docs: DataFrame) -> DataFrame:
     old = cited.join(pairs, (cited["doc_id"] == pairs["doc_id"]) & (cited["version_ord"] == pairs["older"])).select(pairs["doc_id"], "older", "newer", "subject")
     lost = old.join(cited.withColumnRenamed("version_ord", "newer"), ["doc_id", "newer", "subject"], "left_anti")
     return found.unionByName(lost.select("doc_id", "older", "newer", F.lit("framework_citation_lost").alias("kind"), "subject", F.lit("high").alias("severity")))
+
+
+def statement_lists(snapshots: DataFrame, statements: DataFrame) -> DataFrame:
+    """Snapshots with the ids of their statements in order."""
+    ids = statements.groupBy("doc_id", "version_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("stmt_ord", "statement_id"))), lambda x: x["statement_id"]).alias("statement_ids"))
+    return snapshots.join(ids, ["doc_id", "version_ord"], "left")
+
+
+def load_statements(snapshots: DataFrame, store: DataFrame) -> DataFrame:
+    """Statements of snapshots(snapshot_id, statement_ids) in the order of their ids, from a content-addressed ``store``(statement_id, text)."""
+    wanted = snapshots.select("snapshot_id", F.posexplode("statement_ids").alias("place", "statement_id"))
+    return wanted.join(store, "statement_id").select("snapshot_id", "place", "statement_id", "text")
+
+
+def read_markdown(snapshots: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Text of snapshots by hash, from ``blobs``(markdown_hash, markdown)."""
+    return snapshots.join(blobs, "markdown_hash").select("snapshot_id", "markdown")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.change_rules import severity_rank
+
 
 def _order():
     return Window.partitionBy("monitor_id").orderBy("run_ts", "run_id")
@@ -50,3 +52,36 @@ def notify_decision(runs: DataFrame) -> DataFrame:
 def monitor_status(runs: DataFrame) -> DataFrame:
     """Runs by status of each monitor, and the latest one's status."""
     return runs.groupBy("monitor_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") != "aligned", 1)).alias("bad"), F.max_by("status", F.struct("run_ts", "run_id")).alias("latest"))
+
+
+def finding_fingerprint(gaps: DataFrame, target: str) -> DataFrame:
+    """One hash of all gaps of a target, whatever their order: target, n, fingerprint."""
+    row = F.concat_ws("|", "kind", "severity", "link_id", "iac_ref")
+    return gaps.groupBy(target).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("fingerprint"))
+
+
+def input_fingerprint(files: DataFrame) -> DataFrame:
+    """One hash of the inputs of each repository and revision: their paths and digests, in order."""
+    row = F.concat_ws("|", "path", "digest")
+    return files.groupBy("repository", "revision").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("fingerprint"))
+
+
+def notification_payload(gaps: DataFrame, target: str, most: int = 30) -> DataFrame:
+    """Of each target the ``most`` gravest findings and how many there are: target, n, findings (kind, link, reference)."""
+    rank = F.expr(severity_rank("severity"))
+    nth = F.row_number().over(Window.partitionBy(target).orderBy(rank.desc(), "kind", "link_id", "iac_ref"))
+    r = gaps.withColumn("nth", nth).withColumn("line", F.concat_ws("|", "severity", "kind", "link_id", "iac_ref"))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", "line")))), lambda x: x["line"]), "\n")
+    return r.groupBy(target).agg(F.count("*").alias("n"), shown.alias("findings"))
+
+
+def worth_a_notice(runs: DataFrame, severity: str, threshold: str = "high") -> DataFrame:
+    """Runs at or above a severity, and recoveries, unless the last notice had the same finding and input.
+
+    ``runs`` has transition, finding, input and the column named by ``severity``.
+    """
+    rank = lambda x: F.expr(severity_rank(x))
+    loud = runs.filter((F.col("transition") == "recovered") | (rank(severity) >= rank(f"'{threshold}'")))
+    w = Window.partitionBy("monitor_id").orderBy("run_ts", "run_id")
+    before = F.lag(F.struct("finding", "input")).over(w)
+    return loud.withColumn("again", F.coalesce(before == F.struct("finding", "input"), F.lit(False))).filter("not again").drop("again")

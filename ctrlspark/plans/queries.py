@@ -322,6 +322,34 @@ def _resource_map(s: SparkSession, d: str) -> DataFrame:
     return met.groupBy(*_RC).agg(F.array_join(F.sort_array(F.collect_set("scf_id")), ",").alias("controls"))
 
 
+# --- registries, snapshots, notices ----------------------------------------
+_MORE = _MAPS | {f"c_{n}": catalog_sql(n) for n in ("prefix_map", "sections", "duties")} | {
+    "by_class": "select req_id, name, statement, class_id, force from (unpivot (select * exclude (ord) from c_duties) on a, b, c, d into name class_id value force)",
+    "matrix": "select req_id, name, class_id, case when force <> '' then force else 'APPLICABLE' end as force from by_class where force <> '' or statement <> ''",
+    "musts": "select class_id, array_to_string(list_sort(list(req_id || ' (' || name || ')'))[1:4], ', ') as documents from matrix where force = 'MUST' group by class_id",
+    "ask_terms": "select doc_id, version_ord, statement_id, stmt_ord, generate_subscripts(t, 1) - 1 as k, lower(unnest(t)) as term from (select *, case when len(framework_ids) > 0 then framework_ids[1:2] else list_transform(keywords[1:1], lambda k: replace(k, '_', ' ')) end as t from statements)",
+}
+
+
+def _duties(s: SparkSession, d: str) -> DataFrame:
+    forces = F.map_filter(F.create_map(*[x for c in registry.CLASSES for x in (F.lit(c), F.col(c))]), lambda _, v: v != "")
+    return registry.doc_matrix(catalog(s, "duties").withColumn("by_class", forces))
+
+
+register("active_assessments", lambda s, d: registry.active_assessments(infra.assessments(s, d)).select("assessment_id", F.array_join("frameworks", ",").alias("frameworks"), "class_id"), "select assessment_id, array_to_string(frameworks, ',') as frameworks, class_id from asm where status = 'active'", _MORE)
+register("upsert_assessments", lambda s, d: registry.upsert_assessments(infra.assessments(s, d), infra.assessments(s, d).filter("status = 'closed'").withColumn("status", F.lit("renewed"))).select("assessment_id", "status"), "select assessment_id, case status when 'closed' then 'renewed' else status end as status from asm", _MORE)
+register("documentation_actions", lambda s, d: registry.documentation_actions(registry.active_assessments(infra.assessments(s, d)), infra.assessments(s, d), registry.doc_musts(_duties(s, d))), "select assessment_id, class_id, documents from asm join musts using (class_id) where status = 'active'", _MORE)
+register("report_rows", lambda s, d: registry.report_rows(statements(s, d), hits(s, d)).select("doc_id", "version_ord", F.explode("statements").alias("x")).select("doc_id", "version_ord", "x.statement_id", F.array_join(F.transform("x.hits", lambda h: F.concat_ws(":", h["source"], h["control_id"])), ",").alias("hits")), "select doc_id, version_ord, statement_id, coalesce(h, '') as hits from statements left join (select doc_id, version_ord, statement_id, string_agg(source || ':' || control_id, ',' order by source, hit_ord, framework, control_id) as h from hits group by all) using (doc_id, version_ord, statement_id)", _MORE)
+register("statement_lists", lambda s, d: lineage.load_statements(lineage.statement_lists(lineage.commit_snapshots(policies(s, d)), statements(s, d)), statements(s, d).select("statement_id", "text").distinct()).withColumn("place", F.col("place").cast("long")), "select snapshot_id, row_number() over (partition by doc_id, version_ord order by stmt_ord) - 1 as place, statement_id, text from snaps join statements using (doc_id, version_ord)", _SNAP)
+register("read_markdown", lambda s, d: lineage.read_markdown(lineage.commit_snapshots(policies(s, d)), policies(s, d).select(F.sha2("markdown", 256).alias("markdown_hash"), "markdown").distinct()), "select snapshot_id, markdown from snaps join pol using (doc_id, version_ord)", _SNAP)
+register("snapshot_hits", lambda s, d: crosswalk.snapshot_hits(statements(s, d), catalog(s, "prefix_map")).drop("confidence"), f"select {_K}, target as framework, control_id, title, nth as hit_ord from (select {_K}, target, c.control_id, c.title, row_number() over (partition by {_K} order by k, c.ord) as nth from cited t join c_prefix_map c on upper(t.control_id[1:2]) = prefix) where nth <= 10", _MORE)
+register("section_hits", lambda s, d: crosswalk.section_hits(statements(s, d), catalog(s, "sections")).drop("confidence"), f"select {_K}, section_id, name, nth as hit_ord from (select *, row_number() over (partition by {_K} order by place, section_id) as nth from (select {_K}, section_id, name, min((k, ord)) as place from ask_terms join c_sections on contains(lower(section_id || ' ' || name), term) group by all)) where nth <= 8", _MORE)
+register("scf_reverse", lambda s, d: crosswalk.scf_reverse(hits(s, d).filter("framework = 'SCF'"), catalog(s, "scf_crosswalk").filter("framework = 'NIST 800-53'"), catalog(s, "scf_crosswalk").groupBy("framework", "control_id").agg(F.min("ord").alias("ord"), F.collect_list("scf_id").alias("scf_ids"))), "select control_id, framework, other, nth from (select h.control_id, x.framework, x.control_id as other, row_number() over (partition by h.control_id order by first, x.framework, x.control_id) as nth from (select distinct control_id from hits where framework = 'SCF' and control_id not in (select scf_id from c_scf_crosswalk where framework = 'NIST 800-53')) h join (select *, min(ord) over (partition by framework, control_id) as first from c_scf_crosswalk) x on x.scf_id = h.control_id) where nth <= 8", _MORE)
+register("finding_fingerprint", lambda s, d: monitor.finding_fingerprint(_change_set(s, d).filter("link_id <> ''"), "link_id"), "select link_id, count(*) as n, sha256(string_agg(kind || '|' || severity || '|' || link_id || '|' || iac_ref, chr(10) order by kind || '|' || severity || '|' || link_id || '|' || iac_ref)) as fingerprint from change_set_ where link_id <> '' group by link_id", _MORE)
+register("input_fingerprint", lambda s, d: monitor.input_fingerprint(infra.files(s, d).select("repository", "revision", F.col("relative_path").alias("path"), F.sha2("content", 256).alias("digest"))), "select repository, revision, sha256(string_agg(relative_path || '|' || sha256(content), chr(10) order by relative_path)) as fingerprint from files_ group by all", _MORE)
+register("notification_payload", lambda s, d: monitor.notification_payload(_change_set(s, d).filter("link_id <> ''"), "link_id", 3), f"select link_id, count(*) as n, string_agg(severity || '|' || kind || '|' || link_id || '|' || iac_ref, chr(10) order by nth) filter (where nth <= 3) as findings from (select *, row_number() over (partition by link_id order by {change_rules.severity_rank('severity')} desc, kind, link_id, iac_ref) as nth from change_set_ where link_id <> '') group by link_id", _MORE)
+register("eval_cases", lambda s, d: evaluate.eval_cases(infra.links(s, d).filter("expected_kind is not null").select((F.col("doc_id") % 3).alias("suite"), F.col("link_id").alias("case_id"), F.map_filter(F.create_map(F.lit("kind"), "expected_kind", F.lit("strength"), "expected_strength", F.lit("polarity"), "expected_polarity"), lambda _, v: v.isNotNull()).alias("values")), _now(_matched(s, d)).join(statements(s, d).drop("content_hash"), ["doc_id", "version_ord", "statement_id"]).select(F.col("link_id").alias("case_id"), F.create_map(F.lit("kind"), "statement_kind", F.lit("strength"), "strength", F.lit("polarity"), "action_polarity").alias("values"))), "select suite, case_id, array_to_string(f, ',') as failed, len(f) = 0 as passed from (select l.doc_id % 3 as suite, l.link_id as case_id, list_filter([case when expected_kind is distinct from statement_kind then 'kind' end, case when expected_polarity is not null and expected_polarity is distinct from action_polarity then 'polarity' end, case when expected_strength is distinct from strength then 'strength' end], lambda x: x is not null) as f from lnk l left join (select link_id, doc_id, statement_id, version_ord from matched where version_ord = 2) m using (link_id) left join statements s on s.doc_id = m.doc_id and s.version_ord = m.version_ord and s.statement_id = m.statement_id where expected_kind is not null)", _MORE)
+
 # --- monitoring, evaluation ------------------------------------------------
 register("monitor_status", lambda s, d: monitor.monitor_status(infra.runs(s, d)), "select monitor_id, count(*) as n, count(*) filter (where status <> 'aligned') as bad, last(status order by run_ts, run_id) as latest from runs_ group by monitor_id", _INFRA)
 register("state_transition", lambda s, d: monitor.state_transition(infra.runs(s, d)).select("monitor_id", "run_id", "transition"), "select monitor_id, run_id, transition from trans", _INFRA)

@@ -90,7 +90,20 @@ KSI_WORDS = {
     "CNA": ("network", "segmentation", "cloud native"),
 }
 
+#: made-up snapshots: (prefix of cited ids, target, control, title), (section, name) and documentation duties (id, name, general statement, force by class)
+PREFIX_MAP = [
+    ("AC", "OSA 800-53", "AC-01", "Access policy"), ("AC", "OSA 800-53", "AC-02", "Accounts"), ("IA", "OSA 800-53", "IA-02", "Identification"), ("CC", "OSA SOC", "CC6", "Logical access"),
+]
+SECTIONS = [("CRE-100", "Access control and account management"), ("CRE-200", "Encryption at rest SC-28"), ("CRE-300", "Incident response"), ("CRE-400", "Backup CP-9"), ("CRE-500", "Vendor management"), ("CRE-600", "Logging and audit AU-2")]
+DUTIES = [
+    ("DOC-01", "Package overview", "yes", "", "", "MUST", "MUST"), ("DOC-02", "Key metrics", "", "MAY", "SHOULD", "MUST", "MUST"), ("DOC-03", "Maintenance", "yes", "", "MUST", "", "MUST"),
+    ("DOC-04", "Trust record", "", "", "MUST", "MUST", ""), ("DOC-05", "Change log", "yes", "MUST", "MUST", "MUST", "MUST"), ("DOC-06", "Scope map", "", "", "MUST", "MUST", "MUST"),
+]
+
 _TABLES = {
+    "prefix_map": (PREFIX_MAP, "prefix string, target string, control_id string, title string, ord int"),
+    "sections": (SECTIONS, "section_id string, name string, ord int"),
+    "duties": (DUTIES, "req_id string, name string, statement string, a string, b string, c string, d string, ord int"),
     "seed": (SEED, "domain string, framework string, control_id string, title string, ord int"),
     "scf": (SCF, "control_id string, domain string, title string, ord int"),
     "scf_crosswalk": (SCF_CROSSWALK, "scf_id string, framework string, control_id string, ord int"),
