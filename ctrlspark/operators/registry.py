@@ -24,7 +24,7 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def _listed(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
     """Rows of JSON files that hold a bare list or an object with the list in ``field``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     bare = F.from_json("value", f"array<struct<{_struct(schema)}>>")
     inside = F.from_json("value", f"struct<{field}: array<struct<{_struct(schema)}>>>")
     rows = F.when(F.ltrim("value").startswith("["), bare).otherwise(inside[field])
