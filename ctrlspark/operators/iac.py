@@ -46,7 +46,8 @@ def blocks_of(text: str) -> list[dict]:
                 break
             above.insert(0, line)
         block = text[m.start() : end].strip()
-        out.append({"resource_type": m[1], "name": m[2], "start_line": text.count("\n", 0, m.start()) + 1, "block": block, "annotations": annotations_of("\n".join(above)), "tags": tags_of(block)})
+        notes, tags = annotations_of("\n".join(above)), tags_of(block)
+        out.append({"link_id": notes.get("link_id") or tags.get("link_id") or "", "resource_type": m[1], "name": m[2], "start_line": text.count("\n", 0, m.start()) + 1, "block": block, "annotations": notes, "tags": tags})
     return out
 
 
@@ -87,8 +88,7 @@ def iac_extract(files: DataFrame) -> DataFrame:
             rows = []
             for repository, revision, path, content in pdf.itertuples(index=False):
                 for b in blocks_of(content or ""):
-                    link = b["annotations"].get("link_id") or b["tags"].get("link_id") or ""
-                    rows.append((repository, revision, path, path.rpartition("/")[0], f"{b['resource_type']}.{b['name']}", b["resource_type"], b["name"], b["start_line"], link, b["annotations"], b["tags"], hashlib.sha256(b["block"].encode()).hexdigest(), b["block"][:500], b["block"]))
+                    rows.append((repository, revision, path, path.rpartition("/")[0], f"{b['resource_type']}.{b['name']}", b["resource_type"], b["name"], b["start_line"], b["link_id"], b["annotations"], b["tags"], hashlib.sha256(b["block"].encode()).hexdigest(), b["block"][:500], b["block"]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     schema = "repository string, revision int, relative_path string, module_path string, address string, resource_type string, name string, start_line int, link_id string, annotations map<string,string>, tags map<string,string>, content_hash string, snippet string, block string"
