@@ -103,6 +103,9 @@ def _canonical(column: str) -> Column:
 
 def iac_diff(resources: DataFrame, older: int, newer: int) -> DataFrame:
     """Resources added, removed or changed (content, annotations or tags) between two revisions, by identity."""
+    for name in ("annotations", "tags", "resource_type"):  # tables without them have nothing to compare there
+        if name not in resources.columns:
+            resources = resources.withColumn(name, F.lit("") if name == "resource_type" else F.create_map().cast("map<string,string>"))
     side = lambda r, n: resources.filter(F.col("revision") == r).select(*IDENTITY, F.struct("content_hash", "link_id", _canonical("annotations").alias("notes"), _canonical("tags").alias("tags"), "resource_type").alias(n))
     both = side(older, "a").join(side(newer, "b"), IDENTITY, "full_outer")
     kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
