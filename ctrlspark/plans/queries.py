@@ -289,8 +289,8 @@ register("control_id_valid", lambda s, d: _resources(s, d).select(F.explode(F.sp
 register("iac_diff", lambda s, d: iac.iac_diff(_resources(s, d), 1, 2), "select repository, module_path, address, change, link_id, resource_type from delta", _INFRA)
 register("identity_duplicates", lambda s, d: iac.identity_duplicates(_resources(s, d).union(_resources(s, d).filter("module_path like '%1'"))), "select repository, module_path, address, revision, 2::bigint as n from res where module_path like '%1'", _INFRA)
 register("file_evidence", lambda s, d: iac.file_evidence(infra.files(s, d), _resources(s, d)), "select repository, revision, relative_path, sha256(content) as sha256, (select count(*) from res r where r.repository = f.repository and r.revision = f.revision and r.relative_path = f.relative_path) as n from files_ f", _INFRA)
-register("unclassified_file_change", lambda s, d: iac.unclassified_file_change(infra.files(s, d).withColumn("content", F.concat("content", F.when(F.col("revision") == 2, "# reviewed").otherwise(""))), _resources(s, d).filter("resource_type <> 'aws_s3_bucket'"), 1, 2),
-    "select repository, relative_path, case when a.content is null then 'added' when b.content is null then 'removed' else 'changed' end as change from (select * from files_ where revision = 1) a full outer join (select * from files_ where revision = 2) b using (repository, relative_path) where not exists (select 1 from (select *, count(*) over (partition by repository, module_path, address, content_hash) as n from res where resource_type <> 'aws_s3_bucket') r where n = 1 and r.repository = coalesce(a.repository, b.repository) and r.relative_path = coalesce(a.relative_path, b.relative_path))", _INFRA)
+register("unclassified_file_change", lambda s, d: iac.unclassified_file_change(infra.files(s, d).withColumn("content", F.concat("content", F.when(F.col("revision") == 2, "# reviewed").otherwise(""))), _resources(s, d).filter("annotations['exception_id'] is not null"), 1, 2),
+    "select repository, relative_path, case when a.content is null then 'added' when b.content is null then 'removed' else 'changed' end as change from (select * from files_ where revision = 1) a full outer join (select * from files_ where revision = 2) b using (repository, relative_path) where not exists (select 1 from (select *, count(*) over (partition by repository, module_path, address, content_hash) as n from res where exception_id <> '') r where n = 1 and r.repository = coalesce(a.repository, b.repository) and r.relative_path = coalesce(a.relative_path, b.relative_path))", _INFRA)
 register("history_gaps", lambda s, d: iac.history_gaps(infra.links(s, d).select(F.col("link_id").alias("target"), F.concat(F.lit("infra-"), F.col("doc_id") % 5).alias("repository"), (F.col("doc_id") % 3 + 1).cast("int").alias("revision")), _resources(s, d)), "select link_id as target, 'infra-' || (doc_id % 5) as repository, cast(doc_id % 3 + 1 as integer) as revision, 'history_unavailable' as kind, 'high' as severity from lnk where doc_id % 5 > 2 or doc_id % 3 = 2", _INFRA)
 _SEEN = lambda s, d, r, n: infra.files(s, d).filter(f"revision = {r}").select("repository", F.lit(0).alias("revision"), F.col("relative_path").alias("path"), F.sha2("content", 256).alias("digest"), F.endswith("relative_path", F.lit(n)).alias("is_link"))
 register("unpinned_inputs", lambda s, d: iac.unpinned_inputs(_SEEN(s, d, 2, "11/main.tf"), _SEEN(s, d, 1, "nowhere")), "select repository, 0 as revision, relative_path as path, case when b.content is not null and ends_with(relative_path, '11/main.tf') then 'symlink' when b.content is null then 'missing' when a.content is null then 'untracked' else 'different' end as state from (select * from files_ where revision = 1) a full outer join (select * from files_ where revision = 2) b using (repository, relative_path) where a.content is distinct from b.content or ends_with(relative_path, '11/main.tf')", _INFRA)
