@@ -43,7 +43,7 @@ HOT_WORD = 100_000
 BROADCAST_SETS = 2_000_000
 #: candidates of a line and key that are compared in each look, those that seem nearest first; only lines that have
 #: matched none and have more go on to the next look, and the last one takes all
-LOOKS = (1, 16, 256, None)
+LOOKS = (1, 64, None)
 #: words up to which a line has two parity maps of 64 bits, and one of 128; others have one of 256
 MAP_WORDS = (60, 130)
 #: rows of a task, and pairs of them, worked on at a time
@@ -336,26 +336,22 @@ def _compared(docs: DataFrame, pairs: DataFrame, ranked: Broadcast, share: Fract
     wanted = staged(both.groupBy("name", "map0").agg(F.min("doc").alias("doc")), "wanted")
     few = wanted.count() <= BROADCAST_SETS
     picked = None
-    if few:  # the documents that hold a wanted set's first line, and the sets
-        got = wanted.toArrow()
-        picked = spark.sparkContext.broadcast(tuple(np.unique(got[c].to_numpy()) for c in ("doc", "name")))
+    if few:  # only documents that hold a wanted set's first line go to Python
+        picked = spark.sparkContext.broadcast(np.unique(wanted.select("name").toArrow()["name"].to_numpy()))
+        docs = docs.join(F.broadcast(wanted.select("doc").distinct()), "doc", "left_semi")
 
     def among(names: np.ndarray, values: np.ndarray) -> np.ndarray:
         return names[np.minimum(np.searchsorted(names, values), len(names) - 1)] == values if len(names) else np.zeros(len(values), bool)
 
     def tokens(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if picked is not None:
-            on = np.flatnonzero(among(picked.value[0], rows.column(0).to_numpy()))
-            sizes = np.diff(offs)[on]
-            buf, offs = buf[textvec.ragged(offs[on], sizes)], np.concatenate(([0], np.cumsum(sizes)))
         sets = LineSets(buf, offs, ranks_of(ranked))
-        keep = np.flatnonzero(among(picked.value[1], sets.name) if picked is not None else sets.size > 0)
+        keep = np.flatnonzero(among(picked.value, sets.name) if picked is not None else sets.size > 0)
         keep = keep[np.unique(np.stack((sets.name[keep], sets.maps[0][keep].view(np.int64))), axis=1, return_index=True)[1]]
         flat = sets.compact()[textvec.ragged(sets.first[keep], sets.size[keep])]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sets.size[keep]))), pa.int32()), pa.array(flat))
         yield pa.RecordBatch.from_arrays([pa.array(sets.name[keep]), pa.array(sets.maps[0][keep].view(np.int64)), lists], ["name", "map0", "tokens"])
 
-    whole = textvec.per_chunk(docs, tokens, "name long, map0 long, tokens array<long>", ("doc", "text")).groupBy(*NAME).agg(F.first("tokens").alias("tokens"))
+    whole = textvec.per_chunk(docs, tokens, "name long, map0 long, tokens array<long>", ("text",)).groupBy(*NAME).agg(F.first("tokens").alias("tokens"))
     if not few:
         whole = whole.join(wanted, NAME, "left_semi")
     whole = staged(whole, "tokens")
