@@ -65,10 +65,36 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
 from d left join c using (doc_id) left join l using (doc_id) left join (select doc_id, max(share) as best from a group by doc_id) using (doc_id)"""
 
 
+HARD_NEGATIVES = """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as bigint) as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+t as (select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as nth from p where same) where nth <= 5),
+n as (select t.anchor_id, t.vec_id as positive_id, cast(row_number() over (partition by t.anchor_id, t.vec_id order by p.score desc, p.vec_id) as integer) as rank, p.vec_id as negative_id, t.score as positive_score, p.score as negative_score
+    from t join p on p.anchor_id = t.anchor_id and not p.same and 30 * t.score <= 100 * p.score and 100 * p.score <= 90 * t.score)
+select * from n where rank <= 10"""
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other, each a step that is kept."""
+    steps = [
+        "e as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * x::double) as bigint)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        f"p as materialized (select vec_id, label, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] as v from e, (select unnest(range({parts})) as part))",
+        f"k0 as materialized (select part, entry, v from p join (select vec_id, row_number() over (order by vec_id) - 1 as entry from e order by vec_id limit {entries}) using (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select vec_id, label, part, min(d) as d, arg_min(entry, (d, entry)) as entry from (select p.vec_id, p.label, part, entry, cast(list_sum(list_transform(list_zip(p.v, k.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from p join k{r} k using (part)) group by all)")
+        if r < rounds:
+            steps.append(f"k{r + 1} as materialized (select part, entry, coalesce(m.v, k.v) as v from k{r} k left join (select part, entry, list(cast(floor(s / n) as bigint) order by place) as v from (select part, entry, place, sum(x)::double as s, count(*) as n from (select part, a.entry, unnest(p.v) as x, generate_subscripts(p.v, 1) as place from p join a{r} a using (vec_id, part)) group by all) group by part, entry) m using (part, entry))")
+    return f"""with {", ".join(steps)}, c as (select vec_id, label, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from a{rounds} group by vec_id, label)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) from k{rounds}) as codebooks_sha256 from c"""
+
+
 ORACLE_SQL = {
     "op4_ngram_jaccard_join": JACCARD,
     "op6_wu_manber_decontamination": DECONTAMINATE,
     "op7_suffix_array_dedup": REPEATED_BYTES,
     "op9_license_scan": license_sql(),
     "op10_line_dedup": LINES,
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_vector_codes": vector_codes_sql(),
 }

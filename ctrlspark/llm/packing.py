@@ -54,11 +54,15 @@ class Encoder:
         self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def starts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """For each byte: does a span begin here that is encoded independently of the others?"""
+        return pretokens.starts(buf, offs)
+
     def ids(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids end to end, and each document's offset."""
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        start = np.flatnonzero(pretokens.starts(buf, offs))
+        start = np.flatnonzero(self.starts(buf, offs))
         end = np.append(start[1:], len(buf))
         example, group, key, known = distinct_spans(buf, start, end)
         if len(self.length) > MEMO:

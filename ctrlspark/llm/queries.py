@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontaminate, licenses, line_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts
+from . import ann, decontaminate, forced_bpe, hard_negatives, licenses, line_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, vector_codes
 from .oracle import ORACLE_SQL
 
 
@@ -52,6 +53,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forced_bpe.digest(forced_bpe.encode(_table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.compress(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_kneser_ney_quality": op2_kneser_ney_quality,
@@ -63,6 +77,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_forced_boundary_bpe": op11_forced_boundary_bpe,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

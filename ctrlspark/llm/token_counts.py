@@ -38,7 +38,7 @@ MAX_STATES = 100_000
 LANE = 1024
 
 
-def _printable_bytes() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The published byte alphabet: printable Latin-1 stands for itself, the rest follows from U+0100."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in own]
@@ -51,7 +51,7 @@ class Transducer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        alphabet = _printable_bytes()
+        alphabet = byte_alphabet()
         to_bytes = lambda s: bytes(alphabet[c] for c in s)
         added = {t["id"] for t in spec["added_tokens"]}
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
