@@ -10,6 +10,11 @@ of a line's map tells whether an odd number of its words fall on it, so each bit
 differs is a word that one of two lines lacks) before their whole sets are compared.  A line goes if an equal or a similar line comes
 earlier.
 
+A set is told apart from others by 96 bits of hashes over its words besides its size:
+32 in its name, and 64 that follow from its maps and so take no room in the
+postings.  Parity maps of a few words say little, so lines of up to seven words carry
+a whole hash in a map that lines of their size don't use.
+
 Hot words: two similar lines that share one word of four or more share two.  Where
 the first shared word is very frequent, so is the second, and lines meet on the
 *pair* of words instead, among one more word of the prefix.  So no task gets all
@@ -46,6 +51,8 @@ BROADCAST_SETS = 2_000_000
 LOOKS = (1, 64, None)
 #: words up to which a line has two parity maps of 64 bits, and one of 128; others have one of 256
 MAP_WORDS = (60, 130)
+#: words up to which a line's third map is a hash of the set
+HASHED_WORDS = 7
 #: rows of a task, and pairs of them, worked on at a time
 BLOCK_ROWS, BLOCK_PAIRS = 100_000, 1_000_000
 NEWLINE = ord("\n")
@@ -135,9 +142,9 @@ class Ranks:
 
 
 class LineSets:
-    """Distinct words of a chunk's lines, from rare to frequent, and each set's name, parity map and size.
+    """Distinct words of a chunk's lines, from rare to frequent, and each set's name, parity maps and size.
 
-    A name is the size and 32 bits of a hash; with the 64 bits of ``maps[0]`` it tells sets apart.
+    A name is the size and 32 bits of a hash; with the 64 bits of ``ident`` it tells sets apart.
     """
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, ranks: Ranks):
@@ -176,6 +183,11 @@ class LineSets:
                 self.maps[k][on] = 0
             second = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(8) & np.uint64(63)), self.first[some])
             self.maps[1, some] = np.where(small[some], second, self.maps[1, some])
+            again = textvec.mix(self.token ^ np.uint64(0x9E3779B97F4A7C15))
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(again)))
+            few = self.size <= HASHED_WORDS
+            self.maps[2] = np.where(few, textvec.mix(total[self.first[1:]] - total[self.first[:-1]]), self.maps[2])
+        self.ident = identity(self.maps).view(np.int64)
 
     def compact(self) -> np.ndarray:
         """Tokens for comparisons: the rank of a ranked word stands for its hash, as it is shorter."""
@@ -208,6 +220,11 @@ class LineSets:
         return post.view(np.int64), line
 
 
+def identity(maps: np.ndarray | list[np.ndarray]) -> np.ndarray:
+    """64 bits that follow from a set's maps: a hash of a small set, and of the others all that the first three maps know."""
+    return textvec.mix(maps[0] ^ textvec.mix(maps[1] ^ textvec.mix(maps[2] + np.uint64(1))))
+
+
 def _prefix(share: Fraction, size: np.ndarray) -> np.ndarray:
     """Words of a line's prefix: n - ceil(t n) + 1; none for lines that only an equal one can match."""
     most = size * share.denominator // share.numerator
@@ -223,8 +240,7 @@ def _least_overlap(share: Fraction, total: np.ndarray) -> np.ndarray:
 
 
 MAPS = ["map0", "map1", "map2", "map3"]
-POST = ["post", "who", "doc", *MAPS]
-NAME = ["name", "map0"]
+NAME = ["name", "ident"]
 
 
 def map_distance(maps: list[np.ndarray], size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -277,12 +293,15 @@ def _candidates(part: dict[str, np.ndarray], share: Fraction) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
 
 
-PAIR = "name long, map0 long, other long, other_map long, doc long, other_doc long, apart int, tie boolean, several boolean"
+PAIR = "name long, ident long, other long, other_ident long, doc long, other_doc long, apart int, tie boolean, several boolean"
 
 
-def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame | None = None) -> DataFrame:
-    """Pairs of a line set (name, map0, doc) and an earlier one (other ...): of each key the ``most`` nearest; several: there are more."""
-    some = only is not None
+def _meet(posts: DataFrame, share: Fraction, most: int | None) -> DataFrame:
+    """Pairs of a line set (name, ident, doc) and an earlier one (other ...): of each key the ``most`` nearest; several: there are more.
+
+    If ``posts`` has a column ``on``, only sets with it look for earlier ones.
+    """
+    some = "on" in posts.columns
 
     def look(table: pa.Table) -> pa.RecordBatch:
         part = {c: table[c].to_numpy() for c in table.column_names}
@@ -290,11 +309,12 @@ def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame |
         part |= {c: part[c].view(np.uint64) for c in MAPS}
         part |= {"key": post >> 32, "size": post >> PLACE_BITS & MOST_WORDS, "place": post & MOST_PLACE, "number": who >> 32}
         part["name"] = part["size"] << 32 | who & 0xFFFFFFFF
-        by = np.lexsort((part["number"], part["doc"], part["map0"], part["name"], part["key"]))
+        part["ident"] = identity([part[c] for c in MAPS]).view(np.int64)
+        by = np.lexsort((part["number"], part["doc"], part["ident"], part["name"], part["key"]))
         part = {c: v[by] for c, v in part.items()}
         # a set's first occurrence stands for it; all occurrences have the same keys, so all are here
         new = np.ones(len(by), bool)
-        new[1:] = np.any([part[c][1:] != part[c][:-1] for c in ("key", "name", "map0")], axis=0)
+        new[1:] = np.any([part[c][1:] != part[c][:-1] for c in ("key", "name", "ident")], axis=0)
         part = {c: v[new] for c, v in part.items()}
         late, early, apart = _candidates(part, share)
         if some:
@@ -307,8 +327,8 @@ def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame |
         on = turn < (most or len(late) + 1)
         late, early, apart, several = late[on], early[on], apart[on], several[on]
         tie = (part["doc"][late] == part["doc"][early]) & (part["number"][late] == part["number"][early])
-        maps = part["map0"].view(np.int64)
-        columns = (part["name"][late], maps[late], part["name"][early], maps[early], part["doc"][late], part["doc"][early], apart.astype(np.int32), tie, several)
+        ident = part["ident"]
+        columns = (part["name"][late], ident[late], part["name"][early], ident[early], part["doc"][late], part["doc"][early], apart.astype(np.int32), tie, several)
         return pa.RecordBatch.from_arrays([*map(pa.array, columns)], [x.split()[0] for x in PAIR.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,10 +337,6 @@ def _meet(posts: DataFrame, share: Fraction, most: int | None, only: DataFrame |
             yield look(table)
         textvec.release()
 
-    if some:
-        wanted = only.select(F.col("name").alias("__name"), F.col("map0").alias("__map"))
-        name = F.expr(f"shiftleft(shiftright(post, {PLACE_BITS}) & {MOST_WORDS}L, 32) | (who & 4294967295L)")
-        posts = posts.join(_small(wanted), (name == F.col("__name")) & (F.col("map0") == F.col("__map")), "left").select(*POST, F.col("__name").isNotNull().alias("on"))
     return posts.repartition(F.shiftright("post", 32)).sortWithinPartitions("post").mapInArrow(run, PAIR)
 
 
@@ -332,8 +348,8 @@ def _small(table: DataFrame) -> DataFrame:
 def _compared(docs: DataFrame, pairs: DataFrame, ranked: Broadcast, share: Fraction) -> DataFrame:
     """The pairs whose whole token sets reach the threshold; ``docs`` has doc and text."""
     spark = docs.sparkSession
-    both = pairs.select("name", "map0", "doc").union(pairs.select("other", "other_map", "other_doc"))
-    wanted = staged(both.groupBy("name", "map0").agg(F.min("doc").alias("doc")), "wanted")
+    both = pairs.select(*NAME, "doc").union(pairs.select("other", "other_ident", "other_doc"))
+    wanted = staged(both.groupBy(*NAME).agg(F.min("doc").alias("doc")), "wanted")
     few = wanted.count() <= BROADCAST_SETS
     picked = None
     if few:  # only documents that hold a wanted set's first line go to Python
@@ -346,19 +362,19 @@ def _compared(docs: DataFrame, pairs: DataFrame, ranked: Broadcast, share: Fract
     def tokens(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
         sets = LineSets(buf, offs, ranks_of(ranked))
         keep = np.flatnonzero(among(picked.value, sets.name) if picked is not None else sets.size > 0)
-        keep = keep[np.unique(np.stack((sets.name[keep], sets.maps[0][keep].view(np.int64))), axis=1, return_index=True)[1]]
+        keep = keep[np.unique(np.stack((sets.name[keep], sets.ident[keep])), axis=1, return_index=True)[1]]
         flat = sets.compact()[textvec.ragged(sets.first[keep], sets.size[keep])]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sets.size[keep]))), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([pa.array(sets.name[keep]), pa.array(sets.maps[0][keep].view(np.int64)), lists], ["name", "map0", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(sets.name[keep]), pa.array(sets.ident[keep]), lists], [*NAME, "tokens"])
 
-    whole = textvec.per_chunk(docs, tokens, "name long, map0 long, tokens array<long>", ("text",)).groupBy(*NAME).agg(F.first("tokens").alias("tokens"))
+    whole = textvec.per_chunk(docs, tokens, "name long, ident long, tokens array<long>", ("text",)).groupBy(*NAME).agg(F.first("tokens").alias("tokens"))
     if not few:
         whole = whole.join(wanted, NAME, "left_semi")
     whole = staged(whole, "tokens")
-    other = whole.select(F.col("name").alias("other"), F.col("map0").alias("other_map"), F.col("tokens").alias("others"))
-    both = pairs.select("name", "map0", "other", "other_map", "tie").join(whole, NAME).join(other, ["other", "other_map"]).withColumn("same", F.size(F.array_intersect("tokens", "others")))
+    other = whole.select(F.col("name").alias("other"), F.col("ident").alias("other_ident"), F.col("tokens").alias("others"))
+    both = pairs.select(*NAME, "other", "other_ident", "tie").join(whole, NAME).join(other, ["other", "other_ident"]).withColumn("same", F.size(F.array_intersect("tokens", "others")))
     close = both.filter(F.col("same") * (share.denominator + share.numerator) >= F.lit(share.numerator) * (F.size("tokens") + F.size("others")))
-    return close.select("name", "map0", "other", "other_map", "tie")
+    return close.select(*NAME, "other", "other_ident", "tie")
 
 
 _ranks: dict[str, Ranks] = {}
@@ -400,33 +416,34 @@ def repeated_lines(docs: DataFrame, threshold: Fraction | str = "0.8") -> DataFr
         keep = np.flatnonzero(sets.size)
         ids, texts = rows.column(0).to_numpy()[sets.doc], rows.column(1).to_numpy()[sets.doc]
         # of equal lines in a chunk the first one stands for all: the others are gone, unless they have its very place (repeated rows)
-        by = keep[np.lexsort((sets.number[keep], texts[keep], ids[keep], sets.maps[0][keep], sets.name[keep]))]
+        by = keep[np.lexsort((sets.number[keep], texts[keep], ids[keep], sets.ident[keep], sets.name[keep]))]
         new = np.ones(len(by), bool)
-        new[1:] = (sets.name[by][1:] != sets.name[by][:-1]) | (sets.maps[0][by][1:] != sets.maps[0][by][:-1])
+        new[1:] = (sets.name[by][1:] != sets.name[by][:-1]) | (sets.ident[by][1:] != sets.ident[by][:-1])
         first = by[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(by) else by
         lead, posting = np.zeros(len(sets.size), bool), np.zeros(len(sets.size), bool)
         lead[by] = (ids[by] == ids[first]) & (texts[by] == texts[first]) & (sets.number[by] == sets.number[first])
         posting[by[new]] = True
         post, line = sets.keys(posting, share, ranks.hot)
         ends = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(sets.size))[keep])))
-        columns = (ids[keep], texts[keep], sets.number[keep].astype(np.int32), sets.name[keep], *np.where(lead, sets.maps, 0)[:, keep].view(np.int64), sets.size[keep].astype(np.int32), lead[keep])
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(post))], ["doc", "text_key", "line", "name", *MAPS, "n_tokens", "lead", "posts"])
+        columns = (ids[keep], texts[keep], sets.number[keep].astype(np.int32), sets.name[keep], np.where(lead, sets.ident, 0)[keep], *np.where(lead, sets.maps, 0)[:, keep].view(np.int64), sets.size[keep].astype(np.int32), lead[keep])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(post))], ["doc", "text_key", "line", *NAME, *MAPS, "n_tokens", "lead", "posts"])
 
-    table = staged(textvec.per_chunk(docs, build, "doc long, text_key long, line int, name long, map0 long, map1 long, map2 long, map3 long, n_tokens int, lead boolean, posts array<long>", ("doc", "text_key", "text")), "lines")
-    leads = table.filter("lead").select("doc", "text_key", "line", "name", "map0", "n_tokens")
-    posts = table.filter("size(posts) > 0").select(F.explode("posts").alias("post"), F.expr("shiftleft(cast(line as long), 32) | (name & 4294967295L)").alias("who"), "doc", *MAPS)
+    table = staged(textvec.per_chunk(docs, build, "doc long, text_key long, line int, name long, ident long, map0 long, map1 long, map2 long, map3 long, n_tokens int, lead boolean, posts array<long>", ("doc", "text_key", "text")), "lines")
+    leads = table.filter("lead").select("doc", "text_key", "line", *NAME, "n_tokens")
+    holding = table.filter("size(posts) > 0")
+    each = [F.explode("posts").alias("post"), F.expr("shiftleft(cast(line as long), 32) | (name & 4294967295L)").alias("who"), "doc", *MAPS]
     found = left = None
     for most in LOOKS:
         if left is None:
-            pair, other = F.struct("apart", "other_doc", "other", "other_map", "tie", "doc"), F.struct("other", "other_map")
-            met = _meet(posts, share, most).groupBy(*NAME).agg(F.min(pair).alias("best"), (F.max("several") | (F.min(other) != F.max(other))).alias("several"))
+            pair, other = F.struct("apart", "other_doc", "other", "other_ident", "tie", "doc"), F.struct("other", "other_ident")
+            met = _meet(holding.select(*each), share, most).groupBy(*NAME).agg(F.min(pair).alias("best"), (F.max("several") | (F.min(other) != F.max(other))).alias("several"))
             met = met.select(*NAME, "best.*", "several")
         else:
-            on = _small(left.select(F.col("name").alias("__name"), F.col("map0").alias("__map")))
-            keys = table.filter("size(posts) > 0").join(on, (F.col("name") == F.col("__name")) & (F.col("map0") == F.col("__map")), "left_semi")
-            keys = staged(keys.select(F.explode(F.expr("transform(posts, x -> shiftright(x, 32))")).alias("__key")).distinct(), "keys")
-            near = posts.join(_small(keys), F.shiftright("post", 32) == F.col("__key"), "left_semi")
-            met = _meet(near, share, most, left).groupBy(*NAME, "other", "other_map").agg(F.min("doc").alias("doc"), F.min("other_doc").alias("other_doc"), F.max("tie").alias("tie"), F.max("several").alias("several"))
+            open_ = _small(left.select(*NAME, F.lit(True).alias("on")))
+            keys = holding.join(open_, NAME).select(F.explode(F.expr("transform(posts, x -> shiftright(x, 32))")).alias("__key"))
+            keys = staged(keys.distinct(), "keys")
+            near = holding.join(open_, NAME, "left").select(*each, F.coalesce("on", F.lit(False)).alias("on")).join(_small(keys), F.shiftright("post", 32) == F.col("__key"), "left_semi")
+            met = _meet(near, share, most).groupBy(*NAME, "other", "other_ident").agg(F.min("doc").alias("doc"), F.min("other_doc").alias("other_doc"), F.max("tie").alias("tie"), F.max("several").alias("several"))
         pairs = staged(met, "pairs")
         close = _in_order(staged(_compared(docs, pairs, ranked, share), "close"), leads)
         found = staged(close if found is None else found.union(close).distinct(), "similar")
@@ -447,7 +464,7 @@ def _in_order(close: DataFrame, leads: DataFrame) -> DataFrame:
     clear = close.filter(~F.col("tie")).select(*NAME)
     if close.filter("tie").head(1):  # rows that share a doc_id
         first = leads.groupBy(*NAME).agg(F.min(F.struct("doc", "text_key", "line")).alias("first"))
-        tied = close.filter("tie").join(first, NAME).join(first.toDF("other", "other_map", "other_first"), ["other", "other_map"]).filter("other_first < first")
+        tied = close.filter("tie").join(first, NAME).join(first.toDF("other", "other_ident", "other_first"), ["other", "other_ident"]).filter("other_first < first")
         clear = clear.union(tied.select(*NAME))
     return clear.distinct()
 

@@ -16,7 +16,7 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +28,14 @@ from . import textvec
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[A-Za-z0-9_-]{7,}={0,2}\.[A-Za-z0-9_-]*={0,2}\.[A-Za-z0-9_-]*")
+#: a header begins with a brace or with JSON's white space: "e", "I", "C" or "D" in base64
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[eICD][A-Za-z0-9_-]{7,}={0,2}\.[A-Za-z0-9_-]*={0,2}\.[A-Za-z0-9_-]*")
 #: what may stand between the lines of a wrapped key: line ends, also as the two characters of an escape
 _BREAK = r"(?:[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*)"
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\r|\\n|[A-Za-z-]+: [^\r\n\\]*(?:\r?\n|\\r\\n|\\n))+)-----END \1-----")
-PEM_HEADER = re.compile(r"[A-Za-z-]+: [^\r\n\\]*(?:\r?\n|\\r\\n|\\n)")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+PEM_LINE_END = re.compile(r"\r?\n|\\r\\n|\\n|\\r")
+PEM_HEADER = re.compile(r"[A-Za-z-]+: ")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]*")
 BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]{{4,}})*={{0,2}}")
 #: where a key may begin: 0x30 with a length, or the magic word of OpenSSH
 BASE64_KEY = re.compile(r"M[A-P][A-Za-z0-9+/_-]{2}|b3BlbnNzaC1rZXkt")
@@ -119,31 +122,41 @@ def _fields(data: bytes) -> list[bytes] | None:
 MAGIC = b"openssh-key-v1\x00"
 
 
-def ssh_key_length(data: bytes) -> int:
-    """Bytes of the OpenSSH private-key container that ``data`` begins with; 0 if its nested lengths don't fit."""
-    if not data.startswith(MAGIC):
-        return 0
-    at = len(MAGIC)
+def ssh_spans(read: Callable[[int, int], bytes]) -> list[tuple[int, int]]:
+    """Ranges of an OpenSSH private-key container's fields, from its length fields alone; none if they can't be.
 
-    def field() -> bytes | None:
-        nonlocal at
-        n = int.from_bytes(data[at : at + 4])
-        if at + 4 + n > len(data):
-            return None
-        at += 4 + n
-        return data[at - n : at]
+    The fields are cipher, key derivation, its options, the public keys and the
+    private part.  ``read(a, b)`` gives the bytes of a range (fewer at the data's
+    end); nothing but magic word and lengths is read.
+    """
+    at, spans, wanted = len(MAGIC), [], 3
+    if read(0, at) != MAGIC:
+        return []
+    while len(spans) < wanted:
+        head = read(at, at + 4)
+        end = at + 4 + int.from_bytes(head)
+        if len(head) < 4 or end > KEY_BYTES[1]:
+            return []
+        spans.append((at + 4, end))
+        at = end
+        if len(spans) == 3:
+            keys = int.from_bytes(read(at, at + 4))
+            if not 1 <= keys <= 64:
+                return []
+            at, wanted = at + 4, 3 + keys + 1
+    return spans
 
-    if any(field() is None for _ in range(3)):  # cipher, key derivation, its options
-        return 0
-    keys = int.from_bytes(data[at : at + 4])
-    at += 4
-    if not 1 <= keys <= 64:
+
+def ssh_key_length(data: bytes) -> int:
+    """Bytes of the OpenSSH private-key container that ``data`` begins with; 0 if its nested lengths don't fit."""
+    spans = ssh_spans(lambda a, b: data[a:b])
+    if not spans or spans[-1][1] > len(data) or spans[-1][0] == spans[-1][1]:
         return 0
-    for _ in range(keys):
-        inner = _fields(field() or b"")
+    for a, b in spans[3:-1]:
+        inner = _fields(data[a:b])
         if not inner or inner[0][:4] not in (b"ssh-", b"ecds", b"sk-s", b"sk-e"):
             return 0
-    return at if field() else 0
+    return spans[-1][1]
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -197,11 +210,17 @@ def _keys_in(run: str, starts: re.Pattern, digits: str, per: tuple[int, int], de
         if kind == "der_key" and (not KEY_BYTES[0] <= n <= KEY_BYTES[1] or head[2 + (head[1] & 0x7F) * (head[1] >= 0x80)] not in (0x02, 0x30)):
             continue
         if kind == "ssh_key":
-            data = decode(plain[m.start() : m.start() + KEY_BYTES[1] * many // few])
-            n = ssh_key_length(data) if data else 0
+
+            def read(a: int, b: int, first: int = m.start()) -> bytes:
+                a0 = a - a % few  # where a group of digits begins
+                raw = decode(plain[first + a0 // few * many : first + -(-b // few) * many]) or b""
+                return raw[a - a0 : b - a0]
+
+            spans = ssh_spans(read)
+            n = spans[-1][1] if spans else 0
         size = -(-n * many // few)
         data = decode(plain[m.start() : m.start() + size]) if n and m.start() + size <= len(plain) else None
-        if data is not None and (kind == "ssh_key" or is_der_key(data[:n])):
+        if data is not None and (is_ssh_key(data[:n]) if kind == "ssh_key" else is_der_key(data[:n])):
             end = m.start() + size
             last = places[end - 1] + 1
             while last < len(run) and run[last] == "=":
@@ -227,6 +246,25 @@ def _unescaped(run: str) -> str:
     return run.replace("\\r", "  ").replace("\\n", "  ") if "\\" in run else run
 
 
+def pem_blocks(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, label, base64 digits, header lines) of each BEGIN marker that the next marker closes.
+
+    Every stretch of text belongs to one pair of markers at most, and is split into lines once.
+    """
+    open_ = None
+    for mark in PEM_MARK.finditer(text):
+        if mark[1] == "BEGIN":
+            open_ = mark
+            continue
+        if open_ is not None and open_[2] == mark[2]:
+            lines = [line.strip() for line in PEM_LINE_END.split(text[open_.end() : mark.start()])]
+            heads = [bool(PEM_HEADER.match(line)) for line in lines]
+            body = "".join(line for line, head in zip(lines, heads) if not head)
+            if body and PEM_BODY.fullmatch(body):
+                yield open_.start(), mark.end(), mark[2], "".join(body.split()), "\n".join(line for line, head in zip(lines, heads) if head)
+        open_ = None
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret in a text, by start and then by kind; places count code points."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -236,16 +274,15 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     found += [("signed_token", m.start(), m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     taken = []
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = PEM_HEADER.sub("", m[2])
-            data = _decoded("".join(_unescaped(body).split()))
+        for start, end, label, body, headers in pem_blocks(text):
+            data = _decoded(body)
             if data is None:
                 continue
             whole = (top := _element(data, 0, len(data))) is not None and top[2] == len(data)
-            locked = "DEK-Info:" in m[2] and "ENCRYPTED" in m[2] and len(data) >= 16 and len(data) % 8 == 0
-            if is_der_key(data) or is_ssh_key(data) or locked or m[1].startswith("ENCRYPTED ") and whole:
-                found.append(("pem_key", m.start(), m.end()))
-                taken.append(m.span())
+            locked = "DEK-Info:" in headers and "ENCRYPTED" in headers and len(data) >= 16 and len(data) % 8 == 0
+            if is_der_key(data) or is_ssh_key(data) or locked or label.startswith("ENCRYPTED ") and whole:
+                found.append(("pem_key", start, end))
+                taken.append((start, end))
     for pattern, starts, digits, per, decode in ((BASE64, BASE64_KEY, _B64, (4, 3), _from_base64), (HEX_RUN, HEX_KEY, _HEX, (2, 1), _from_hex)):
         for m in pattern.finditer(text) if starts.search(text) else ():
             if len(m[0]) >= 40 and starts.search(m[0]) or "\n" in m[0] or "\\" in m[0]:

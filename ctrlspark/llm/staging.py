@@ -13,9 +13,11 @@ _paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one of this machine only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = _runs.setdefault("own", tempfile.mkdtemp(prefix="ctrlspark-"))
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
