@@ -26,10 +26,11 @@ def _so_far():
 def lines_explode(docs: DataFrame) -> DataFrame:
     """One row per line: line_ord (from 0), line, offset (characters before it)."""
     cut = r"\r\n|[\n\r\x0b\x0c\x85  ]"
-    ends = F.regexp_extract_all("markdown", F.lit(f"({cut})"), 1)
+    # zipped before they are exploded: each expression reads the text once, not once a line
+    pairs = F.arrays_zip(F.split("markdown", cut).alias("line"), F.regexp_extract_all("markdown", F.lit(f"({cut})"), 1).alias("end"))
+    rows = docs.select(*DOC, F.posexplode(pairs).alias("line_ord", "p"))
     # a line's length in the text counts its line end, which may have two characters
-    parts = F.transform(F.split("markdown", cut), lambda x, i: F.struct(x.alias("line"), (F.length(x) + F.coalesce(F.length(F.get(ends, i)), F.lit(0))).alias("size")))
-    rows = docs.select(*DOC, F.posexplode(parts).alias("line_ord", "p")).select(*DOC, "line_ord", "p.line", "p.size")
+    rows = rows.select(*DOC, "line_ord", "p.line", (F.length("p.line") + F.coalesce(F.length("p.end"), F.lit(0))).alias("size"))
     before = F.sum("size").over(_so_far()) - F.col("size")
     return rows.withColumn("offset", before.cast("long")).drop("size")
 

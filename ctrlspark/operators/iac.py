@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -20,34 +21,42 @@ DOMAINS = tuple(DOMAIN_WORDS)
 EXCLUDED = r"(^|/)(\.git|\.terraform|\.terragrunt-cache|\.venv|node_modules)(/|$)"
 IDENTITY = ["repository", "module_path", "address"]
 _RESOURCE = re.compile(r'^[ \t]*resource[ \t]+"([^"]+)"[ \t]+"([^"]+)"[ \t]*\{', re.M)
-_SKIP = re.compile(r'"(?:\\.|[^"\\\n])*"|#[^\n]*|//[^\n]*|/\*.*?\*/|<<-?([A-Za-z_]+)\n.*?^[ \t]*\1[ \t]*$', re.S | re.M)
+_STRING, _COMMENT = r'"(?:[^"\\]|\\.)*+"', r"#[^\n]*|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
+#: a heredoc runs to the line that holds its word alone, or to the end; its text is no configuration
+_HEREDOC = r"<<-?\s*([A-Za-z_]\w*)[^\n]*\n(?:[\s\S]*?\n)??[ \t]*\{}[ \t\r]*(?=\n|\Z)|<<-?\s*[A-Za-z_]\w*[\s\S]*"
+_SKIP = re.compile(f"({_STRING})|{_COMMENT}|{_HEREDOC.replace('{}', '2')}")
 
 
-def _masked(text: str) -> str:
-    """The text with strings, comments and heredocs blanked, same length."""
-    return _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+def masked(text: str, strings: bool = True) -> str:
+    """The text with comments and heredocs (and strings) blanked, same length."""
+    return _SKIP.sub(lambda m: m[0] if m[1] and not strings else re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def _closing(bare: str) -> dict[int, int]:
+    """Where the brace that closes each opening one stands."""
+    out, open_ = {}, []
+    for m in re.finditer(r"[{}]", bare):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
 
 
 def blocks_of(text: str) -> list[dict]:
-    """Resource blocks: type, name, first line, whole text and the annotations of comment lines right above."""
-    bare, out = _masked(text), []
+    """Resource blocks: type, name, place, first line, whole text, tags, and the annotations of comment lines right above."""
+    bare, code, out = masked(text), masked(text, strings=False), []
+    closing, begins = _closing(bare), [0, *(m.end() for m in re.finditer("\n", text))]
     for m in _RESOURCE.finditer(text):
         if not bare[m.start() : m.end()].strip().startswith("resource"):
             continue  # inside a comment or a string
-        depth, end = 0, len(text)
-        for k in range(m.end() - 1, len(bare)):
-            depth += (bare[k] == "{") - (bare[k] == "}")
-            if depth == 0:
-                end = k + 1
-                break
-        above: list[str] = []
-        for line in reversed(text[: m.start()].splitlines()):
-            if not line.strip().startswith(("#", "//")):
-                break
-            above.insert(0, line)
-        block = text[m.start() : end].strip()
-        notes, tags = annotations_of("\n".join(above)), tags_of(block)
-        out.append({"link_id": notes.get("link_id") or tags.get("link_id") or "", "resource_type": m[1], "name": m[2], "start_line": text.count("\n", 0, m.start()) + 1, "block": block, "annotations": notes, "tags": tags})
+        end = closing.get(m.end() - 1, len(text) - 1) + 1
+        row = bisect.bisect_right(begins, m.start()) - 1
+        above = row
+        while above and text[begins[above - 1] : begins[above]].strip().startswith(("#", "//")):
+            above -= 1
+        notes, tags = annotations_of(text[begins[above] : begins[row]]), tags_of(code[m.start() : end])
+        out.append({"link_id": notes.get("link_id") or tags.get("link_id") or "", "resource_type": m[1], "name": m[2], "start_line": row + 1, "block": text[m.start() : end].strip(), "annotations": notes, "tags": tags, "span_start": m.start(), "span_end": end})
     return out
 
 
@@ -88,10 +97,10 @@ def iac_extract(files: DataFrame) -> DataFrame:
             rows = []
             for repository, revision, path, content in pdf.itertuples(index=False):
                 for b in blocks_of(content or ""):
-                    rows.append((repository, revision, path, path.rpartition("/")[0], f"{b['resource_type']}.{b['name']}", b["resource_type"], b["name"], b["start_line"], b["link_id"], b["annotations"], b["tags"], hashlib.sha256(b["block"].encode()).hexdigest(), b["block"][:500], b["block"]))
+                    rows.append((repository, revision, path, path.rpartition("/")[0], f"{b['resource_type']}.{b['name']}", b["resource_type"], b["name"], b["start_line"], b["link_id"], b["annotations"], b["tags"], hashlib.sha256(b["block"].encode()).hexdigest(), b["block"][:500], b["block"], b["span_start"], b["span_end"]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    schema = "repository string, revision int, relative_path string, module_path string, address string, resource_type string, name string, start_line int, link_id string, annotations map<string,string>, tags map<string,string>, content_hash string, snippet string, block string"
+    schema = "repository string, revision int, relative_path string, module_path string, address string, resource_type string, name string, start_line int, link_id string, annotations map<string,string>, tags map<string,string>, content_hash string, snippet string, block string, span_start int, span_end int"
     wanted = files.filter(F.col("relative_path").endswith(".tf") & ~F.col("relative_path").rlike(EXCLUDED))
     return wanted.select("repository", F.col("revision").cast("int"), "relative_path", "content").mapInPandas(parse, schema)
 
@@ -136,8 +145,8 @@ def iac_classify(resources: DataFrame) -> DataFrame:
     """
     note = lambda key: F.try_element_at("annotations", F.lit(key))
     tag = lambda key: F.try_element_at("tags", F.lit(key))
-    # comments go, strings stay
-    code = F.regexp_replace(F.coalesce("block", F.lit("")), r'("(?:\\.|[^"\\\n])*")|#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/', "$1")
+    # comments and heredocs go, strings stay
+    code = F.regexp_replace(F.coalesce("block", F.lit("")), f"({_STRING})|{_COMMENT}|{_HEREDOC.replace('{}', '2')}", "$1")
     r = resources.withColumns({"__code": code, "__type": F.lower(F.coalesce("resource_type", F.lit(""))), "__controls": _listed(_first(note("control_ids"), note("control_id"), tag("control_ids"), tag("control_id"))), "__domains": _listed(_first(note("domains"), note("domain"), tag("grc_domains"), tag("grc_domain"))), "__roles": _listed(_first(note("roles"), note("role"), tag("grc_roles"), tag("grc_role")))})
     r = r.withColumn("__text", F.replace(F.lower("__code"), F.lit(" "), F.lit("")))
     has = lambda column, terms: F.expr(" or ".join(f"contains({column}, '{t.replace(' ', '')}')" for t in terms) or "false")
@@ -181,18 +190,47 @@ def file_evidence(files: DataFrame, resources: DataFrame) -> DataFrame:
     return files.select(*key, F.sha2("content", 256).alias("sha256")).join(counted, key, "left").fillna(0, ["n"])
 
 
+def outside_fingerprint(files: DataFrame, resources: DataFrame) -> DataFrame:
+    """One hash of each file's text outside its resource blocks, blanks as one: repository, revision, relative_path, outside.
+
+    ``resources`` has span_start and span_end, in characters; what lies between the
+    spans, before the first and after the last one is the rest.
+    """
+    key = ["repository", "revision", "relative_path"]
+    spans = resources.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("spans"))
+    text = F.coalesce("content", F.lit(""))
+    both = files.select(*key, text.alias("content")).join(spans, key, "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
+    starts = F.concat(F.array(F.lit(0)), F.col("spans.span_end"))
+    ends = F.concat(F.col("spans.span_start"), F.array(F.length("content")))
+    rest = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(F.col("content"), a + 1, F.greatest(b - a, F.lit(0)))), "")
+    return both.select(*key, F.sha2(F.trim(F.regexp_replace(rest, r"\s+", " ")), 256).alias("outside"))
+
+
+#: file names whose change counts (lower case)
+INPUTS = r"\.(tf|tfvars|tf\.json|json|yaml|yml|tpl)$|\.terraform\.lock\.hcl$"
+
+
 def unclassified_file_change(files: DataFrame, resources: DataFrame, older: int, newer: int) -> DataFrame:
-    """Files whose content differs between two revisions, or that came or went, while no resource in them did.
+    """Configuration inputs that changed between two revisions in a way no resource shows: repository, relative_path, change, mixed.
 
-    Null contents count as empty; a file of one revision only is added or removed.
+    A file counts if its content differs, or it came or went, while no resource in it
+    was added, removed or changed; and, ``mixed``, if a resource did change but the
+    text outside all resource blocks changed as well (files of resources only).  Null
+    contents count as empty.
     """
     key = ["repository", "relative_path"]
-    side = lambda r, n: files.filter(F.col("revision") == r).select(*key, F.sha2(F.coalesce("content", F.lit("")), 256).alias(n))
+    wanted = files.filter(F.lower("relative_path").rlike(INPUTS))
+    side = lambda r, n: wanted.filter(F.col("revision") == r).select(*key, F.sha2(F.coalesce("content", F.lit("")), 256).alias(n))
     both = side(older, "a").join(side(newer, "b"), key, "full_outer")
     changed = both.select(*key, F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").alias("change")).filter("change is not null")
-    of = lambda r: resources.filter(F.col("revision") == r).select(*key, *IDENTITY[1:], "content_hash")
-    moved = of(older).exceptAll(of(newer)).unionByName(of(newer).exceptAll(of(older))).select(*key).distinct()
-    return changed.join(moved, key, "left_anti")
+    of = lambda r: resources.filter(F.col("revision") == r).select(*key, *IDENTITY[1:], "content_hash", _canonical("annotations").alias("notes"), _canonical("tags").alias("tags"))
+    moved = of(older).exceptAll(of(newer)).unionByName(of(newer).exceptAll(of(older))).select(*key).distinct().withColumn("moved", F.lit(True))
+    rest = outside_fingerprint(wanted.filter(F.lower("relative_path").endswith(".tf")), resources)
+    beside = lambda r, n: rest.filter(F.col("revision") == r).select(*key, F.col("outside").alias(n))
+    empty = F.lit(hashlib.sha256(b"").hexdigest())
+    seen = changed.join(moved, key, "left").join(beside(older, "x"), key, "left").join(beside(newer, "y"), key, "left")
+    apart = F.coalesce("x", empty) != F.coalesce("y", empty)
+    return seen.filter(F.col("moved").isNull() | apart).select(*key, "change", F.col("moved").isNotNull().alias("mixed"))
 
 
 def history_gaps(needed: DataFrame, available: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def snapshot_id(doc_id: int, markdown_hash: str, version_ord: int) -> str:
+    """Name of a snapshot, from document, content and version; ``commit_snapshots`` has it as a column."""
+    return hashlib.sha256(f"pol-{doc_id}:{markdown_hash}:v{version_ord}".encode()).hexdigest()[:20]
+
+
 def _chain():
     return Window.partitionBy("doc_id").orderBy("version_ord")
 
@@ -47,17 +54,21 @@ def statement_diff(statements: DataFrame, docs: DataFrame) -> DataFrame:
     return old.join(new.select(*on), on, "left_anti").withColumn("change", F.lit("removed")).unionByName(new.join(old.select(*on), on, "left_anti").withColumn("change", F.lit("added")))
 
 
+def lost_citations(statements: DataFrame, docs: DataFrame) -> DataFrame:
+    """Control ids that a version cites and the next one no more: doc_id, older, newer, subject."""
+    cited = statements.select("doc_id", "version_ord", F.explode("framework_ids").alias("subject")).distinct()
+    pairs = version_pairs(docs)
+    old = cited.join(pairs, (cited["doc_id"] == pairs["doc_id"]) & (cited["version_ord"] == pairs["older"])).select(pairs["doc_id"], "older", "newer", "subject")
+    return old.join(cited.withColumnRenamed("version_ord", "newer"), ["doc_id", "newer", "subject"], "left_anti").select("doc_id", "older", "newer", "subject")
+
+
 def drift(statements: DataFrame, docs: DataFrame) -> DataFrame:
     """Findings between consecutive versions: removed and added duties, citations lost."""
     d = statement_diff(statements, docs)
     removed = F.col("change") == "removed"
     severity = F.when(removed & F.col("strength").isin("must", "shall", "prohibited"), "high").when(removed, "medium").otherwise("info")
     found = d.select("doc_id", "older", "newer", F.when(removed, "obligation_removed").otherwise("obligation_added").alias("kind"), F.col("statement_id").alias("subject"), severity.alias("severity"))
-    cited = statements.select("doc_id", "version_ord", F.explode("framework_ids").alias("subject")).distinct()
-    pairs = version_pairs(docs)
-    old = cited.join(pairs, (cited["doc_id"] == pairs["doc_id"]) & (cited["version_ord"] == pairs["older"])).select(pairs["doc_id"], "older", "newer", "subject")
-    lost = old.join(cited.withColumnRenamed("version_ord", "newer"), ["doc_id", "newer", "subject"], "left_anti")
-    return found.unionByName(lost.select("doc_id", "older", "newer", F.lit("framework_citation_lost").alias("kind"), "subject", F.lit("high").alias("severity")))
+    return found.unionByName(lost_citations(statements, docs).select("doc_id", "older", "newer", F.lit("framework_citation_lost").alias("kind"), "subject", F.lit("high").alias("severity")))
 
 
 def statement_lists(snapshots: DataFrame, statements: DataFrame) -> DataFrame:

@@ -135,11 +135,15 @@ def doc_musts(matrix: DataFrame) -> DataFrame:
     return matrix.filter(F.upper("force") == "MUST")
 
 
-def documentation_actions(impacted: DataFrame, assessments: DataFrame, musts: DataFrame) -> DataFrame:
-    """For each impacted assessment with a class, the first four documents that must be kept up to date."""
+def documentation_actions(impacted: DataFrame, assessments: DataFrame, musts: DataFrame, cadences: DataFrame | None = None) -> DataFrame:
+    """For each impacted assessment with a class, the first four documents that must be kept up to date, and how often the package ('' if not set).
+
+    ``cadences``: class_id, number, unit of the package's maintenance.
+    """
     names = musts.groupBy("class_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list(F.struct("req_id", F.concat(F.col("req_id"), F.lit(" ("), F.col("name"), F.lit(")")).alias("label"))))["label"], 1, 4), ", ").alias("documents"))
+    often = names.select("class_id", F.lit("").alias("cadence")) if cadences is None else cadences.select("class_id", F.concat_ws(" ", "number", "unit").alias("cadence"))
     own = assessments.filter("class_id <> ''").select("assessment_id", "class_id")
-    return impacted.select("assessment_id").distinct().join(own, "assessment_id").join(names, "class_id").select("assessment_id", "class_id", "documents")
+    return impacted.select("assessment_id").distinct().join(own, "assessment_id").join(names, "class_id").join(often, "class_id", "left").select("assessment_id", "class_id", "documents", F.coalesce("cadence", F.lit("")).alias("cadence"))
 
 
 def control_titles(catalog: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import change_rules, iac_rules, rules
@@ -145,7 +145,7 @@ _CHANGE = _SNAP | {
     "reworded1": f"select *, {rules.verbs(DUCK, 'before')} as va, {rules.verbs(DUCK, 'after')} as vb, {rules.control_ids(DUCK, 'before')} as ia, {rules.control_ids(DUCK, 'after')} as ib from reworded",
     "reworded2": f"select *, {rules.classify(DUCK, 'before', 'va', 'ia')['strength']} as before_strength, {rules.classify(DUCK, 'after', 'vb', 'ib')['strength']} as after_strength, {rules.polarity(DUCK, 'before', 'va')} as before_polarity, {rules.polarity(DUCK, 'after', 'vb')} as after_polarity from reworded1",
     "reworded3": f"select *, {', '.join(f'{v} as {k}' for k, v in change_rules.change_features(DUCK, 'before', 'after').items())} from reworded2",
-    "changed": f"select *, {change_rules.change_risk('change_kind', 'before_strength', 'sla')} as risk from (select *, {change_rules.change_kind(DUCK, 'before', 'after')} as change_kind from reworded3)",
+    "changed": f"select *, {change_rules.change_risk('change_kind', 'before_strength', 'sla')} as risk, {change_rules.change_note(DUCK, 'change_kind', 'before', 'after')} as note from (select *, {change_rules.change_kind(DUCK, 'before', 'after')} as change_kind from reworded3)",
 }
 
 
@@ -158,15 +158,76 @@ def _changes(s: SparkSession, d: str) -> DataFrame:
     return built(s, d, "changes", make)
 
 
+def _told(s: SparkSession, d: str) -> DataFrame:
+    """The rewordings as changes of a statement of each policy."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("stmt_ord"))
+    own = statements(s, d).filter("version_ord = 1").select("doc_id", "statement_id", "stmt_ord").withColumn("nth", nth).filter("nth = 1 + doc_id % 3")
+    return built(s, d, "told", lambda: impact.change_kinds(rewordings(s, d)).join(own, "doc_id").select("doc_id", F.lit(1).alias("older"), F.lit(2).alias("newer"), F.col("statement_id").alias("before_id"), F.lit("").alias("after_id"), "before", "after", "before_strength", "change_kind", "sla", "risk", "note"))
+
+
+def _lost(s: SparkSession, d: str) -> DataFrame:
+    return lineage.lost_citations(statements(s, d), policies(s, d)).withColumn("framework", F.expr(rules.framework(SPARK, "subject")))
+
+
+def _told_impacts(s: SparkSession, d: str) -> DataFrame:
+    return built(s, d, "told_impacts", lambda: impact.framework_impacts(_told(s, d), hits(s, d), _lost(s, d)))
+
+
+def _told_risks(s: SparkSession, d: str) -> DataFrame:
+    return impact.assessments_at_risk(_told_impacts(s, d), infra.assessments(s, d))
+
+
+def _due(s: SparkSession, d: str) -> DataFrame:
+    return registry.documentation_actions(registry.active_assessments(infra.assessments(s, d)), infra.assessments(s, d), registry.doc_musts(_duties(s, d)), catalog(s, "cadences"))
+
+
 register("change_kind", lambda s, d: impact.change_kinds(rewordings(s, d)).select("doc_id", "before", "after", "before_strength", "after_strength", "before_polarity", "after_polarity", "change_kind"), "select doc_id, before, after, before_strength, after_strength, before_polarity, after_polarity, change_kind from changed", _CHANGE)
 register("sla_delta", lambda s, d: impact.change_kinds(rewordings(s, d)).select("doc_id", "sla"), "select doc_id, sla from changed", _CHANGE)
 register("quantitative_delta", lambda s, d: rewordings(s, d).select("doc_id", F.expr(change_rules.quantitative_delta(SPARK, "before", "after")).alias("delta")), f"select doc_id, {change_rules.quantitative_delta(DUCK, 'before', 'after')} as delta from reworded", _CHANGE)
 register("exception_markers", lambda s, d: rewordings(s, d).select("doc_id", F.expr(f"array_join({change_rules.exceptions(SPARK, 'after')}, ',')").alias("markers")), f"select doc_id, array_to_string({change_rules.exceptions(DUCK, 'after')}, ',') as markers from reworded", _CHANGE)
 register("change_risk", lambda s, d: impact.change_kinds(rewordings(s, d)).select("doc_id", "risk"), "select doc_id, risk from changed", _CHANGE)
-register("severity_rollup", lambda s, d: impact.change_kinds(rewordings(s, d)).groupBy("change_kind").agg(F.max(F.expr(change_rules.severity_rank("risk"))).alias("rank"), F.count("*").alias("n")), f"select change_kind, max({change_rules.severity_rank('risk')}) as rank, count(*) as n from changed group by all", _CHANGE)
+register("change_note", lambda s, d: impact.change_kinds(rewordings(s, d)).select("doc_id", "note"), "select doc_id, note from changed", _CHANGE)
+register("heading_scope", lambda s, d: impact.change_kinds(rewordings(s, d)).filter("before_heading <> after_heading").groupBy("before_heading", "after_heading", "change_kind").agg(F.count("*").alias("n")), "select before_heading, after_heading, change_kind, count(*) as n from changed where before_heading <> after_heading group by all", _CHANGE)
+_RANK, _NAME_OF = change_rules.severity_rank, change_rules.severity_name
+_TOLD = HITS | _CHANGE | {
+    "told": "select doc_id, statement_id, change_kind, risk, note from changed join (select doc_id, statement_id, row_number() over (partition by doc_id order by stmt_ord) as nth from statements where version_ord = 1) using (doc_id) where nth = 1 + doc_id % 3",
+    "touched": f"""select doc_id, framework, control_id, {_RANK('risk')} as r, note, statement_id from told join (select distinct doc_id, statement_id, framework, control_id from hits) using (doc_id, statement_id) where change_kind in ({', '.join(repr(k) for k in impact.RISKY)})
+        union all select doc_id, {rules.framework(DUCK, 'subject')}, subject, 3, 'Citation ' || subject || ' is gone from the document.', null from cites a where version_ord = 1 and not exists (select 1 from cites b where b.doc_id = a.doc_id and b.version_ord = 2 and b.subject = a.subject)""",
+    "reached_fw": "select doc_id, framework, max(r) as r, string_agg(distinct control_id, ',' order by control_id) as controls, count(distinct statement_id) as changes, array_to_string(list_transform(list_sort(list_distinct(list({'r': -r, 'note': note})))[1:3], lambda x: x.note), '; ') as reasons from touched group by all",
+    "asm": infra.assessments_sql(),
+    "widened": """select doc_id, framework, r from reached_fw union all select doc_id, 'FedRAMP KSI', r from reached_fw a where framework = 'NIST 800-53' and not exists (select 1 from reached_fw b where b.doc_id = a.doc_id and b.framework = 'FedRAMP KSI')
+        union all select doc_id, 'FedRAMP', case when exists (select 1 from reached_fw b where b.doc_id = a.doc_id and b.framework = 'FedRAMP KSI') then 2 else r end from reached_fw a where framework = 'NIST 800-53'""",
+    "endangered": "select doc_id, assessment_id, max(r) as r, string_agg(distinct framework, ',' order by framework) as frameworks from widened join (select assessment_id, doc_ids, unnest(frameworks) as framework from asm where status = 'active') using (framework) where len(doc_ids) = 0 or list_contains(doc_ids, doc_id) group by all",
+    "rolled": f"select doc_id, cast(sum(n) as bigint) as changes, {_NAME_OF('max(r)')} as severity from (select doc_id, case when change_kind = 'obligation_added' then 0 else {_RANK('risk')} end as r, 1 as n from told union all select doc_id, r, 0 from reached_fw union all select doc_id, r, 0 from endangered) group by doc_id",
+}
+register("severity_rollup", lambda s, d: impact.severity_rollup(_told(s, d), _told_impacts(s, d), _told_risks(s, d)), "select doc_id, 1 as older, 2 as newer, changes, severity from rolled", _TOLD)
+register("reworded_impacts", _told_impacts, f"select doc_id, 1 as older, 2 as newer, framework, controls, changes, reasons, {_NAME_OF('r')} as risk from reached_fw", _TOLD)
+register("assessments_at_risk", _told_risks, f"select doc_id, 1 as older, 2 as newer, assessment_id, frameworks, {_NAME_OF('r')} as risk from endangered", _TOLD)
+_ALERTS = _TOLD | {f"c_{n}": catalog_sql(n) for n in ("duties", "cadences")} | {
+    "by_class": "select req_id, name, statement, class_id, force from (unpivot (select * exclude (ord) from c_duties) on a, b, c, d into name class_id value force)",
+    "matrix": "select req_id, name, class_id, case when force <> '' then force else 'APPLICABLE' end as force from by_class where force <> '' or statement <> ''",
+    "musts": "select class_id, array_to_string(list_sort(list(req_id || ' (' || name || ')'))[1:4], ', ') as documents from matrix where force = 'MUST' group by class_id",
+    "due": "select assessment_id, class_id, documents, coalesce(number || ' ' || unit, '') as cadence from asm join musts using (class_id) left join c_cadences using (class_id) where status = 'active'",
+    "kept": "select doc_id, max(class_id) as class_id, list_sort(list_distinct(list('Keep the documents of class ' || upper(class_id) || ' up to date: ' || documents || case when cadence <> '' then '; package every ' || cadence else '' end || '.'))) as keep from endangered join due using (assessment_id) group by doc_id",
+    "listed": f"select doc_id, count(*) filter (where change_kind <> 'obligation_added') as risked, bool_or(change_kind in ({', '.join(repr(k) for k in impact.BLOCKING)})) as blocking from told group by doc_id",
+    "fws": "select doc_id, list_sort(list_distinct(list(framework))) as f from reached_fw group by doc_id",
+    "asms": "select doc_id, list_sort(list_distinct(list(assessment_id))) as a from endangered group by doc_id",
+}
+_SAYS = [f"'{a}'" for a in impact.ACTIONS]
+register("reworded_alerts", lambda s, d: impact.impact_alerts(_told(s, d), _told_impacts(s, d), _told_risks(s, d), _due(s, d)).withColumn("actions", F.array_join("actions", " | ")),
+    f"""select doc_id, 1 as older, 2 as newer, changes, severity, substr(sha256('pol-' || doc_id || ':1:2:' || severity), 1, 16) as alert_id, '[' || upper(severity) || '] pol-' || doc_id || ': ' || coalesce(risked, 0) || ' duties changed; frameworks: ' || coalesce(array_to_string(f[1:4], ', '), 'none') || '; assessments: ' || coalesce(array_to_string(a[1:3], ', '), 'none') as summary,
+        array_to_string(list_concat(list_filter([{_SAYS[0]}, {_SAYS[1]}, case when blocking then {_SAYS[2]} end, case when f is not null then 'Check coverage again: ' || array_to_string(f, ', ') end, case when a is not null then 'Tell the owners of: ' || array_to_string(a, ', ') end], lambda x: x is not null), coalesce(keep, [])), ' | ') as actions, coalesce(class_id, '') as class_id
+        from rolled left join listed using (doc_id) left join fws using (doc_id) left join asms using (doc_id) left join kept using (doc_id)""", _ALERTS)
 register("verbiage_changes", lambda s, d: _changes(s, d))
-register("impact_alert", lambda s, d: impact.impact_alerts(_changes(s, d)))
-register("framework_impacts", lambda s, d: impact.framework_impacts(_changes(s, d), hits(s, d)))
+register("framework_impacts", lambda s, d: impact.framework_impacts(_changes(s, d), hits(s, d), _lost(s, d)))
+
+
+def _alerts(s: SparkSession, d: str) -> DataFrame:
+    impacts = built(s, d, "impacts", lambda: impact.framework_impacts(_changes(s, d), hits(s, d), _lost(s, d)))
+    return impact.impact_alerts(_changes(s, d), impacts, impact.assessments_at_risk(impacts, infra.assessments(s, d)), _due(s, d))
+
+
+register("impact_alert", lambda s, d: _alerts(s, d).withColumn("actions", F.array_join("actions", " | ")))
 
 
 # --- infrastructure, reconciliation ----------------------------------------
@@ -186,17 +247,17 @@ _G = "link_id, doc_id, kind, severity, iac_ref"
 _GAPS = "link_id, coalesce(doc_id, -1) as doc_id, kind, severity, iac_ref"
 _shown = lambda q: lambda s, d: q(s, d).fillna({"doc_id": -1})
 _INFRA = _SNAP | {
-    "res": f"select *, sha256(block) as content_hash from (select *, {infra.BLOCK} as block from ({infra.resources_sql()}) q) r",
-    "files_": infra.files_sql("select * exclude (block) from res").replace("{agg}", "string_agg(block, chr(10) order by p_partkey)"),
+    "res": f"select *, sha256(block) as content_hash, replace(block, {infra.HEREDOC}, '') as code from (select *, {infra.BLOCK} as block from ({infra.resources_sql()}) q) r",
+    "files_": infra.files_sql("select * exclude (block, code) from res").replace("{agg}", "string_agg(block, chr(10) order by p_partkey)"),
     "lnk": infra.links_sql(),
     "asm": infra.assessments_sql(),
     "terms": f"select * from (values {_VALUES(_TERMS)}) t(rule, domain, side, term)",
     "sets": f"select * from (values {_VALUES(_SETS)}) t(rule, what, value)",
-    "term_hits": "select p_partkey, revision, rule, domain, bool_or(side = 'type') as by_type, bool_or(side = 'text') as by_text from res join terms on (side = 'type' and contains(lower(resource_type), term)) or (side = 'text' and contains(replace(lower(block), ' ', ''), term)) group by all",
+    "term_hits": "select p_partkey, revision, rule, domain, bool_or(side = 'type') as by_type, bool_or(side = 'text') as by_text from res join terms on (side = 'type' and contains(lower(resource_type), term)) or (side = 'text' and contains(replace(lower(code), ' ', ''), term)) group by all",
     "by_rule": "select p_partkey, revision, list(domain) as rd, bool_or(by_type) as t, bool_or(by_text) as x, bool_or(by_type and by_text) as tx from term_hits group by all",
     "by_value": "select p_partkey, revision, coalesce(list(value) filter (where what = 'control'), []) as rc, coalesce(list(value) filter (where what = 'role'), []) as rr from term_hits join sets using (rule) group by all",
     "judged": f"""select r.*, coalesce(rd, []) as rd, coalesce(rc, []) as rc, coalesce(rr, []) as rr, coalesce(t, false) as t, coalesce(x, false) as x, coalesce(tx, false) as tx, {_LISTED.format('r.control_ids')} as dc, list_transform({_LISTED.format('r.domains')}, lambda d: {rules.normal_domain(DUCK, 'd')}) as dd,
-        list_transform({_LISTED.format('r.roles')}, lambda q: lower(q)) as dr, contains(block, '0.0.0.0/0') as open_, regexp_matches(block, '{iac_rules.DISABLED}') as off_ from res r left join by_rule using (p_partkey, revision) left join by_value using (p_partkey, revision)""",
+        list_transform({_LISTED.format('r.roles')}, lambda q: lower(q)) as dr, contains(code, '0.0.0.0/0') as open_, regexp_matches(code, '{iac_rules.DISABLED}') as off_ from res r left join by_rule using (p_partkey, revision) left join by_value using (p_partkey, revision)""",
     "judged1": f"""select *, list_filter(dc, lambda c: regexp_matches(c, '{iac_rules.CONTROL_ID}')) as good, list_filter(dc, lambda c: not regexp_matches(c, '{iac_rules.CONTROL_ID}')) as bad from judged""",
     "judged2": f"""select *, list_sort(list_distinct(list_concat(list_concat(rd, list_filter(dd, lambda d: list_contains({_KNOWN}, d))), case when open_ then ['network_security'] else [] end))) as all_domains, list_filter(dd, lambda d: not list_contains({_KNOWN}, d)) as unknown_domains,
         round(least(0.99, greatest(case when t then 0.82 else 0 end, case when x then 0.74 else 0 end, case when tx then 0.9 else 0 end, case when len(good) > 0 then 0.99 else 0 end, case when len(bad) > 0 then 0.5 else 0 end, case when len(dd) > 0 then 0.98 else 0 end, case when len(dr) > 0 then 0.98 else 0 end, case when link_id <> '' then 0.97 else 0 end, case when open_ or off_ then 0.92 else 0 end)), 2)::double as sure from judged1""",
@@ -289,8 +350,11 @@ register("control_id_valid", lambda s, d: _resources(s, d).select(F.explode(F.sp
 register("iac_diff", lambda s, d: iac.iac_diff(_resources(s, d), 1, 2), "select repository, module_path, address, change, link_id, resource_type from delta", _INFRA)
 register("identity_duplicates", lambda s, d: iac.identity_duplicates(_resources(s, d).union(_resources(s, d).filter("module_path like '%1'"))), "select repository, module_path, address, revision, 2::bigint as n from res where module_path like '%1'", _INFRA)
 register("file_evidence", lambda s, d: iac.file_evidence(infra.files(s, d), _resources(s, d)), "select repository, revision, relative_path, sha256(content) as sha256, (select count(*) from res r where r.repository = f.repository and r.revision = f.revision and r.relative_path = f.relative_path) as n from files_ f", _INFRA)
-register("unclassified_file_change", lambda s, d: iac.unclassified_file_change(infra.files(s, d).withColumn("content", F.concat("content", F.when(F.col("revision") == 2, "# reviewed").otherwise(""))), _resources(s, d).filter("annotations['exception_id'] is not null"), 1, 2),
-    "select repository, relative_path, case when a.content is null then 'added' when b.content is null then 'removed' else 'changed' end as change from (select * from files_ where revision = 1) a full outer join (select * from files_ where revision = 2) b using (repository, relative_path) where not exists (select 1 from (select *, count(*) over (partition by repository, module_path, address, content_hash) as n from res where exception_id <> '') r where n = 1 and r.repository = coalesce(a.repository, b.repository) and r.relative_path = coalesce(a.relative_path, b.relative_path))", _INFRA)
+register("unclassified_file_change", lambda s, d: iac.unclassified_file_change(infra.files(s, d), _resources(s, d), 1, 2),
+    f"""select repository, relative_path, change, coalesce(moved, false) as mixed from (select repository, relative_path, case when a.content is null then 'added' when b.content is null then 'removed' else 'changed' end as change from (select * from files_ where revision = 1) a full outer join (select * from files_ where revision = 2) b using (repository, relative_path) where a.content is distinct from b.content)
+        left join (select repository, relative_path, true as moved from (select *, count(*) over (partition by repository, module_path, address, content_hash) as n from res) where n = 1 group by all) using (repository, relative_path)
+        left join (select * from beside where revision = 1) x using (repository, relative_path) left join (select * from beside where revision = 2) y using (repository, relative_path) where moved is null or x.outside is distinct from y.outside""",
+    _INFRA | {"beside": f"select repository, revision, relative_path, {infra.HEAD} || string_agg({infra.note_sql()}, '' order by p_partkey) as outside from res group by repository, revision, relative_path"})
 register("history_gaps", lambda s, d: iac.history_gaps(infra.links(s, d).select(F.col("link_id").alias("target"), F.concat(F.lit("infra-"), F.col("doc_id") % 5).alias("repository"), (F.col("doc_id") % 3 + 1).cast("int").alias("revision")), _resources(s, d)), "select link_id as target, 'infra-' || (doc_id % 5) as repository, cast(doc_id % 3 + 1 as integer) as revision, 'history_unavailable' as kind, 'high' as severity from lnk where doc_id % 5 > 2 or doc_id % 3 = 2", _INFRA)
 _SEEN = lambda s, d, r, n: infra.files(s, d).filter(f"revision = {r}").select("repository", F.lit(0).alias("revision"), F.col("relative_path").alias("path"), F.sha2("content", 256).alias("digest"), F.endswith("relative_path", F.lit(n)).alias("is_link"))
 register("unpinned_inputs", lambda s, d: iac.unpinned_inputs(_SEEN(s, d, 2, "11/main.tf"), _SEEN(s, d, 1, "nowhere")), "select repository, 0 as revision, relative_path as path, case when b.content is not null and ends_with(relative_path, '11/main.tf') then 'symlink' when b.content is null then 'missing' when a.content is null then 'untracked' else 'different' end as state from (select * from files_ where revision = 1) a full outer join (select * from files_ where revision = 2) b using (repository, relative_path) where a.content is distinct from b.content or ends_with(relative_path, '11/main.tf')", _INFRA)
@@ -323,7 +387,7 @@ def _resource_map(s: SparkSession, d: str) -> DataFrame:
 
 
 # --- registries, snapshots, notices ----------------------------------------
-_MORE = _MAPS | {f"c_{n}": catalog_sql(n) for n in ("prefix_map", "sections", "duties")} | {
+_MORE = _MAPS | {f"c_{n}": catalog_sql(n) for n in ("prefix_map", "sections", "duties", "cadences")} | {
     "by_class": "select req_id, name, statement, class_id, force from (unpivot (select * exclude (ord) from c_duties) on a, b, c, d into name class_id value force)",
     "matrix": "select req_id, name, class_id, case when force <> '' then force else 'APPLICABLE' end as force from by_class where force <> '' or statement <> ''",
     "musts": "select class_id, array_to_string(list_sort(list(req_id || ' (' || name || ')'))[1:4], ', ') as documents from matrix where force = 'MUST' group by class_id",
@@ -338,7 +402,7 @@ def _duties(s: SparkSession, d: str) -> DataFrame:
 
 register("active_assessments", lambda s, d: registry.active_assessments(infra.assessments(s, d)).select("assessment_id", F.array_join("frameworks", ",").alias("frameworks"), "class_id"), "select assessment_id, array_to_string(frameworks, ',') as frameworks, class_id from asm where status = 'active'", _MORE)
 register("upsert_assessments", lambda s, d: registry.upsert_assessments(infra.assessments(s, d), infra.assessments(s, d).filter("status = 'closed'").withColumn("status", F.lit("renewed"))).select("assessment_id", "status"), "select assessment_id, case status when 'closed' then 'renewed' else status end as status from asm", _MORE)
-register("documentation_actions", lambda s, d: registry.documentation_actions(registry.active_assessments(infra.assessments(s, d)), infra.assessments(s, d), registry.doc_musts(_duties(s, d))), "select assessment_id, class_id, documents from asm join musts using (class_id) where status = 'active'", _MORE)
+register("documentation_actions", lambda s, d: registry.documentation_actions(registry.active_assessments(infra.assessments(s, d)), infra.assessments(s, d), registry.doc_musts(_duties(s, d)), catalog(s, "cadences")), "select assessment_id, class_id, documents, coalesce(number || ' ' || unit, '') as cadence from asm join musts using (class_id) left join c_cadences using (class_id) where status = 'active'", _MORE)
 register("report_rows", lambda s, d: registry.report_rows(statements(s, d), hits(s, d)).select("doc_id", "version_ord", F.explode("statements").alias("x")).select("doc_id", "version_ord", "x.statement_id", F.array_join(F.transform("x.hits", lambda h: F.concat_ws(":", h["source"], h["control_id"])), ",").alias("hits")), "select doc_id, version_ord, statement_id, coalesce(h, '') as hits from statements left join (select doc_id, version_ord, statement_id, string_agg(source || ':' || control_id, ',' order by source, hit_ord, framework, control_id) as h from hits group by all) using (doc_id, version_ord, statement_id)", _MORE)
 register("statement_lists", lambda s, d: lineage.load_statements(lineage.statement_lists(lineage.commit_snapshots(policies(s, d)), statements(s, d)), statements(s, d).select("statement_id", "text").distinct()).withColumn("place", F.col("place").cast("long")), "select snapshot_id, row_number() over (partition by doc_id, version_ord order by stmt_ord) - 1 as place, statement_id, text from snaps join statements using (doc_id, version_ord)", _SNAP)
 register("read_markdown", lambda s, d: lineage.read_markdown(lineage.commit_snapshots(policies(s, d)), policies(s, d).select(F.sha2("markdown", 256).alias("markdown_hash"), "markdown").distinct()), "select snapshot_id, markdown from snaps join pol using (doc_id, version_ord)", _SNAP)
@@ -351,10 +415,28 @@ register("notification_payload", lambda s, d: monitor.notification_payload(_chan
 register("eval_cases", lambda s, d: evaluate.eval_cases(infra.links(s, d).filter("expected_kind is not null").select((F.col("doc_id") % 3).alias("suite"), F.col("link_id").alias("case_id"), F.map_filter(F.create_map(F.lit("kind"), "expected_kind", F.lit("strength"), "expected_strength", F.lit("polarity"), "expected_polarity"), lambda _, v: v.isNotNull()).alias("values")), _now(_matched(s, d)).join(statements(s, d).drop("content_hash"), ["doc_id", "version_ord", "statement_id"]).select(F.col("link_id").alias("case_id"), F.create_map(F.lit("kind"), "statement_kind", F.lit("strength"), "strength", F.lit("polarity"), "action_polarity").alias("values"))), "select suite, case_id, array_to_string(f, ',') as failed, len(f) = 0 as passed from (select l.doc_id % 3 as suite, l.link_id as case_id, list_filter([case when expected_kind is distinct from statement_kind then 'kind' end, case when expected_polarity is not null and expected_polarity is distinct from action_polarity then 'polarity' end, case when expected_strength is distinct from strength then 'strength' end], lambda x: x is not null) as f from lnk l left join (select link_id, doc_id, statement_id, version_ord from matched where version_ord = 2) m using (link_id) left join statements s on s.doc_id = m.doc_id and s.version_ord = m.version_ord and s.statement_id = m.statement_id where expected_kind is not null)", _MORE)
 
 # --- monitoring, evaluation ------------------------------------------------
-register("monitor_status", lambda s, d: monitor.monitor_status(infra.runs(s, d)), "select monitor_id, count(*) as n, count(*) filter (where status <> 'aligned') as bad, last(status order by run_ts, run_id) as latest from runs_ group by monitor_id", _INFRA)
+_LADDER = "case when {0} >= 3 then 'misaligned' when {0} >= 1 then 'review_required' else 'aligned' end"
+register("monitor_status", lambda s, d: monitor.monitor_status(infra.runs(s, d)), f"select monitor_id, n, bad, latest, {change_rules.severity_name('r')} as worst, {_LADDER.format('r')} as standing from (select monitor_id, count(*) as n, count(*) filter (where status <> 'aligned') as bad, last(status order by run_ts, run_id) as latest, max({change_rules.severity_rank('severity')}) as r from runs_ group by monitor_id)", _INFRA)
 register("state_transition", lambda s, d: monitor.state_transition(infra.runs(s, d)).select("monitor_id", "run_id", "transition"), "select monitor_id, run_id, transition from trans", _INFRA)
-register("occurrence_tracking", lambda s, d: monitor.occurrence_tracking(infra.runs(s, d)).select("monitor_id", "run_id", "occurrence_count"), "select monitor_id, run_id, case when status <> 'aligned' then row_number() over (partition by monitor_id, stretch order by run_ts, run_id) else 0 end as occurrence_count from stretches", _INFRA)
-register("notify_decision", lambda s, d: monitor.notify_decision(infra.runs(s, d)), "select monitor_id, run_id, transition, case when transition = 'recovered' then 'recovery' else 'finding' end as notice from trans where transition in ('opened', 'changed', 'recovered')", _INFRA)
+register("occurrence_tracking", lambda s, d: monitor.occurrence_tracking(infra.runs(s, d)).select("monitor_id", "run_id", "occurrence_count", F.coalesce(F.col("first_seen").cast("string"), F.lit("")).alias("first_seen"), F.coalesce(F.col("last_seen").cast("string"), F.lit("")).alias("last_seen"), F.coalesce("accepted", F.lit("")).alias("accepted")),
+    "select monitor_id, run_id, case when status <> 'aligned' then row_number() over w else 0 end as occurrence_count, case when status <> 'aligned' then cast(min(run_ts) over w as varchar) else '' end as first_seen, case when status <> 'aligned' then cast(run_ts as varchar) else '' end as last_seen, coalesce(last_value(case when status = 'aligned' then input end ignore nulls) over (partition by monitor_id order by run_ts, run_id rows between unbounded preceding and current row), '') as accepted from stretches window w as (partition by monitor_id, stretch order by run_ts, run_id)", _INFRA)
+_SENT = _INFRA | {
+    "acks": infra.outcomes_sql(),
+    "loud_": f"select *, status <> 'aligned' and {change_rules.severity_rank('severity')} >= 3 as loud, status = 'aligned' and coalesce(lag(status) over (partition by monitor_id order by run_ts, run_id), '') in ('misaligned', 'review_required') as recovers from runs_",
+    "delivered_": "select l.monitor_id, a.ts, a.run_id, finding, input, loud, recovers from acks a join loud_ l using (monitor_id, run_id) where delivered",
+    "opened_": "select *, exists (select 1 from delivered_ d where d.monitor_id = l.monitor_id and d.loud and (d.ts < l.run_ts)) as known from loud_ l",
+    "wanted_": "select *, recovers and known as recovered, loud or (recovers and known) as wanted from opened_",
+    "sent_": "select w.monitor_id, w.run_id, w.run_ts, w.wanted, w.recovered, w.finding, w.input, (select arg_max({'finding': p.finding, 'input': p.input}, (p.run_ts, p.run_id)) from wanted_ p join acks a using (monitor_id, run_id) where p.monitor_id = w.monitor_id and p.wanted and a.delivered and a.ts < w.run_ts) as last from wanted_ w",
+    "decided_": "select monitor_id, run_id, case when recovered then 'recovered' when wanted then 'misaligned' else 'none' end as event, case when not wanted then 'quiet' when last is not null and last.finding = finding and last.input = input then 'suppressed' else 'sent' end as decision from sent_",
+}
+
+
+def _decided(s: SparkSession, d: str) -> DataFrame:
+    return monitor.notify_decision(infra.runs(s, d), infra.outcomes(s, d))
+
+
+register("notify_decision", _decided, "select * from decided_", _SENT)
+register("notification_outbox", lambda s, d: monitor.outbox(_decided(s, d), infra.outcomes(s, d)), "select monitor_id, run_id, event, case when delivered then 'delivered' else 'failed' end as state from decided_ join acks using (monitor_id, run_id) where decision = 'sent'", _SENT)
 
 
 def _cases(s: SparkSession, d: str) -> DataFrame:

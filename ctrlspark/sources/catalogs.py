@@ -76,7 +76,7 @@ KSI = [
     ("KSI-CED-01", "at-2", "applicable", "applicable", "applicable", "applicable"),
     ("KSI-CNA-01", "sc-7", "not_applicable", "not_applicable", "applicable", "required"),
 ]
-#: topic words by indicator group
+#: fixed values: topic words by indicator group
 KSI_WORDS = {
     "IAM": ("account", "mfa", "privileged", "authentication", "identity", "least privilege"),
     "MLA": ("log", "audit", "siem", "monitor"),
@@ -100,7 +100,11 @@ DUTIES = [
     ("DOC-04", "Trust record", "", "", "MUST", "MUST", ""), ("DOC-05", "Change log", "yes", "MUST", "MUST", "MUST", "MUST"), ("DOC-06", "Scope map", "", "", "MUST", "MUST", "MUST"),
 ]
 
+# How often the certification package is to be maintained where that is a duty (class, number, unit).
+CADENCES = [("b", "1", "months"), ("c", "2", "weeks"), ("d", "1", "weeks")]
+
 _TABLES = {
+    "cadences": (CADENCES, "class_id string, number string, unit string, ord int"),
     "prefix_map": (PREFIX_MAP, "prefix string, target string, control_id string, title string, ord int"),
     "sections": (SECTIONS, "section_id string, name string, ord int"),
     "duties": (DUTIES, "req_id string, name string, statement string, a string, b string, c string, d string, ord int"),

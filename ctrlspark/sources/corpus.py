@@ -104,13 +104,20 @@ REWORDINGS = (
     ("Staff must report incidents immediately.", "Staff must report incidents."),
     ("Reviewers must check the register.", "Reviewers must inspect the whole register."),
     ("Staff must wear badges.", "All staff must wear badges."),
+    ("Owners must review access.", "Owners must review access."),
 )
+#: (before, after) headings over the wordings
+HEADINGS = (
+    ("Access Control", "Access Control"), ("Access Control", "Identity and Access Control"), ("Access Control", "Production Access Control"), ("", ""), ("All Systems", "Systems"),
+    ("Systems", "Each System"), ("Scope", "Selected Sites"),
+)
 
 
 def rewordings_sql(documents: str = "documents") -> str:
-    """SQL of wording changes, one for each row of ``documents``: doc_id, before, after."""
+    """SQL of wording changes, one for each row of ``documents``: doc_id, before, after and their headings."""
     say = lambda k: _pick(tuple(r[k].replace("{n}", "' || n || '") for r in REWORDINGS), "doc_id")
-    return f"select doc_id, {say(0)} as before, {say(1)} as after from (select cast(doc_id as bigint) as doc_id, cast((doc_id % 5) * 4 + 6 as varchar(9)) as n from {documents}) p"
+    under = lambda k: _pick(tuple(h[k] for h in HEADINGS), "doc_id")
+    return f"select doc_id, {say(0)} as before, {say(1)} as after, {under(0)} as before_heading, {under(1)} as after_heading from (select cast(doc_id as bigint) as doc_id, cast((doc_id % 5) * 4 + 6 as varchar(9)) as n from {documents}) p"
 
 
 def rewordings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ NOTES = (
 )
 
 
+#: program text in a resource: words of configuration in it are none
+HEREDOC = "chr(10) || '  script = <<EOT' || chr(10) || 'encrypted = false' || chr(10) || '# grc: domains=backup' || chr(10) || '0.0.0.0/0 ' || chr(125) || chr(10) || 'EOT'"
 _NAME = "'r' || case when p_partkey % 10 = 5 then p_partkey - 5 else p_partkey end"
 
 
@@ -29,7 +31,7 @@ def resources_sql(part: str = "part", revisions: str = "(select 1 as revision un
     notes = ", ".join(f"{value.replace('{docs}', docs)} as {key}" for key, value in NOTES)
     return f"""select p_partkey, 'infra-' || (p_partkey % 3) as repository, revision, 'modules/' || replace(lower(p_brand), '#', '') as module_path, 'modules/' || replace(lower(p_brand), '#', '') || '/main.tf' as relative_path,
         {_TYPE} as resource_type, {_NAME} as name, {_TYPE} || '.' || {_NAME} as address, {notes},
-        'size = ' || p_size || chr(10) || '  encrypted = ' || case when revision = 2 and p_size % 3 = 0 then 'false' else 'true' end || case when p_partkey % 9 = 0 then chr(10) || '  cidr_blocks = [\"0.0.0.0/0\"]' else '' end as body
+        'size = ' || p_size || chr(10) || '  encrypted = ' || case when revision = 2 and p_size % 3 = 0 then 'false' else 'true' end || case when p_partkey % 9 = 0 then chr(10) || '  cidr_blocks = [\"0.0.0.0/0\"]' else '' end || case when p_partkey % 8 = 3 then {HEREDOC} else '' end as body
         from {part}, {revisions} where not (revision = 2 and p_size % 7 = 0) and not (revision = 1 and p_size % 11 = 0)"""
 
 
@@ -37,12 +39,19 @@ def resources_sql(part: str = "part", revisions: str = "(select 1 as revision un
 BLOCK = "'resource \"' || resource_type || '\" \"' || name || '\" {' || chr(10) || '  ' || body || chr(10) || '  note = \"resource [in] text\"' || chr(10) || '  tags = {' || chr(10) || '    grc_owner = \"v\"' || chr(10) || '  }' || chr(10) || '}'"
 
 
+#: SQL of what a file begins with: in some modules the variable's default differs between revisions
+HEAD = "'# resource \"none\" \"none\" {' || chr(10) || 'variable \"x\" {' || chr(10) || '  default = ' || case when relative_path like '%3/main.tf' then cast(revision as varchar(9)) else '0' end || chr(10) || '}' || chr(10)"
+
+
+def note_sql() -> str:
+    """SQL of the comment line above a resource, '' if it declares nothing."""
+    pairs = " || ".join(f"case when {key} <> '' then '; {key}=' || {key} else '' end" for key, _ in NOTES)
+    return f"case when ({pairs}) <> '' then '# grc: ' || substr({pairs}, 3) || chr(10) else '' end"
+
+
 def files_sql(resources: str) -> str:
     """SQL of configuration files that hold the resources; comments and strings in them name resources too."""
-    pairs = " || ".join(f"case when {key} <> '' then '; {key}=' || {key} else '' end" for key, _ in NOTES)
-    note = f"case when ({pairs}) <> '' then '# grc: ' || substr({pairs}, 3) || chr(10) else '' end"
-    head = "'# resource \"none\" \"none\" {' || chr(10) || 'variable \"x\" {}' || chr(10)"
-    return f"select repository, revision, relative_path, {head} || {{agg}} || chr(10) as content from (select *, {note} || {BLOCK} as block from ({resources}) q) b group by repository, revision, relative_path"
+    return f"select repository, revision, relative_path, {HEAD} || {{agg}} || chr(10) as content from (select *, {note_sql()} || {BLOCK} as block from ({resources}) q) b group by repository, revision, relative_path"
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +94,18 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs_sql(events: str = "events") -> str:
     """SQL of monitor runs: a user's events in time order."""
-    return f"select user_id as monitor_id, event_id as run_id, ts as run_ts, case event_type when 'error' then 'misaligned' when 'view' then 'aligned' else 'review_required' end as status, case when event_type = 'view' then '' else substr(props, 1, 8) end as finding, event_type as severity_source from {events}"
+    return f"""select user_id as monitor_id, event_id as run_id, ts as run_ts, case event_type when 'error' then 'misaligned' when 'view' then 'aligned' else 'review_required' end as status, case when event_type = 'view' then '' else substr(props, 1, 8) end as finding,
+        case event_type when 'error' then 'critical' when 'purchase' then 'high' when 'click' then 'medium' when 'signup' then 'low' else 'info' end as severity, 'rev-' || (event_id % 3) as input from {events}"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(runs_sql("{e}"), e=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def outcomes_sql(events: str = "events") -> str:
+    """SQL of what came of sending a run's notice, had it one: known at once, and not always delivered."""
+    return f"select user_id as monitor_id, event_id as run_id, ts, event_id % 4 <> 0 as delivered from {events}"
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(outcomes_sql("{e}"), e=spark.read.parquet(f"{sf_dir}/events.parquet"))

@@ -14,9 +14,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="ctrlspark-"))
         named = _own[0]
@@ -42,3 +44,11 @@ def built(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFr
         _built[key] = (path, df.schema)
     path, schema = _built[key]
     return spark.read.schema(schema).parquet(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, to cut its lineage."""
+    path = f"{shared_dir(df.sparkSession)}/ctrlspark-tables-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    atexit.register(_delete, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

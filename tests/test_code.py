@@ -173,10 +173,10 @@ def test_catalogs(spark):
 
 
 def test_notices_and_cases(spark):
-    runs = spark.createDataFrame([("m", i, i, t, f, "in", s) for i, (t, f, s) in enumerate([("opened", "a", "high"), ("repeated", "a", "high"), ("changed", "b", "low"), ("recovered", "", "info"), ("opened", "a", "critical")])], "monitor_id string, run_id int, run_ts int, transition string, finding string, input string, severity string")
-    assert [r.run_id for r in monitor.worth_a_notice(runs, "severity").orderBy("run_id").collect()] == [0, 3, 4]
     gaps = spark.createDataFrame([("t", "k", s, "l", str(i)) for i, s in enumerate(["low", "critical", "low"])], "target string, kind string, severity string, link_id string, iac_ref string")
     assert monitor.notification_payload(gaps, "target", 2).first()[1:] == (3, "critical|k|l|1\nlow|k|l|0")
+    named = monitor.notification_payload(gaps, "target", 1, spark.createDataFrame([("t", "misaligned"), ("u", "recovered")], "target string, event string"))
+    assert {tuple(r) for r in named.collect()} == {("t", "misaligned", 3, "critical|k|l|1"), ("u", "recovered", 0, "")}
     one, two = (monitor.finding_fingerprint(g, "target").first().fingerprint for g in (gaps, gaps.orderBy(F.desc("iac_ref"))))
     assert one == two
     want = spark.createDataFrame([("s", "1", {"a": "x", "b": "y"}), ("s", "2", {"a": "x"}), ("s", "3", {"a": "x"})], "suite string, case_id string, values map<string,string>")

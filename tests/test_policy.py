@@ -121,10 +121,11 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_watch_commits_once(spark, tmp_path):
     docs = policy.policies(spark, SF).limit(40)
     docs.write.parquet(str(tmp_path / "in"))
-    for name in ("c1", "c2"):  # the second run sees the same content again
-        stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
-        watch.watch_documents(stream, str(tmp_path / "out"), str(tmp_path / name)).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run has the first one's state and sees nothing new
+        watch.watch_documents(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out" / "snapshots")).count() == docs.select("doc_id", "markdown").distinct().count()
+    assert spark.read.parquet(str(tmp_path / "out" / "blobs")).count() == docs.select("markdown").distinct().count()
 
 
 @pytest.fixture(scope="module")
