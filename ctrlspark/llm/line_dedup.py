@@ -183,10 +183,11 @@ class LineSets:
                 self.maps[k][on] = 0
             second = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(8) & np.uint64(63)), self.first[some])
             self.maps[1, some] = np.where(small[some], second, self.maps[1, some])
-            again = textvec.mix(self.token ^ np.uint64(0x9E3779B97F4A7C15))
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(again)))
-            few = self.size <= HASHED_WORDS
-            self.maps[2] = np.where(few, textvec.mix(total[self.first[1:]] - total[self.first[:-1]]), self.maps[2])
+            few = some[self.size[some] <= HASHED_WORDS]
+            if len(few):
+                at = np.cumsum(self.size[few]) - self.size[few]
+                again = textvec.mix(self.token[textvec.ragged(self.first[few], self.size[few])] ^ np.uint64(0x9E3779B97F4A7C15))
+                self.maps[2, few] = textvec.mix(np.add.reduceat(again, at))
         self.ident = identity(self.maps).view(np.int64)
 
     def compact(self) -> np.ndarray:
@@ -221,8 +222,16 @@ class LineSets:
 
 
 def identity(maps: np.ndarray | list[np.ndarray]) -> np.ndarray:
-    """64 bits that follow from a set's maps: a hash of a small set, and of the others all that the first three maps know."""
-    return textvec.mix(maps[0] ^ textvec.mix(maps[1] ^ textvec.mix(maps[2] + np.uint64(1))))
+    """64 bits that follow from a set's maps: a hash of a small set, and of the others all that the first three maps know.
+
+    Each step is one to one for given other maps, so sets that differ in one map only never share it.
+    """
+    out = maps[0] * np.uint64(0x9FB21C651E98DF25)
+    for part in (maps[1], maps[2]):
+        out ^= out >> np.uint64(32)
+        out += part
+        out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ out >> np.uint64(32)
 
 
 def _prefix(share: Fraction, size: np.ndarray) -> np.ndarray:
@@ -310,7 +319,8 @@ def _meet(posts: DataFrame, share: Fraction, most: int | None) -> DataFrame:
         part |= {"key": post >> 32, "size": post >> PLACE_BITS & MOST_WORDS, "place": post & MOST_PLACE, "number": who >> 32}
         part["name"] = part["size"] << 32 | who & 0xFFFFFFFF
         part["ident"] = identity([part[c] for c in MAPS]).view(np.int64)
-        by = np.lexsort((part["number"], part["doc"], part["ident"], part["name"], part["key"]))
+        # by key and size, as the name's upper bits are the size
+        by = np.lexsort((part["number"], part["doc"], part["ident"], post >> PLACE_BITS))
         part = {c: v[by] for c, v in part.items()}
         # a set's first occurrence stands for it; all occurrences have the same keys, so all are here
         new = np.ones(len(by), bool)
