@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 EXPECTED = ("NIST 800-53", "ISO 27001", "SOC 2", "NIST CSF 2.0")
 STRENGTH_BONUS = {"must": 0.4, "shall": 0.4, "prohibited": 0.35, "should": 0.2, "may": 0.05}
-#: (phrases, issue, advice)
+#: fixed values: (phrases, issue, advice)
 STALE = (
     (("iso 27001:2013", "iso/iec 27001:2013"), "cites ISO 27001:2013", "Update citation to ISO/IEC 27001:2022"),
     (("nist csf 1.1", "framework version 1.1"), "cites NIST CSF 1.1", "Update citation to NIST CSF 2.0"),
@@ -57,29 +57,39 @@ def stale_refs(statements: DataFrame) -> DataFrame:
 
 
 def evidence_packet(statements: DataFrame, hits: DataFrame, control_id: str, exact: bool = False) -> DataFrame:
-    """Statements that support a control: with a hit on it, or citing it; related hits are counted.
+    """Statements that support a control: with a hit on it, or citing it; related hits are counted, and ``mappings`` lists them (else the statement's first three).
 
     Ids match by substring, so AC-2 finds AC-20; ``exact`` compares whole ids.
     """
     want = control_id.upper().replace(" ", "")
     own = F.upper(F.regexp_replace("control_id", " ", ""))
-    related = hits.filter(own == want if exact else F.contains(own, F.lit(want))).groupBy("doc_id", "version_ord", "statement_id").agg(F.count("*").alias("related"))
+    meets = own == want if exact else F.contains(own, F.lit(want))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "version_ord", "statement_id").orderBy("source", "hit_ord", "framework", "control_id"))
+    listed = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("nth", F.concat_ws(":", "framework", "control_id").alias("c"))))), lambda x: x["c"]), ", ")
+    related = hits.withColumns({"nth": nth, "meets": meets}).groupBy("doc_id", "version_ord", "statement_id").agg(F.nullif(F.count(F.when(F.col("meets"), 1)), F.lit(0)).alias("related"), listed(F.col("meets")).alias("own"), listed(F.col("nth") <= 3).alias("first"))
     cites = F.array_contains("framework_ids", want) if exact else F.contains(F.array_join("framework_ids", " "), F.lit(want))
     joined = statements.join(related, ["doc_id", "version_ord", "statement_id"], "left").filter(F.col("related").isNotNull() | cites)
-    return joined.select("doc_id", "version_ord", "statement_id", "text", "strength", F.coalesce("related", F.lit(0)).cast("long").alias("related"))
+    return joined.select("doc_id", "version_ord", "statement_id", "text", "strength", F.coalesce("related", F.lit(0)).cast("long").alias("related"), F.coalesce(F.nullif("own", F.lit("")), "first", F.lit("")).alias("mappings"))
 
 
 def control_graph(statements: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, kind, label; edges: src, dst, kind) of documents, statements and controls."""
+    """(nodes: id, kind, label; edges: src, dst, kind) of documents, statements and controls.
+
+    A node is one row: of several that share an id the last one stays, in order of
+    document, version, statement and hit.
+    """
     doc = F.concat(F.lit("doc:"), F.col("doc_id"))
     control = F.concat_ws(":", F.lit("control"), "framework", "control_id")
+    order = lambda *more: F.struct("doc_id", "version_ord", "stmt_ord", *more).alias("place")
+    none = [F.lit("").alias("source"), F.lit(0).cast("long").alias("hit_ord")]
     nodes = [
-        statements.select(doc.alias("id"), F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("label")),
-        statements.select(F.col("statement_id").alias("id"), F.lit("statement").alias("kind"), F.col("strength").alias("label")),
-        hits.select(control.alias("id"), F.lit("control").alias("kind"), F.col("control_id").alias("label")),
+        statements.select(doc.alias("id"), F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("label"), order(*none)),
+        statements.select(F.col("statement_id").alias("id"), F.lit("statement").alias("kind"), F.substring("text", 1, 80).alias("label"), order(*none)),
+        hits.select(control.alias("id"), F.lit("control").alias("kind"), F.trim(F.concat_ws(" ", "control_id", "title")).alias("label"), order("source", "hit_ord")),
     ]
     edges = [statements.select(doc.alias("src"), F.col("statement_id").alias("dst"), F.lit("contains").alias("kind")), hits.select(F.col("statement_id").alias("src"), control.alias("dst"), F.col("relationship").alias("kind"))]
-    return nodes[0].union(nodes[1]).union(nodes[2]).distinct(), edges[0].union(edges[1]).distinct()
+    last = nodes[0].union(nodes[1]).union(nodes[2]).groupBy("id", "kind").agg(F.max_by("label", "place").alias("label"))
+    return last, edges[0].union(edges[1]).distinct()
 
 
 #: words of all questions that are looked for one by one

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.dialect import SPARK
+from ..functions.phrases import phrases_in
 
 KEY = ["doc_id", "version_ord", "statement_id", "stmt_ord"]
 HIT = [*KEY, "source", "hit_ord", "framework", "control_id", "title", "relationship", "confidence"]
@@ -102,10 +103,10 @@ def ksi_by_control(statements: DataFrame, ksi: DataFrame) -> DataFrame:
 
 
 def ksi_by_topic(statements: DataFrame, ksi: DataFrame, words: DataFrame) -> DataFrame:
-    """Indicators of the groups one of whose words stands in the text (a small list against each text)."""
-    groups = words.groupBy("grp").agg(F.collect_list("word").alias("words"))
-    met = statements.select(*KEY, F.lower("text").alias("low")).join(F.broadcast(groups), F.exists("words", lambda w: F.contains(F.col("low"), w)))
-    return met.join(ksi.withColumn("grp", F.split("ksi_id", "-")[1]), "grp").select(*KEY, "ksi_id", "ord").distinct()
+    """Indicators of the groups one of whose words stands in the text."""
+    low = statements.select(*KEY, F.lower("text").alias("low"))
+    groups = phrases_in(low, "low", words, "word").join(words.select("word", "grp"), "word").select(*KEY, "grp").distinct()
+    return groups.join(ksi.withColumn("grp", F.split("ksi_id", "-")[1]), "grp").select(*KEY, "ksi_id", "ord").distinct()
 
 
 def ksi_hits(statements: DataFrame, ksi: DataFrame, words: DataFrame, class_id: str | None = None) -> DataFrame:
@@ -154,12 +155,12 @@ def section_hits(statements: DataFrame, sections: DataFrame, most: int = 8) -> D
     """Sections of a snapshot(section_id, name, ord) whose id or name holds one of a statement's terms, at 0.7.
 
     Terms are the first two cited ids, else the first domain with blanks for
-    underscores.  Distinct terms meet the sections once, then statements meet terms.
+    underscores.  One automaton of all distinct terms reads each section, then statements meet terms.
     """
     terms = F.when(F.size("framework_ids") > 0, F.slice("framework_ids", 1, 2)).otherwise(F.transform(F.slice("keywords", 1, 1), lambda k: F.replace(k, F.lit("_"), F.lit(" "))))
     asked = statements.select(*KEY, F.posexplode(terms).alias("k", "term")).withColumn("term", F.lower("term"))
     hay = F.lower(F.concat_ws(" ", "section_id", "name"))
-    met = asked.select("term").distinct().join(F.broadcast(sections.withColumn("hay", hay)), F.contains("hay", F.col("term"))).select("term", "section_id", "name", "ord")
+    met = phrases_in(sections.select("section_id", "name", "ord", hay.alias("hay")), "hay", asked, "term").drop("hay")
     found = asked.join(met, "term").groupBy(*KEY, "section_id", "name").agg(F.min(F.struct("k", "ord")).alias("place"))
     nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("place", "section_id"))
     return found.withColumn("hit_ord", nth).filter(F.col("hit_ord") <= most).select(*KEY, "section_id", "name", "hit_ord", F.lit(0.7).alias("confidence"))

@@ -11,6 +11,7 @@ from ..functions import iac_rules
 from ..functions.change_rules import severity_name, severity_rank
 from ..functions.dialect import SPARK
 from ..functions.rules import normal_domain
+from . import extract
 
 IDENTITY = ["repository", "module_path", "address"]
 GAP = ["link_id", "doc_id", "kind", "severity", "iac_ref"]
@@ -35,6 +36,28 @@ def link_statement(links: DataFrame, statements: DataFrame) -> DataFrame:
     return both.withColumn("first", first).filter("first = 1").select("link_id", "doc_id", "version_ord", "statement_id", "content_hash")
 
 
+def _power(text: str) -> Column:
+    """The largest power of two that is at most the text's length."""
+    return F.pow(F.lit(2), F.floor(F.log2(F.length(text)))).cast("int")
+
+
+def paths_below(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (resource_type, wanted, path) where the path holds the wanted one, or the wanted one ends with the path.
+
+    Both meet on equal keys, not by type alone: a wanted path on its beginning of
+    2, 4, 8 ... characters (as many as it has), a held one on all its parts of the lengths
+    that are in use; the whole condition is tested on those that meet.  For the
+    second case a wanted path's endings meet whole held paths.
+    """
+    asked = wanted.filter(F.length("wanted") > 0).withColumn("size", _power("wanted")).withColumn("key", F.expr("substring(wanted, 1, size)"))
+    sizes = asked.select("resource_type", "size").distinct()  # a few for each type
+    parts = held.join(sizes, "resource_type").filter(F.length("path") >= F.col("size")).withColumn("key", F.explode(F.expr("array_distinct(transform(sequence(1, length(path) - size + 1), i -> substring(path, i, size)))")))
+    inside = asked.join(parts, ["resource_type", "size", "key"]).filter(F.contains("path", F.col("wanted"))).select("resource_type", "wanted", "path")
+    ends = wanted.filter(F.length("wanted") > 0).withColumn("path", F.explode(F.expr("transform(sequence(1, length(wanted)), i -> substring(wanted, i))")))
+    every = wanted.filter("wanted = ''").join(held, "resource_type").select("resource_type", "wanted", "path")  # an empty path is in all
+    return inside.unionByName(ends.join(held, ["resource_type", "path"]).select("resource_type", "wanted", "path")).unionByName(every).distinct()
+
+
 def link_resources(links: DataFrame, resources: DataFrame) -> DataFrame:
     """Resources of each link: those that declare it, those it names by (module-qualified) address, and, of a link
     without addresses, those of its types below its paths; only in its repositories, if it names any."""
@@ -44,9 +67,10 @@ def link_resources(links: DataFrame, resources: DataFrame) -> DataFrame:
     declared = own.join(r.filter("declared <> ''"), F.col("link_id") == F.col("declared"))
     named = own.withColumn("wanted", F.explode("addresses"))
     by_address = [named.join(r, F.col("wanted") == F.col(c)).drop("wanted") for c in ("address", "qualified")]
-    path = F.replace("relative_path", F.lit("\\"), F.lit("/"))
-    below = F.exists("paths", lambda p: F.contains(path, p) | F.endswith(p, path))
-    by_type = own.filter(F.size("addresses") == 0).withColumn("wanted", F.explode("types")).join(r, F.col("wanted") == F.col("resource_type")).drop("wanted").filter(below)
+    r = r.withColumn("path", F.replace("relative_path", F.lit("\\"), F.lit("/")))
+    typed = own.filter(F.size("addresses") == 0).withColumn("resource_type", F.explode("types")).withColumn("wanted", F.explode("paths"))
+    met = paths_below(typed.select("resource_type", "wanted").distinct(), r.select("resource_type", "path").distinct())
+    by_type = typed.join(met, ["resource_type", "wanted"]).join(r, ["resource_type", "path"]).drop("wanted", "path")
     every = reduce(DataFrame.unionByName, [declared, *by_address, by_type])
     return every.filter((F.size("repositories") == 0) | F.array_contains("repositories", F.col("repository"))).select(*columns).distinct()
 
@@ -109,9 +133,10 @@ def alignment_gaps(links: DataFrame, matched: DataFrame, statements: DataFrame,
     return reduce(DataFrame.unionByName, rows)
 
 
-def unlinked_sensitive(resources: DataFrame, wired: DataFrame) -> DataFrame:
-    """Security-sensitive resources that no link reaches."""
-    return resources.filter("security_sensitive").join(wired.select(*IDENTITY, "revision").distinct(), [*IDENTITY, "revision"], "left_anti").select("repository", "revision", "module_path", "address")
+def unlinked_sensitive(resources: DataFrame, wired: DataFrame, review_below: float = 0.85) -> DataFrame:
+    """Security-sensitive resources that no link reaches: a gap each, high if the classifier is sure, else medium."""
+    alone = resources.filter("security_sensitive").join(wired.select(*IDENTITY, "revision").distinct(), [*IDENTITY, "revision"], "left_anti")
+    return alone.select("repository", "revision", "module_path", "address", F.lit("unlinked_security_sensitive_resource").alias("kind"), F.when(F.col("confidence") >= review_below, "high").otherwise("medium").alias("severity"))
 
 
 def iac_change_gaps(delta: DataFrame, links: DataFrame, wired: DataFrame, sensitive: DataFrame, matched: DataFrame) -> DataFrame:
@@ -132,10 +157,11 @@ def iac_change_gaps(delta: DataFrame, links: DataFrame, wired: DataFrame, sensit
     return review.unionByName(alone).unionByName(gone)
 
 
-def doc_change_gaps(links: DataFrame, older: DataFrame, newer: DataFrame, wired: DataFrame) -> DataFrame:
+def doc_change_gaps(links: DataFrame, older: DataFrame, newer: DataFrame, wired: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """Gaps of links whose policy changed: statement gone (critical), reworded (high), or there without code (high).
 
     ``older`` and ``newer`` are the links' statements in two versions, ``wired`` their resources now.
+    ``changes`` (before_id, risk): a rewording of the link's old statement that is a greater risk than high makes its gap so.
     """
     o, n = (t.select("link_id", F.col("content_hash").alias(name)) for t, name in ((older, "old"), (newer, "new")))
     refs = wired.groupBy("link_id").agg(F.array_join(F.sort_array(F.collect_set(full_reference())), ", ").alias("refs"))
@@ -143,7 +169,13 @@ def doc_change_gaps(links: DataFrame, older: DataFrame, newer: DataFrame, wired:
     has_old, has_new = F.col("old").isNotNull(), F.col("new").isNotNull()
     kind = F.when(has_old & ~has_new, "policy_obligation_removed_iac_still_present").when(has_old & has_new & (F.col("old") != F.col("new")), "policy_obligation_changed_verify_iac").when(has_new & F.col("refs").isNull(), "policy_without_iac")
     found = state.withColumn("kind", kind).filter("kind is not null")
-    return found.select("link_id", "doc_id", "kind", F.when(F.contains("kind", F.lit("removed")), "critical").otherwise("high").alias("severity"), F.coalesce("refs", F.lit("")).alias("iac_ref"))
+    worst = F.lit(3)
+    if changes is not None:
+        risk = older.select("link_id", F.col("statement_id").alias("before_id")).join(changes.filter("before_id <> ''").groupBy("before_id").agg(F.max(F.expr(severity_rank("risk"))).alias("risk")), "before_id").select("link_id", "risk")
+        found = found.join(risk, "link_id", "left")
+        worst = F.when(F.contains("kind", F.lit("changed")), F.greatest(F.coalesce("risk", F.lit(3)), F.lit(3))).otherwise(3)
+    found = found.withColumn("rank", F.when(F.contains("kind", F.lit("removed")), 4).otherwise(worst))
+    return found.select("link_id", "doc_id", "kind", F.expr(severity_name("rank")).alias("severity"), F.coalesce("refs", F.lit("")).alias("iac_ref"))
 
 
 def change_set(code: DataFrame, docs: DataFrame, complete: DataFrame) -> DataFrame:
@@ -164,6 +196,22 @@ def gap_dedupe(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("rank", F.expr(severity_rank("severity"))).groupBy("kind", "link_id", "iac_ref").agg(F.max("doc_id").alias("doc_id"), F.max("rank").alias("rank")).withColumn("severity", F.expr(severity_name("rank"))).select(*GAP)
 
 
+def anchor_statements(links: DataFrame) -> DataFrame:
+    """A statement for each link, taken from its anchor: ids, domains and confidence as of ``crosswalk.map_statements``.
+
+    The first statement that the anchor holds; if it holds none, one without domains.
+    The link's own control_ids follow the cited ones.  statement_id is the link's.
+    """
+    docs = links.select("doc_id", "link_id", F.col("anchor").alias("markdown"), "control_ids").dropDuplicates(["link_id"])
+    # extraction works by document: here each link is one
+    numbered = docs.withColumn("n", F.xxhash64("link_id"))
+    found = extract.extract_statements(numbered.select(F.col("n").alias("doc_id"), F.lit(1).alias("version_ord"), "markdown")).filter("stmt_ord = 1").select(F.col("doc_id").alias("n"), "text", "keywords", "framework_ids", "confidence")
+    none = F.array().cast("array<string>")
+    both = numbered.join(found, "n", "left")
+    ids = F.array_distinct(F.concat(F.coalesce("framework_ids", none), F.coalesce("control_ids", none)))
+    return both.select("doc_id", F.lit(1).alias("version_ord"), F.col("link_id").alias("statement_id"), F.lit(1).cast("long").alias("stmt_ord"), F.coalesce("text", "markdown").alias("text"), F.coalesce("keywords", none).alias("keywords"), ids.alias("framework_ids"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
 def scf_map(hits: DataFrame, key: str) -> DataFrame:
     """Control ids by framework of what ``key`` names: a row each of the key's hits (key, framework, controls)."""
     return hits.groupBy(key, "framework").agg(F.sort_array(F.collect_set("control_id")).alias("controls"))

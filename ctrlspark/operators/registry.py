@@ -51,8 +51,52 @@ def link_violations(links: DataFrame) -> DataFrame:
     return r.select("link_id", F.explode(problems).alias("problem")).distinct()
 
 
+#: fields of a manifest and of a link; those that must be there; and the values of those that have a fixed set
+MANIFEST_FIELDS = ("schema_version", "links")
+LINK_FIELDS = (
+    "link_id", "doc_id", "statement_anchor", "statement_keywords", "control_ids", "iac_repositories", "iac_paths", "terraform_addresses", "terraform_resource_types", "tags",
+    "expected_domains", "expected_statement_kind", "expected_strength", "expected_action_polarity", "owner", "direction", "notes",
+)
+DEMANDED = ("link_id", "doc_id", "expected_statement_kind", "expected_strength", "expected_action_polarity")
+VALUES = {
+    "expected_statement_kind": ("obligation", "prohibition", "recommendation", "permission", "responsibility", "control_description", "citation"),
+    "expected_strength": ("must", "shall", "should", "may", "prohibited", "descriptive"),
+    "expected_action_polarity": ("positive", "negative"),
+}
+
+
+def manifest_violations(manifests: DataFrame) -> DataFrame:
+    """What is wrong with raw link manifests(path, value): path, link_id ('' for the whole file), problem.
+
+    Looks at the JSON before any schema is laid over it, so that a field that nobody
+    reads is found: text that is no JSON object, unknown fields of the manifest or of
+    a link, a schema_version other than 1, no list of links, link fields that are
+    missing or have a value outside their set, and link ids that come twice in a file.
+    """
+    raw = "map<string,string>"
+    top = manifests.select("path", F.from_json("value", raw).alias("top"), F.from_json(F.get_json_object("value", "$.links"), f"array<{raw}>").alias("links"))
+    listed = lambda *xs: F.array(*map(F.lit, xs))
+    said = lambda text, xs: F.transform(xs, lambda x: F.concat(F.lit(text), x))
+    when = lambda test, text: F.when(test, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    at = lambda m, k: F.try_element_at(m, F.lit(k))
+    good = F.col("top").isNotNull()
+    whole = F.concat(
+        when(~good, "not a JSON object"), F.when(good, said("unknown field ", F.array_sort(F.array_except(F.map_keys("top"), listed(*MANIFEST_FIELDS))))).otherwise(F.array().cast("array<string>")),
+        when(good & ~F.coalesce(at("top", "schema_version") == "1", F.lit(False)), "schema_version is not 1"), when(good & F.col("links").isNull(), "no list of links"))
+    files = top.select("path", F.lit("").alias("link_id"), F.explode(whole).alias("problem"))
+    each = top.select("path", F.posexplode("links").alias("place", "link")).filter("link is not null").withColumn("link_id", F.coalesce(at("link", "link_id"), F.lit("")))
+    each = each.withColumn("n", F.count("*").over(Window.partitionBy("path", "link_id")))
+    empty = lambda k: F.coalesce(at("link", k), F.lit("")) == ""
+    problems = F.concat(
+        said("unknown field ", F.array_sort(F.array_except(F.map_keys("link"), listed(*LINK_FIELDS)))), *(when(empty(k), f"{k} missing") for k in DEMANDED),
+        *(when(~empty(k) & ~at("link", k).isin(*vs), f"{k} has no such value") for k, vs in VALUES.items()), when((F.col("n") > 1) & (F.col("link_id") != ""), "link_id not unique"))
+    return files.unionByName(each.select("path", "link_id", F.explode(problems).alias("problem"))).distinct()
+
+
 def load_assessments(spark: SparkSession, path: str) -> DataFrame:
-    return _listed(spark, path, "assessments", ASSESSMENT)
+    """Assessments of registry files; one without a status is active, one without frameworks or documents has empty lists (all documents)."""
+    none = F.array().cast("array<string>")
+    return _listed(spark, path, "assessments", ASSESSMENT).withColumns({"status": F.coalesce("status", F.lit("active")), "frameworks": F.coalesce("frameworks", none), "doc_ids": F.coalesce("doc_ids", none)})
 
 
 def active_assessments(assessments: DataFrame) -> DataFrame:

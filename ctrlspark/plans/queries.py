@@ -96,6 +96,8 @@ def _cited(s: SparkSession, d: str) -> DataFrame:
 
 register("seed_hits", lambda s, d: _hit_rows(crosswalk.seed_hits(statements(s, d), catalog(s, "seed"))), f"select {_H} from h_seed", HITS)
 register("explicit_hits", lambda s, d: _hit_rows(crosswalk.explicit_hits(statements(s, d))), f"select {_H} from h_cited", HITS)
+register("explicit_titles", lambda s, d: _hit_rows(crosswalk.explicit_hits(statements(s, d), catalog(s, "seed").filter("framework = 'NIST 800-53'").select("control_id", "title").distinct())), f"select {_H} from (select h.* exclude (title), coalesce(case when h.framework = 'NIST 800-53' then t.title end, '') as title from h_cited h left join (select distinct control_id, title from c_seed where framework = 'NIST 800-53') t on t.control_id = h.control_id)", HITS)
+register("ksi_for_class", lambda s, d: _hit_rows(crosswalk.ksi_hits(statements(s, d), catalog(s, "ksi"), catalog(s, "ksi_words"), "b")), f"select {_H} from h_ksi", HITS | {"c_ksi": f"select * from ({catalog_sql('ksi')}) k where b <> 'not_applicable'"})
 register("guess_framework", lambda s, d: _cited(s, d), "select distinct control_id, framework from cited", HITS)
 register("normalize_nist_id", lambda s, d: _cited(s, d).select("control_id", F.expr(crosswalk.normalize_nist_id("control_id")).alias("padded")), f"select distinct control_id, {_NIST.format(c='control_id')} as padded from cited", HITS)
 register("lookup_key_variants", lambda s, d: crosswalk.lookup_key_variants(_cited(s, d)), "select control_id, framework, variant_ord, variant from variants", HITS)
@@ -115,8 +117,10 @@ register("framework_rollup", lambda s, d: coverage.framework_rollup(hits(s, d)),
 register("control_rollup", lambda s, d: coverage.control_rollup(hits(s, d)), "select framework, control_id, coalesce(min(case when title <> '' then title end), '') as title, array_to_string(list_sort(list_distinct(list(source))), ';') as sources, printf('%.3f', max(confidence)) as max_confidence, count(distinct statement_id) as statement_count from hits group by all", HITS)
 _STALE = " union all ".join(f"select doc_id, version_ord, statement_id, '{i}' as issue, '{a}' as recommendation from statements where " + " or ".join(f"contains(lower(text), '{w}')" for w in ws) for ws, i, a in coverage.STALE)
 register("stale_refs", lambda s, d: coverage.stale_refs(statements(s, d)), _STALE)
-register("evidence_packet", lambda s, d: coverage.evidence_packet(statements(s, d), hits(s, d), "AC-2"), "select s.doc_id, s.version_ord, s.statement_id, s.text, s.strength, coalesce(n, 0) as related from statements s left join (select doc_id, version_ord, statement_id, count(*) as n from hits where contains(upper(replace(control_id, ' ', '')), 'AC-2') group by all) r using (doc_id, version_ord, statement_id) where n is not null or contains(array_to_string(framework_ids, ' '), 'AC-2')", HITS)
-register("control_graph_nodes", lambda s, d: coverage.control_graph(statements(s, d), hits(s, d))[0], "select distinct id, kind, label from (select 'doc:' || doc_id as id, 'document' as kind, cast(doc_id as varchar) as label from statements union all select statement_id, 'statement', strength from statements union all select 'control:' || framework || ':' || control_id, 'control', control_id from hits)", HITS)
+register("evidence_packet", lambda s, d: coverage.evidence_packet(statements(s, d), hits(s, d), "AC-2"), """select s.doc_id, s.version_ord, s.statement_id, s.text, s.strength, coalesce(n, 0) as related, coalesce(own, first_, '') as mappings from statements s left join (select doc_id, version_ord, statement_id, nullif(count(*) filter (where meets), 0) as n, string_agg(label, ', ' order by nth) filter (where meets) as own, string_agg(label, ', ' order by nth) filter (where nth <= 3) as first_
+    from (select *, framework || ':' || control_id as label, contains(upper(replace(control_id, ' ', '')), 'AC-2') as meets, row_number() over (partition by doc_id, version_ord, statement_id order by source, hit_ord, framework, control_id) as nth from hits) group by all) r using (doc_id, version_ord, statement_id) where n is not null or contains(array_to_string(framework_ids, ' '), 'AC-2')""", HITS)
+register("control_graph_nodes", lambda s, d: coverage.control_graph(statements(s, d), hits(s, d))[0], """select id, kind, arg_max(label, place) as label from (select 'doc:' || doc_id as id, 'document' as kind, cast(doc_id as varchar) as label, (doc_id, version_ord, stmt_ord, '', 0) as place from statements union all select statement_id, 'statement', text[1:80], (doc_id, version_ord, stmt_ord, '', 0) from statements
+    union all select 'control:' || framework || ':' || control_id, 'control', trim(control_id || ' ' || title), (doc_id, version_ord, stmt_ord, source, hit_ord) from hits) group by id, kind""", HITS)
 register("control_graph_edges", lambda s, d: coverage.control_graph(statements(s, d), hits(s, d))[1], "select distinct src, dst, kind from (select 'doc:' || doc_id as src, statement_id as dst, 'contains' as kind from statements union all select statement_id, 'control:' || framework || ':' || control_id, relationship from hits)", HITS)
 
 
@@ -134,6 +138,29 @@ _SNAP = {
 register("commit_snapshots", lambda s, d: lineage.commit_snapshots(policies(s, d)).fillna({"parent_snapshot_id": ""}), "select doc_id, version_ord, version_label, markdown_hash, snapshot_id, coalesce(parent_snapshot_id, '') as parent_snapshot_id from snaps", _SNAP)
 register("head", lambda s, d: lineage.head(lineage.commit_snapshots(policies(s, d))), "select doc_id, arg_max(snapshot_id, version_ord) as snapshot_id from snaps group by doc_id", _SNAP)
 register("history", lambda s, d: lineage.history(lineage.commit_snapshots(policies(s, d))), "select doc_id, snapshot_id, row_number() over (partition by doc_id order by version_ord desc) - 1 as depth from snaps", _SNAP)
+def _branched(s: SparkSession, d: str) -> DataFrame:
+    """Policies with a third version of every fourth one that branches off the first, and the second version once more."""
+    docs = policies(s, d).withColumn("base_version", F.lit(None).cast("int"))
+    branch = docs.filter("version_ord = 1 and doc_id % 4 = 0").withColumns({"version_ord": F.lit(3), "base_version": F.lit(1), "markdown": F.concat("markdown", F.lit("\nBranches must be reviewed."))})
+    return docs.unionByName(branch).unionByName(docs.filter("version_ord = 2"))
+
+
+def _store(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """First versions committed before, all others now: the whole store."""
+    def make(name: str) -> DataFrame:
+        first = lineage.commit(_branched(s, d).filter("version_ord = 1"))
+        return first[name].unionByName(lineage.commit(_branched(s, d), first)[name])
+
+    return {name: built(s, d, f"store_{name}", lambda name=name: make(name)) for name in ("blobs", "snapshots")}
+
+
+_BRANCHED = _SNAP | {
+    "forked": "select doc_id, 3 as version_ord, 'v3' as version_label, sha256(markdown || chr(10) || 'Branches must be reviewed.') as markdown_hash, substr(sha256('pol-' || doc_id || ':' || sha256(markdown || chr(10) || 'Branches must be reviewed.') || ':v3'), 1, 20) as snapshot_id, (select snapshot_id from snaps s where s.doc_id = p.doc_id and s.version_ord = 1) as parent_snapshot_id from pol p where version_ord = 1 and doc_id % 4 = 0",
+    "store_": "select doc_id, version_ord, version_label, markdown_hash, snapshot_id, parent_snapshot_id from snaps union all select * from forked",
+}
+register("commit_store", lambda s, d: _store(s, d)["snapshots"].fillna({"parent_snapshot_id": ""}), "select doc_id, version_ord, version_label, markdown_hash, snapshot_id, coalesce(parent_snapshot_id, '') as parent_snapshot_id from store_", _BRANCHED)
+register("commit_blobs", lambda s, d: _store(s, d)["blobs"].select("markdown_hash", F.length("markdown").cast("long").alias("size")), "select distinct markdown_hash, length(markdown) as size from (select sha256(markdown) as markdown_hash, markdown from pol union all select sha256(m), m from (select markdown || chr(10) || 'Branches must be reviewed.' as m from pol where version_ord = 1 and doc_id % 4 = 0))", _BRANCHED)
+register("branch_history", lambda s, d: lineage.history(_store(s, d)["snapshots"]), "select doc_id, snapshot_id, depth from (select doc_id, snapshot_id, 0::bigint as depth from (select *, row_number() over (partition by doc_id order by version_ord desc) as nth from store_) where nth = 1 union all select h.doc_id, h.parent_snapshot_id, 1 from (select *, row_number() over (partition by doc_id order by version_ord desc) as nth from store_) h where nth = 1 and h.parent_snapshot_id is not null)", _BRANCHED)
 register("statement_diff", lambda s, d: lineage.statement_diff(statements(s, d), policies(s, d)).select("doc_id", "older", "newer", "content_hash", "statement_id", "text", "strength", "change"), "select doc_id, older, newer, content_hash, statement_id, text, strength, change from diff", _SNAP)
 register("drift", lambda s, d: lineage.drift(statements(s, d), policies(s, d)), "select doc_id, older, newer, case when change = 'removed' then 'obligation_removed' else 'obligation_added' end as kind, statement_id as subject, case when change = 'added' then 'info' when strength in ('must', 'shall', 'prohibited') then 'high' else 'medium' end as severity from diff union all select doc_id, 1, 2, 'framework_citation_lost', subject, 'high' from cites a where version_ord = 1 and not exists (select 1 from cites b where b.doc_id = a.doc_id and b.version_ord = 2 and b.subject = a.subject)", _SNAP)
 
@@ -364,14 +391,21 @@ register("ambiguous_selector", lambda s, d: reconcile.ambiguous_selector(infra.l
 register("link_violations", lambda s, d: registry.link_violations(infra.links(s, d).union(infra.links(s, d).filter("doc_id % 10 = 0"))), "select distinct link_id, unnest(list_filter([case when doc_id % 10 = 0 then 'link_id not unique' end, case when expected_kind is null then 'expected_kind missing' end, case when expected_strength is null then 'expected_strength missing' end, case when expected_polarity is null then 'expected_polarity missing' end], lambda x: x is not null)) as problem from lnk", _INFRA)
 register("completeness_gaps", _shown(_gaps), f"select {_GAPS} from gaps_", _INFRA)
 register("alignment_gaps", _shown(_alignment), f"select {_GAPS} from alignment", _INFRA)
-register("unlinked_sensitive", lambda s, d: reconcile.unlinked_sensitive(_resources(s, d), _wired(s, d)), "select repository, revision, module_path, address from classified c where security_sensitive and not exists (select 1 from wired w where w.repository = c.repository and w.revision = c.revision and w.module_path = c.module_path and w.address = c.address)", _INFRA)
+register("unlinked_sensitive", lambda s, d: reconcile.unlinked_sensitive(_resources(s, d), _wired(s, d)), "select repository, revision, module_path, address, 'unlinked_security_sensitive_resource' as kind, case when confidence >= 0.85 then 'high' else 'medium' end as severity from classified c where security_sensitive and not exists (select 1 from wired w where w.repository = c.repository and w.revision = c.revision and w.module_path = c.module_path and w.address = c.address)", _INFRA)
 register("iac_change_gaps", _shown(_code_gaps), f"select {_GAPS} from code_gaps", _INFRA)
 register("doc_change_gaps", _shown(_doc_gaps), f"select {_GAPS} from doc_gaps", _INFRA)
 register("change_set", _shown(_change_set), f"select {_GAPS} from change_set_", _INFRA)
 register("gap_dedupe", _shown(lambda s, d: reconcile.gap_dedupe(_change_set(s, d).unionByName(_gaps(s, d)))), f"select link_id, coalesce(max(doc_id), -1) as doc_id, kind, {change_rules.severity_name(f'max({change_rules.severity_rank("severity")})')} as severity, iac_ref from (select * from change_set_ union all select {_G} from gaps_) group by link_id, kind, iac_ref", _INFRA)
 register("merge_target", lambda s, d: reconcile.merge_target(_change_set(s, d).filter("link_id <> ''"), "link_id"), f"select link_id, n, {change_rules.severity_name('r')} as severity, case when r >= 3 then 'misaligned' when r >= 1 then 'review_required' else 'aligned' end as status from (select link_id, count(*) as n, max({change_rules.severity_rank('severity')}) as r from change_set_ where link_id <> '' group by link_id)", _INFRA)
 _MAPS = HITS | _INFRA
-register("link_scf_map", lambda s, d: reconcile.scf_map(_now(_matched(s, d)).join(hits(s, d), ["doc_id", "version_ord", "statement_id"]), "link_id").withColumn("controls", F.array_join("controls", ",")), "select link_id, framework, string_agg(distinct control_id, ',' order by control_id) as controls from matched join hits using (doc_id, version_ord, statement_id) where version_ord = 2 group by all", _MAPS)
+def _anchored(s: SparkSession, d: str) -> DataFrame:
+    """Hits of the links' anchors and own controls; statement_id is the link's."""
+    return built(s, d, "anchored", lambda: crosswalk.map_statements(reconcile.anchor_statements(infra.links(s, d)), *(catalog(s, n) for n in ("scf", "scf_crosswalk", "seed", "ksi", "ksi_words"))))
+
+
+#: no anchor of this corpus holds a statement, so each stands for itself, with the link's controls
+_ANCHORS = HITS | {"statements": f"select doc_id, 1 as version_ord, 1::bigint as stmt_ord, link_id as statement_id, anchor as text, cast([] as varchar[]) as keywords, control_ids as framework_ids, 0::double as confidence from ({infra.links_sql()}) l"}
+register("link_scf_map", lambda s, d: reconcile.scf_map(_anchored(s, d).withColumnRenamed("statement_id", "link_id"), "link_id").withColumn("controls", F.array_join("controls", ",")), "select statement_id as link_id, framework, string_agg(distinct control_id, ',' order by control_id) as controls from hits group by all", _ANCHORS)
 register("framework_labels", lambda s, d: reconcile.framework_labels(reconcile.scf_map(_now(_matched(s, d)).join(hits(s, d), ["doc_id", "version_ord", "statement_id"]), "link_id"), "link_id"), "select distinct link_id, framework || ':' || control_id as label from matched join hits using (doc_id, version_ord, statement_id) where version_ord = 2", _MAPS)
 register("mapping_assessments", lambda s, d: reconcile.mapping_assessments(_now(_matched(s, d)).join(hits(s, d), ["doc_id", "version_ord", "statement_id"]), infra.assessments(s, d)), "select doc_id, assessment_id, string_agg(distinct framework, ',' order by framework) as frameworks from matched join hits using (doc_id, version_ord, statement_id) join (select *, unnest(frameworks) as framework from (select assessment_id, doc_ids, frameworks from asm where status = 'active')) using (framework) where version_ord = 2 and (len(doc_ids) = 0 or list_contains(doc_ids, doc_id)) group by doc_id, assessment_id".replace("select *, unnest(frameworks) as framework from", "select assessment_id, doc_ids, unnest(frameworks) as framework from"), _MAPS)
 _SCF_OF = "select distinct repository, revision, module_path, address, control_id, 'NIST 800-53' as framework from (select *, unnest(string_split(control_ids, ',')) as control_id from classified where security_sensitive) where regexp_matches(control_id, '^(AC|AU|CA|CM|CP|IA|IR|MP|RA|SC|SI)-')"
@@ -412,7 +446,13 @@ register("scf_reverse", lambda s, d: crosswalk.scf_reverse(hits(s, d).filter("fr
 register("finding_fingerprint", lambda s, d: monitor.finding_fingerprint(_change_set(s, d).filter("link_id <> ''"), "link_id"), "select link_id, count(*) as n, sha256(string_agg(kind || '|' || severity || '|' || link_id || '|' || iac_ref, chr(10) order by kind || '|' || severity || '|' || link_id || '|' || iac_ref)) as fingerprint from change_set_ where link_id <> '' group by link_id", _MORE)
 register("input_fingerprint", lambda s, d: monitor.input_fingerprint(infra.files(s, d).select("repository", "revision", F.col("relative_path").alias("path"), F.sha2("content", 256).alias("digest"))), "select repository, revision, sha256(string_agg(relative_path || '|' || sha256(content), chr(10) order by relative_path)) as fingerprint from files_ group by all", _MORE)
 register("notification_payload", lambda s, d: monitor.notification_payload(_change_set(s, d).filter("link_id <> ''"), "link_id", 3), f"select link_id, count(*) as n, string_agg(severity || '|' || kind || '|' || link_id || '|' || iac_ref, chr(10) order by nth) filter (where nth <= 3) as findings from (select *, row_number() over (partition by link_id order by {change_rules.severity_rank('severity')} desc, kind, link_id, iac_ref) as nth from change_set_ where link_id <> '') group by link_id", _MORE)
-register("eval_cases", lambda s, d: evaluate.eval_cases(infra.links(s, d).filter("expected_kind is not null").select((F.col("doc_id") % 3).alias("suite"), F.col("link_id").alias("case_id"), F.map_filter(F.create_map(F.lit("kind"), "expected_kind", F.lit("strength"), "expected_strength", F.lit("polarity"), "expected_polarity"), lambda _, v: v.isNotNull()).alias("values")), _now(_matched(s, d)).join(statements(s, d).drop("content_hash"), ["doc_id", "version_ord", "statement_id"]).select(F.col("link_id").alias("case_id"), F.create_map(F.lit("kind"), "statement_kind", F.lit("strength"), "strength", F.lit("polarity"), "action_polarity").alias("values"))), "select suite, case_id, array_to_string(f, ',') as failed, len(f) = 0 as passed from (select l.doc_id % 3 as suite, l.link_id as case_id, list_filter([case when expected_kind is distinct from statement_kind then 'kind' end, case when expected_polarity is not null and expected_polarity is distinct from action_polarity then 'polarity' end, case when expected_strength is distinct from strength then 'strength' end], lambda x: x is not null) as f from lnk l left join (select link_id, doc_id, statement_id, version_ord from matched where version_ord = 2) m using (link_id) left join statements s on s.doc_id = m.doc_id and s.version_ord = m.version_ord and s.statement_id = m.statement_id where expected_kind is not null)", _MORE)
+def _link_cases(s: SparkSession, d: str) -> DataFrame:
+    """Links whose statement's kind, strength and polarity are stated, against what the rules say."""
+    return evaluate.eval_cases(infra.links(s, d).filter("expected_kind is not null").select((F.col("doc_id") % 3).alias("suite"), F.col("link_id").alias("case_id"), F.map_filter(F.create_map(F.lit("kind"), "expected_kind", F.lit("strength"), "expected_strength", F.lit("polarity"), "expected_polarity"), lambda _, v: v.isNotNull()).alias("values")), _now(_matched(s, d)).join(statements(s, d).drop("content_hash"), ["doc_id", "version_ord", "statement_id"]).select(F.col("link_id").alias("case_id"), F.create_map(F.lit("kind"), "statement_kind", F.lit("strength"), "strength", F.lit("polarity"), "action_polarity").alias("values")))
+
+
+_LINK_CASES = """select suite, case_id, array_to_string(f, ',') as failed, len(f) = 0 as passed from (select l.doc_id % 3 as suite, l.link_id as case_id, list_filter([case when expected_kind is distinct from statement_kind then 'kind' end, case when expected_polarity is not null and expected_polarity is distinct from action_polarity then 'polarity' end, case when expected_strength is distinct from strength then 'strength' end], lambda x: x is not null) as f from lnk l left join (select link_id, doc_id, statement_id, version_ord from matched where version_ord = 2) m using (link_id) left join statements s on s.doc_id = m.doc_id and s.version_ord = m.version_ord and s.statement_id = m.statement_id where expected_kind is not null)"""
+register("eval_cases", _link_cases, _LINK_CASES, _MORE)
 
 # --- monitoring, evaluation ------------------------------------------------
 _LADDER = "case when {0} >= 3 then 'misaligned' when {0} >= 1 then 'review_required' else 'aligned' end"
@@ -445,7 +485,7 @@ def _cases(s: SparkSession, d: str) -> DataFrame:
 
 
 register("exact_metric", lambda s, d: evaluate.exact_metric(_cases(s, d)), "select before_strength as suite, count(*) as cases, round(avg(case when before_strength = after_strength then 1.0 else 0.0 end::double), 6) as accuracy from reworded2 group by 1", _CHANGE)
-register("quality_gate", lambda s, d: evaluate.quality_gate(evaluate.exact_metric(_cases(s, d)), 0.5), "select suite, accuracy, accuracy >= 0.5 as passed from (select before_strength as suite, round(avg(case when before_strength = after_strength then 1.0 else 0.0 end::double), 6) as accuracy from reworded2 group by 1)", _CHANGE)
+register("quality_gate", lambda s, d: evaluate.quality_gate(_link_cases(s, d)), f"select suite, count(*) as cases, count(*) filter (where not passed) as failed_cases, round(avg(passed::integer), 6)::double as accuracy, round(avg(passed::integer), 6) >= 0.95 and bool_and(passed) as passed from ({_LINK_CASES}) group by suite", _MORE)
 _BOTH = {"sides": "select doc_id, max(keywords) filter (where version_ord = 1) as e, max(keywords) filter (where version_ord = 2) as a from (select doc_id, version_ord, list_distinct(flatten(list(keywords))) as keywords from statements group by all) group by doc_id", "counted": "select doc_id % 3 as suite, sum(len(list_intersect(e, a))) as tp, sum(len(a) - len(list_intersect(e, a))) as fp, sum(len(e) - len(list_intersect(e, a))) as fn from sides group by 1"}
 
 
@@ -461,6 +501,49 @@ register("label_metric", lambda s, d: evaluate.label_metric(_label_cases(s, d)),
 register("document_title", lambda s, d: export.document_title(policies(s, d)), "select doc_id, version_ord, regexp_extract(markdown, '(?m)^\\s*#+\\s*(.*?)\\s*$', 1) as title from pol")
 register("oscal_component", lambda s, d: export.component_rows(hits(s, d)), "select doc_id, version_ord, control, statement_id, source from (select *, upper(control_id) as control, row_number() over (partition by doc_id, version_ord, upper(control_id) order by stmt_ord, source) as nth from hits where framework = 'NIST 800-53') where nth = 1", HITS)
 register("oscal_assessment", lambda s, d: export.assessment_rows(statements(s, d), hits(s, d)), "select doc_id, version_ord, statement_id, coalesce(list_extract(heading_path, -1), 'Obligation') as title, coalesce(array_to_string(controls, ';'), '') as controls from statements left join (select doc_id, version_ord, statement_id, list_sort(list_distinct(list(control_id)))[1:8] as controls from hits group by all) using (doc_id, version_ord, statement_id) where strength in ('must', 'shall', 'prohibited')", HITS)
+_UUID = lambda *parts: "(select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 13, 3) || '-8' || substr(h, 16, 3) || '-' || substr(h, 19, 12) from (select sha256(" + " || '|' || ".join(parts) + ") as h))"
+_PROPS = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws("=", p["name"], p["value"])), ";")
+_DOC = ("'pol-' || doc_id", "version_ord::varchar")
+
+
+def _needs(s: SparkSession, d: str) -> DataFrame:
+    whole = export.component_definition(statements(s, d), hits(s, d), "Corporate policy", "2026-01-01T00:00:00Z")
+    part = whole.select("doc_id", "version_ord", F.col("definition.component-definition.uuid").alias("definition"), F.explode("definition.component-definition.components").alias("c"))
+    need = part.select("doc_id", "version_ord", "definition", F.explode(F.col("c.control-implementations")[0]["implemented-requirements"]).alias("n"))
+    return need.select("doc_id", "version_ord", "definition", "n.uuid", F.col("n.control-id").alias("control_id"), "n.description", _PROPS(F.col("n.props")).alias("props"))
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    whole = export.assessment_results(statements(s, d), hits(s, d), "Corporate policy", "2026-01-01T00:00:00Z")
+    held = whole.select("doc_id", "version_ord", F.explode("results.assessment-results.results").alias("r"))
+    return held.select("doc_id", "version_ord", "r.uuid", "r.title", "r.description", _PROPS(F.col("r.props")).alias("props"), "r.status.state")
+
+
+register("oscal_component_nested", _needs, f"""select doc_id, version_ord, {_UUID("'definition'", *_DOC)} as definition, {_UUID("'requirement'", *_DOC, "control")} as uuid, lower(control) as control_id, text as description, 'policy-statement-id=' || statement_id || ';obligation-strength=' || strength || ';mapping-source=' || source as props
+    from (select doc_id, version_ord, statement_id, source, upper(control_id) as control, row_number() over (partition by doc_id, version_ord, upper(control_id) order by stmt_ord, source) as nth from hits where framework = 'NIST 800-53') join statements using (doc_id, version_ord, statement_id) where nth = 1""", HITS)
+register("oscal_assessment_nested", _results, f"""select doc_id, version_ord, {_UUID("'result'", *_DOC, "statement_id")} as uuid, coalesce(list_extract(heading_path, -1), 'Obligation') as title, text as description, 'statement-id=' || statement_id || ';mapped-controls=' || coalesce(mapped, '') as props, 'satisfied_as_documented' as state
+    from statements left join (select doc_id, version_ord, statement_id, string_agg(framework || ':' || control_id, ', ' order by nth) as mapped from (select *, row_number() over (partition by doc_id, version_ord, statement_id order by source, hit_ord, framework, control_id) as nth from hits) where nth <= 8 group by all) using (doc_id, version_ord, statement_id) where strength in ('must', 'shall', 'prohibited')""", HITS)
+
+
+def _manifests(s: SparkSession, d: str) -> DataFrame:
+    """Links as JSON manifests of ten, as written by people: some with fields that nobody knows, values that don't exist, or another version."""
+    ln = infra.links(s, d)
+    fields = {"link_id": F.when(F.col("doc_id") % 30 == 7, "lnk-x").otherwise(F.col("link_id")), "doc_id": F.concat(F.lit("pol-"), "doc_id"), "statement_anchor": F.col("anchor"), "expected_statement_kind": F.when(F.col("doc_id") % 8 == 5, "wish").otherwise(F.col("expected_kind")), "expected_strength": F.col("expected_strength"), "expected_action_polarity": F.coalesce("expected_polarity", F.lit("positive")), "surprise": F.when(F.col("doc_id") % 10 == 3, "x")}
+    link = F.struct("doc_id", F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))).alias("text"))
+    many = ln.withColumn("file", F.floor(F.col("doc_id") / 10).cast("long")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(link)), lambda x: x["text"]), ", ").alias("links"))
+    version = F.when(F.col("file") % 7 == 4, "2").otherwise("1")
+    more = F.when(F.col("file") % 9 == 5, ', "comment": "none"').otherwise("")
+    value = F.when(F.col("file") % 11 == 6, "{ no JSON").otherwise(F.concat(F.lit('{"schema_version": '), version, more, F.lit(', "links": ['), "links", F.lit("]}")))
+    return many.select(F.concat(F.lit("links-"), "file", F.lit(".json")).alias("path"), value.alias("value"))
+
+
+register("manifest_violations", lambda s, d: registry.manifest_violations(_manifests(s, d)), """select distinct path, '' as link_id, case when file % 11 = 6 then 'not a JSON object' when file % 9 = 5 then 'unknown field comment' end as problem from in_files where file % 11 = 6 or file % 9 = 5
+    union all select distinct path, '', 'schema_version is not 1' from read_ where file % 7 = 4
+    union all select distinct path, named, problem from (select path, named, unnest(list_filter([case when doc_id % 10 = 3 then 'unknown field surprise' end, case when expected_kind is null and doc_id % 8 <> 5 then 'expected_statement_kind missing' end, case when expected_strength is null then 'expected_strength missing' end, case when doc_id % 8 = 5 then 'expected_statement_kind has no such value' end,
+        case when (select count(*) from read_ o where o.path = r.path and o.named = r.named) > 1 then 'link_id not unique' end], lambda x: x is not null)) as problem from read_ r)""", _INFRA | {
+    "in_files": "select *, doc_id // 10 as file, 'links-' || (doc_id // 10) || '.json' as path, case when doc_id % 30 = 7 then 'lnk-x' else link_id end as named from lnk",
+    "read_": "select * from in_files where file % 11 <> 6",
+})
 register("ksi_coverage", lambda s, d: export.indicator_coverage(hits(s, d), catalog(s, "ksi"), "a"), "select doc_id, version_ord, count(*) filter (where a <> 'optional') as demanded, count(*) filter (where a = 'optional') as optional from (select distinct doc_id, version_ord, control_id from hits where source = 'ksi') h join c_ksi k on k.ksi_id = h.control_id where a <> 'not_applicable' group by all", HITS)
 _ASK = {
     "asked": "select event_id as question_id, concat_ws(' ', 'How do you review', ['privileged access', 'vendor contracts', 'backup media', 'incident logs', 'network boundary'][cast(event_id % 5 as int) + 1], event_type) as text from events",

@@ -73,7 +73,7 @@ def links_sql(documents: str = "documents", array: str = "[{}]", none: str = "ca
     return f"""select 'lnk-' || doc_id as link_id, cast(doc_id as bigint) as doc_id, case doc_id % 3 when 0 then 'revoke stale accounts' when 1 then 'encrypt' else 'no such words' end as anchor,
         {some("doc_id % 6 = 5", "'visitors'", "'must'")} as keywords, {some("doc_id % 5 < 3", "case doc_id % 5 when 0 then 'access_control' when 1 then 'encryption' else 'iam' end")} as expected_domains,
         case when doc_id % 4 = 1 then 'obligation' end as expected_kind, case when doc_id % 4 = 1 then 'must' end as expected_strength, case when doc_id % 8 = 1 then 'positive' end as expected_polarity,
-        {some("doc_id % 4 = 3", "'aws_iam_role.r' || (doc_id * 10)")} as addresses, {some("doc_id % 100 = 2", "'aws_kms_key'")} as types, {some("doc_id % 100 = 2", "'modules/brand11'")} as paths, {some("doc_id % 9 = 4", "'infra-1'")} as repositories from {documents}"""
+        {some("doc_id % 4 = 3", "'aws_iam_role.r' || (doc_id * 10)")} as addresses, {some("doc_id % 100 = 2", "'aws_kms_key'")} as types, {some("doc_id % 100 = 2", "'modules/brand11'")} as paths, {some("doc_id % 9 = 4", "'infra-1'")} as repositories, {some("doc_id % 7 < 3", "case doc_id % 7 when 0 then 'AC-2' when 1 then 'IAC-15' else 'CC7.2' end")} as control_ids from {documents}"""
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,20 @@ def test_links_and_gaps(spark):
     assert every.filter("kind = 'coordinated_control_retirement_review'").count() == 1 and every.filter("kind = 'ambiguous_iac_selector'").count() == 1
 
 
+def test_anchors_and_risks(spark):
+    links = spark.createDataFrame([("a", 1, "Admins must review accounts per AU-2.", ["AC-2", "AU-2"]), ("b", 1, "no duty at all", ["SC-28"]), ("c", 2, "nothing", None)], "link_id string, doc_id long, anchor string, control_ids array<string>")
+    got = {r.statement_id: (r.doc_id, r.framework_ids, r.keywords, r.confidence > 0) for r in reconcile.anchor_statements(links).collect()}
+    assert got == {"a": (1, ["AU-2", "AC-2"], ["access_control"], True), "b": (1, ["SC-28"], [], False), "c": (2, [], [], False)}
+    held = spark.createDataFrame([link("a"), link("b")], LINK)
+    of = lambda h: spark.createDataFrame([(i, 1, 1, f"s{i}", h + i) for i in "ab"], "link_id string, doc_id long, version_ord int, statement_id string, content_hash string")
+    changes = spark.createDataFrame([("sa", "critical"), ("sa", "low"), ("sb", "medium"), ("", "critical")], "before_id string, risk string")
+    wired = spark.createDataFrame([], "link_id string, repository string, module_path string, address string")
+    assert {r.link_id: r.severity for r in reconcile.doc_change_gaps(held, of("x"), of("y"), wired, changes).collect()} == {"a": "critical", "b": "high"}
+    resources = spark.createDataFrame([("r", 1, "m", "t.x", True, 0.9), ("r", 1, "m", "t.y", True, 0.8), ("r", 1, "m", "t.z", False, 0.9)], "repository string, revision int, module_path string, address string, security_sensitive boolean, confidence double")
+    alone = reconcile.unlinked_sensitive(resources, wired.withColumn("revision", F.lit(1)))
+    assert {(r.address, r.severity) for r in alone.collect()} == {("t.x", "high"), ("t.y", "medium")}
+
+
 def test_alignment(spark):
     links = spark.createDataFrame([link("a", expected_domains=["iam", "encryption"], expected_strength="must"), link("b", expected_domains=[])], LINK)
     matched = spark.createDataFrame([("a", 1, 2, "s"), ("b", 1, 2, "s")], "link_id string, doc_id long, version_ord int, statement_id string")
