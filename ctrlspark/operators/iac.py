@@ -56,7 +56,7 @@ def blocks_of(text: str) -> list[dict]:
         while above and text[begins[above - 1] : begins[above]].strip().startswith(("#", "//")):
             above -= 1
         notes, tags = annotations_of(text[begins[above] : begins[row]]), tags_of(code[m.start() : end])
-        out.append({"link_id": notes.get("link_id") or tags.get("link_id") or "", "resource_type": m[1], "name": m[2], "start_line": row + 1, "block": text[m.start() : end].strip(), "annotations": notes, "tags": tags, "span_start": m.start(), "span_end": end})
+        out.append({"link_id": notes.get("link_id") or tags.get("link_id") or "", "resource_type": m[1], "name": m[2], "start_line": row + 1, "block": text[m.start() : end].strip(), "code": code[m.start() : end], "annotations": notes, "tags": tags, "span_start": m.start(), "span_end": end})
     return out
 
 
@@ -97,10 +97,10 @@ def iac_extract(files: DataFrame) -> DataFrame:
             rows = []
             for repository, revision, path, content in pdf.itertuples(index=False):
                 for b in blocks_of(content or ""):
-                    rows.append((repository, revision, path, path.rpartition("/")[0], f"{b['resource_type']}.{b['name']}", b["resource_type"], b["name"], b["start_line"], b["link_id"], b["annotations"], b["tags"], hashlib.sha256(b["block"].encode()).hexdigest(), b["block"][:500], b["block"], b["span_start"], b["span_end"]))
+                    rows.append((repository, revision, path, path.rpartition("/")[0], f"{b['resource_type']}.{b['name']}", b["resource_type"], b["name"], b["start_line"], b["link_id"], b["annotations"], b["tags"], hashlib.sha256(b["block"].encode()).hexdigest(), b["block"][:500], b["block"], b["span_start"], b["span_end"], b["code"]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    schema = "repository string, revision int, relative_path string, module_path string, address string, resource_type string, name string, start_line int, link_id string, annotations map<string,string>, tags map<string,string>, content_hash string, snippet string, block string, span_start int, span_end int"
+    schema = "repository string, revision int, relative_path string, module_path string, address string, resource_type string, name string, start_line int, link_id string, annotations map<string,string>, tags map<string,string>, content_hash string, snippet string, block string, span_start int, span_end int, code string"
     wanted = files.filter(F.col("relative_path").endswith(".tf") & ~F.col("relative_path").rlike(EXCLUDED))
     return wanted.select("repository", F.col("revision").cast("int"), "relative_path", "content").mapInPandas(parse, schema)
 
@@ -145,8 +145,8 @@ def iac_classify(resources: DataFrame) -> DataFrame:
     """
     note = lambda key: F.try_element_at("annotations", F.lit(key))
     tag = lambda key: F.try_element_at("tags", F.lit(key))
-    # comments and heredocs go, strings stay
-    code = F.regexp_replace(F.coalesce("block", F.lit("")), f"({_STRING})|{_COMMENT}|{_HEREDOC.replace('{}', '2')}", "$1")
+    # comments and heredocs go, strings stay; extraction has done so already
+    code = F.coalesce("code", F.lit("")) if "code" in resources.columns else F.regexp_replace(F.coalesce("block", F.lit("")), f"({_STRING})|{_COMMENT}|{_HEREDOC.replace('{}', '2')}", "$1")
     r = resources.withColumns({"__code": code, "__type": F.lower(F.coalesce("resource_type", F.lit(""))), "__controls": _listed(_first(note("control_ids"), note("control_id"), tag("control_ids"), tag("control_id"))), "__domains": _listed(_first(note("domains"), note("domain"), tag("grc_domains"), tag("grc_domain"))), "__roles": _listed(_first(note("roles"), note("role"), tag("grc_roles"), tag("grc_role")))})
     r = r.withColumn("__text", F.replace(F.lower("__code"), F.lit(" "), F.lit("")))
     has = lambda column, terms: F.expr(" or ".join(f"contains({column}, '{t.replace(' ', '')}')" for t in terms) or "false")
