@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 #: phrases of one automaton (a broadcast list of their texts); more are looked up in further passes
 PART = 100_000
 
+
 def _finder(words: Broadcast):
     """Distinct phrases of a broadcast list in each text, sorted."""
 
@@ -31,17 +32,24 @@ def _finder(words: Broadcast):
     return found
 
 
+def _finders(texts: DataFrame, phrases: DataFrame, name: str, part: int) -> list:
+    """A lookup for each part of about ``part`` phrases."""
+    known = phrases.select(name).filter(F.length(name) > 0).distinct()
+    parts = max(1, -(-known.count() // part))
+    mine = [known if parts == 1 else known.filter(F.pmod(F.xxhash64(name), F.lit(parts)) == p) for p in range(parts)]
+    return [_finder(texts.sparkSession.sparkContext.broadcast([r[0] for r in m.collect()])) for m in mine]
+
+
 def phrases_in(texts: DataFrame, column: str, phrases: DataFrame, name: str = "phrase") -> DataFrame:
     """A row of ``texts`` for each distinct phrase(``name``) that stands anywhere in its ``column``.
 
     Null texts and null or empty phrases match nothing; a text that is repeated is
     answered for each row.  Phrases go to the tasks in parts of about ``PART``.
     """
-    known = phrases.select(name).filter(F.length(name) > 0).distinct()
-    parts = max(1, -(-known.count() // PART))
-    out = []
-    for p in range(parts):
-        mine = known if parts == 1 else known.filter(F.pmod(F.xxhash64(name), F.lit(parts)) == p)
-        found = _finder(texts.sparkSession.sparkContext.broadcast([r[0] for r in mine.collect()]))
-        out.append(texts.withColumn("__found", found(column)).filter(F.size("__found") > 0).select(*texts.columns, F.explode("__found").alias(name)))
-    return reduce(DataFrame.unionByName, out)
+    out = [texts.withColumn("__found", found(column)) for found in _finders(texts, phrases, name, PART)]
+    return reduce(DataFrame.unionByName, (t.filter(F.size("__found") > 0).select(*texts.columns, F.explode("__found").alias(name)) for t in out))
+
+
+def phrase_sets(texts: DataFrame, column: str, phrases: DataFrame, name: str, into: str, part: int | None = None) -> DataFrame:
+    """``texts`` with the array ``into`` of the distinct phrases(``name``) that stand anywhere in its ``column``, none for a null text."""
+    return texts.withColumn(into, F.concat(*(found(column) for found in _finders(texts, phrases, name, part or PART))))

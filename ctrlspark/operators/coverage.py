@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.phrases import phrase_sets
+from ..sources.tables import staged
+
 EXPECTED = ("NIST 800-53", "ISO 27001", "SOC 2", "NIST CSF 2.0")
 STRENGTH_BONUS = {"must": 0.4, "shall": 0.4, "prohibited": 0.35, "should": 0.2, "may": 0.05}
 #: fixed values: (phrases, issue, advice)
@@ -92,8 +95,12 @@ def control_graph(statements: DataFrame, hits: DataFrame) -> tuple[DataFrame, Da
     return last, edges[0].union(edges[1]).distinct()
 
 
-#: words of all questions that are looked for one by one
-VOCABULARY = 2000
+#: words of all questions that one automaton looks for; more take further ones
+VOCABULARY = 100_000
+#: statements of each word that set a question's first bound
+SEEDS = 32
+#: statements of one key of a join; longer lists are split
+BLOCK = 50_000
 
 
 def questionnaire_topk(questions: DataFrame, statements: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
@@ -101,28 +108,48 @@ def questionnaire_topk(questions: DataFrame, statements: DataFrame, hits: DataFr
 
     A question's words of more than two letters count if they stand anywhere in a
     statement's text, domains, headings, controls or titles; strength and the
-    number of hits add to the score.  Questions of equal text are answered once.  A
-    vocabulary of up to ``VOCABULARY`` words is looked for in each statement; a
-    larger one meets statements by a join on shared three-letter parts.
+    number of hits add to the score.  Questions of equal text are answered once.
+
+    The words' statement lists form an inverted index.  Statements with the same words
+    and the same additions differ in their order only, so ``k`` of each such
+    class are kept.  A question is first held against ``SEEDS`` promising statements of
+    each of its words; the ``k``-th best of them is a bound.  A statement that reaches it must have
+    so many of the question's words that it has one of the rarest few; only the lists of those are read,
+    and lists that most questions and statements share drop out.  The result is exact: a statement
+    outside these lists scores less than the bound.  A null or blank question gets no row.
     """
-    asked = questions
-    questions = questions.select("text").distinct().withColumn("question_id", F.col("text"))
+    asked = questions.select("question_id", "text")
     key = ["doc_id", "version_ord", "statement_id"]
+    place = ["doc_id", "version_ord", "stmt_ord", "statement_id"]
     names = hits.groupBy(*key).agg(F.concat_ws(" ", F.sort_array(F.collect_set(F.lower(F.concat_ws(" ", "control_id", "title"))))).alias("names"), F.count("*").alias("n"))
     bonus = F.coalesce(F.create_map(*[F.lit(x) for kv in STRENGTH_BONUS.items() for x in kv])[F.col("strength")], F.lit(0.0))
-    s = statements.join(names, key, "left").select(*key, "stmt_ord", F.lower(F.concat_ws(" ", "text", F.array_join("keywords", " "), F.array_join("heading_path", " "), "names")).alias("hay"), (bonus + F.least(F.lit(0.5), 0.05 * F.coalesce("n", F.lit(0)))).alias("extra"))
+    s = statements.join(names, key, "left").select(*place, F.lower(F.concat_ws(" ", "text", F.array_join("keywords", " "), F.array_join("heading_path", " "), "names")).alias("hay"), (bonus + F.least(F.lit(0.5), 0.05 * F.coalesce("n", F.lit(0)))).alias("extra"))
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda w: F.length(w) > 2))
-    q = questions.select("question_id", F.explode(words).alias("word"))
-    vocabulary = q.select("word").distinct().withColumn("gram", F.substring("word", 1, 3))
-    few = vocabulary.select("word").limit(VOCABULARY + 1).collect()
-    grams = s.select(*key, "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - 2, F.lit(1))), lambda i: F.substring(F.col("hay"), i, F.lit(3))))).alias("gram"))
-    if len(few) <= VOCABULARY:
-        words = F.array(*(F.lit(r["word"]) for r in few)).cast("array<string>")
-        met = s.select(*key, F.explode(F.filter(words, lambda w: F.contains("hay", w))).alias("word"))
-    else:
-        met = grams.join(vocabulary, "gram").filter(F.contains("hay", F.col("word"))).select(*key, "word")
-    overlap = q.join(met, "word").groupBy("question_id", *key).agg(F.count("*").alias("overlap"))
-    scored = overlap.join(s.select(*key, "stmt_ord", "extra"), key).withColumn("score", F.col("overlap") + F.col("extra"))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.round("score", 9).desc(), "doc_id", "version_ord", "stmt_ord"))
-    best = scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("question_id").alias("text"), F.col("rank").cast("long").alias("rank"), "statement_id", F.round("score", 2).alias("score"))
-    return asked.select("question_id", "text").join(best, "text").drop("text")
+    q = asked.select("text").distinct().select("text", F.explode(words).alias("word"))
+    met = phrase_sets(s, "hay", q, "word", "met", VOCABULARY).filter(F.size("met") > 0).drop("hay").withColumn("met", F.array_sort("met"))
+    nth = F.row_number().over(Window.partitionBy("met", "extra").orderBy(*place))
+    index = staged(met.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth"), "question_index")
+
+    lists = index.select("*", F.explode("met").alias("word"))
+    sizes = lists.groupBy("word").agg(F.count("*").alias("n"), F.max("extra").alias("most"))
+    met_by = q.join(sizes, "word").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("w"), F.max("most").alias("most"))
+    q = staged(met_by.select("text", F.col("w.word").alias("words"), F.col("w.n").alias("sizes"), "most"), "questions")
+    score = F.size(F.array_intersect("words", "met")) + F.col("extra")
+
+    promising = F.row_number().over(Window.partitionBy("word").orderBy(F.size("met").desc(), F.desc("extra"), *place))
+    seeds = lists.withColumn("nth", promising).filter(F.col("nth") <= SEEDS)
+    seen = q.select("text", "words", F.explode("words").alias("word")).join(seeds, "word").groupBy("text", *place).agg(F.max(score).alias("score"))
+    kth = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score")))
+    bound = seen.withColumn("nth", kth).filter(F.col("nth") == k).select("text", F.col("score").alias("bound"))
+    # words a statement may lack and yet stay below the bound; scores equal in nine places are ties
+    spare = F.greatest(F.ceil(F.col("bound") - 1e-6 - F.col("most")) - 1, F.lit(0))
+    needed = F.least(F.size("words"), F.size("words") - F.coalesce(spare, F.lit(0))).cast("int")
+    parts = lambda n: (1 + F.floor(n / BLOCK)).cast("int")
+    rare = q.join(bound, "text", "left").select("text", "words", F.explode(F.slice(F.arrays_zip("words", "sizes"), F.lit(1), needed)).alias("x"))
+    wanted = rare.select("text", "words", F.col("x.words").alias("word"), F.explode(F.sequence(F.lit(0), parts(F.col("x.sizes")) - 1)).alias("part"))
+    read = lists.join(sizes.select("word", "n"), "word").withColumn("part", F.pmod(F.xxhash64(*place), parts(F.col("n"))).cast("int"))
+    # a statement counts where its rarest word of the question is
+    scored = wanted.join(read, ["word", "part"]).filter(F.array_intersect("words", "met")[0] == F.col("word")).select("text", *place, score.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("text").orderBy(F.round("score", 9).desc(), "doc_id", "version_ord", "stmt_ord"))
+    best = scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("text", F.col("rank").cast("long").alias("rank"), "statement_id", F.round("score", 2).alias("score"))
+    return asked.join(best, "text").drop("text")

@@ -1,13 +1,15 @@
 """Five labelled suites of our own cases with their gate; manifests, exports, phrases, paths and lineage on small tables."""
 
 import json
+import random
+import re
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from ctrlspark.functions import phrases
-from ctrlspark.operators import crosswalk, evaluate, export, lineage, reconcile, registry
+from ctrlspark.operators import coverage, crosswalk, evaluate, export, lineage, reconcile, registry
 from ctrlspark.sources.catalogs import catalog
 
 EXPECTED = "suite string, case_id long, values map<string,string>, domains array<string>"
@@ -186,3 +188,40 @@ def test_commits_and_branches(spark):
     assert all(t.count() == 0 for t in again.values())
     chain = spark.createDataFrame([(7, i, f"s{i}", f"s{i - 1}" if i else None) for i in range(37)], "doc_id long, version_ord int, snapshot_id string, parent_snapshot_id string")
     assert sorted((r.depth, r.snapshot_id) for r in lineage.history(chain).collect()) == [(36 - i, f"s{i}") for i in range(36, -1, -1)]
+
+
+def _best(questions, statements, hits, k):
+    """Every question against every statement, one by one."""
+    bonus = {"must": 0.4, "shall": 0.4, "prohibited": 0.35, "should": 0.2, "may": 0.05}
+    out = set()
+    for qid, text in questions:
+        words = {w for w in re.split("[^a-z0-9]+", (text or "").lower()) if len(w) > 2}
+        rows = []
+        for doc, ver, sid, nth, body, strength, keywords, headings in statements:
+            own = [h for h in hits if h[:3] == (doc, ver, sid)]
+            hay = " ".join([body, *keywords, *headings, *(f"{h[3]} {h[4]}" for h in own)]).lower()
+            n = sum(w in hay for w in words)
+            if n:
+                rows.append((-round(n + bonus.get(strength, 0) + min(0.5, 0.05 * len(own)), 9), doc, ver, nth, sid))
+        out |= {(qid, r, row[4], round(-row[0], 2)) for r, row in enumerate(sorted(rows)[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("seeds, block", [(32, 50_000), (2, 3)])
+def test_questions_against_all_statements(spark, monkeypatch, seeds, block):
+    """A word in nearly all statements and questions, classes of equal statements beyond k, ties, lists split into parts."""
+    rng = random.Random(11)
+    vocabulary = [f"word{i:02d}" for i in range(24)]
+    pick = lambda n: " ".join(rng.choices(vocabulary, weights=[40 // (i + 1) + 1 for i in range(24)], k=n))
+    statements = [(d, v, f"s{d}-{v}-{i}", i, f"Users review {pick(rng.randint(1, 7))}", rng.choice(["must", "may", "descriptive"]), rng.sample(vocabulary, rng.randint(0, 2)), [pick(1)]) for d in range(12) for v in (1, 2) for i in range(8)]
+    statements += [(50 + d, 1, f"same{d}", 0, "Users review word00 and word05", "must", [], []) for d in range(40)]
+    hits = [(d, v, f"s{d}-{v}-{i}", "AC-2", pick(1)) for d in range(0, 12, 2) for v in (1, 2) for i in (1, 1, 4)]
+    questions = [(i, f"How do users review {pick(rng.randint(1, 6))}?") for i in range(30)] + [(100, None), (101, ""), (102, "of it"), (103, "nowhere seen"), (104, "word00 word05 users"), (105, "word00 word05 users")]
+    monkeypatch.setattr(coverage, "SEEDS", seeds)
+    monkeypatch.setattr(coverage, "BLOCK", block)
+    s = spark.createDataFrame(statements, "doc_id long, version_ord int, statement_id string, stmt_ord int, text string, strength string, keywords array<string>, heading_path array<string>")
+    h = spark.createDataFrame(hits, "doc_id long, version_ord int, statement_id string, control_id string, title string")
+    q = spark.createDataFrame(questions, "question_id long, text string")
+    got = {(r.question_id, r["rank"], r.statement_id, r.score) for r in coverage.questionnaire_topk(q, s, h).collect()}
+    assert got == _best(questions, statements, hits, 5)
+    assert coverage.questionnaire_topk(q.limit(0), s, h).count() == coverage.questionnaire_topk(q, s.limit(0), h).count() == 0
