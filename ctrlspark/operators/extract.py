@@ -60,12 +60,19 @@ def page_fill(lines: DataFrame) -> DataFrame:
 
 
 def heading_path(lines: DataFrame) -> DataFrame:
-    """Adds heading_path, folded over the headings so far: a heading replaces all from its level on."""
+    """Adds heading_path, folded over the headings so far: a heading replaces all from its level on.
+
+    The n-th heading, of level L, ends a path of min(length before, L - 1) + 1 titles.  That recursion is a running
+    minimum of L - n, and a place in the path holds the last title put there: no line collects its headings.
+    """
+    heading = F.col("kind") == "heading"
     level = F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))
     title = F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1))
-    heads = F.collect_list(F.when(F.col("kind") == "heading", F.struct(level.alias("level"), title.alias("title")))).over(_so_far())
-    path = F.aggregate(heads, F.array().cast("array<string>"), lambda p, h: F.concat(F.slice(p, 1, h["level"] - 1), F.array(h["title"])))
-    return lines.withColumn("heading_path", path)
+    rows = lines.withColumn("__n", F.count(F.when(heading, 1)).over(_so_far()))
+    rows = rows.withColumn("__n", F.when(heading, F.col("__n") + F.least(F.lit(0), F.min(F.when(heading, level - F.col("__n"))).over(_so_far()))).cast("int"))
+    last = lambda c: F.last(c, ignorenulls=True).over(_so_far())
+    path = F.slice(F.array(*(last(F.when(F.col("__n") == i, title)) for i in range(1, 7))), F.lit(1), F.coalesce(last(F.col("__n")), F.lit(0)))
+    return rows.withColumn("heading_path", path).drop("__n")
 
 
 def structured_lines(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,21 @@ def test_line_ends_and_tabs(spark):
     assert [r.kind for r in rows if r.kind != "fenced"] == ["heading", "fence", "fence", "prose", "prose"]
 
 
+def test_heading_paths_at_odd_levels(spark):
+    """Headings that begin deep, skip levels and come back, against a plain fold."""
+    rng = random.Random(5)
+    docs = [(d, 1, "\n".join(f"{'#' * rng.randint(1, 6)} T{i}" if rng.random() < 0.7 else f"line {i}" for i in range(60))) for d in range(8)] + [(90, 1, "### deep\n### deep again\n### and again\nx\n# top\ny"), (91, 1, "no heading"), (92, 1, "")]
+    rows = extract.heading_path(extract.page_fill(extract.fence_filter(extract.lines_explode(spark.createDataFrame(docs, "doc_id long, version_ord int, markdown string"))))).collect()
+    got = {(r.doc_id, r.line_ord): r.heading_path for r in rows}
+    for doc, _, text in docs:
+        path = []
+        for i, line in enumerate(text.split("\n")):
+            if line.startswith("#"):
+                marks, name = line.split(" ", 1)
+                path = [*path[: len(marks) - 1], name]
+            assert got[(doc, i)] == path, (doc, i)
+
+
 def test_questions_by_both_ways(spark, monkeypatch):
     key = "doc_id long, version_ord int, statement_id string, stmt_ord int, text string, strength string, keywords array<string>, heading_path array<string>"
     statements = spark.createDataFrame([(1, 1, "a", 0, "Review accounts", "must", [], []), (1, 1, "b", 1, "Reviewed backup", "may", ["backup"], ["Media"])], key)
