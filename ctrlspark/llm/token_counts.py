@@ -10,12 +10,13 @@ has one valid last token (a token is valid after another if the two encode to
 themselves).  States are made when first reached and kept in one table.
 
 Texts are cut into equal chunks that advance side by side.  A chunk's state map
-leads from an entry state to a count and an exit state.  A chunk with a pre-token
+leads from an entry state to an exit state and a count.  A chunk with a pre-token
 boundary has one exit state; only the head of bytes before its first boundary
-depends on the entry.  A chunk inside one pre-token is first mapped from a guessed
-entry state.  Maps are then composed by a scan: all chunks whose predecessor's exit
-is another one than they were mapped from are mapped again at once, until none is
-left.  As exits seldom depend on what came a thousand bytes before, a few rounds do.
+depends on the entry.  A chunk inside one pre-token has a map of the few entry states
+that its predecessor's map leads to (a guessed one included); as what came a thousand bytes before seldom
+matters, these are one or two, and at most the phases of a token in long repetitions, whose chunks of equal
+bytes share one map.  The maps are then composed by a parallel prefix scan: maps of 1, 2, 4, ... chunks are made from one another, and
+every chunk of a run finds its entry state in as many steps as its distance has bits.
 """
 
 from __future__ import annotations
@@ -146,8 +147,71 @@ class Transducer:
             for pair in np.unique(state[missing] * 256 + byte[missing]):
                 self.compile(int(pair) >> 8, int(pair) & 255)
 
+    def heads(self, grid: np.ndarray, lane: np.ndarray, entry: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and count of the first ``length`` bytes of chunks from entry states, all pairs side by side."""
+        order = np.argsort(-length, kind="stable")
+        lane, now, falling = lane[order], entry[order].astype(np.int64), -length[order]
+        total = np.zeros(len(order), np.int64)
+        for i in range(int(-falling[0])):
+            on = np.searchsorted(falling, -i)  # those longer than i come first
+            got = self.step(now[:on], grid[i, lane[:on]])
+            now[:on] = got >> 8
+            total[:on] += (got & 255) - BIAS
+        out, counts = np.empty_like(now), np.empty_like(total)
+        out[order], counts[order] = now, total
+        return out, counts
+
+    def head_counts(self, grid: np.ndarray, head: np.ndarray, through: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunks whose head isn't empty, token count of each head), from the chunks' exit states where those are known."""
+        lanes = len(head)
+        exact = np.concatenate(([True], ~through[:-1]))  # the entry state follows from the chunk before alone
+        before = np.concatenate(([START], state[:-1]))
+        todo = np.flatnonzero(head > 0)
+        leads = through.copy()  # to another head
+        leads[:-1] &= head[1:] > 0
+        leads[-1] = False
+        node = np.arange(lanes)  # the first chunk of the same bytes, whose map it shares
+        whole = np.flatnonzero(through & (head == LANE))
+        if len(whole):
+            _, at, same = np.unique(np.ascontiguousarray(grid[:, whole].T).view(f"V{LANE}").ravel(), return_index=True, return_inverse=True)
+            node[whole] = whole[at][same]
+        on = np.flatnonzero(leads)
+        links = np.unique(node[on] << 32 | node[on + 1])
+        source, target = links >> 32, links & 0xFFFFFFFF
+
+        entry = np.where(exact[todo], before[todo], START)
+        fresh = np.unique(node[todo] << 32 | entry)
+        pairs, exits, counts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while len(fresh):  # maps: entry states that a map of the chunk before leads to are added until there is no other
+            chunk = fresh >> 32
+            out, count = self.heads(grid, chunk, fresh & 0xFFFFFFFF, head[chunk])
+            pairs, exits, counts = np.concatenate((pairs, fresh)), np.concatenate((exits, out)), np.concatenate((counts, count))
+            low, many = np.searchsorted(source, chunk), np.searchsorted(source, chunk, "right") - np.searchsorted(source, chunk)
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            fresh = np.setdiff1d(target[np.repeat(low, many) + nth] << 32 | np.repeat(out, many), pairs)
+        order = np.argsort(pairs)
+        pairs, exits, counts = pairs[order], exits[order], counts[order]
+
+        # a row for each chunk and entry state of its map
+        low = np.searchsorted(pairs, node << 32)
+        size = np.where(head > 0, np.searchsorted(pairs, node + 1 << 32) - low, 0)
+        base = np.cumsum(size) - size
+        lane = np.repeat(np.arange(lanes), size)
+        pair = np.arange(len(lane)) - base[lane] + low[lane]
+        row = lambda to, state: base[to] + np.searchsorted(pairs, node[to] << 32 | state) - low[to]
+        hop = np.arange(len(lane))  # the map of one chunk: the next chunk's row
+        goes = leads[lane]
+        hop[goes] = row(lane[goes] + 1, exits[pair[goes]])
+        begin = np.maximum.accumulate(np.where(exact, np.arange(lanes), 0))[todo]
+        at = row(begin, before[begin])
+        far = todo - begin
+        while far.any():  # scan: hop is the composed map of 1, 2, 4, ... chunks
+            at = np.where(far & 1, hop[at], at)
+            hop, far = hop[hop], far >> 1
+        return todo, counts[pair[at]]
+
     def changes(self, buf: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Change of the token count at each byte."""
+        """Change of the token count at each byte; that of a chunk's head stands at the head's last byte."""
         n = len(buf)
         if len(self.states) > MAX_STATES:
             self.reset()
@@ -164,22 +228,11 @@ class Transducer:
             got = self.step(state, grid[i])
             state = (got >> 8).astype(np.int64)
             out[i] = (got & 255) - BIAS
-        head = np.where(go.any(axis=0), go.argmax(axis=0), LANE)
-        todo = np.flatnonzero(head > 0)
-        todo = todo[todo > 0]
-        through = head == LANE
-        state[through] = START  # a guess, until the map of the lane before is known
-        entry = np.full(len(todo), -1, np.int64)
-        while len(again := np.flatnonzero(entry != state[todo - 1])):  # scan: all maps that got another entry state, side by side
-            entry[again] = state[todo[again] - 1]
-            lanes_now, length, now = todo[again], head[todo[again]], entry[again].copy()
-            for i in range(int(length.max())):
-                on = np.flatnonzero(length > i)
-                got = self.step(now[on], grid[i, lanes_now[on]])
-                now[on] = got >> 8
-                out[i, lanes_now[on]] = (got & 255) - BIAS
-            whole = through[lanes_now]
-            state[lanes_now[whole]] = now[whole]
+        through = ~go.any(axis=0)
+        head = np.where(through, LANE, go.argmax(axis=0))
+        head[-1] = min(head[-1], n - (lanes - 1) * LANE)
+        todo, counts = self.head_counts(grid, head, through, state)
+        out[head[todo] - 1, todo] = counts
         return out.T.reshape(-1)[:n]
 
 

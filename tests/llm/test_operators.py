@@ -57,6 +57,27 @@ def test_token_counts_across_chunk_lanes():
     assert n == len(Tokenizer.from_file(PATH).encode(text.decode(), add_special_tokens=False).ids)
 
 
+def test_state_maps_compose(monkeypatch):
+    """Runs of many chunks inside one pre-token: equal to the library, and mapped in few rounds however long they are."""
+    from ctrlspark.llm import pretokens
+
+    rng = random.Random(3)
+    lib, fst = Tokenizer.from_file(PATH), token_counts.Transducer(PATH)
+    monkeypatch.setattr(token_counts, "LANE", 64)
+    rounds = []
+    heads = fst.heads
+    monkeypatch.setattr(fst, "heads", lambda *a: rounds.append(len(a[1])) or heads(*a))
+    runs = ["z" * 30_000, "ab" * 9_000 + "aba" * 3_000, "".join(rng.choices("abcdefgh", k=20_000)), "=" * 9_999, "é" * 5_000, "the" * 4_001 + "internationalization" * 300, "x" * 64, "y" * 63, "w" * 65]
+    texts = [f"{a} {b}" for a in runs for b in ("", "and then", runs[3])] + ["a", "", "q" * 128 + "\n" + "r" * 200]
+    for t in texts:
+        raw = t.encode()
+        buf, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        rounds.clear()
+        if raw:
+            assert fst.changes(buf, pretokens.starts(buf, offs)).sum() == len(lib.encode(t, add_special_tokens=False).ids), t[:40]
+            assert len(rounds) <= 70 and sum(rounds) < 300 + 4 * (len(raw) // 64), (t[:40], rounds)
+
+
 def test_packing(spark):
     texts = EDGE + sentences(2, 60) + sentences(2, 3)
     rows = packing.pack(table(spark, texts), size=64, shard_pieces=40).collect()
