@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last
 return the columns of ``documents``.  A stage's table is written as parquet and
 read again as the next one's ``docs``.
+
+Null, empty and blank texts pass every stage but the last, where they are a
+piece with the end id alone.  Rows of one doc_id are told apart by their text and equal
+rows leave one in the third stage; null doc_ids never win a group from others.  Other columns pass unchanged, whatever
+their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
