@@ -40,6 +40,8 @@ KINDS = ("trusted", "low", "toxic")
 BROADCAST_ROWS = 3_000_000
 #: trusted ids that are broadcast; more are joined by shuffle
 BROADCAST_IDS = 2_000_000
+#: documents' counts of one trigram in a key of the join by shuffle, about
+SALT_ROWS = 1_000_000
 
 
 def _trigrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,38 +224,53 @@ class Scorer:
         return textvec.per_chunk(named, run, f"doc_id {kind}, lang string, n_bytes long, perplexity double", ("doc_id", "lang", "text"))
 
     def _score_by_join(self, docs: DataFrame) -> DataFrame:
-        """The same for a model of any size: each document's trigram counts meet the tables' shards in shuffle joins."""
+        """The same for a model of any size, by shuffle joins.
+
+        The distinct trigrams of all documents meet the tables' shards: each is one row
+        there, so that a frequent character keys no more rows than it has neighbours.  Then
+        the documents' counts meet the probabilities; a trigram of all documents is
+        split by salt, so that a key has about ``SALT_ROWS`` rows at most.
+        """
         kind = docs.schema["doc_id"].dataType.simpleString()
 
         def count(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
             grams, at = _trigrams(buf, offs)
-            pairs = [np.unique(grams[at[d] : at[d + 1]], return_counts=True) for d in range(len(offs) - 1)]
-            cells = [[{"gram": int(g), "n": int(n)} for g, n in zip(*p)] for p in pairs]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(offs)), pa.array(cells, pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())])))], ["doc_id", "lang", "n_bytes", "cells"])
+            pairs = [np.unique(grams[lo:hi], return_counts=True) for lo, hi in zip(at[:-1], at[1:])]
+            gram, n = (np.concatenate([p[k] for p in pairs] or [np.zeros(0, np.int64)]).astype(np.int64) for k in (0, 1))
+            cells = pa.StructArray.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
+            starts = pa.array(np.concatenate(([0], np.cumsum([len(p[0]) for p in pairs]))), pa.int32())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(offs)), pa.ListArray.from_arrays(starts, cells)], ["doc_id", "lang", "n_bytes", "cells"])
 
         named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
         rows = textvec.per_chunk(named, count, f"doc_id {kind}, lang string, n_bytes long, cells array<struct<gram: long, n: long>>", ("doc_id", "lang", "text"))
         rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "grams")
+        salts = rows.count() // SALT_ROWS + 1
         cells = rows.select("row", "lang", F.explode("cells").alias("c")).select("row", "lang", "c.gram", "c.n")
+        p = self._known(cells.select("lang", "gram").distinct()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = cells.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+        total = salted.join(p, ["lang", "gram", "salt"]).groupBy("row").agg(F.exp(F.sum(F.col("log_p") * F.col("n")) / -F.sum("n")).alias("perplexity"))
+        return rows.drop("cells").join(total, "row", "left").drop("row")
+
+    def _known(self, grams: DataFrame) -> DataFrame:
+        """lang, gram, log_p of distinct trigrams; none of a language without model."""
         t = {k: v.select("lang", F.col("gram").alias("key"), F.col("p").alias(k)) for k, v in self.tables.items()}
         keys = {"tri": "gram", "bi": f"gram & {LOW42}L", "uni": f"gram & {LOW21}L", "tri_back": "shiftright(gram, 21)", "bi_back": f"shiftright(gram, 21) & {LOW21}L"}
         for name, key in keys.items():
-            cells = cells.withColumn("key", F.expr(key)).join(t[name], ["lang", "key"], "left").drop("key")
-        other = F.broadcast(self.tables["uni"].filter("gram = -1").select("lang", F.col("p").alias("other")))
+            grams = grams.withColumn("key", F.expr(key)).join(t[name], ["lang", "key"], "left").drop("key")
+        other = F.broadcast(self.tables["uni"].filter("gram = -1").select("lang", F.col("p").alias("other")))  # a row for each language
         p = F.expr("coalesce(tri, coalesce(tri_back, 1) * coalesce(bi, coalesce(bi_back, 1) * coalesce(uni, other)))")
-        total = cells.join(other, "lang").groupBy("row").agg(F.exp(-F.sum(F.log(p) * F.col("n")) / F.sum("n")).alias("perplexity"))
-        return rows.drop("cells").join(total, "row", "left").drop("row")
+        return grams.join(other, "lang").select("lang", "gram", F.log(p).alias("log_p"))
 
 
 def thresholds(scored_trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, threshold: the quantile of trusted documents' perplexities."""
-    return scored_trusted.filter("perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"))
+    """lang, threshold, quantile: that quantile of trusted documents' perplexities."""
+    return scored_trusted.filter("perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("threshold"), F.lit(float(quantile)).alias("quantile"))
 
 
 def best_cuts(scored: DataFrame) -> DataFrame:
-    """lang, threshold, and the shares of its ``kind`` rows beyond it, from ``scored(lang, kind, perplexity)``.
+    """lang, threshold, quantile, and the shares of its ``kind`` rows beyond it, from ``scored(lang, kind, perplexity)``.
 
-    The threshold has the largest excess of rejected bad documents (mean of the
+    The labels choose a quantile of the language's trusted perplexities, and the threshold is that quantile.  It has the largest excess of rejected bad documents (mean of the
     shares of the kinds 'low' and 'toxic' that there are) over rejected trusted
     ones, and is no higher than the trusted ones' ``QUANTILE``.  Perplexities are
     counted in steps of 1 / ``STEPS`` of their logarithm, so that windows run over
@@ -268,7 +285,7 @@ def best_cuts(scored: DataFrame) -> DataFrame:
     known = shares.filter("trusted is not null").withColumn("most", F.min(F.when(F.col("trusted") <= 1 - QUANTILE, F.col("step"))).over(whole))
     order = F.struct(F.coalesce(F.expr("coalesce((low + toxic) / 2, low, toxic) - trusted"), F.lit(0.0)).alias("gain"), "step", *KINDS)
     best = known.filter("step <= most").groupBy("lang").agg(F.max(order).alias("best"))
-    return best.select("lang", F.exp((F.col("best.step") + 1) / F.lit(float(STEPS))).alias("threshold"), *(f"best.{k}" for k in KINDS))
+    return best.select("lang", F.exp((F.col("best.step") + 1) / F.lit(float(STEPS))).alias("threshold"), (1 - F.col("best.trusted")).alias("quantile"), *(f"best.{k}" for k in KINDS))
 
 
 def held_out(docs: DataFrame, labels: DataFrame, per_fold: DataFrame) -> DataFrame:
@@ -287,23 +304,23 @@ def _fold() -> Column:
 
 
 def _fit(docs: DataFrame, labels: DataFrame, quantile: float | None, broadcast_rows: int = BROADCAST_ROWS) -> tuple[Scorer, DataFrame]:
-    """The model of all trusted documents, and each language's threshold (lang, threshold)."""
+    """The model of all trusted documents, and each language's threshold (lang, threshold, quantile)."""
     trusted = _trusted(docs, labels)
     if quantile is not None:
         scorer = Scorer(train(trusted), broadcast_rows)
         return scorer, staged(thresholds(scorer.score(trusted), quantile), "limits")
     dealt = trusted.select(F.concat(_fold(), F.lit(" "), "lang").alias("lang"), "text")
     per_fold = staged(trigram_counts(dealt).selectExpr("substring(lang, instr(lang, ' ') + 1) as lang", "cast(substring_index(lang, ' ', 1) as int) as fold", "gram", "n"), "folds")
-    limits = staged(best_cuts(held_out(docs, labels, per_fold)).select("lang", "threshold"), "limits")
+    limits = staged(best_cuts(held_out(docs, labels, per_fold)).select("lang", "threshold", "quantile"), "limits")
     return Scorer(tables(staged(per_fold.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "c3")), broadcast_rows), limits
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float | None = None) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, threshold, keep for every row of ``docs(doc_id, text, lang)``.
+    """doc_id, lang, n_bytes, perplexity, threshold, keep, quantile for every row of ``docs(doc_id, text, lang)``.
 
     ``labels(doc_id, quality, toxic)`` names the trusted documents, and those low in
-    quality or toxic.  The threshold is the ``best_cuts`` of held-out ones, or a
-    ``quantile`` of the trusted ones, as the model that has seen them scores them.
+    quality or toxic.  The threshold is a quantile of trusted perplexities: the one that
+    ``best_cuts`` chooses for a language from held-out ones, or a given ``quantile``, as the model that has seen them scores them.
     A null language is one of its own, ''.  A row is kept unless its perplexity is over its
     language's threshold: null, empty and blank texts have none and are kept, as are
     all rows of a language without trusted documents in two folds (or any, with a ``quantile``).  Null doc_ids are scored,
@@ -311,7 +328,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float | None = None)
     other columns are ignored.
     """
     scorer, limits = _fit(docs, labels, quantile)
-    return scorer.score(docs).join(F.broadcast(limits), "lang", "left").select("doc_id", "lang", "n_bytes", "perplexity", "threshold", (~F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False))).alias("keep"))
+    return scorer.score(docs).join(F.broadcast(limits), "lang", "left").select("doc_id", "lang", "n_bytes", "perplexity", "threshold", (~F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False))).alias("keep"), "quantile")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
