@@ -14,11 +14,15 @@ only those that can reach the threshold are accumulated:
 2. Rarity prefix.  Of the rows left, columns are counted and ordered by rarity.
    Columns of one row only come first and cost nothing; a linked pair shares one
    of its first p columns.  Rows that meet in such a column go to one cluster.
-3. Blocks.  Rows of a cluster are cut by size class, because sizes of a linked
-   pair differ by the factor t at most, and into blocks of bounded length.  Each
-   pair of blocks of equal or adjacent classes is one sparse product; counts
-   below ceil(t (a + b) / (1 + t)) are dropped, and of the links a block pair
-   keeps a spanning forest.
+3. Hubs.  Rows of a cluster are cut by size class, because sizes of a linked pair
+   differ by the factor t at most.  A class of many blocks is multiplied by one of its
+   blocks first: near copies of one template are mostly linked through that, and
+   rows that are linked already (a part) need not meet again.
+4. Blocks.  Rows of a class are dealt to blocks of bounded rows and cells, a large
+   part to blocks of its own.  Each pair of blocks of equal or adjacent classes is
+   one sparse product, but for two blocks of one part; counts below
+   ceil(t (a + b) / (1 + t)) are dropped, and of the links a block pair keeps a
+   spanning forest.
 
 Components of the forests' links are those of all links.
 """
@@ -31,15 +35,19 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
 from .components import connected_components
 from .staging import staged
 
-#: rows in a block of the product
-BLOCK_ROWS = 256
+#: rows and n-gram cells in a block of the product (more cells only where one row has them)
+BLOCK_ROWS, BLOCK_CELLS = 256, 2_000_000
+#: a size class of more blocks than this meets one of them first
+HUB_BLOCKS = 4
+#: copies of one set are split by this many keys
+SALTS = 64
 #: keys that are broadcast to pick rows out of the texts; more of them are joined by shuffle
 BROADCAST_KEYS = 2_000_000
 
@@ -120,9 +128,11 @@ def _links(pdf: pd.DataFrame, share: Fraction) -> pd.DataFrame:
     pdf = pdf.sort_values(["side", "node"], ignore_index=True)
     pdf = pdf.drop_duplicates(["node", "side"], ignore_index=True)
     left, right = pdf[pdf["side"] != 2], pdf[pdf["side"] != 1]
+    if not len(left) or not len(right):  # a block that no row was dealt to
+        return pd.DataFrame({"src": [], "dst": []}).astype("int64")
     node, size = right["node"].to_numpy(), right["size"].to_numpy()
     lengths = right["columns"].map(len).to_numpy()
-    column = np.concatenate(right["columns"].to_list()) if len(right) else np.zeros(0, np.int64)
+    column = np.concatenate(right["columns"].to_list())
     order = np.argsort(column, kind="stable")
     column, holder = column[order], np.repeat(np.arange(len(right)), lengths)[order]
     parent: dict[int, int] = {}
@@ -150,6 +160,55 @@ def _links(pdf: pd.DataFrame, share: Fraction) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
 
 
+def _filled(rows: Column, cells: Column) -> Column:
+    """Blocks that so many rows and cells fill."""
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(cells / BLOCK_CELLS)).cast("int")
+
+
+def _product(dealt: DataFrame, share: Fraction) -> DataFrame:
+    """Spanning forests (src, dst) of each pair of blocks in ``dealt(component, g, h, i, j, side, node, size, columns)``."""
+    return dealt.groupBy("component", "g", "h", "i", "j").applyInPandas(lambda pdf: _links(pdf, share), "src long, dst long")
+
+
+def _hub_links(member: DataFrame, share: Fraction) -> DataFrame | None:
+    """Links of the rows of large size classes with one block of their class; None if no class is large."""
+    large = member.groupBy("component", "grade").agg(_filled(F.count("*"), F.sum(F.size("columns"))).alias("blocks")).filter(F.col("blocks") > HUB_BLOCKS)
+    large = staged(large, "large")
+    if not large.head(1):
+        return None
+    placed = member.join(large, ["component", "grade"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    to = "if(block = 0, transform(sequence(0, blocks - 1), x -> named_struct('j', x, 'side', if(x = 0, 0, 1))), array(named_struct('j', block, 'side', 2)))"
+    dealt = placed.withColumn("to", F.explode(F.expr(to))).select("component", F.col("grade").alias("g"), F.col("grade").alias("h"), F.lit(0).alias("i"), "to.*", "node", "size", "columns")
+    return staged(_product(dealt, share), "hubs")
+
+
+def _block_links(member: DataFrame, parts: DataFrame | None, share: Fraction) -> DataFrame:
+    """Links of all pairs of blocks but those inside one part (``parts``: node, component), whose rows are linked already."""
+    if parts is None:
+        member = member.withColumn("part", F.lit(-1).cast("long"))
+    else:
+        member = member.join(parts.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", F.lit(-1)).cast("long"))
+    # small parts and rows without one share blocks, under the label -1
+    of = member.groupBy("component", "grade", "part").agg(F.count("*").alias("rows"), F.sum(F.size("columns")).alias("cells"))
+    of = of.withColumn("label", F.when((F.col("rows") >= BLOCK_ROWS) | (F.col("cells") >= BLOCK_CELLS), F.col("part")).otherwise(F.lit(-1)))
+    whole = Window.partitionBy("component", "grade")
+    spread = of.groupBy("component", "grade", "label").agg(_filled(F.sum("rows"), F.sum("cells")).alias("own"))
+    spread = staged(spread.withColumns({"hi": F.sum("own").over(whole.orderBy("label")).cast("int"), "total": F.sum("own").over(whole).cast("int")}), "spread")
+    place = of.select("component", "grade", "part", "label").join(spread.select("component", "grade", "label", "own", "hi", "total"), ["component", "grade", "label"])
+    for name, step in (("above", 1), ("below", -1)):
+        there = spread.withColumn("grade", F.col("grade") - step)
+        totals = there.select("component", "grade", F.col("total").alias(f"total_{name}")).distinct()
+        ranges = there.filter("label >= 0").select("component", "grade", "label", (F.col("hi") - F.col("own")).alias(f"lo_{name}"), F.col("hi").alias(f"hi_{name}"))
+        place = place.join(totals, ["component", "grade"], "left").join(ranges, ["component", "grade", "label"], "left")
+    placed = member.join(place, ["component", "grade", "part"]).withColumn("block", F.expr("cast(hi - own + pmod(xxhash64(node), own) as int)"))
+    own = "transform(filter(sequence(0, total - 1), x -> label < 0 or x < hi - own or x >= hi), x -> named_struct('g', grade, 'h', grade, 'i', least(block, x), 'j', greatest(block, x), 'side', case when x = block then 0 when block < x then 1 else 2 end))"
+    others = "if(total_{0} > 0, filter(sequence(0, total_{0} - 1), x -> lo_{0} is null or x < lo_{0} or x >= hi_{0}), array())"
+    above = f"transform({others.format('above')}, x -> named_struct('g', grade, 'h', grade + 1, 'i', block, 'j', x, 'side', 1))"
+    below = f"transform({others.format('below')}, x -> named_struct('g', grade - 1, 'h', grade, 'i', x, 'j', block, 'side', 2))"
+    dealt = placed.withColumn("to", F.explode(F.expr(f"concat({own}, {above}, {below})"))).select("component", "to.*", "node", "size", "columns")
+    return _product(dealt, share)
+
+
 def links(docs: DataFrame, sets: DataFrame, n: int, share: Fraction) -> tuple[DataFrame, DataFrame]:
     """Links between rows of the matrix whose closure is that of all links (src, dst), and the rows (node, set_a, set_b)."""
     spark = docs.sparkSession
@@ -171,22 +230,19 @@ def links(docs: DataFrame, sets: DataFrame, n: int, share: Fraction) -> tuple[Da
     base = float(1 / share)
     grade = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(base)) + 1e-9).cast("long")
     member = staged(rare.join(clusters, "node").select("node", "size", "columns", "component", grade.alias("grade")), "member")
-    counts = member.groupBy("component", "grade").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    near = counts.select("component", F.col("grade").alias("other"), F.col("blocks").alias("others"))
-    pairs = counts.join(near, "component").filter("other - grade in (-1, 0, 1)").groupBy("component", "grade").agg(F.max("blocks").alias("blocks"), *(F.max(F.when(F.col("other") - F.col("grade") == d, F.col("others"))).alias(name) for d, name in ((1, "above"), (-1, "below"))))
-    placed = member.join(pairs, ["component", "grade"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = "transform(sequence(0, blocks - 1), j -> named_struct('g', grade, 'h', grade, 'i', least(block, j), 'j', greatest(block, j), 'side', case when j = block then 0 when block < j then 1 else 2 end))"
-    above = "case when above > 0 then transform(sequence(0, above - 1), j -> named_struct('g', grade, 'h', grade + 1, 'i', block, 'j', j, 'side', 1)) else array() end"
-    below = "case when below > 0 then transform(sequence(0, below - 1), j -> named_struct('g', grade - 1, 'h', grade, 'i', j, 'j', block, 'side', 2)) else array() end"
-    dealt = placed.select("component", "node", "size", "columns", F.explode(F.expr(f"concat({own}, {above}, {below})")).alias("to")).select("component", "to.*", "node", "size", "columns")
-    found = dealt.groupBy("component", "g", "h", "i", "j").applyInPandas(lambda pdf: _links(pdf, share), "src long, dst long")
+    hubs = _hub_links(member, share)
+    found = _block_links(member, connected_components(hubs) if hubs is not None else None, share)
+    found = found if hubs is None else found.union(hubs)
     return staged(found, "links"), whole.select("node", "set_a", "set_b")
 
 
 def labelled(docs: DataFrame, n: int, share: Fraction) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, label (null without shingles), low (the label's smallest doc_id)."""
     sets = staged(shingle_sets(docs, n, share).withColumn("row", F.monotonically_increasing_id()), "sets")
-    group = sets.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
+    # copies of one set are aggregated by salt first and get their label by salt, as they may be a third of all rows
+    salted = sets.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    split = staged(salted.filter("n_shingles > 0").groupBy("set_a", "set_b", "salt").agg(F.min("doc_id").alias("first")), "split")
+    group = split.groupBy("set_a", "set_b").agg(F.min("first").alias("first"))
     found, rows = links(docs, sets, n, share)
     component = rows.join(connected_components(found), "node").select("set_a", "set_b", "component")
     lows = group.join(component, ["set_a", "set_b"]).groupBy("component").agg(F.min("first").alias("low"))
@@ -194,7 +250,8 @@ def labelled(docs: DataFrame, n: int, share: Fraction) -> DataFrame:
     # a label is a component's node, or the set itself, which no node number equals as a text
     alone = F.concat_ws(":", "set_a", "set_b")
     group = group.join(known, ["set_a", "set_b"], "left").select("set_a", "set_b", F.coalesce(F.col("component").cast("string"), alone).alias("label"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("low")).alias("low"))
-    return sets.select("doc_id", "text_key", "n_shingles", "set_a", "set_b").join(group, ["set_a", "set_b"], "left").drop("set_a", "set_b")
+    by_salt = split.select("set_a", "set_b", "salt").join(group, ["set_a", "set_b"])
+    return salted.select("doc_id", "text_key", "n_shingles", "set_a", "set_b", "salt").join(by_salt, ["set_a", "set_b", "salt"], "left").drop("set_a", "set_b", "salt")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:

@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ctrlspark.llm import ann, decontaminate, licenses, line_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts
@@ -391,3 +392,56 @@ def test_jaccard_links_at_the_threshold(spark, n, num, den, sizes):
         exact += den * len(a & b) == num * len(a | b)
         assert (got[i], got[i + 1]) == (i, i if linked else i + 1), (len(a), len(b))
     assert exact >= 12
+
+
+@pytest.mark.parametrize(("rows", "cells"), [(5, 10**6), (10**6, 200)])
+def test_jaccard_of_large_templates(spark, monkeypatch, rows, cells):
+    """Near copies in many blocks, linked through a hub, through one another, over size classes or not at all; and copies of one text."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(ngram_join, "HUB_BLOCKS", 2)
+    r = random.Random(31)
+    texts = []
+    for base in range(3):
+        words = [f"t{base}w{i}" for i in range(40)]
+        for copy in range(60):
+            w = words + [f"t{base}more{i}" for i in range(r.randint(0, 25))]
+            for _ in range(r.choice([0, 1, 1, 2, 3])):
+                w[r.randrange(len(w))] = f"edit{base}x{copy}"
+            texts.append(" ".join(w))
+    texts += texts[:3] * 30
+    r.shuffle(texts)
+    got = {x.doc_id: x.component_id for x in ngram_join.jaccard_components(table(spark, texts), 3, "0.8").collect()}
+    sets = {i: shingles(t, 3) for i, t in enumerate(texts, 1)}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if v == high else v for i, v in label.items()}
+    assert got == label and len(set(label.values())) > 6
+
+
+def test_hubs_spare_products(spark, monkeypatch):
+    """Rows that a hub links are in no further product with one another."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 10)
+    dealt = []
+    product = ngram_join._product
+    monkeypatch.setattr(ngram_join, "_product", lambda rows, share: dealt.append(rows.count()) or product(rows, share))
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words + [f"own{copy}"]) for copy in range(400)]
+    got = ngram_join.jaccard_components(table(spark, texts), 3, "0.8").collect()
+    assert {x.component_id for x in got} == {1} and sum(dealt) < 1200
+
+
+def test_joined_scores_of_hot_trigrams(spark, monkeypatch):
+    """Scores by shuffle equal the model's with a trigram's documents split over many keys; none where there is no model."""
+    monkeypatch.setattr(quality, "SALT_ROWS", 7)
+    docs = table(spark, sentences(41, 60) + ["the same text"] * 40 + [None, "", " ", "ä中\U0001f600"])
+    tables = quality.train(docs.limit(50).select("lang", "text"))
+    want = {r.doc_id: r.perplexity for r in quality.Scorer(tables).score(docs).collect()}
+    got = {r.doc_id: r.perplexity for r in quality.Scorer(tables, broadcast_rows=0).score(docs).collect()}
+    assert set(got) == set(want) and sum(p is not None for p in got.values()) > 100
+    assert all((got[i] is None) == (p is None) and (p is None or abs(got[i] - p) < 1e-9 * p) for i, p in want.items())
+    other = docs.withColumn("lang", F.lit("none"))
+    assert all(r.perplexity is None for r in quality.Scorer(tables, broadcast_rows=0).score(other).collect()) and quality.Scorer(tables, broadcast_rows=0).score(docs.limit(0)).count() == 0
