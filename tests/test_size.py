@@ -7,6 +7,7 @@ import pytest
 from ctrlspark.operators import extract, registry
 from ctrlspark.plans import queries as policy
 from ctrlspark.sources.catalogs import _TABLES, catalog
+from ctrlspark.sources.corpus import policies
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +57,21 @@ def test_patterns_are_read_once_a_clause(spark):
     assert plan.count("must never") <= 6  # 7 before, and more where the clause itself was an expression
     row = s.first()
     assert (row.verbs, row.framework_ids, row.statement_kind, row.keywords) == ([], ["AC-2"], "citation", [])
+
+
+def test_lines_are_structured_once_and_never_shuffled(spark):
+    s = extract.extract_statements(policies(spark, SF))
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    # before: lines were shuffled by size, for prose and for tables, and again as blocks
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    assert len(re.findall(r"Generate posexplode\(arrays_zip", plan)) == 1
+    assert s.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_prose_and_tables_side_by_side(spark):
+    text = "Owners must:\n- rotate keys\n| A | B |\n |---|:---:| \n| x | |\n| | |\n- sign in\nand wrap\n|---|\n|---|\nTail | must stay|\n"
+    docs = spark.createDataFrame([(1, 1, text)], "doc_id long, version_ord int, markdown string")
+    blocks = extract.block_assembly(docs).orderBy("line_ord").collect()
+    # the table stops the list, so its lead ends there
+    assert [(r.line_ord, r.text) for r in blocks] == [(1, "Owners must rotate keys"), (4, "x"), (6, "sign in and wrap"), (10, "Tail | must stay|")]
+    assert [text[r.start :][:5] for r in blocks] == ["Owner", "x | |", "sign ", "Tail "]
