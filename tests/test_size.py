@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from ctrlspark.operators import extract, registry
+from ctrlspark.operators import crosswalk, extract, registry
 from ctrlspark.plans import queries as policy
 from ctrlspark.sources.catalogs import _TABLES, catalog
 from ctrlspark.sources.corpus import policies
@@ -75,3 +75,14 @@ def test_prose_and_tables_side_by_side(spark):
     # the table stops the list, so its lead ends there
     assert [(r.line_ord, r.text) for r in blocks] == [(1, "Owners must rotate keys"), (4, "x"), (6, "sign in and wrap"), (10, "Tail | must stay|")]
     assert [text[r.start :][:5] for r in blocks] == ["Owner", "x | |", "sign ", "Tail "]
+
+
+def test_hits_are_planned_source_by_source(spark):
+    statements = policy.statements(spark, SF)
+    tables = [catalog(spark, n) for n in ("scf", "scf_crosswalk", "seed", "ksi", "ksi_words")]
+    parts = [part() for part in crosswalk.hit_parts(statements, *tables)]
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in parts]
+    assert max(p.count("BroadcastExchange") for p in plans) <= 5  # 12 in one job before
+    assert sorted(r.source for p in parts for r in p.select("source").distinct().collect()) == ["explicit-citation", "ksi", "scf", "seed"]
+    whole, built = crosswalk.map_statements(statements, *tables), policy.hits(spark, SF)
+    assert built.count() == whole.count() and built.exceptAll(whole).count() == 0
