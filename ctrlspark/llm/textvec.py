@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 CHUNK = 1 << 19
+#: chunks after which a worker gives freed memory back: about 16 MB of text
+TRIM_EVERY = 32
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -140,9 +142,14 @@ def per_chunk(df: DataFrame, fn: Callable, schema: str | StructType, columns: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
+        release()  # what earlier stages left: their broadcasts are dropped when a task of another one begins
+        done = 0
         for batch in batches:
             for i, j, buf, offs in chunks(batch, text, size):
                 yield from fn(batch.slice(i, j - i), buf, offs)
+                done += 1
+                if done % TRIM_EVERY == 0:
+                    release()
         release()
 
     return df.select(*(f"`{c}`" for c in columns)).mapInArrow(run, schema)
