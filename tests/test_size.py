@@ -86,3 +86,18 @@ def test_hits_are_planned_source_by_source(spark):
     assert sorted(r.source for p in parts for r in p.select("source").distinct().collect()) == ["explicit-citation", "ksi", "scf", "seed"]
     whole, built = crosswalk.map_statements(statements, *tables), policy.hits(spark, SF)
     assert built.count() == whole.count() and built.exceptAll(whole).count() == 0
+
+
+def test_rules_are_evaluated_once_a_text(spark):
+    text = "# Access\nOwners must review access; they shall log it under AC-2.\n\nOwners must:\n- rotate keys\n## Backup\n| A | B |\n|---|---|\n| Rule | Staff may approve. |\n"
+    texts = [text, text + "\n# \nOwners must review access; they shall log it under AC-2.\n", "", None, "Owners must review access; they shall log it under AC-2."]
+    once, more = (spark.createDataFrame([(n * 10 + i, v, t) for n in range(copies) for i, t in enumerate(texts) for v in (1, 2)], "doc_id long, version_ord int, markdown string") for copies in (1, 4))
+    blocks = [extract.block_assembly(d).selectExpr("*", "array_join(heading_path, ' ') as under") for d in (once, more)]
+    # two, one and one below headings, two below none or an empty one; copies of documents and their versions add none
+    assert [extract.text_clauses(b).count() for b in blocks] == [6, 6]
+    whole = extract.extract_statements(more)
+    for few, join in ((extract.FEW, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        found = extract.extract_corpus(more, few)
+        assert join in found._jdf.queryExecution().executedPlan().toString()
+        assert found.schema.simpleString() == whole.schema.simpleString() and found.count() == whole.count() > 0
+        assert found.exceptAll(whole).count() == 0
