@@ -101,3 +101,19 @@ def test_rules_are_evaluated_once_a_text(spark):
         assert join in found._jdf.queryExecution().executedPlan().toString()
         assert found.schema.simpleString() == whole.schema.simpleString() and found.count() == whole.count() > 0
         assert found.exceptAll(whole).count() == 0
+
+
+def test_blocks_are_assembled_once_from_few_windows(spark):
+    structured = extract.structured_lines(policies(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert structured.count("Window [") <= 4  # with what blocks need
+    found = extract.extract_corpus(policies(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode(arrays_zip" not in found and found.count("FileScan parquet") == 2  # lines were structured again for the clauses
+
+
+def test_lines_split_with_and_without_a_pattern(spark):
+    texts = ["", "\n", "a\n\nb", "a\nb\n", "é\n```\nx\n```\n", "a\r\nb\rc\n", "a\x0bb\x0cc\x85d e f\n\r", None]
+    docs = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id long, version_ord int, markdown string")
+    rows = extract.lines_explode(docs).orderBy("doc_id", "line_ord").collect()
+    ends = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
+    want = [(i, k, line, at) for i, t in enumerate(texts) if t is not None for k, (line, at) in enumerate(zip(ends.split(t), [0, *(m.end() for m in ends.finditer(t))]))]
+    assert [(r.doc_id, r.line_ord, r.line, r.offset) for r in rows] == want
