@@ -1,5 +1,6 @@
 """What must not grow with the corpus: sides that joins broadcast, pairs that joins meet, patterns read again."""
 
+import os
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from ctrlspark.operators import crosswalk, extract, registry
 from ctrlspark.plans import queries as policy
 from ctrlspark.sources.catalogs import _TABLES, catalog
 from ctrlspark.sources.corpus import policies
+from ctrlspark.sources.tables import built, staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -117,3 +119,18 @@ def test_lines_split_with_and_without_a_pattern(spark):
     ends = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
     want = [(i, k, line, at) for i, t in enumerate(texts) if t is not None for k, (line, at) in enumerate(zip(ends.split(t), [0, *(m.end() for m in ends.finditer(t))]))]
     assert [(r.doc_id, r.line_ord, r.line, r.offset) for r in rows] == want
+
+
+def test_built_tables_leave_nothing_behind(spark):
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    made, full = [], beans()
+
+    def part(n):
+        table = staged(spark.range(n), "step")
+        made.extend(f.removeprefix("file:") for f in table.inputFiles())
+        return table.selectExpr("id % 3 as id").distinct()
+
+    table = built(spark, SF, "left", lambda: part(5), lambda: part(7))
+    assert made and not any(map(os.path.exists, made))
+    assert beans() >= full + 2
+    assert sorted(r.id for r in table.collect()) == [0, 0, 1, 1, 2, 2]
