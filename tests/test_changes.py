@@ -234,3 +234,53 @@ def test_long_documents_split_in_linear_time(spark):
 
     seconds(100)
     assert seconds(16_000) < 8 * max(seconds(4_000), 0.5)
+
+
+def test_assessments_for_all_documents_are_judged_by_class(spark):
+    impacts = spark.createDataFrame([(d, 1, 2, f, r) for d in range(40) for f, r in (("NIST 800-53", "high"), ("SOC 2", "low" if d % 2 else "critical"), ("FedRAMP KSI", "info")) if (d % 3 or f != "FedRAMP KSI") and (d % 5 or f != "SOC 2")], "doc_id long, older int, newer int, framework string, risk string")
+    rows = [(f"all{i}", [["SOC 2"], ["FedRAMP", "NIST 800-53"], ["FedRAMP KSI"], ["PCI DSS"]][i % 4], [], "active" if i % 7 else "closed") for i in range(60)]
+    rows += [("one", ["SOC 2", "FedRAMP"], [3, 9, 3], "active"), ("both", ["SOC 2"], [], "active"), ("both", ["NIST 800-53"], [4, 6], "active"), ("null", ["SOC 2"], None, "active"), ("none", [], [], "active")]
+    held = spark.createDataFrame(rows, "assessment_id string, frameworks array<string>, doc_ids array<long>, status string")
+    by_class = impact.risk_classes(impacts, held)
+    assert by_class.by_class.count() < 40 * 4 and by_class.classes.count() == 4
+    ranks, want = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}, {}
+    names = {v: k for k, v in ranks.items()}
+    told = impacts.collect()
+    for doc in range(40):
+        own = {r.framework: ranks[r.risk] for r in told if r.doc_id == doc}
+        reached = own | ({"FedRAMP": 2 if "FedRAMP KSI" in own else own["NIST 800-53"]} | ({} if "FedRAMP KSI" in own else {"FedRAMP KSI": own["NIST 800-53"]}) if "NIST 800-53" in own else {})
+        for i, fs, docs, status in rows:
+            met = [f for f in fs if f in reached] if status == "active" and docs is not None and (not docs or doc in docs) else []
+            if met:
+                names_, worst = want.get((doc, i), (set(), 0))
+                want[doc, i] = (names_ | set(met), max(worst, *(reached[f] for f in met)))
+    got = impact.assessments_at_risk(impacts, held)
+    assert sorted((r.doc_id, r.assessment_id, r.frameworks, r.risk) for r in got.collect()) == sorted((*k, ",".join(sorted(f)), names[r]) for k, (f, r) in want.items())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan.split("Union")[1].split("Exchange hashpartitioning")[0]  # the product of pairs and assessments is not shuffled
+    changes = spark.createDataFrame([(d, 1, 2, "s", "", "x", "y", "must", "obligation_softened", "", "medium", "n.") for d in range(40)], CHANGE)
+    duties = spark.createDataFrame([("all1", "c", "DOC-1", ""), ("all5", "b", "DOC-2", ""), ("one", "d", "DOC-3", "")], "assessment_id string, class_id string, documents string, cadence string")
+    ours, plain = impact.impact_alerts(changes, impacts, by_class, duties), impact.impact_alerts(changes, impacts, got, duties)
+    assert ours.count() == 40 and ours.exceptAll(plain).count() == plain.exceptAll(ours).count() == 0
+    whole = {r.doc_id: r.actions for r in ours.collect()}
+    assert all(f"Tell the owners of: {', '.join(sorted(i for k, i in want if k == d))}" in whole[d] for d in whole)
+
+
+def test_impacts_map_the_statements_that_changes_touch(spark):
+    changes = spark.createDataFrame([(1, 1, 2, "a", "b", "x", "y", "must", "obligation_softened", "", "high", "n."), (1, 1, 2, "", "c", "", "y", "must", "obligation_added", "", "low", "n."), (2, 1, 2, "d", "e", "x", "y", "must", "non_material_rewording", "", "info", "n.")], CHANGE)
+    statements = spark.createDataFrame([(1, v, i) for v in (1, 2) for i in "abcd"] + [(2, 1, "d"), (2, 1, "a")], "doc_id long, version_ord int, statement_id string")
+    assert sorted(map(tuple, impact.touched(statements, changes).select("doc_id", "version_ord", "statement_id").collect())) == [(1, v, i) for v in (1, 2) for i in "ac"]
+
+
+def test_changes_are_judged_once_a_pair_of_texts(spark):
+    texts = [("Owners must rotate keys within 24 hours.", "Owners should rotate keys within 48 hours.", "All Systems", None), ("Owners must rotate keys.", None, None, ""), (None, None, None, None), ("Staff may report.", "Staff must not report.", "", "Scope")]
+    pairs = spark.createDataFrame([(n, *texts[n % 4]) for n in range(40)], "n int, before string, after string, before_heading string, after_heading string")
+    assert impact.change_kinds(pairs)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    plain = pairs.fillna("", ["before_heading", "after_heading"])
+    whole = impact._judged(plain.withColumn("k", F.col("n"))).drop("k")
+    for few, join in ((impact.FEW, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        found = impact.change_kinds(pairs, few)
+        assert join in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 40 and found.select(*whole.columns).exceptAll(whole).count() == 0
+    judged = impact.staged(impact._judged(plain.drop("n").distinct()), "texts")
+    assert judged.count() == 4
