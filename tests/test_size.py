@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from ctrlspark.operators import crosswalk, extract, registry
+from ctrlspark.operators import crosswalk, extract, iac, registry
 from ctrlspark.plans import queries as policy
 from ctrlspark.sources.catalogs import _TABLES, catalog
 from ctrlspark.sources.corpus import policies
@@ -134,3 +134,23 @@ def test_built_tables_leave_nothing_behind(spark):
     assert made and not any(map(os.path.exists, made))
     assert beans() >= full + 2
     assert sorted(r.id for r in table.collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_files_are_parsed_in_batches_and_cut_once(spark):
+    block = 'resource "t" "r%d" {\n  x = "é"\n}\n'
+    text = "# é\n" + "".join(block % i for i in range(5000)) + "locals {}\n"
+    batches = list(iac._resource_rows(iter([("r", 1, "m/main.tf", text), ("r", 2, "m/main.tf", None)])))
+    # one table of all files' resources before, whatever their number
+    assert [b.num_rows for b in batches] == [2000, 2000, 1000]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [r["start_line"] for r in rows] == [2 + 3 * i for i in range(5000)] and all(text[r["span_start"] : r["span_end"]] == r["block"] for r in rows)
+    files = spark.createDataFrame([("r", 1, "m/main.tf", text), ("r", 2, "m/main.tf", text.replace("locals", "others")), ("r", 1, "n/main.tf", text), ("r", 2, "n/main.tf", text + "\n \t\n"), ("r", 2, "m/x.json", "{}")], "repository string, revision int, relative_path string, content string")
+    resources = iac.iac_extract(files)
+    prints = iac.outside_fingerprint(files.filter("relative_path like '%.tf'"), resources)
+    # the text was searched from its start for each resource before
+    assert "zip_with" not in prints._jdf.queryExecution().optimizedPlan().toString()
+    same = {(r.relative_path, r.revision): r.outside for r in prints.collect()}
+    assert same["m/main.tf", 1] == same["n/main.tf", 1] == same["n/main.tf", 2] != same["m/main.tf", 2]
+    seen = iac.unclassified_file_change(files, resources, 1, 2)
+    assert seen._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # to see which resources moved
+    assert {tuple(r) for r in seen.collect()} == {("r", "m/main.tf", "changed", False), ("r", "n/main.tf", "changed", False), ("r", "m/x.json", "added", False)}
