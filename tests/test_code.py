@@ -217,3 +217,13 @@ def test_notices_and_cases(spark):
 
 def test_ranks_are_the_given_ones():
     assert change_rules.STRENGTH_RANK == {"prohibited": 5, "must": 5, "shall": 5, "should": 3, "may": 1, "descriptive": 0}
+
+
+def test_control_rollup_lists_statements_as_first_seen(spark):
+    hit = lambda d, v, n, i, source, k, title, c: (d, v, i, n, source, k, "F", "C", title, c)
+    hits = spark.createDataFrame([hit(1, 1, 1, "b", "scf", 2, "", 0.5), hit(1, 1, 2, "a", "seed", 1, "Zeta", 0.75), hit(1, 2, 1, "a", "scf", 1, "Beta", 0.9), hit(1, 2, 2, "c", "scf", 1, "", 0.2), hit(2, 1, 1, "d", "ksi", 1, "Alpha", 0.1)],
+        "doc_id long, version_ord int, statement_id string, stmt_ord long, source string, hit_ord long, framework string, control_id string, title string, confidence double")
+    said = {"a": ("must", "Do a"), "b": ("may", "Do b"), "c": ("should", "Do c"), "d": ("shall", "Do d")}
+    statements = hits.select("doc_id", "version_ord", "statement_id").distinct().join(spark.createDataFrame([(i, x, t, "obligation", 0.8) for i, (x, t) in said.items()], "statement_id string, strength string, text string, statement_kind string, confidence double"), "statement_id")
+    about = ("F", "C", "Zeta", "ksi;scf;seed", "0.900", 4)
+    assert sorted(map(tuple, coverage.control_rollup(hits, statements).collect())) == [(*about, 1, "b;a;c", "may;must;should", "obligation;obligation;obligation", "0.80;0.80;0.80", "Do b | Do a | Do c"), (*about, 2, "d", "shall", "obligation", "0.80", "Do d")]
