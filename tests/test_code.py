@@ -219,6 +219,23 @@ def test_ranks_are_the_given_ones():
     assert change_rules.STRENGTH_RANK == {"prohibited": 5, "must": 5, "shall": 5, "should": 3, "may": 1, "descriptive": 0}
 
 
+def test_links_of_one_selection_share_its_resources(spark):
+    many = [link(f"t{i}", types=["t"], paths=["m2/", "nowhere"], repositories=["r2"] if i % 3 == 0 else []) for i in range(300)]
+    links = spark.createDataFrame([*many, link("n", addresses=["t.a5"]), link("u", types=["none"], paths=["m2/"]), link("twice", types=["t"], paths=["m2/"]), link("twice", types=["t"], paths=["m1/"])], LINK)
+    schema = "repository string, revision int, module_path string, address string, resource_type string, relative_path string, link_id string"
+    rows = [(f"r{i % 3}", v, f"m{i % 4}", f"t.a{i}", "t" if i % 5 else "s", f"m{i % 4}/main.tf", {7: "t1", 10: "t3", 14: "t4"}.get(i, "")) for i in range(60) for v in (1, 2) if (i + v) % 11]
+    resources = spark.createDataFrame(rows, schema)
+    wired = reconcile.wired_resources(links, resources)
+    assert wired.members.count() == 300 and wired.chosen.select("selection").distinct().count() == 4 and wired.own.filter("link_id like 't_'").count() <= 6
+    of = {}
+    for r in links.collect():
+        for repository, revision, module, address, kind, path, declared in rows:
+            if (declared == r.link_id or address in r.addresses or (not r.addresses and kind in r.types and any(p in path for p in r.paths))) and (not r.repositories or repository in r.repositories):
+                of.setdefault(r.link_id, set()).add((repository, revision, module, address))
+    got = reconcile.link_resources(links, resources)
+    assert sorted(tuple(r) for r in got.select("link_id", "repository", "revision", "module_path", "address").collect()) == sorted((i, *x) for i, xs in of.items() for x in xs)
+
+
 def test_control_rollup_lists_statements_as_first_seen(spark):
     hit = lambda d, v, n, i, source, k, title, c: (d, v, i, n, source, k, "F", "C", title, c)
     hits = spark.createDataFrame([hit(1, 1, 1, "b", "scf", 2, "", 0.5), hit(1, 1, 2, "a", "seed", 1, "Zeta", 0.75), hit(1, 2, 1, "a", "scf", 1, "Beta", 0.9), hit(1, 2, 2, "c", "scf", 1, "", 0.2), hit(2, 1, 1, "d", "ksi", 1, "Alpha", 0.1)],
